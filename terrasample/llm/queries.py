@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrasample.llm import decontaminate as contamination
-from terrasample.llm import mix, pseudonyms, quality, toxicity, urls
+from terrasample.llm import html, mix, ngram_join, pseudonyms, quality, tokens, toxicity, urls
 
 #: Target shares of the mixture; sources without one share the rest by their rows.
 WEIGHTS = {"src0": 0.20, "src1": 0.10, "src2": 0.08, "src3": 0.02}
@@ -31,6 +31,10 @@ def op1_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.poisson_mix(docs, WEIGHTS, size=MIX_SIZE, seed="mix-1")
 
 
+def op2_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -49,13 +53,28 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path() -> str:
+    """Path of the public tokenizer file, the same on every executor."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_table(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op10_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_poisson_mix, op4_ordinal_toxicity, op5_pu_quality, op6_feistel_pseudonyms, op7_url_rules, op10_wu_manber)}
+    return {f.__name__: f for f in (op1_poisson_mix, op2_tag_path_ratios, op4_ordinal_toxicity, op5_pu_quality, op6_feistel_pseudonyms, op7_url_rules, op8_ngram_jaccard, op9_wavelet_shards, op10_wu_manber)}
 
 
 def _url_sql() -> str:
