@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrasample.llm import decontaminate as contamination
-from terrasample.llm import html, mix, ngram_join, pseudonyms, quality, tokens, toxicity, urls
+from terrasample.llm import embeddings, html, mix, ngram_join, pseudonyms, quality, tokens, toxicity, urls
 
 #: Target shares of the mixture; sources without one share the rest by their rows.
 WEIGHTS = {"src0": 0.20, "src1": 0.10, "src2": 0.08, "src3": 0.02}
@@ -35,6 +35,10 @@ def op2_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op3_kmeans_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -74,7 +78,7 @@ def op10_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_poisson_mix, op2_tag_path_ratios, op4_ordinal_toxicity, op5_pu_quality, op6_feistel_pseudonyms, op7_url_rules, op8_ngram_jaccard, op9_wavelet_shards, op10_wu_manber)}
+    return {f.__name__: f for f in (op1_poisson_mix, op2_tag_path_ratios, op3_kmeans_cosine, op4_ordinal_toxicity, op5_pu_quality, op6_feistel_pseudonyms, op7_url_rules, op8_ngram_jaccard, op9_wavelet_shards, op10_wu_manber)}
 
 
 def _url_sql() -> str:
