@@ -38,33 +38,75 @@ def utm_zone_label(lat: Column, lon: Column) -> Column:
     return F.concat(utm_zone(lon).cast("string"), F.when(lat >= 0, "N").otherwise("S"))
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)`` with the value as a variable: the series use it many times, and its expression isn't copied."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _meridian(epsg: Column) -> Column:
+    return (epsg % 100 - 1) * 6 - 177
+
+
+def _offset(epsg: Column) -> Column:
+    return F.when(epsg >= 32700, FALSE_NORTH).otherwise(0.0)
+
+
+def _forward(lat: Column, lon: Column, epsg: Column) -> Column:
+    def series(q: Column) -> Column:
+        xi, eta, east, north = q["xi"], q["eta"], q["eta"], q["xi"]
+        for j, a in enumerate(ALPHA, 1):
+            east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+            north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        return F.struct((FALSE_EAST + K0 * RADIUS * east).alias("x"), (q["fn"] + K0 * RADIUS * north).alias("y"))
+
+    def angles(p: Column) -> Column:
+        t = let(F.sin(p["phi"]), lambda s: F.sinh(F.atanh(s) - ECC * F.atanh(ECC * s)))
+        return let(t, lambda t: F.struct(F.atan2(t, F.cos(p["dl"])).alias("xi"), F.atanh(F.sin(p["dl"]) / F.sqrt(1 + t * t)).alias("eta"), p["fn"].alias("fn")))
+
+    start = F.struct(F.radians(lat).alias("phi"), F.radians(lon - _meridian(epsg)).alias("dl"), _offset(epsg).alias("fn"))
+    return let(let(start, angles), series)
+
+
+def _inverse(east: Column, north: Column, epsg: Column) -> Column:
+    def series(q: Column) -> Column:
+        xi, eta, xp, ep = q["xi"], q["eta"], q["xi"], q["eta"]
+        for j, b in enumerate(BETA, 1):
+            xp = xp - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+            ep = ep - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+        return F.struct(xp.alias("xp"), ep.alias("ep"), q["m"].alias("m"))
+
+    def angles(q: Column) -> Column:
+        def latitude(chi: Column) -> Column:
+            lat = chi
+            for j, d in enumerate(DELTA, 1):
+                lat = lat + d * F.sin(2 * j * chi)
+            return F.degrees(lat)
+
+        return F.struct((F.degrees(F.atan2(F.sinh(q["ep"]), F.cos(q["xp"]))) + q["m"]).alias("x"), let(F.asin(F.sin(q["xp"]) / F.cosh(q["ep"])), latitude).alias("y"))
+
+    start = F.struct(((north - _offset(epsg)) / (K0 * RADIUS)).alias("xi"), ((east - FALSE_EAST) / (K0 * RADIUS)).alias("eta"), _meridian(epsg).alias("m"))
+    return let(let(start, series), angles)
+
+
 def utm_forward(lat: Column, lon: Column, epsg: Column | None = None) -> tuple[Column, Column]:
     """Easting and northing in metres, in the zone of the point itself or of a given code."""
-    epsg = utm_epsg(lat, lon) if epsg is None else epsg
-    phi, dl = F.radians(lat), F.radians(lon - ((epsg % 100 - 1) * 6 - 177))
-    s = F.sin(phi)
-    t = F.sinh(F.atanh(s) - ECC * F.atanh(ECC * s))
-    xi, eta = F.atan2(t, F.cos(dl)), F.atanh(F.sin(dl) / F.sqrt(1 + t * t))
-    east, north = eta, xi
-    for j, a in enumerate(ALPHA, 1):
-        east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return FALSE_EAST + K0 * RADIUS * east, F.when(epsg >= 32700, FALSE_NORTH).otherwise(0.0) + K0 * RADIUS * north
+    s = _forward(lat, lon, utm_epsg(lat, lon) if epsg is None else epsg)
+    return s["x"], s["y"]
 
 
 def utm_inverse(east: Column, north: Column, epsg: Column) -> tuple[Column, Column]:
     """Latitude and longitude in degrees."""
-    xi = (north - F.when(epsg >= 32700, FALSE_NORTH).otherwise(0.0)) / (K0 * RADIUS)
-    eta = (east - FALSE_EAST) / (K0 * RADIUS)
-    xp, ep = xi, eta
-    for j, b in enumerate(BETA, 1):
-        xp = xp - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-        ep = ep - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    chi = F.asin(F.sin(xp) / F.cosh(ep))
-    lat = chi
-    for j, d in enumerate(DELTA, 1):
-        lat = lat + d * F.sin(2 * j * chi)
-    return F.degrees(lat), F.degrees(F.atan2(F.sinh(ep), F.cos(xp))) + ((epsg % 100 - 1) * 6 - 177)
+    s = _inverse(east, north, epsg)
+    return s["y"], s["x"]
+
+
+def moved(east: Column, north: Column, epsg: Column, code: int) -> Column:
+    """A place in a UTM zone as a struct (x, y) in the system ``code``; in its own zone it stays as it is."""
+    def placed(g: Column) -> Column:
+        x, y = from_wgs84(g["y"], g["x"], code)
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    return F.when(epsg == code, F.struct(east.alias("x"), north.alias("y"))).otherwise(let(_inverse(east, north, epsg), placed))
 
 
 def mercator_inverse(x: Column, y: Column) -> tuple[Column, Column]:

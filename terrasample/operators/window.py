@@ -29,26 +29,16 @@ def with_row_ids(points: DataFrame) -> DataFrame:
 
 
 def corners(points: DataFrame, raster: Raster, window_m: float) -> DataFrame:
-    """``points`` (_row and x, y or lat, lon) with the window's four corners in the raster's plane (qx, qy: arrays)."""
+    """``points`` (_row and x, y or lat, lon) with the window's four corners in the raster's plane (q: an array of x, y)."""
     h = window_m / 2
     code = raster.header.crs
-    offsets = ((-h, -h), (h, -h), (h, h), (-h, h))
+    offsets = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((-h, -h), (h, -h), (h, h), (-h, h))))
     if code is None:
-        quad = [(F.col("x") + dx, F.col("y") + dy) for dx, dy in offsets]
-        return points.withColumns({"qx": F.array(*(q[0] for q in quad)), "qy": F.array(*(q[1] for q in quad))})
+        return points.withColumn("q", F.transform(offsets, lambda o: F.struct((F.col("x") + o["dx"]).alias("x"), (F.col("y") + o["dy"]).alias("y"))))
     zone = crs.utm_epsg(F.col("lat"), F.col("lon"))
-    east, north = crs.utm_forward(F.col("lat"), F.col("lon"), F.col("_utm"))
-    out = points.withColumn("_utm", zone).withColumns({"_e": east, "_n": north})
-
-    def placed(dx: float, dy: float) -> tuple[Column, Column]:
-        x, y = F.col("_e") + dx, F.col("_n") + dy
-        lat, lon = crs.utm_inverse(x, y, F.col("_utm"))
-        tx, ty = crs.from_wgs84(lat, lon, code)
-        own = F.col("_utm") == code  # the same zone: no detour
-        return F.round(F.when(own, x).otherwise(tx), 6), F.round(F.when(own, y).otherwise(ty), 6)
-
-    quad = [placed(*o) for o in offsets]
-    return out.withColumns({"qx": F.array(*(q[0] for q in quad)), "qy": F.array(*(q[1] for q in quad))}).drop("_e", "_n")
+    east, north = crs.utm_forward(F.col("lat"), F.col("lon"), zone)
+    quad = crs.let(F.struct(east.alias("e"), north.alias("n"), zone.alias("z")), lambda p: F.transform(offsets, lambda o: crs.moved(p["e"] + o["dx"], p["n"] + o["dy"], p["z"], code)))
+    return points.withColumn("q", F.transform(quad, lambda p: F.struct(F.round(p["x"], 6).alias("x"), F.round(p["y"], 6).alias("y"))))
 
 
 def index_ranges(points: DataFrame, raster: Raster) -> DataFrame:
@@ -57,8 +47,7 @@ def index_ranges(points: DataFrame, raster: Raster) -> DataFrame:
     ``pr`` and ``pc`` are the corners as fractional rows and columns.
     """
     h = raster.header
-    out = points.withColumn("_p", F.arrays_zip("qx", "qy"))
-    out = out.withColumns({"pr": F.transform("_p", lambda p: h.index(p["qx"], p["qy"])[0]), "pc": F.transform("_p", lambda p: h.index(p["qx"], p["qy"])[1])}).drop("_p", "qx", "qy")
+    out = points.withColumns({"pr": F.transform("q", lambda p: h.index(p["x"], p["y"])[0]), "pc": F.transform("q", lambda p: h.index(p["x"], p["y"])[1])}).drop("q")
     (r0, r1), (c0, c1) = (centres_between(F.array_min(p), F.array_max(p)) for p in ("pr", "pc"))
     (tr0, tr1), (tc0, tc1) = (touched_between(F.array_min(p), F.array_max(p)) for p in ("pr", "pc"))
     clip = lambda lo, hi, n: F.greatest(F.least(hi, F.lit(n - 1)) - F.greatest(lo, F.lit(0)) + 1, F.lit(0))
