@@ -17,7 +17,8 @@ counted over all documents; a shingle that is nowhere frequent has level 0.
 4. *Rest*: classes under one shingle that are still in different components are
    paired, with all their common prefix shingles counted, and a pair is dropped
    when even all of the remaining shingles (the length left after its last
-   common one) could not lift the overlap to the threshold.
+   common one) could not lift the overlap to the threshold, or when the sets'
+   parity bitmaps prove that too many shingles differ.
 5. Comparison: the sets of the pairs' classes are read once more; each pivot's
    partners are stored as a prefix tree (frequent shingles first, so near copies
    share long paths) and the pivot's set walks it: a shared path's overlap is
@@ -38,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrasample.llm import _text
@@ -71,6 +72,25 @@ def prefix_size(n: int, t: float) -> int:
     return n - math.ceil(t * n - 1e-9) + 1 if n else 0
 
 
+def parity_bitmap(s: np.ndarray) -> bytes:
+    """How many shingles fall on each of 2 ** k >= 2 n places, modulo 2."""
+    places = 1 << max(6, min(17, (2 * len(s) - 1).bit_length() if len(s) else 0))
+    return np.packbits(np.bincount((s & np.uint64(places - 1)).astype(np.int64), minlength=places).astype(np.uint8) & 1).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """At least so many shingles are in one set only: the places where the parities differ.
+
+    A longer bitmap is folded onto the shorter one's places first.
+    """
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 class SetTree:
     """Sorted sets as a prefix tree, laid out in lexical order with the length each shares with the one before."""
 
@@ -129,6 +149,7 @@ class _Join:
     def sets(self) -> None:
         """Sizes and signatures of all documents, and counts of the shingles that repeat within a batch."""
         width, local = self.width, 3
+        names = ["id", "n", "s1", "s2", "bits", "token", "count"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[np.ndarray] = []
@@ -139,7 +160,7 @@ class _Join:
                 token, n = token[n >= local], n[n >= local]
                 none = pa.nulls(len(token), pa.int64())
                 held.clear()
-                return pa.RecordBatch.from_arrays([none, none, none, none, _signed(token), pa.array(n)], names=["id", "n", "s1", "s2", "token", "count"])
+                return pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(token), pa.binary()), _signed(token), pa.array(n)], names=names)
 
             for batch in batches:
                 for i, j in _text.slices(batch.column(1)):
@@ -153,14 +174,16 @@ class _Join:
                         if mark not in seen:
                             seen.add(mark)
                             held.append(s)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), _signed(s1), _signed(s2), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())], names=["id", "n", "s1", "s2", "token", "count"])
-                    if sum(map(len, held)) > 3_000_000:
+                    bits = pa.array([parity_bitmap(s) for s in sets], pa.binary())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), _signed(s1), _signed(s2), bits, pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())], names=names)
+                    if sum(map(len, held)) > 1_500_000:
                         yield counts()
             if held:
                 yield counts()
 
-        both = cut(self.rows.mapInArrow(run, "id bigint, n bigint, s1 bigint, s2 bigint, token bigint, count bigint"), self.folder, "sets")
+        both = cut(self.rows.mapInArrow(run, "id bigint, n bigint, s1 bigint, s2 bigint, bits binary, token bigint, count bigint"), self.folder, "sets")
         self.stats = both.where("n is not null").select("id", "n", "s1", "s2")
+        self.bits = both.where("n > 0 and id is not null").select("id", "n", "bits")
         self.classes = self.stats.where("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"))
         counted = both.where("token is not null").groupBy("token").agg(F.sum("count").alias("df")).where("df >= 8")
         counted = cut(counted.withColumn("level", F.floor(F.log2("df")).cast("int")), self.folder, "frequent")
@@ -225,7 +248,7 @@ class _Join:
                         ids.append(d), marks.append(mark), sizes.append(len(s))
                         prefixes.append(k[: prefix_size(len(s), t)])
                         held += len(prefixes[-1])
-                    if held > 2_000_000:
+                    if held > 1_000_000:
                         yield flush()
             if prefixes:
                 yield flush()
@@ -285,18 +308,43 @@ class _Join:
         return pairs.where(F.col("c") >= half).select("a", "b")
 
     def rest(self, component: DataFrame) -> DataFrame:
-        """(a, b): classes of different components that share prefix shingles and could still reach the threshold."""
+        """(a, b): classes of different components that share prefix shingles and could still reach the threshold.
+
+        Two sets share whole passages, so their common prefix shingles come in
+        runs that are neighbours in both.  A pair is kept only at the
+        first and the last shingle of a run; the places of these add up to
+        the number of common shingles.
+        """
         p = self.post.join(component, F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp"))
         mixed = p.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-        p = cut(p.join(mixed, "token", "left_semi"), self.folder, "mixed")
-        left = p.select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
-        right = p.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))
-        pairs = left.join(right, "token").where("a < b and ca <> cb").where(self._fits("na", "nb"))
-        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+        own = Window.partitionBy("rep").orderBy("pos", "token")  # a set's prefix
+        p = p.join(mixed, "token", "left_semi").withColumns({"k": F.row_number().over(own), "prev": F.lag("token").over(own), "next": F.lead("token").over(own)})
+        p = cut(p, self.folder, "mixed")
+        left = p.select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"), "k", F.col("prev").alias("prev_a"), F.col("next").alias("next_a"))
+        right = p.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), F.col("prev").alias("prev_b"), F.col("next").alias("next_b"))
+        starts, ends = F.expr("not coalesce(prev_a = prev_b, false)"), F.expr("not coalesce(next_a = next_b, false)")
+        on = (left["token"] == right["token"]) & F.expr("a < b and ca <> cb") & F.expr(self._fits("na", "nb")) & (starts | ends)
+        pairs = left.join(right, on).withColumn("c", F.when(ends, F.col("k") + 1).otherwise(0) - F.when(starts, F.col("k")).otherwise(0))
+        pairs = pairs.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.first("na").alias("na"), F.first("nb").alias("nb"))
         need = F.ceil(self.t / (1 + self.t) * (F.col("na") + F.col("nb")) - 1e-6)
         # a common shingle after the last common one of both prefixes can only lie where one of them has ended
         return pairs.where(F.col("c") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1 >= need).select("a", "b")
 
+    def plausible(self, pairs: DataFrame) -> DataFrame:
+        """Without the pairs whose bitmaps prove too great a difference (no link is lost)."""
+        t = self.t
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n = batch.column("n").to_numpy() + batch.column("m").to_numpy()
+                most = n - 2 * np.ceil(t / (1 + t) * n - 1e-6)
+                keep = np.array([least_difference(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]) <= most
+                yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], names=["a", "b"])
+
+        first = self.bits.select(F.col("id").alias("a"), "n", F.col("bits").alias("x"))
+        second = self.bits.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
+        return pairs.join(first, "a").join(second, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
     def bloom(self, ids: DataFrame) -> np.ndarray:
         """A Bloom filter of a table of ids, put together from each partition's own; its size is a parameter."""
         bits = self.bloom_bits
@@ -316,7 +364,7 @@ class _Join:
     def compare(self, pairs: DataFrame, name: str) -> DataFrame:
         """Those of the pairs (a, b) that link, by their whole sets."""
         width, t, frequent, bits, chunk = self.width, self.t, self.frequent, self.bloom_bits, 2000
-        pairs = cut(pairs.distinct(), self.folder, f"pairs-{name}")
+        pairs = cut(self.plausible(pairs).distinct(), self.folder, f"pairs-{name}")
         need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         bloom = self.spark.sparkContext.broadcast(self.bloom(need))
 
@@ -364,7 +412,7 @@ class _Join:
                         continue
                     ids.append(b), sets_in.append(values)
                     held += len(values)
-                    if held > 1_000_000:
+                    if held > 500_000:
                         yield flush()
             if sets_in:
                 yield flush()
