@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrasample.llm import _features, _text
-from terrasample.llm._session import ship
+from terrasample.llm._session import cut, shared_folder, ship
 from terrasample.llm.quality import _adam, _sigmoid, held_out
 
 BITS = 22
@@ -84,7 +84,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     if not n:
         return None
     part = F.pmod(F.xxhash64(F.col("id"), F.lit(78)), F.lit(1 << 30)) < F.lit(int(min(1.0, max_rows / n) * (1 << 30)))
-    sample = docs.where(use).select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(part).join(seen.where(part), "id").select("id", "y", "t")
+    sample = docs.where(use).select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(part).join(F.broadcast(seen.where(part)), "id").select("id", "y", "t")  # about max_rows labels
+    sample = cut(sample, shared_folder(docs.sparkSession), "sample")  # read three times below
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
