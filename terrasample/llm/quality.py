@@ -73,8 +73,13 @@ def estimate_prior(p: np.ndarray, u: np.ndarray, confidence: float = 0.1) -> flo
     return float(np.clip(q_u[ok][best] / q_p[ok][best], 0.02, 0.98))
 
 
-def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, steps: int = 400, l2: float = 1e-4) -> Model:
-    """Fit on dense features of positives and unlabelled rows; the prior is estimated where none is given."""
+def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, steps: int = 400, ridge: float = 20.0) -> Model:
+    """Fit on dense features of positives and unlabelled rows; the prior is estimated where none is given.
+
+    The squared weights are held down by ``ridge`` over the number of positives,
+    so the fewer there are, the less the scorer follows their chance.
+    """
+    l2 = ridge / len(positive)
     both = np.concatenate((positive, unlabelled)).astype(np.float64)
     model = Model(both.mean(0), both.std(0) + 1e-6, np.zeros(0), prior or 0.5)
     p, u = model.expand(positive.astype(np.float64)), model.expand(unlabelled.astype(np.float64))
