@@ -36,7 +36,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def slices(column: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows that hold about ``most`` bytes of text (one row at least)."""
     size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0

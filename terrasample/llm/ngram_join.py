@@ -11,14 +11,13 @@ counted over all documents; a shingle that is nowhere frequent has level 0.
    n - ceil(t n) + 1 shingles; two sets that link share one of them.  The
    prefixes are dealt out by shingle in packed form; shingles of one class
    only are dropped.
-3. *Stars*: within each shingle's classes all are paired with one of them (the pivot), a
-   linear number of pairs.  Pairs that share enough of their prefixes are
-   compared; the links merge most large groups of near copies at once.
+3. *Stars*: within each shingle's classes all are paired with one of them (the
+   pivot), a linear number of pairs; twice, with other pivots.  Their links
+   merge most of the large groups of near copies at once.
 4. *Rest*: classes under one shingle that are still in different components are
-   paired, with all their common prefix shingles counted, and a pair is dropped
-   when even all of the remaining shingles (the length left after its last
-   common one) could not lift the overlap to the threshold, or when the sets'
-   parity bitmaps prove that too many shingles differ.
+   paired, but for pairs of which even all of the remaining shingles (the length
+   left from the first common one on) could not lift the overlap to the
+   threshold, and for pairs whose parity bitmaps prove that too many differ.
 5. Comparison: the sets of the pairs' classes are read once more; each pivot's
    partners are stored as a prefix tree (frequent shingles first, so near copies
    share long paths) and the pivot's set walks it: a shared path's overlap is
@@ -74,10 +73,18 @@ def prefix_size(n: int, t: float) -> int:
 
 def parity_bitmap(s: np.ndarray) -> bytes:
     """How many shingles fall on each of 2 ** k >= 2 n places, modulo 2."""
-    places = 1 << max(6, min(17, (2 * len(s) - 1).bit_length() if len(s) else 0))
+    places = 1 << max(8, min(17, (2 * len(s) - 1).bit_length() if len(s) else 0))
     return np.packbits(np.bincount((s & np.uint64(places - 1)).astype(np.int64), minlength=places).astype(np.uint8) & 1).tobytes()
 
 
+def folded(bitmap: bytes) -> np.ndarray:
+    """A bitmap folded to 256 places, as four integers."""
+    x = np.frombuffer(bitmap, np.uint8)
+    while len(x) > 32:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x.view(np.int64)
+
+
 def least_difference(a: bytes, b: bytes) -> int:
     """At least so many shingles are in one set only: the places where the parities differ.
 
@@ -149,7 +156,7 @@ class _Join:
     def sets(self) -> None:
         """Sizes and signatures of all documents, and counts of the shingles that repeat within a batch."""
         width, local = self.width, 3
-        names = ["id", "n", "s1", "s2", "bits", "token", "count"]
+        names = ["id", "n", "s1", "s2", "bits", "w", "token", "count"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[np.ndarray] = []
@@ -160,7 +167,7 @@ class _Join:
                 token, n = token[n >= local], n[n >= local]
                 none = pa.nulls(len(token), pa.int64())
                 held.clear()
-                return pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(token), pa.binary()), _signed(token), pa.array(n)], names=names)
+                return pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(token), pa.binary()), pa.nulls(len(token), pa.list_(pa.int64())), _signed(token), pa.array(n)], names=names)
 
             for batch in batches:
                 for i, j in _text.slices(batch.column(1)):
@@ -174,16 +181,18 @@ class _Join:
                         if mark not in seen:
                             seen.add(mark)
                             held.append(s)
-                    bits = pa.array([parity_bitmap(s) for s in sets], pa.binary())
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), _signed(s1), _signed(s2), bits, pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())], names=names)
+                    bitmaps = [parity_bitmap(s) for s in sets]
+                    bits, small = pa.array(bitmaps, pa.binary()), pa.array([folded(b) for b in bitmaps], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), _signed(s1), _signed(s2), bits, small, pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())], names=names)
                     if sum(map(len, held)) > 1_500_000:
                         yield counts()
             if held:
                 yield counts()
 
-        both = cut(self.rows.mapInArrow(run, "id bigint, n bigint, s1 bigint, s2 bigint, bits binary, token bigint, count bigint"), self.folder, "sets")
+        both = cut(self.rows.mapInArrow(run, "id bigint, n bigint, s1 bigint, s2 bigint, bits binary, w array<bigint>, token bigint, count bigint"), self.folder, "sets")
         self.stats = both.where("n is not null").select("id", "n", "s1", "s2")
         self.bits = both.where("n > 0 and id is not null").select("id", "n", "bits")
+        self.small = both.where("n > 0 and id is not null").select("id", *(F.col("w")[k].alias(f"w{k}") for k in range(4)))
         self.classes = self.stats.where("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"))
         counted = both.where("token is not null").groupBy("token").agg(F.sum("count").alias("df")).where("df >= 8")
         counted = cut(counted.withColumn("level", F.floor(F.log2("df")).cast("int")), self.folder, "frequent")
@@ -301,34 +310,47 @@ class _Join:
         return f"least({a}, {b}) >= {self.t!r} * greatest({a}, {b}) - 1e-6"
 
     def stars(self) -> DataFrame:
-        """(a, b): each class with its shingles' pivots, where they share half of the shorter prefix."""
-        pivot = self.post.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("rep", "n")).alias("p")).select("token", F.col("p.rep").alias("a"), F.col("p.n").alias("na"))
+        """(a, b): each class with its shingles' pivots, where many share the shingle or the two share half of the shorter prefix.
+
+        The pivot is the smallest set: with the fewest shingles of its own it
+        links with all that differ little from what they share.
+        """
+        pivot = self.post.groupBy("token").agg(F.count("*").alias("many"), F.min(F.struct("n", "rep")).alias("p")).select("token", F.col("p.rep").alias("a"), F.col("p.n").alias("na"), "many")
         half = F.ceil((1 - self.t) * F.least("n", "na") / 2)
-        pairs = self.post.join(pivot, "token").where("rep <> a").where(self._fits("n", "na")).groupBy("a", F.col("rep").alias("b")).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("na").alias("na"))
-        return pairs.where(F.col("c") >= half).select("a", "b")
+        pairs = self.post.join(pivot, "token").where("rep <> a").where(self._fits("n", "na")).groupBy("a", F.col("rep").alias("b")).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("na").alias("na"), F.max("many").alias("many"))
+        return pairs.where((F.col("c") >= half) | (F.col("many") >= 8)).select("a", "b")
+
+    def _mixed(self, component: DataFrame) -> DataFrame:
+        """The postings with their classes' components, of shingles that several components share."""
+        p = self.post.join(component, F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp"))
+        mixed = p.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+        return p.join(mixed, "token", "left_semi")
+
+    def more_stars(self, component: DataFrame) -> DataFrame:
+        """(a, b) of different components: with each shingle's pivot drawn by a hash, so that a large group's members meet many pivots."""
+        p = self._mixed(component)
+        drawn = F.xxhash64("token", "rep")
+        pivot = p.groupBy("token").agg(F.count("*").alias("many"), F.min_by(F.struct("rep", "n", "comp"), drawn).alias("p")).where("many >= 8").select("token", F.col("p.rep").alias("a"), F.col("p.n").alias("na"), F.col("p.comp").alias("ca"))
+        return p.join(pivot, "token").where("comp <> ca").where(self._fits("n", "na")).select("a", F.col("rep").alias("b")).distinct()
 
     def rest(self, component: DataFrame) -> DataFrame:
         """(a, b): classes of different components that share prefix shingles and could still reach the threshold.
 
-        Two sets share whole passages, so their common prefix shingles come in
-        runs that are neighbours in both.  A pair is kept only at the
-        first and the last shingle of a run; the places of these add up to
-        the number of common shingles.
+        All common shingles of two sets lie at or after their first common one,
+        so the shorter rest from there on bounds the overlap.  Sets
+        share whole passages: where the shingle before is the same in both
+        prefixes, this one isn't the first, and the pair isn't made again.  Parities
+        of 256 places drop pairs that differ too much within the join.
         """
-        p = self.post.join(component, F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp"))
-        mixed = p.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
         own = Window.partitionBy("rep").orderBy("pos", "token")  # a set's prefix
-        p = p.join(mixed, "token", "left_semi").withColumns({"k": F.row_number().over(own), "prev": F.lag("token").over(own), "next": F.lead("token").over(own)})
-        p = cut(p, self.folder, "mixed")
-        left = p.select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"), "k", F.col("prev").alias("prev_a"), F.col("next").alias("next_a"))
-        right = p.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), F.col("prev").alias("prev_b"), F.col("next").alias("next_b"))
-        starts, ends = F.expr("not coalesce(prev_a = prev_b, false)"), F.expr("not coalesce(next_a = next_b, false)")
-        on = (left["token"] == right["token"]) & F.expr("a < b and ca <> cb") & F.expr(self._fits("na", "nb")) & (starts | ends)
-        pairs = left.join(right, on).withColumn("c", F.when(ends, F.col("k") + 1).otherwise(0) - F.when(starts, F.col("k")).otherwise(0))
-        pairs = pairs.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-        need = F.ceil(self.t / (1 + self.t) * (F.col("na") + F.col("nb")) - 1e-6)
-        # a common shingle after the last common one of both prefixes can only lie where one of them has ended
-        return pairs.where(F.col("c") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1 >= need).select("a", "b")
+        p = self._mixed(component).withColumn("prev", F.lag("token").over(own))
+        p = cut(p.join(self.small, F.col("rep") == F.col("id")).drop("id"), self.folder, "mixed")
+        left, right = (p.select("token", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"), F.col("comp").alias(f"c{x}"), F.col("prev").alias(f"prev_{x}"), *(F.col(f"w{k}").alias(f"w{k}{x}") for k in range(4))) for x in "ab")
+        differ = F.expr(" + ".join(f"bit_count(w{k}a ^ w{k}b)" for k in range(4)) + f" <= na + nb - 2 * ceil({self.t / (1 + self.t)!r} * (na + nb) - 1e-6)")
+        # overlap >= t / (1 + t) * (na + nb)
+        reach = F.expr(f"least(na - pa, nb - pb) >= {self.t / (1 + self.t)!r} * (na + nb) - 1e-6")
+        on = (left["token"] == right["token"]) & F.expr("a < b and ca <> cb") & F.expr(self._fits("na", "nb")) & reach & F.expr("not coalesce(prev_a = prev_b, false)") & differ
+        return left.join(right, on).select("a", "b").distinct()
 
     def plausible(self, pairs: DataFrame) -> DataFrame:
         """Without the pairs whose bitmaps prove too great a difference (no link is lost)."""
@@ -425,8 +447,11 @@ class _Join:
         self.postings()
         star = self.compare(self.stars(), "star")
         first = components(star, self.folder, "star-components")
-        rest = self.compare(self.rest(first), "rest")
-        return components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest), self.folder, "components")
+        as_edges = lambda c: c.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        more = self.compare(self.more_stars(first), "more")
+        second = components(as_edges(first).unionByName(more), self.folder, "more-components")
+        rest = self.compare(self.rest(second), "rest")
+        return components(as_edges(second).unionByName(rest), self.folder, "components")
 
 
 def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.75, max_frequent: int = 1 << 19, bloom_bits: int = 1 << 23) -> DataFrame:
