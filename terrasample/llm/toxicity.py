@@ -59,7 +59,7 @@ def present(column: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return pair >> 31, pair & (2**31 - 1)
 
 
-def fit_ordinal(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, n_features: int, grades: int, l2: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, n_features: int, grades: int, l2: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds that minimise the cumulative logistic loss over all thresholds."""
     n, y = len(grade), (grade[:, None] >= np.arange(1, grades + 1)[None, :]).astype(float)
 
