@@ -5,9 +5,9 @@ Over all nodes with one path the text length and the punctuation are added up:
 a path's text ratio is its mean text length, its punctuation ratio its mean
 number of marks.  Both, laid out in page order, are smoothed with a Gaussian and
 fused as a product, and paths above a share of the standard deviation are
-content.  The container is the smallest element that holds the greater part of
-the content's text; every block inside it counts, short ones too, but for
-elements that are never main text (navigation, forms, notices, comments and the
+content.  The container is the smallest element that holds all of the content;
+every block inside it counts, short ones too, but for lists of links outside the
+element with the greater part of the content, and elements that are never main text (navigation, forms, notices, comments and the
 like by tag, role, class or id).
 
 Pages are independent, so extraction runs in the scan's stage: no shuffle, and
@@ -35,6 +35,8 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 HEADING = re.compile("h[1-6]$")
 CLOSED_BY: dict[str, frozenset[str]] = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot", "thead"]), "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "th": frozenset(["td", "th", "tr", "tbody", "tfoot"])}
 CLOSED_BY |= {f"h{n}": BLOCKS for n in range(1, 7)}
+#: A list, table, quotation or listing is a part of an article, not the whole.
+PARTS = frozenset("blockquote dd dl dt li ol p pre table tbody td tfoot th thead tr ul h1 h2 h3 h4 h5 h6".split())
 #: Words of class, id and role that mark an element as none of the main text.
 NOISE = frozenset(
     """ad ads advert adverts advertisement advertising adsense banner promo promotion promoted sponsor sponsored sponsors nav navbar navigation menu menubar
@@ -162,6 +164,47 @@ def fused_ratios(page: Page, sigma: float) -> np.ndarray:
     return np.bincount(path, fused)[path] / np.bincount(path)[path]
 
 
+def _container(page: Page, content: np.ndarray, length: np.ndarray | None, share: float = 1.0) -> tuple[int, ...]:
+    """The chain of the smallest element that holds all of the content, or more than a share of its text; empty: the page."""
+    if length is None:
+        chain = page.chain[content[0]]
+        for i in content[1:]:
+            chain = chain[: next((d for d, (a, b) in enumerate(zip(chain, page.chain[i], strict=False)) if a != b), min(len(chain), len(page.chain[i])))]
+        first = content[0]
+    else:
+        held: dict[int, float] = {}
+        for i in content:
+            for e in page.chain[i]:
+                held[e] = held.get(e, 0) + length[i]
+        first = max(content, key=lambda i: sum(held[e] > share * length.sum() for e in page.chain[i]))
+        chain = tuple(e for e in page.chain[first] if held[e] > share * length.sum())
+    # a paragraph, list or table isn't the container of its brothers, nor is an article's section that of its title
+    tags = page.tags[page.path[first]][: len(chain)]
+    whole = [d for d, t in enumerate(tags) if t in ("article", "main")]
+    depth = whole[-1] + 1 if whole else len(chain)
+    while not whole and depth > 1 and (tags[depth - 1] in PARTS or tags[depth - 1] not in BLOCKS):
+        depth -= 1
+    return chain[:depth]
+
+
+def _without_links(page: Page, nodes: list[int], content: np.ndarray, length: np.ndarray, inside: tuple[int, ...], core: tuple[int, ...]) -> list[int]:
+    """``nodes`` but for elements beside the core that hold no content and mostly links."""
+    if inside == core:
+        return nodes
+    beside: dict[int, int | None] = {}
+    text: dict[int | None, float] = {}
+    links: dict[int | None, float] = {}
+    for i in nodes:
+        chain = page.chain[i]
+        d = next((d for d, (a, b) in enumerate(zip(chain, core, strict=False)) if a != b), None)
+        e = beside[i] = None if d is None else chain[d]
+        text[e] = text.get(e, 0) + length[i]
+        if "a" in page.tags[page.path[i]]:
+            links[e] = links.get(e, 0) + length[i]
+    kept = {None, *(beside[i] for i in nodes if content[i]), *(e for e in text if links.get(e, 0) <= text[e] / 2)}
+    return [i for i in nodes if beside[i] in kept]
+
+
 def main_text(html: str | None, *, sigma: float = 1.0, threshold: float = 0.5, share: float = 0.5) -> str:
     """The main text of one page; empty where there is none."""
     if not html:
@@ -175,27 +218,11 @@ def main_text(html: str | None, *, sigma: float = 1.0, threshold: float = 0.5, s
     content = (ratio >= threshold * ratio.std()) & (length > 0)
     if not content.any():
         content = length > 0
-    held: dict[int, float] = {}
-    depth: dict[int, int] = {}
-    for i in np.flatnonzero(content):
-        for d, e in enumerate(page.chain[i]):
-            held[e] = held.get(e, 0) + length[i]
-            depth[e] = d
-    enough = [e for e in held if held[e] > share * length[content].sum()]
-    inside = max(enough, key=lambda e: (depth[e], -e), default=None)
-    # one long paragraph isn't the container of its brothers: rise to an element that holds several blocks
-    if inside is not None:
-        first = next(i for i in np.flatnonzero(content) if inside in page.chain[i])
-        chain, tags = page.chain[first], page.tags[page.path[first]]
-        while chain and chain[-1] != inside:
-            chain = chain[:-1]
-        while len(chain) > 1 and (tags[len(chain) - 1] in CLOSED_BY or tags[len(chain) - 1] not in BLOCKS):
-            chain = chain[:-1]
-        inside = chain[-1]
+    where = np.flatnonzero(content)
+    inside, core = _container(page, where, None), _container(page, where, length * content, share)
     blocks: dict[int, list[str]] = {}
-    for i in keep:
-        if inside is None or inside in page.chain[i]:
-            blocks.setdefault(page.block[i], []).append(page.text[i])
+    for i in _without_links(page, [i for i in keep if page.chain[i][: len(inside)] == inside], content, length, inside, core):
+        blocks.setdefault(page.block[i], []).append(page.text[i])
     lines = (_SPACE.sub(" ", "".join(parts)).strip() for parts in blocks.values())
     return "\n".join(x for x in lines if x)
 

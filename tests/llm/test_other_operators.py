@@ -24,6 +24,23 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+LONG = "Words of the longest part, with marks, and more of them. " * 12
+
+
+@pytest.mark.parametrize("part", ["<ul><li>{0}</li><li>{0}</li></ul>", "<ol><li>{0}<li>{0}</ol>", "<table><tbody><tr><td>{0}</td></tr><tr><td>{0}</td></tr></tbody></table>", "<blockquote><p>{0}</p><p>{0}</p></blockquote>", "<section><p>{0}</p><p>{0}</p></section>", "<div><p>{0}</p><p>{0}</p></div>", "<pre>{0}</pre>"])
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<div class='content'>{}</div>", "{}"])
+def test_main_text_holds_the_whole_article(part, around):
+    page = "<body><nav><ul><li><a>Home</a></ul></nav>" + around.format("<h1>The title of it</h1><p>An introduction, of some words, that stands before the part.</p>" + part.format(LONG) + "<p>And a last paragraph, after the part, of some words.</p>") + "<footer>Foot, of it.</footer></body>"
+    lines = html.main_text(page).split("\n")
+    assert lines[:2] == ["The title of it", "An introduction, of some words, that stands before the part."]
+    assert lines[-1] == "And a last paragraph, after the part, of some words." and set(lines[2:-1]) == {LONG.strip()}
+
+
+def test_main_text_holds_two_sections_but_no_list_of_links():
+    page = f"<body><ul><li><a href=x>Home</a><li><a href=y>News</a></ul><section><h2>One</h2><p>{LONG}</p><p>{LONG}</p></section><section><h2>Two</h2><p>{LONG}</p></section></body>"
+    assert html.main_text(page).split("\n") == ["One", LONG.strip(), LONG.strip(), "Two", LONG.strip()]
+
+
 def test_extract_keeps_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, 7), (1, "u", "<p>" + "a, b. " * 30000, 8), (None, None, "", 9)], "page_id long, url string, html string, n_chars int")
     assert sorted(r["n_chars"] for r in html.extract(pages).collect()) == [0, 0, 30000 * 6 - 1]
