@@ -8,7 +8,9 @@ fused as a product, and paths above a share of the standard deviation are
 content.  The container is the smallest element that holds all of the content;
 every block inside it counts, short ones too, but for lists of links outside the
 element with the greater part of the content, and elements that are never main text (navigation, forms, notices, comments and the
-like by tag, role, class or id).
+like by tag, role, class or id).  Words of a role, class or id alone don't take
+out an element around the page's article or with most of its text: such an
+element is a wrapper (``<div class="has-sidebar">``).
 
 Pages are independent, so extraction runs in the scan's stage: no shuffle, and
 memory is that of one batch.  A text inside a block is trimmed and its white
@@ -45,6 +47,8 @@ NOISE = frozenset(
     login register search comment comments reply replies respond discussion disqus reader responses pagination pager paging skip copyright legal disclaimer tags taglist
     hidden print contentinfo complementary alertdialog form""".split()
 )
+#: Of these, words of text by others, which may be longer than the main text.
+OTHERS = frozenset("comment comments related recommended recommendations reply replies respond responses discussion disqus".split())
 #: An attribute word of these keeps an element even if a noise word stands beside it.
 CONTENT = frozenset("article content main post story entry body text".split())
 
@@ -55,32 +59,36 @@ _SPACE = re.compile(r"\s+")
 _MARK = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
-def _noise(tag: str, attrs: str) -> bool:
+def _noise(tag: str, attrs: str) -> tuple[bool, set[str]]:
+    """Whether the element is none of the main text by its tag or is hidden, and its words that say so."""
+    words: set[str] = set()
     if tag in NEVER:
-        return True
-    if not attrs:
-        return False
-    for m in _ATTR.finditer(attrs):
+        return True, words
+    for m in _ATTR.finditer(attrs) if attrs else ():
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return True, words
         if name in ("class", "id", "role"):
-            words = _WORD.findall(value)
-            if any(w in NOISE for w in words) and not (tag in ("article", "main", "body") or words and words[-1] in CONTENT and words[0] not in NOISE):
-                return True
-    return False
+            found = _WORD.findall(value)
+            if not (tag in ("article", "main", "body") or found and found[-1] in CONTENT and found[0] not in NOISE):
+                words |= NOISE.intersection(found)
+    return False, words
 
 
 class Page:
-    """Text nodes of a page in order: their block, path and the element ids on the path."""
+    """Text nodes of a page in order: their block, path and the element ids on the path.
 
-    __slots__ = ("block", "chain", "noise", "path", "tags", "text")
+    ``noise`` tells what is never main text; ``words`` the elements' words that make it doubtful.
+    """
+
+    __slots__ = ("block", "chain", "noise", "path", "tags", "text", "words")
 
     def __init__(self, html: str):
         self.text, self.path, self.chain, self.block, self.noise = [], [], [], [], []
         stack: list[tuple[str, int, bool]] = []  # tag, element, whether it or an ancestor is noise
         paths: dict[tuple[str, ...], int] = {}
         self.tags: list[tuple[str, ...]] = []  # of each path
+        self.words: dict[int, set[str]] = {}
         element, block, at, size = 0, 0, 0, len(html)
         place: tuple[int, tuple[int, ...]] | None = None
 
@@ -144,10 +152,49 @@ class Page:
                 at = end.end() if end else size
                 continue
             element += 1
-            stack.append((tag, element, bool(stack) and stack[-1][2] or _noise(tag, m["attrs"])))
+            noise, words = _noise(tag, m["attrs"])
+            if words:
+                self.words[element] = words
+            stack.append((tag, element, bool(stack) and stack[-1][2] or noise))
             place = None
 
 
+def _drop_named(page: Page) -> None:
+    """Add to the noise the elements that are it by their words, but for wrappers of the main text.
+
+    A wrapper is around the article (or main) with the most text, or holds most
+    of that article's text (of the page's, without one); where the words are of
+    text by others, nearly all of it.
+    """
+    if not page.words:
+        return
+    clean = [i for i, n in enumerate(page.noise) if not n and page.text[i].strip()]
+    size = {i: len(page.text[i].strip()) for i in clean}
+    named = {i: [e for e in page.chain[i] if e in page.words] for i in clean}
+    own: dict[tuple[int, ...], int] = {}
+    for i in clean:
+        tags = page.tags[page.path[i]]
+        if whole := [d for d, t in enumerate(tags) if t in ("article", "main")]:
+            around = page.chain[i][: whole[-1] + 1]
+            own[around] = own.get(around, 0) + size[i]
+    article = max(own, key=lambda c: own[c], default=())
+    inner = [i for i in clean if page.chain[i][: len(article)] == article]
+    wrappers: set[int] = set(article) & page.words.keys()
+    others = {e for e, w in page.words.items() if w & OTHERS}
+    for some, most in ((others, 0.9), (page.words.keys() - others, 0.5)):
+        left = inner if some is others else [i for i in inner if not any(e in others and e not in wrappers for e in named[i])]
+        held: dict[int, int] = {}
+        for i in left:
+            for e in named[i]:
+                held[e] = held.get(e, 0) + size[i]
+        total = sum(size[i] for i in left)
+        wrappers |= {e for e, n in held.items() if e in some and n > most * total}
+    dropped = {i for i in clean if any(e not in wrappers for e in named[i])}
+    if len(dropped) < len(clean):  # words alone don't make a page empty
+        for i in dropped:
+            page.noise[i] = True
+
+
 def fused_ratios(page: Page, sigma: float) -> np.ndarray:
     """One smoothed and fused ratio for each text node."""
     path = np.array(page.path)
@@ -210,6 +257,7 @@ def main_text(html: str | None, *, sigma: float = 1.0, threshold: float = 0.5, s
     if not html:
         return ""
     page = Page(html)
+    _drop_named(page)
     keep = [i for i in range(len(page.text)) if not page.noise[i]]
     if not any(page.text[i].strip() for i in keep):
         return ""

@@ -41,6 +41,22 @@ def test_main_text_holds_two_sections_but_no_list_of_links():
     assert html.main_text(page).split("\n") == ["One", LONG.strip(), LONG.strip(), "Two", LONG.strip()]
 
 
+@pytest.mark.parametrize("wrap", ['class="wrap has-sidebar"', 'id="no-header"', 'class="social"', 'role="form"'])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_main_text_in_a_wrapper_with_a_noise_word(wrap, tag):
+    aside = "<div class='sidebar'><p>Beside it, of some words.</p></div><div class='comments'><article class='comment'><p>I liked it, really, and much more.</p></article></div>"
+    page = f"<body><div class='cookie'>We use cookies, ok.</div><div {wrap}><div class='page'><{tag}><h1>The title</h1><p>{LONG}</p><p>Short, one.</p></{tag}></div>{aside}</div></body>"
+    assert html.main_text(page) == f"The title\n{LONG.strip()}\nShort, one."
+
+
+def test_main_text_is_not_emptied_by_words_but_comments_stay_out():
+    assert html.main_text("<body><div class='legal'><p>One, two.</p></div></body>") == "One, two."
+    assert html.main_text("<body><div class='legal'><p>One, two.</p></div><div class='notice'><p>Six, ten.</p></div></body>") == "One, two.\nSix, ten."
+    said = f"<div id='comments'><p>{LONG}</p></div>"
+    for part in ("<article><p>{}</p></article>", "<div><p>{}</p></div>"):
+        assert html.main_text("<body>" + part.format(LONG[:-1]) + said + "</body>") == LONG.strip()
+
+
 def test_extract_keeps_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, 7), (1, "u", "<p>" + "a, b. " * 30000, 8), (None, None, "", 9)], "page_id long, url string, html string, n_chars int")
     assert sorted(r["n_chars"] for r in html.extract(pages).collect()) == [0, 0, 30000 * 6 - 1]
