@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from terrasample.functions.grid import Header
 
 
+#: A valid neighbour of less weight (a rounding error of the place) doesn't fill a gap.
+MIN_WEIGHT = 1e-5
+
+
 def mosaic(pixels: DataFrame, images: DataFrame, bands: list[str]) -> DataFrame:
     """Of every place (r, c) the most recent value that isn't null, per band; ``pixels`` has image_id."""
     dated = pixels.join(images.select("image_id", "time_start"), "image_id")
@@ -51,24 +55,37 @@ def sample_grid(points: DataFrame, n: int, step: float) -> DataFrame:
 
 
 def resample(grid: DataFrame, pixels: DataFrame, band: str, header: Header, method: str = "bilinear") -> DataFrame:
-    """_row, i, j, value: the raster at the grid's places; bilinear weights only valid neighbours.
+    """_row, i, j, value: the raster at the grid's places; bilinear weights only valid neighbours."""
+    return resample_bands(grid, pixels, [band], header, method).withColumnRenamed(band, "value")
+
 
-    The neighbours are an equi-join on their row and column.
+def resample_bands(grid: DataFrame, pixels: DataFrame, bands: list[str], header: Header, method: str = "bilinear", keys: tuple[str, ...] = ()) -> DataFrame:
+    """_row, i, j and the bands at the grid's places; each band's bilinear weights are those of its own valid neighbours.
+
+    The neighbours are an equi-join on their row and column, and on ``keys``
+    (the image of a collection), which both tables have.
     """
     row, col = header.index(F.col("gx"), F.col("gy"))
+    on = [*keys, "r", "c"]
+    values = pixels.select(*on, *(F.col(b).alias(f"v_{b}") for b in bands))
     if method == "nearest":
         near = grid.withColumns({"r": F.floor(row).cast("int"), "c": F.floor(col).cast("int")})
-        return near.join(pixels.select("r", "c", F.col(band).alias("value")), ["r", "c"], "left").select("_row", "i", "j", "value")
+        return near.join(values, on, "left").select("_row", "i", "j", *(F.col(f"v_{b}").alias(b) for b in bands))
     if method != "bilinear":
         raise ValueError(f"Unknown resampling {method!r}: use bilinear or nearest")
     fr, fc = row - 0.5, col - 0.5
     r0, c0 = F.floor(fr), F.floor(fc)
     wr, wc = fr - r0, fc - c0
     corner = lambda dr, dc: F.struct((r0 + dr).cast("int").alias("r"), (c0 + dc).cast("int").alias("c"), ((wr if dr else 1 - wr) * (wc if dc else 1 - wc)).alias("w"))
-    four = grid.select("_row", "i", "j", F.inline(F.array(*(corner(dr, dc) for dr in (0, 1) for dc in (0, 1)))))
-    joined = four.join(pixels.select("r", "c", F.col(band).alias("v")), ["r", "c"], "left")
-    total = F.sum(F.when(F.col("v").isNotNull(), F.col("w")))
-    return joined.groupBy("_row", "i", "j").agg(F.when(total > 0, F.sum(F.col("w") * F.col("v")) / total).alias("value"))
+    four = grid.select("_row", *keys, "i", "j", F.inline(F.array(*(corner(dr, dc) for dr in (0, 1) for dc in (0, 1)))))
+    joined = four.join(values, on, "left")
+
+    def weighed(b: str):
+        v = F.col(f"v_{b}")
+        total = F.sum(F.when(v.isNotNull(), F.col("w")))
+        return F.when(total > MIN_WEIGHT, F.sum(F.col("w") * v) / total).alias(b)
+
+    return joined.groupBy("_row", "i", "j").agg(*(weighed(b) for b in bands))
 
 
 def tiles(samples: DataFrame, n: int) -> DataFrame:

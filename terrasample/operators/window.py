@@ -55,10 +55,10 @@ def index_ranges(points: DataFrame, raster: Raster) -> DataFrame:
     return out.withColumn("in_extent", F.coalesce(F.col("total") > 0, F.lit(False)))
 
 
-def window_pixels(points: DataFrame, raster: Raster, window_m: float, bands: list[str], extra: tuple[str, ...] = ()) -> DataFrame:
+def window_pixels(points: DataFrame, raster: Raster, window_m: float, bands: list[str], extra: tuple[str, ...] = (), together: bool = True) -> DataFrame:
     """One row for each pixel of each window: _row, extra columns, r, c and the bands (null where not valid).
 
-    With several bands a pixel is valid only if it is in every band.
+    With several bands a pixel is valid only if it is in every band, unless not ``together``.
     """
     size, header = raster.size, raster.header
     at = index_ranges(corners(points, raster, window_m), raster)
@@ -77,7 +77,7 @@ def window_pixels(points: DataFrame, raster: Raster, window_m: float, bands: lis
     if header.crs is not None:
         px = px.where(_inside(F.col("r") + 0.5, F.col("c") + 0.5))
     valid = {b: reducers.masked(F.col(b), n) for b, n in zip(header.bands, header.nodata, strict=True) if b in bands}
-    if len(bands) > 1:
+    if len(bands) > 1 and together:
         every = reduce(lambda a, b: a & b, (v.isNotNull() for v in valid.values()))
         valid = {b: F.when(every, v) for b, v in valid.items()}
     return px.select(ROW, *extra, "r", "c", *(valid[b].alias(b) for b in bands))

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import replace
 from pathlib import Path
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrasample.functions import crs, reducers
-from terrasample.functions.grid import effective_window
+from terrasample.functions.grid import effective_window, touched_between
 from terrasample.operators import asof, qc, terrain, window
 from terrasample.plans import catalog as catalogs
 from terrasample.plans import config as configs
@@ -19,6 +21,8 @@ from terrasample.sources import geotiff, points as point_source, sinks
 from terrasample.sources.raster import Raster, open_raster, pixels_of_tiles
 
 MAX_TILE_BYTES = 32 * 2**20
+#: Of latitude, for the size of a tile of a raster in degrees.
+METRES_PER_DEGREE = 111_320
 
 
 def check_tile_size(window_m: float, scale: float, bands: int, bytes_per_pixel: int = 4) -> None:
@@ -139,7 +143,7 @@ def extract(
             if run.output_type == "raster":
                 for w in run.windows:
                     key = f"{run.batch_id}:{chosen.name}" + (f":{w}m" if len(run.windows) > 1 else "")
-                    results[key] = _tiles(base, raster.select(bands), w, run.resample_m, chosen.name, f"{output_dir}/{run.batch_id}/{chosen.name}", len(run.windows) > 1)
+                    results[key] = _tiles(base, raster.select(bands), w, run.resample_m, chosen.name, f"{output_dir}/{run.batch_id}/{chosen.name}", len(run.windows) > 1, own.get("collection_date_policy", "nearest"))
                 info[chosen.name] = {"path": spec.get("path"), "crs": raster.header.crs, "resolution": abs(raster.header.a), "bands": bands}
                 continue
             wanted = run.statistics_for(chosen.name, kind)
@@ -196,30 +200,75 @@ def _assembled(wide: DataFrame, given: DataFrame, names: dict[str, str], stats:
 
 def _with_derived(raster: Raster, name: str, band: str) -> Raster:
     """``raster`` with slope or aspect of a band as another band."""
-    from dataclasses import replace
-
     from terrasample.sources.raster import tiles_of_pixels
 
     made = {"slope": terrain.slope, "aspect": terrain.aspect}[name](pixels_of_tiles(raster.select([band])), band, raster.header)
     header = replace(raster.header, bands=(name,), nodata=(None,))
     extra = tiles_of_pixels(made, header, raster.size)
-    return replace(raster, header=replace(raster.header, bands=(*raster.header.bands, name), nodata=(*raster.header.nodata, None)), tiles=raster.tiles.join(extra, raster.keys, "left"))
-
-
-def _tiles(points: DataFrame, raster: Raster, window_m: int, step: float | None, name: str, folder: str, suffixed: bool) -> str:
-    """Write a resampled GeoTIFF of each point's window as rows (name, content) of a table; its path."""
-    pixel = step or abs(raster.header.a)
-    check_tile_size(window_m, pixel, len(raster.header.bands))
-    n = max(1, round(window_m / pixel))
-    code = raster.header.crs
-    x, y = crs.from_wgs84(F.col("lat"), F.col("lon"), code) if code else (F.col("lon"), F.col("lat"))
-    placed = points.withColumns({"x": x, "y": y})
-    band = raster.header.bands[0]
-    grid = terrain.sample_grid(placed, n, pixel)
-    values = terrain.tiles(terrain.resample(grid, pixels_of_tiles(raster), band, raster.header), n)
-    half = n // 2
+    # tiles have one type for all bands: one that holds fractions
+    kind = str(np.result_type(np.dtype(raster.header.dtype), np.float32))
+    return replace(raster, header=replace(raster.header, bands=(*raster.header.bands, name), nodata=(*raster.header.nodata, None), dtype=kind), meta={**raster.meta, "nodata": None}, tiles=raster.tiles.join(extra, raster.keys, "left"))
+
+
+def tile_values(points: DataFrame, raster: Raster, window_m: float, step: float | None = None) -> DataFrame:
+    """One row for each point in the raster's extent: _row, epsg, left, top, a, e, turned, height, width, o, values.
+
+    ``points`` have _row and lat, lon (x, y for a raster without a system), and
+    image_id for a collection.  Without ``step`` the window's block of pixels,
+    those outside the window left out; with it a grid of that many metres in the
+    point's UTM zone (in the raster's plane, without a system).  ``values`` has an
+    array for each band, of the numbers at the row-major places ``o``.
+    """
+    h, bands, code = raster.header, list(raster.header.bands), raster.header.crs
+    keys = tuple(k for k in raster.keys if k == "image_id")
+    at = window.index_ranges(window.corners(points, raster, window_m), raster).where("in_extent")
+    if step is None:
+        # a window without a pixel centre has the pixels that it touches as its block, all of them nodata
+        touched = {}
+        for p, k, n in (("pr", "r", h.height), ("pc", "c", h.width)):
+            lo, hi = touched_between(F.array_min(p), F.array_max(p))
+            touched |= {f"{k}0": F.greatest(lo, F.lit(0)), f"{k}1": F.least(hi, F.lit(n - 1))}
+        empty = (F.col("r0") > F.col("r1")) | (F.col("c0") > F.col("c1"))
+        block = at.select(window.ROW, *(F.when(empty, v).otherwise(F.col(k)).alias(k) for k, v in touched.items()))
+        r0, c0, width = F.col("r0"), F.col("c0"), F.col("c1") - F.col("c0") + 1
+        frame = block.select(
+            window.ROW, F.lit(code).cast("int").alias("epsg"), (h.a * c0 + h.b * r0 + h.c).alias("left"), (h.d * c0 + h.e * r0 + h.f).alias("top"), F.lit(h.a).alias("a"), F.lit(h.e).alias("e"),
+            F.lit(h.rotated).alias("turned"), (F.col("r1") - r0 + 1).cast("int").alias("height"), width.cast("int").alias("width"), "r0", "c0",
+        )
+        px = window.window_pixels(points, raster, window_m, bands, together=False).join(frame.select(window.ROW, "r0", "c0", "width"), window.ROW)
+        cells = px.select(window.ROW, ((F.col("r") - r0) * F.col("width") + F.col("c") - c0).cast("int").alias("o"), *bands)
+    else:
+        n = max(1, round(window_m / step))
+        zone = crs.utm_epsg(F.col("lat"), F.col("lon")) if code else F.lit(None).cast("int")
+        x, y = crs.utm_forward(F.col("lat"), F.col("lon")) if code else (F.col("x"), F.col("y"))
+        placed = at.select(window.ROW, *keys, zone.alias("epsg"), x.alias("x"), y.alias("y"))
+        corner = lambda c, sign: F.rint(F.col(c) / step) * step + sign * (n // 2) * step
+        frame = placed.select(window.ROW, "epsg", corner("x", -1).alias("left"), corner("y", 1).alias("top"), F.lit(float(step)).alias("a"), F.lit(-float(step)).alias("e"), F.lit(False).alias("turned"), F.lit(n).alias("height"), F.lit(n).alias("width"))
+        grid = terrain.sample_grid(placed, n, step).join(placed.select(window.ROW, *keys, "epsg"), window.ROW)
+        if code:
+            moved = crs.let(F.struct("gx", "gy", "epsg"), lambda g: crs.moved(g["gx"], g["gy"], g["epsg"], code))
+            grid = grid.withColumn("g", moved).withColumns({"gx": F.col("g.x"), "gy": F.col("g.y")}).drop("g")
+        cells = terrain.resample_bands(grid, pixels_of_tiles(raster), bands, h, keys=keys).select(window.ROW, (F.col("i") * n + F.col("j")).cast("int").alias("o"), *bands)
+    # a tile's cells bound its group
+    packed = cells.groupBy(window.ROW).agg(F.array_sort(F.collect_list(F.struct("o", *(F.col(b).cast("double").alias(f"v{k}") for k, b in enumerate(bands))))).alias("ps"))
+    values = F.array(*(F.col(f"ps.v{k}") for k in range(len(bands))))
+    return frame.drop("r0", "c0").join(packed.select(window.ROW, F.col("ps.o").alias("o"), values.alias("values")), window.ROW, "left")
+
+
+def _tiles(points: DataFrame, raster: Raster, window_m: int, step: float | None, name: str, folder: str, suffixed: bool, policy: str = "nearest") -> str:
+    """Write a GeoTIFF of each point's window, with all bands, as rows (name, content) of a table; its path.
+
+    Of a collection each point's image is taken; points outside the raster get no tile.
+    """
+    h = raster.header
+    check_tile_size(window_m, step or abs(h.a) * (METRES_PER_DEGREE if h.crs == 4326 else 1), len(h.bands))
+    if h.crs is None:
+        points = points.withColumns({"x": F.col("lon"), "y": F.col("lat")})
+    if raster.images is not None:
+        points = asof.match_images(points if "date" in points.columns else points.withColumn("date", F.lit(None).cast("date")), raster.images, policy)
     label = F.concat(F.col("id").cast("string"), F.lit(f"-{name}" + (f"-{window_m}m" if suffixed else "") + ".tif"))
-    rows = placed.join(values, window.ROW).select(label.alias("name"), (F.rint(F.col("x") / pixel) * pixel - half * pixel).alias("left"), (F.rint(F.col("y") / pixel) * pixel + half * pixel).alias("top"), "values")
+    rows = points.select(window.ROW, label.alias("name")).join(tile_values(points, raster, window_m, step), window.ROW).drop(window.ROW)
     path = f"{folder}/tiles" + (f"-{window_m}m" if suffixed else "")
-    geotiff.write_tiles(rows, path, n, raster.header, pixel).write.mode("overwrite").parquet(path)
+    given = h.nodata[0] if h.nodata[0] is not None else (raster.meta.get("nodata") or (None,))[0]
+    geotiff.write_tiles(rows, replace(h, nodata=(given,) * len(h.bands))).write.mode("overwrite").parquet(path)
     return path

@@ -378,6 +378,18 @@ def tile_resample_bilinear(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("_row").alias("id"), "i", "j", F.round("value", 6).alias("value"))
 
 
+@query(_win(80).split("w as (")[0].rstrip().rstrip(",") + """
+select idc.id, (idc.r - rng.r0)::int as i, (idc.c - rng.c0)::int as j, b1, b2, b3 from idc join rng on rng.id = idc.id join px on px.r = idc.r and px.c = idc.c""")
+def tile_multiband(spark: SparkSession, d: str) -> DataFrame:
+    """The cells of native tiles with three bands, each with its own missing values."""
+    from terrasample.plans.extract import tile_values
+
+    raster = part_raster(spark, d, ("b1", "b2", "b3"))
+    z = F.arrays_zip("o", *(F.col("values")[k].alias(f"b{k + 1}") for k in range(3)))
+    cells = tile_values(customer_points(spark, d, raster), raster, 80).select(F.col("_row").alias("id"), "width", F.explode(z).alias("z"))
+    return cells.select("id", F.floor(F.col("z.o") / F.col("width")).cast("int").alias("i"), (F.col("z.o") % F.col("width")).cast("int").alias("j"), "z.b1", "z.b2", "z.b3").where("b2 is not null")
+
+
 @query("select l_orderkey, l_linenumber, floor(l_extendedprice / 30 + 0.5) * 30 as half_up, round_even(l_extendedprice / 30, 0) * 30 as half_even from lineitem")
 def snap_to_grid(spark: SparkSession, d: str) -> DataFrame:
     x = F.col("l_extendedprice")

@@ -165,7 +165,7 @@ def encode(values: np.ndarray, header: Header) -> bytes:
         model = 2 if header.crs == 4326 else 1
         tags.append((GEO_KEYS, 3, (1, 1, 0, 3, 1024, 0, 1, model, 1025, 0, 1, 1, 2048 if model == 2 else 3072, 0, 1, header.crs)))
     if header.nodata[0] is not None:
-        tags.append((NODATA, 2, (f"{header.nodata[0]:g}".encode() + b"\0",)))
+        tags.append((NODATA, 2, (f"{header.nodata[0]:.17g}".encode() + b"\0",)))
     tags.sort()
     at = 8 + 2 + 12 * len(tags) + 4
     body, entries = b"", []
@@ -224,19 +224,37 @@ def read(spark: SparkSession, path: str, *, size: int = 256, image_id: str | Non
     return Raster(replace(header, nodata=(None,) * len(header.bands)), tiles, size, meta={"path": path, "nodata": header.nodata, "dtype": header.dtype})
 
 
-def write_tiles(rows: DataFrame, folder: str, n: int, header: Header, pixel: float) -> DataFrame:
-    """One file per row of (name, left, top, values) as a table name, content; values are n x n, null is nodata."""
-    fill = header.nodata[0] if header.nodata[0] is not None else float("nan")
+def write_tiles(rows: DataFrame, header: Header) -> DataFrame:
+    """One file per row of (name, epsg, left, top, a, e, height, width, o, values) as a table name, content.
+
+    ``values`` has an array for each band: the numbers at the places ``o`` (row-major).
+    What is null or at no place is nodata: the header's, or the type's own if it has none that fits.
+    """
+    kind, n = np.dtype(header.dtype), len(header.bands)
+    whole = np.iinfo(kind) if kind.kind in "iu" else None
+    fill = header.nodata[0]
+    if fill is None or whole and not (float(fill).is_integer() and whole.min <= fill <= whole.max):
+        fill = synthetic_nodata(header.dtype)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for left, top, values in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x = np.array([fill if v is None else v for v in values], np.float64).reshape(1, n, n).astype(np.dtype(header.dtype))
-                out.append(encode(x, replace(header, width=n, height=n, a=pixel, e=-pixel, c=left, f=top, b=0.0, d=0.0, bands=("b1",), nodata=(header.nodata[0],))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["name", "content"])
-
-    return rows.select("name", F.col("left").cast("double"), F.col("top").cast("double"), "values").mapInArrow(run, "name string, content binary")
+            for r in batch.to_pylist():
+                h, w = r["height"], r["width"]
+                x = np.full((n, h * w), np.nan)
+                for k, v in enumerate(r["values"] or []):
+                    x[k][np.array(r["o"], np.int64)] = np.array(v, np.float64)
+                none = np.isnan(x)
+                if whole:
+                    y = np.clip(np.floor(np.where(none, 0, x) + 0.5), whole.min, whole.max).astype(kind)
+                    y[none] = min(int(fill), whole.max)
+                else:
+                    y = np.where(none, fill, x).astype(kind)
+                own = replace(header, width=w, height=h, a=r["a"], e=r["e"], c=r["left"], f=r["top"], crs=r["epsg"], nodata=(fill,) * n, **({} if r["turned"] else {"b": 0.0, "d": 0.0}))
+                out.append(encode(y.reshape(n, h, w), own))
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(out, pa.binary())], names=["name", "content"])
+
+    return rows.mapInArrow(run, "name string, content binary")
 
 
 def synthetic_nodata(dtype: str) -> float:

@@ -215,6 +215,48 @@ def test_extract_tiles(spark, dem, tmp_path):
         check_tile_size(100_000, 10, 1)
 
 
+def tiles_of(spark, df, raster, tmp_path, **settings):
+    out = terrasample.extract(df, {"batch_id": "t", "datasets": ["ts"], "settings": {"output_type": "raster", **settings}}, rasters={"ts": raster}, quiet=True, write_metadata=False, output_dir=str(tmp_path))
+    return {r["name"]: (geotiff.header_of(bytes(r["content"])), geotiff.decode(bytes(r["content"]))) for r in spark.read.parquet(out["t:ts"]).collect()}
+
+
+@pytest.mark.parametrize("step", [None, 10])
+def test_tiles_have_all_bands_and_nodata(spark, tmp_path, step):
+    v = np.arange(3 * 40 * 40).reshape(3, 40, 40) % 200
+    v[0, 18:23, 18:23] = 250
+    (tmp_path / "b.tif").write_bytes(geotiff.encode(v.astype("uint8"), Header(40, 40, 10.0, -10.0, 360020.0, 6988980.0, crs=32634, bands=("b1", "b2", "b3"), nodata=(250.0,) * 3, dtype="uint8")))
+    r = geotiff.read(spark, str(tmp_path / "b.tif"))
+    lat, lon = one(spark, *crs.utm_inverse(F.lit(360220.0), F.lit(6988780.0), F.lit(32634)))
+    df = spark.createDataFrame([("p", lat, lon), ("far", 0.0, 0.0)], "occurrenceID string, decimalLatitude double, decimalLongitude double")
+    (h, x), = tiles_of(spark, df, r, tmp_path, window_size_m=80, **({"resample_m": step} if step else {})).values()
+    assert x.shape == (3, 8, 8) and x.dtype == np.uint8 and h.nodata == (250.0,) * 3 and h.crs == 32634 and abs(h.c - 360180) < 1e-6 and abs(h.f - 6988820) < 1e-6
+    assert (x == v[:, 16:24, 16:24]).all()
+
+
+def test_tiles_without_nodata_take_the_type_s_own(spark, tmp_path):
+    px = spark.range(400).select((F.col("id") / 20).cast("int").alias("r"), (F.col("id") % 20).cast("int").alias("c"), F.when(F.col("id") != 0, F.col("id").cast("double")).alias("b1"), F.lit(7.0).alias("b2"))
+    h = Header(20, 20, 10.0, 10.0, bands=("b1", "b2"), nodata=(None, None), dtype="int32")
+    df = spark.createDataFrame([("p", 15.0, 15.0)], "occurrenceID string, decimalLatitude double, decimalLongitude double")
+    (got, x), = tiles_of(spark, df, Raster(h, tiles_of_pixels(px, h, 16), 16), tmp_path, window_size_m=40).values()
+    top = np.iinfo("int32").max
+    assert x.shape == (2, 3, 3) and got.nodata == (float(top),) * 2 and x[0, 0, 0] == top and (x[1] == 7).all() and x[0, 1, 1] == 21
+
+
+def test_tiles_of_a_raster_in_degrees_are_in_metres_and_of_the_point_s_image(spark, images, tmp_path):
+    px = spark.range(3 * 10000).select(F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("id") / 10000).cast("int") + 1).alias("image_id"), ((F.col("id") % 10000) / 100).cast("int").alias("r"), (F.col("id") % 100).cast("int").alias("c")).withColumns({"b1": F.ascii("image_id").cast("double"), "b2": F.col("c").cast("double")})
+    h = Header(100, 100, 0.00025, -0.00025, 18.0, 63.0, crs=4326, bands=("b1", "b2"), nodata=(None, None))
+    r = Raster(h, tiles_of_pixels(px, h, 16, ("image_id",)), 16, images)
+    df = spark.createDataFrame([("p", 62.9875, 18.0125, "2020-03-05"), ("q", 62.9875, 18.0125, "2019-01-01")], "occurrenceID string, decimalLatitude double, decimalLongitude double, eventDate string")
+    got = tiles_of(spark, df, r, tmp_path, window_size_m=100, resample_m=10)
+    for name, image in (("p", "b"), ("q", "a")):
+        t, x = got[f"{name}-ts.tif"]
+        assert (x.shape, t.crs, t.a, t.e) == ((2, 10, 10), 32634, 10.0, -10.0) and t.c % 10 == 0 and np.allclose(x[0], ord(image))
+        assert 40 < x[1].min() < 50 < x[1].max() < 60
+    t, x = tiles_of(spark, df, r, tmp_path, window_size_m=100)["p-ts.tif"]
+    assert t.crs == 4326 and t.a == 0.00025 and x.shape[0] == 2 and 3 <= x.shape[1] <= 5 and 7 <= x.shape[2] <= 10
+    assert set(x[0][~np.isnan(x[0])]) == {float(ord("b"))} and np.nanmin(x[1]) == round((t.c - 18.0) / 0.00025)
+
+
 def test_extract_collection(spark, images):
     px = spark.range(3 * 400).select(F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("id") / 400).cast("int") + 1).alias("image_id"), ((F.col("id") % 400) / 20).cast("int").alias("r"), (F.col("id") % 20).cast("int").alias("c")).withColumn("b1", F.ascii("image_id").cast("double"))
     h = Header(20, 20, 0.01, -0.01, 18.0, 63.0, crs=4326)
