@@ -1,6 +1,7 @@
 """Embedding near-duplicates: spherical k-means cells, blocked cosines, one kept vector per group.
 
-Equal vectors are one class first, with its size.  Spherical k-means, fitted on a
+Only vectors of one length can link, so each length (there are few) has its own
+cells.  Equal vectors are one class first, with its size.  Spherical k-means, fitted on a
 bounded sample (``sample_rows``), gives the cells; every class goes to its nearest
 centroid's cell (its home) and as a guest to each other cell where a link could
 cross the border: for unit vectors x (home a) and y (home b) with
@@ -90,9 +91,9 @@ def spanning_edges(link: np.ndarray, home_id: np.ndarray, other_id: np.ndarray,
 def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, cell_rows: int = 4096, block: int = 4096, max_cells: int = 4096, sample_rows: int = 20_000) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of ``vectors``.
 
-    Vectors that are null, empty, zero, hold null or non-finite components, or have
-    another length than most have, link with nothing, and so does a row with a null id (its
-    component and kept are null and true).  Equal vectors link.  Extra columns
+    Vectors that are null, empty, zero, or hold null or non-finite components link
+    with nothing, and so does a row with a null id (its component and kept are null
+    and true).  Vectors link only with those of their own length.  Equal vectors link.  Extra columns
     aren't read; an empty table gives an empty table.
     """
     spark = vectors.sparkSession
@@ -101,36 +102,43 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str
     v = F.col("v")
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     finite = v.isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf))) & F.exists("v", lambda x: x != 0)
-    sizes = rows.where(finite).groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()  # vectors have few lengths
-    dim, n = (sizes["d"], sizes["count"]) if sizes else (0, 0)
-    good = F.coalesce(F.col("id").isNotNull() & finite & (F.size("v") == dim), F.lit(False))
+    good = F.coalesce(F.col("id").isNotNull() & finite, F.lit(False))
     marked = rows.select("id", F.when(good, v).alias("v"))
     classes = cut(marked.where("v is not null").groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("m")), folder, "classes")
-    n_classes = classes.count()
-    cells = int(min(max_cells, max(1, -(-n_classes // cell_rows))))
+    lengths = {r["d"]: r["count"] for r in classes.groupBy(F.size("v").alias("d")).count().orderBy("d").collect()}  # vectors have few lengths
+    n_classes = sum(lengths.values())
     share = min(1.0, sample_rows / max(1, n_classes))
-    sample = classes.where(F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("rep", "v").toArrow().sort_by("rep") if n_classes else None
-    unit = _unit(sample.column("v").combine_chunks(), dim) if sample is not None and sample.num_rows else np.ones((1, max(dim, 1)))
-    shared = spark.sparkContext.broadcast(spherical_kmeans(unit, min(cells, len(unit))))
+    sample = classes.where(F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("rep", "v").toArrow().sort_by("rep").column("v").combine_chunks()
+    sizes = sample.value_lengths().to_numpy(zero_copy_only=False)
+    centroids: dict[int, tuple[int, np.ndarray]] = {}  # of each length: the number of its first cell, and its cells
+    for dim, n in lengths.items():
+        cells = int(min(max(1, max_cells * n // n_classes), max(1, -(-n // cell_rows))))
+        own = sample.take(pa.array(np.flatnonzero(sizes == dim)))
+        unit = _unit(own, dim) if len(own) else np.full((1, dim), dim**-0.5)
+        centroids[dim] = sum(len(c) for _, c in centroids.values()), spherical_kmeans(unit, min(cells, len(unit)))
+    shared = spark.sparkContext.broadcast(centroids)
     radius = math.sqrt(2 - 2 * threshold)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = shared.value
-        apart = np.linalg.norm(c[:, None, :] - c[None, :, :], axis=2) if len(c) <= 1024 else None
+        apart = {d: np.linalg.norm(c[:, None, :] - c[None, :, :], axis=2) if len(c) <= 1024 else None for d, (_, c) in shared.value.items()}
         for batch in batches:
-            for i in range(0, len(batch), 2048):
-                part = batch.slice(i, 2048)
-                x = _unit(part.column("v"), dim)
-                dot = x @ c.T
-                home = dot.argmax(1)
-                gap = dot[np.arange(len(x)), home][:, None] - dot
-                far = apart[home] if apart is not None else np.sqrt(np.maximum(0, 2 - 2 * (c[home] @ c.T)))
-                row, cell = np.nonzero(gap <= radius * far + 1e-9)
-                unit32 = pa.FixedSizeListArray.from_arrays(pa.array(x[row].reshape(-1)), dim).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([part.column("rep").take(pa.array(row)), part.column("m").take(pa.array(row)), pa.array(cell.astype(np.int32)), pa.array(home[row] == cell), unit32], names=["rep", "m", "cell", "home", "x"])
+            sizes = batch.column("v").value_lengths().to_numpy(zero_copy_only=False)
+            for dim in np.unique(sizes).tolist():
+                first, c = shared.value[dim]
+                own = batch.take(pa.array(np.flatnonzero(sizes == dim)))
+                for i in range(0, len(own), 2048):
+                    part = own.slice(i, 2048)
+                    x = _unit(part.column("v"), dim)
+                    dot = x @ c.T
+                    home = dot.argmax(1)
+                    gap = dot[np.arange(len(x)), home][:, None] - dot
+                    far = apart[dim][home] if apart[dim] is not None else np.sqrt(np.maximum(0, 2 - 2 * (c[home] @ c.T)))
+                    row, cell = np.nonzero(gap <= radius * far + 1e-9)
+                    unit32 = pa.FixedSizeListArray.from_arrays(pa.array(x[row].reshape(-1)), dim).cast(pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays([part.column("rep").take(pa.array(row)), part.column("m").take(pa.array(row)), pa.array((first + cell).astype(np.int32)), pa.array(home[row] == cell), unit32], names=["rep", "m", "cell", "home", "x"])
 
     placed = cut(classes.mapInArrow(assign, "rep bigint, m bigint, cell int, home boolean, x array<double>"), folder, "placed")
-    count = placed.groupBy("cell").agg(F.ceil(F.count_if("home") / block).alias("nh"), F.ceil(F.count("*") / block).alias("no")).where("nh > 0")  # a row per cell, at most max_cells
+    count = placed.groupBy("cell").agg(F.ceil(F.count_if("home") / block).alias("nh"), F.ceil(F.count("*") / block).alias("no")).where("nh > 0")  # a row per cell, at most max_cells and one for each length
     where = placed.join(F.broadcast(count), "cell")
     h = F.xxhash64("rep", F.lit(9))
     upto = lambda k: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(k) - 1))
@@ -139,7 +147,9 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str
 
     def compare(table):
         side = table.column("side").to_numpy()
-        x, rep, m = _unit(table.column("x").combine_chunks(), dim), table.column("rep").to_numpy(), table.column("m").to_numpy()
+        x = table.column("x").combine_chunks()
+        x = _unit(x, len(x[0]))  # a cell's vectors have one length
+        rep, m = table.column("rep").to_numpy(), table.column("m").to_numpy()
         own, other, ids = x[side], x[~side], rep[~side]
         total, a, b = [], [], []
         for i in range(0, len(own), 1024):

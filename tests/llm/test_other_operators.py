@@ -86,6 +86,23 @@ def test_embeddings_equal_all_pairs(spark, cell, block):
     assert got == {k: (n[k], low[k], low[k] == k) for k in range(len(x))} | {k: (0, k, True) for k, _, _ in odd}
 
 
+@pytest.mark.parametrize(("cell", "block"), [(4096, 4096), (16, 8)])
+def test_embeddings_of_several_lengths(spark, cell, block):
+    r = np.random.default_rng(3)
+    sets = []
+    for at, (n, d) in enumerate(((60, 8), (50, 5), (3, 1))):
+        x = r.normal(size=(n, d))
+        x[n // 2 : n // 2 + n // 4] = x[: n // 4] + r.normal(size=(n // 4, d)) * 0.05
+        sets.append((1000 * at, np.concatenate((x, x[:4])).astype(np.float32)))
+    df = spark.createDataFrame([(base + k, [float(c) for c in v]) for base, x in sets for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {v["vec_id"]: (v["n_links"], v["component_id"], v["kept"]) for v in embeddings.near_duplicates(df, cell_rows=cell, block=block).collect()}
+    want = {}
+    for base, x in sets:
+        n, low = plain_links(x.astype(float), 0.95)
+        want |= {base + k: (n[k], base + low[k], low[k] == k) for k in range(len(x))}
+    assert got == want and sum(n for k, (n, *_) in got.items() if k >= 1000) > 0
+
+
 def test_embeddings_empty(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
