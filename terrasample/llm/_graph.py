@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrasample.llm._session import cut
+from terrasample.llm._session import cut, discard
 
 
 def components(edges: DataFrame, folder: str, name: str, max_rounds: int = 60) -> DataFrame:
@@ -30,6 +30,7 @@ def components(edges: DataFrame, folder: str, name: str, max_rounds: int = 60) -
         hooked = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         small = hooked.unionByName(low.select("a", F.col("m").alias("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         now = cut(small, folder, f"{name}-{k + 1}")
+        discard(edges.sparkSession, folder, f"{name}-{k}")
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == tuple(seen):
             break

@@ -1,15 +1,23 @@
-"""Shared folders and shipping of this package to executors."""
+"""Shipping of this package to executors, their memory, and the shared folder's tables."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import SparkSession
+
+from terrasample.sources import shared
 
 _shipped: set[str] = set()
+#: Rows of an Arrow batch in the eager passes over texts: some megabytes for usual texts.
+TEXT_ROWS = 1000
+
+shared_folder, cut, discard = shared.shared_folder, shared.cut, shared.discard
 
 
 def ship(spark: SparkSession) -> None:
@@ -26,24 +34,22 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(str(name))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors and the driver share.
+def give_back() -> None:
+    """Return a worker's freed memory to the system: workers are reused, and what one task held would stay with them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not this C library
+
 
-    Where that is unset (tests on one machine) a temporary folder is set as the
-    checkpoint folder first.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        sc_dir = spark.sparkContext.getCheckpointDir()
-        if not sc_dir:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="terrasample-ckpt-"))
-            sc_dir = spark.sparkContext.getCheckpointDir()
-        base = sc_dir
-    return f"{base.rstrip('/')}/terrasample-{uuid.uuid4().hex}"
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, with the worker's memory given back when its task ends."""
 
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
 
-def cut(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: ends its lineage, survives lost executors."""
-    path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return wrapped

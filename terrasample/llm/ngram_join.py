@@ -27,8 +27,10 @@ counted over all documents; a shingle that is nowhere frequent has level 0.
 Steps 3-5 lose no link between classes of different components, so the
 components equal those of the full join.  Hot keys: equal sets are reduced per
 task before anything is dealt out; pivots come from an aggregation with map-side
-combine; partners of a pivot are split into chunks; nothing is gathered on the
-driver but bounded tables (``max_frequent`` shingles, a Bloom filter).
+combine; partners of a pivot are split into chunks; the classes under one shingle
+are paired in blocks, each a task's share.  Nothing is gathered on the driver but
+bounded tables (``max_frequent`` shingles, a Bloom filter of MAX_BLOOM bits at
+most); both change the work, never the result.
 """
 
 from __future__ import annotations
@@ -43,16 +45,37 @@ from pyspark.sql import functions as F
 
 from terrasample.llm import _text
 from terrasample.llm._graph import components
-from terrasample.llm._session import cut, shared_folder, ship
+from terrasample.llm._session import TEXT_ROWS, cut, discard, lean, shared_folder, ship
 
 _LOW = np.uint64(6)
 _TOP = np.uint64(58)
+#: Bits of a shingle's hash that a posting keeps beside its shard's number; equal ones of different shingles only make candidates.
+_TOKEN_BITS = 40
+#: Postings that a task holds before it deals them out, and that it holds of a shard before it passes all of them on.
+DEALT, HELD = 400_000, 2_000_000
+#: Partners of a pivot that are compared in one group, and classes of a shingle in one block of pairs.
+CHUNK, BLOCK = 64, 512
+#: Bits of the largest Bloom filter (32 MB).
+MAX_BLOOM = 1 << 28
 
 
 def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64))
 
 
+def _planes(a: np.ndarray, keep: int | None = None) -> bytes:
+    """The bytes of an integer array by significance (the lowest ``keep`` ones), so that the shuffle's codec packs the zeros."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize)[:, :keep].T).tobytes()
+
+
+def _unplanes(data: bytes, kind: type, keep: int | None = None) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    some = np.frombuffer(data, np.uint8).reshape(keep or width, -1)
+    out = np.zeros((some.shape[1], width), np.uint8)
+    out[:, : len(some)] = some.T
+    return out.reshape(-1).view(kind)
+
+
 def ordered(sets: list[np.ndarray], frequent: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
     """The sets as sorted keys: 6 bits of frequency level, then 58 of the hash."""
     token, level = frequent
@@ -145,11 +168,11 @@ def _bloom_positions(ids: np.ndarray, bits: int) -> np.ndarray:
 class _Join:
     """The steps of one run; ``rows`` has id (long) and t.  Null ids take part in nothing but ``sets``."""
 
-    def __init__(self, rows: DataFrame, width: int, t: float, max_frequent: int, bloom_bits: int):
+    def __init__(self, rows: DataFrame, width: int, t: float, max_frequent: int, folder: str | None = None):
         self.rows, self.docs = rows, rows.where("id is not null")
-        self.width, self.t, self.max_frequent, self.bloom_bits = width, t, max_frequent, bloom_bits
+        self.width, self.t, self.max_frequent = width, t, max_frequent
         self.spark = rows.sparkSession
-        self.folder = shared_folder(self.spark)
+        self.folder = folder or shared_folder(self.spark)
         self.partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         ship(self.spark)
 
@@ -184,12 +207,12 @@ class _Join:
                     bitmaps = [parity_bitmap(s) for s in sets]
                     bits, small = pa.array(bitmaps, pa.binary()), pa.array([folded(b) for b in bitmaps], pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), _signed(s1), _signed(s2), bits, small, pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())], names=names)
-                    if sum(map(len, held)) > 1_500_000:
+                    if sum(map(len, held)) > 1_000_000:
                         yield counts()
             if held:
                 yield counts()
 
-        both = cut(self.rows.mapInArrow(run, "id bigint, n bigint, s1 bigint, s2 bigint, bits binary, w array<bigint>, token bigint, count bigint"), self.folder, "sets")
+        both = cut(self.rows.mapInArrow(lean(run), "id bigint, n bigint, s1 bigint, s2 bigint, bits binary, w array<bigint>, token bigint, count bigint"), self.folder, "sets", TEXT_ROWS)
         self.stats = both.where("n is not null").select("id", "n", "s1", "s2")
         self.bits = both.where("n > 0 and id is not null").select("id", "n", "bits")
         self.small = both.where("n > 0 and id is not null").select("id", *(F.col("w")[k].alias(f"w{k}") for k in range(4)))
@@ -210,7 +233,8 @@ class _Join:
 
     def postings(self) -> None:
         """token, rep, n, pos: the prefix shingles that two classes or more share."""
-        width, t, shards, frequent = self.width, self.t, self.partitions * 4, self.frequent
+        width, t, shards, frequent = self.width, self.t, self.partitions * 2, self.frequent
+        low = np.uint64((1 << _TOKEN_BITS) - 1)
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: dict[tuple[int, bytes], int] = {}
@@ -221,25 +245,25 @@ class _Join:
             held = 0
 
             def flush() -> pa.RecordBatch:
+                """A row for each shard: its classes (id, mark, size), and its shingles with their class and place."""
                 nonlocal held
                 size = np.array([len(p) for p in prefixes])
-                token = np.concatenate(prefixes)
-                doc = np.repeat(np.arange(len(prefixes), dtype=np.int32), size)
-                pos = (np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
-                with np.errstate(over="ignore"):
-                    shard = (_text.mix(token.copy()) % np.uint64(shards)).astype(np.int32)
+                token = _text.mix(np.concatenate(prefixes))
+                doc = np.repeat(np.arange(len(prefixes), dtype=np.uint32), size)
+                pos = (np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)).astype(np.uint32)
+                shard = ((token >> np.uint64(_TOKEN_BITS)) % np.uint64(shards)).astype(np.int32)
                 order = np.argsort(shard, kind="stable")
                 edges = np.searchsorted(shard[order], np.arange(shards + 1))
+                own_ids, own_marks, own_sizes = np.array(ids, np.int64), np.array(marks, np.int64), np.array(sizes, np.uint32)
                 rows: list[tuple] = []
-                every = np.array([ids, marks, sizes], np.int64)
                 for k in np.flatnonzero(np.diff(edges)).tolist():
                     own = order[edges[k] : edges[k + 1]]
-                    some, at = np.unique(doc[own], return_inverse=True)
-                    rows.append((k, every[:, some].tobytes(), token[own].tobytes(), at.astype(np.int32).tobytes(), pos[own].tobytes()))
+                    some, at = np.unique(doc[own], return_inverse=True)  # in order, so differences are small
+                    rows.append((k, _planes(np.diff(own_ids[some], prepend=0)), _planes(own_marks[some]), _planes(own_sizes[some]), _planes(token[own] & low, 5), _planes(np.diff(at.astype(np.uint32), prepend=np.uint32(0))), _planes(pos[own])))
                 ids.clear(), marks.clear(), sizes.clear(), prefixes.clear()
                 held = 0
-                shard_of, docs_in, tokens, rows_at, places = zip(*rows, strict=True) if rows else ((),) * 5
-                return pa.RecordBatch.from_arrays([pa.array(shard_of, pa.int32()), *(pa.array(x, pa.binary()) for x in (docs_in, tokens, rows_at, places))], names=["shard", "docs", "tokens", "doc", "pos"])
+                shard_of, *parts = zip(*rows, strict=True) if rows else ((),) * 7
+                return pa.RecordBatch.from_arrays([pa.array(shard_of, pa.int32()), *(pa.array(x, pa.binary()) for x in parts)], names=["shard", *packed])
 
             for batch in batches:
                 for i, j in _text.slices(batch.column(1)):
@@ -257,54 +281,65 @@ class _Join:
                         ids.append(d), marks.append(mark), sizes.append(len(s))
                         prefixes.append(k[: prefix_size(len(s), t)])
                         held += len(prefixes[-1])
-                    if held > 1_000_000:
+                    if held > DEALT:
                         yield flush()
             if prefixes:
                 yield flush()
 
-        def shared(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            """The postings of one shard's shingles that more than one set has."""
-            token, rep, n, pos, mark = [], [], [], [], []
-            for docs_in, tokens, doc, places in rows:
-                d = np.frombuffer(docs_in, np.int64).reshape(3, -1)
-                at = np.frombuffer(doc, np.int32)
-                token.append(np.frombuffer(tokens, np.uint64))
-                pos.append(np.frombuffer(places, np.int32))
-                rep.append(d[0][at]), mark.append(d[1][at]), n.append(d[2][at])
-            token, rep, n, pos, mark = (np.concatenate(x) for x in (token, rep, n, pos, mark))
+        def shared(number: int, rows: list[tuple], whole: bool) -> Iterator[pa.RecordBatch]:
+            """The postings of some of a shard's rows; of all of them (``whole``) only shingles that more than one set has."""
+            parts = []
+            for docs_in, marks_in, sizes_in, tokens, doc, places in rows:
+                at = np.cumsum(_unplanes(doc, np.uint32), dtype=np.int64)
+                rep, mark, n = np.cumsum(_unplanes(docs_in, np.int64)), _unplanes(marks_in, np.int64), _unplanes(sizes_in, np.uint32)
+                parts.append((_unplanes(tokens, np.uint64, 5), rep[at], n[at], _unplanes(places, np.uint32), mark[at]))
+            token, rep, n, pos, mark = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts.clear()
+
+            def groups() -> np.ndarray:
+                edge = np.flatnonzero(np.append(True, token[1:] != token[:-1]))[: len(token)]
+                size = np.diff(np.append(edge, len(token)))
+                return np.repeat(size > 1, size)
+
             order = np.argsort(token, kind="stable")
             token = token[order]
-            edge = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-            many = np.repeat(np.diff(np.append(edge, len(token))) > 1, np.diff(np.append(edge, len(token))))
-            token, order = token[many], order[many]
+            if whole:
+                many = groups()
+                token, order = token[many], order[many]
             rep, n, pos, mark = rep[order], n[order], pos[order], mark[order]
             # equal sets from different tasks: the smallest id stands for them
             order = np.lexsort((rep, n, mark, token))
             token, rep, n, pos, mark = token[order], rep[order], n[order], pos[order], mark[order]
-            first = np.append(True, (token[1:] != token[:-1]) | (mark[1:] != mark[:-1]) | (n[1:] != n[:-1])) if len(token) else np.zeros(0, bool)
-            token, rep, n, pos = token[first], rep[first], n[first], pos[first]
-            edge = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, int)
-            size = np.diff(np.append(edge, len(token)))
-            many = np.repeat(size > 1, size)
-            for i in range(0, int(many.sum()), 100_000):
-                own = np.flatnonzero(many)[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([_signed(token[own]), pa.array(rep[own]), pa.array(n[own].astype(np.int32)), pa.array(pos[own].astype(np.int32))], names=["token", "rep", "n", "pos"])
+            keep = np.append(True, (token[1:] != token[:-1]) | (mark[1:] != mark[:-1]) | (n[1:] != n[:-1]))[: len(token)]
+            token, rep, n, pos = token[keep], rep[keep], n[keep], pos[keep]
+            keep = np.flatnonzero(groups()) if whole else np.arange(len(token))
+            for i in range(0, len(keep), 50_000):
+                own = keep[i : i + 50_000]
+                yield pa.RecordBatch.from_arrays([_signed(token[own] | np.uint64(number) << np.uint64(_TOKEN_BITS)), pa.array(rep[own]), pa.array(n[own].astype(np.int32)), pa.array(pos[own].astype(np.int32))], names=["token", "rep", "n", "pos"])
 
         def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shard, rows = None, []
+            """Shard after shard; one with too many postings to hold is passed on in parts, with the shingles of one set."""
+            shard, rows, held, whole = None, [], 0, True
             for b in batches:
                 for k in range(len(b)):
-                    if b.column(0)[k].as_py() != shard:
+                    number = b.column(0)[k].as_py()
+                    if number != shard:
                         if rows:
-                            yield from shared(rows)
-                        shard, rows = b.column(0)[k].as_py(), []
-                    rows.append(tuple(b.column(c)[k].as_py() for c in range(1, 5)))
+                            yield from shared(shard, rows, whole)
+                        shard, rows, held, whole = number, [], 0, True
+                    rows.append(tuple(b.column(c)[k].as_py() for c in range(1, 7)))
+                    held += len(rows[-1][-1]) // 4
+                    if held > HELD:
+                        whole = False
+                        yield from shared(shard, rows, whole)
+                        rows, held = [], 0
             if rows:
-                yield from shared(rows)
+                yield from shared(shard, rows, whole)
 
-        dealt = self.docs.mapInArrow(deal, "shard int, docs binary, tokens binary, doc binary, pos binary")
+        packed = ["docs", "marks", "sizes", "tokens", "doc", "pos"]
+        dealt = self.docs.mapInArrow(lean(deal), "shard int, " + ", ".join(f"{c} binary" for c in packed))
         dealt = dealt.repartitionById(self.partitions, F.pmod("shard", F.lit(self.partitions))).sortWithinPartitions("shard")
-        self.post = cut(dealt.mapInArrow(gather, "token bigint, rep bigint, n int, pos int"), self.folder, "postings")
+        self.post = cut(dealt.mapInArrow(lean(gather), "token bigint, rep bigint, n int, pos int"), self.folder, "postings", TEXT_ROWS)
 
     def _fits(self, a: str, b: str) -> str:
         return f"least({a}, {b}) >= {self.t!r} * greatest({a}, {b}) - 1e-6"
@@ -321,10 +356,10 @@ class _Join:
         return pairs.where((F.col("c") >= half) | (F.col("many") >= 8)).select("a", "b")
 
     def _mixed(self, component: DataFrame) -> DataFrame:
-        """The postings with their classes' components, of shingles that several components share."""
+        """The postings with their classes' components, of shingles that several components share, and in how many blocks these are paired."""
         p = self.post.join(component, F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp"))
-        mixed = p.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-        return p.join(mixed, "token", "left_semi")
+        mixed = p.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("lo <> hi").select("token", "blocks")
+        return p.join(mixed, "token")
 
     def more_stars(self, component: DataFrame) -> DataFrame:
         """(a, b) of different components: with each shingle's pivot drawn by a hash, so that a large group's members meet many pivots."""
@@ -345,11 +380,13 @@ class _Join:
         own = Window.partitionBy("rep").orderBy("pos", "token")  # a set's prefix
         p = self._mixed(component).withColumn("prev", F.lag("token").over(own))
         p = cut(p.join(self.small, F.col("rep") == F.col("id")).drop("id"), self.folder, "mixed")
-        left, right = (p.select("token", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"), F.col("comp").alias(f"c{x}"), F.col("prev").alias(f"prev_{x}"), *(F.col(f"w{k}").alias(f"w{k}{x}") for k in range(4))) for x in "ab")
+        # of a frequent shingle each block of classes meets all, block by block
+        mine, all_of = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        left, right = (p.select("token", block.alias("block"), F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"), F.col("comp").alias(f"c{x}"), F.col("prev").alias(f"prev_{x}"), *(F.col(f"w{k}").alias(f"w{k}{x}") for k in range(4))) for x, block in (("a", mine), ("b", all_of)))
         differ = F.expr(" + ".join(f"bit_count(w{k}a ^ w{k}b)" for k in range(4)) + f" <= na + nb - 2 * ceil({self.t / (1 + self.t)!r} * (na + nb) - 1e-6)")
         # overlap >= t / (1 + t) * (na + nb)
         reach = F.expr(f"least(na - pa, nb - pb) >= {self.t / (1 + self.t)!r} * (na + nb) - 1e-6")
-        on = (left["token"] == right["token"]) & F.expr("a < b and ca <> cb") & F.expr(self._fits("na", "nb")) & reach & F.expr("not coalesce(prev_a = prev_b, false)") & differ
+        on = (left["token"] == right["token"]) & (left["block"] == right["block"]) & F.expr("a < b and ca <> cb") & F.expr(self._fits("na", "nb")) & reach & F.expr("not coalesce(prev_a = prev_b, false)") & differ
         return left.join(right, on).select("a", "b").distinct()
 
     def plausible(self, pairs: DataFrame) -> DataFrame:
@@ -365,11 +402,11 @@ class _Join:
 
         first = self.bits.select(F.col("id").alias("a"), "n", F.col("bits").alias("x"))
         second = self.bits.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
-        return pairs.join(first, "a").join(second, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a bigint, b bigint")
+        return pairs.join(first, "a").join(second, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(lean(run), "a bigint, b bigint")
 
     def bloom(self, ids: DataFrame) -> np.ndarray:
-        """A Bloom filter of a table of ids, put together from each partition's own; its size is a parameter."""
-        bits = self.bloom_bits
+        """A Bloom filter of a table of ids, put together from each partition's own: 16 bits an id, up to MAX_BLOOM."""
+        bits = min(MAX_BLOOM, 1 << max(16, (16 * ids.count() - 1).bit_length()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -385,15 +422,14 @@ class _Join:
 
     def compare(self, pairs: DataFrame, name: str) -> DataFrame:
         """Those of the pairs (a, b) that link, by their whole sets."""
-        width, t, frequent, bits, chunk = self.width, self.t, self.frequent, self.bloom_bits, 2000
-        pairs = cut(self.plausible(pairs).distinct(), self.folder, f"pairs-{name}")
+        width, t, frequent = self.width, self.t, self.frequent
+        pairs = cut(self.plausible(pairs).distinct(), self.folder, f"pairs-{name}", TEXT_ROWS)
         need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         bloom = self.spark.sparkContext.broadcast(self.bloom(need))
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids = batch.column(0).to_numpy()
-                at = _bloom_positions(ids, bits)
+                at = _bloom_positions(batch.column(0).to_numpy(), 64 * len(bloom.value))
                 hit = ((bloom.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(1)
                 batch = pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(hit)) for k in (0, 1)], names=["id", "t"])
                 for i, j in _text.slices(batch.column(1)):
@@ -401,8 +437,9 @@ class _Join:
                     # frequent shingles first, so that near copies share long paths of the tree
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([(~s[::-1]).tobytes() for s in sets], pa.binary())], names=["id", "s"])
 
-        sets = cut(self.docs.mapInArrow(read, "id bigint, s binary").join(need, "id", "left_semi"), self.folder, f"compare-{name}")
-        chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
+        sets = cut(self.docs.mapInArrow(lean(read), "id bigint, s binary").join(need, "id", "left_semi"), self.folder, f"compare-{name}", TEXT_ROWS)
+        bloom.unpersist()
+        chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
         salted = pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("salt"))
         partners = salted.join(sets, F.col("b") == F.col("id")).select("a", "salt", F.lit(1).alias("kind"), "b", "s")
         pivots = salted.select("a", "salt").distinct().join(sets, F.col("a") == F.col("id")).select("a", "salt", F.lit(0).alias("kind"), F.col("a").alias("b"), "s")
@@ -439,7 +476,9 @@ class _Join:
             if sets_in:
                 yield flush()
 
-        return cut(both.mapInArrow(run, "a bigint, b bigint"), self.folder, f"links-{name}")
+        found = cut(both.mapInArrow(lean(run), "a bigint, b bigint"), self.folder, f"links-{name}", TEXT_ROWS)
+        discard(self.spark, self.folder, f"pairs-{name}", f"compare-{name}")
+        return found
 
     def run(self) -> DataFrame:
         """(rep, component) of every class that has a link, by the smallest id."""
@@ -451,10 +490,11 @@ class _Join:
         more = self.compare(self.more_stars(first), "more")
         second = components(as_edges(first).unionByName(more), self.folder, "more-components")
         rest = self.compare(self.rest(second), "rest")
+        discard(self.spark, self.folder, "postings", "mixed")
         return components(as_edges(second).unionByName(rest), self.folder, "components")
 
 
-def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.75, max_frequent: int = 1 << 19, bloom_bits: int = 1 << 23) -> DataFrame:
+def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.75, max_frequent: int = 1 << 19, folder: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``.
 
     Words are split at blanks after A-Z are lower-cased.  A text of fewer words
@@ -462,10 +502,12 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     words (and null) have an empty set and are linked with nothing.  A null id
     keeps its row, links nothing and has a null component.  Rows that share an
     id but not the text each get the component of their own text.  Extra columns
-    aren't read; an empty table gives an empty table.
+    aren't read; an empty table gives an empty table.  A very long text is one
+    row's arrays in one task.  The result reads tables below ``folder`` (a new
+    shared folder), which may be discarded once the result is written.
     """
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t"))
-    join = _Join(own, width, threshold, max_frequent, bloom_bits)
+    join = _Join(own, width, threshold, max_frequent, folder)
     linked = join.run()
     reps = join.classes.join(linked, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.col("n").alias("m"), F.coalesce("component", "rep").alias("c"))
     s = join.stats
