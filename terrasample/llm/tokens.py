@@ -9,9 +9,13 @@ are combined to find each document's first token.
 
 Encoding: the byte-level tokenizer splits a text into pieces and encodes each
 piece by itself.  The split is done in NumPy for a whole batch, and the
-tokenizers library encodes each distinct piece once per worker.  Other
-tokenizers, and texts that hold one of a tokenizer's special tokens, go to
-the library as they are.
+tokenizers library encodes each distinct piece once per worker, as long as the
+table of pieces that it keeps has room.  Other tokenizers, and texts that hold
+one of a tokenizer's special tokens, go to the library as they are.
+
+Memory: a worker holds one shard's ids, the temporaries of ``SLICE`` bytes of
+text (or of one text, if it is longer) and at most ``PIECES`` pieces; what a
+task held is given back at its end.
 """
 
 from __future__ import annotations
@@ -26,17 +30,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrasample.llm import _text
-from terrasample.llm._session import cut, shared_folder, ship
+from terrasample.llm._session import TEXT_ROWS, cut, lean, shared_folder, ship
 from terrasample.llm.wavelet import WaveletMatrix
 
 _LETTER, _NUMBER, _OTHER, _SPACE, _UNKNOWN = range(5)
 _K = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of text that are encoded at once, and pieces that a worker keeps (some 40 bytes each).
+SLICE, PIECES = 400_000, 400_000
 
 
 class Encoder:
     """Encodes columns of texts with a tokenizer file; keeps the pieces it has seen (at most ``most``)."""
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = PIECES):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -173,7 +179,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, *, id_col: str = "doc_
             return row
 
         for batch in batches:
-            for i, j in _text.slices(batch.column(1), 1_000_000):
+            for i, j in _text.slices(batch.column(1), SLICE):
                 got, count = enc.encode(batch.column(1).slice(i, j - i).to_pylist())
                 if end_id is not None:
                     got = np.insert(got, np.cumsum(count), end_id)
@@ -187,7 +193,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, *, id_col: str = "doc_
         if docs_in:
             yield flush()
 
-    return cut(ordered.mapInArrow(run, "part int, shard int, n_tokens bigint, n_docs bigint, payload binary"), folder, "shards")
+    return cut(ordered.mapInArrow(lean(run), "part int, shard int, n_tokens bigint, n_docs bigint, payload binary"), folder, "shards", TEXT_ROWS)
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
