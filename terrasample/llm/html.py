@@ -4,17 +4,27 @@ A page is read into text nodes, each with the path of tags from the root to it.
 Over all nodes with one path the text length and the punctuation are added up:
 a path's text ratio is its mean text length, its punctuation ratio its mean
 number of marks.  Both, laid out in page order, are smoothed with a Gaussian and
-fused as a product, and paths above a share of the standard deviation are
-content.  The container is the smallest element that holds all of the content;
-every block inside it counts, short ones too, but for lists of links outside the
-element with the greater part of the content, and elements that are never main text (navigation, forms, notices, comments and the
-like by tag, role, class or id).  Words of a role, class or id alone don't take
-out an element around the page's article or with most of its text: such an
-element is a wrapper (``<div class="has-sidebar">``).
-
-Pages are independent, so extraction runs in the scan's stage: no shuffle, and
-memory is that of one batch.  A text inside a block is trimmed and its white
-space becomes one space; blocks are joined by one line feed.
+fused as a product; the mean over a path's nodes is the path's ratio, and paths
+above a share of the standard deviation are content.
+
+What the thresholded paths select: the *core* is the smallest element with
+nearly all of the content's weight (length times ratio).  Of its blocks those
+stay that hold content, and headings and short ones beside them, but not blocks
+without content that are mostly links.  Outside of the core those
+stay whose ratio comes near the core's, and of the core's brothers (and its
+ancestors') paragraphs with content.  A heading goes with the text after it.
+
+Never main text, by their tags: navigation, page headers (the headings of an
+article's own header stay), footers, asides, forms with their controls, menus,
+dialogs, and what isn't displayed.  Captions, labels and field sets outside of
+forms are text as any other.  Words of a role, class or id (advert, sidebar,
+comment, ...) only help: they take out an element beside the core, never one
+around it.
+
+Pages are independent, so extraction runs in the scan's stage: no shuffle.  Time
+and memory are linear in a page's length, however deep its elements nest.  A
+text inside a block is trimmed and its white space becomes one space; blocks are
+joined by one line feed.
 """
 
 from __future__ import annotations
@@ -32,7 +42,7 @@ from terrasample.llm._session import ship
 #: Fixed sets of HTML tags.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe object svg math canvas video audio textarea select option title".split())
-NEVER = frozenset("nav header footer aside form button menu dialog head label fieldset figcaption".split())
+NEVER = frozenset("nav header footer aside form button menu dialog head".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figure figcaption footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HEADING = re.compile("h[1-6]$")
 CLOSED_BY: dict[str, frozenset[str]] = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot", "thead"]), "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "th": frozenset(["td", "th", "tr", "tbody", "tfoot"])}
@@ -49,6 +59,8 @@ NOISE = frozenset(
 )
 #: Of these, words of text by others, which may be longer than the main text.
 OTHERS = frozenset("comment comments related recommended recommendations reply replies respond responses discussion disqus".split())
+#: Content outside of the core needs this share of the core's own ratio, unless it is a paragraph right beside it: a sentence elsewhere isn't part of the article.
+BESIDE_SHARE = 0.5
 #: An attribute word of these keeps an element even if a noise word stands beside it.
 CONTENT = frozenset("article content main post story entry body text".split())
 
@@ -76,37 +88,48 @@ def _noise(tag: str, attrs: str) -> tuple[bool, set[str]]:
 
 
 class Page:
-    """Text nodes of a page in order: their block, path and the element ids on the path.
+    """Text nodes of a page in order, and its elements by number (0 is the page itself).
 
-    ``noise`` tells what is never main text; ``words`` the elements' words that make it doubtful.
+    Of a node: its text, path, element, block, and whether it is ``noise``, part
+    of a link or of a heading.  Of an element: its tag, parent, first node and one
+    past its last, and its words that make it doubtful.  ``tags`` has a path's
+    parent path and last tag.
     """
 
-    __slots__ = ("block", "chain", "noise", "path", "tags", "text", "words")
+    __slots__ = ("block", "close", "element", "heading", "link", "noise", "open", "parent", "path", "tag", "tags", "text", "words")
 
     def __init__(self, html: str):
-        self.text, self.path, self.chain, self.block, self.noise = [], [], [], [], []
-        stack: list[tuple[str, int, bool]] = []  # tag, element, whether it or an ancestor is noise
-        paths: dict[tuple[str, ...], int] = {}
-        self.tags: list[tuple[str, ...]] = []  # of each path
+        self.text: list[str] = []
+        self.path: list[int] = []
+        self.element: list[int] = []
+        self.block: list[int] = []
+        self.noise: list[bool] = []
+        self.link: list[bool] = []
+        self.heading: list[bool] = []
+        self.tag, self.parent, self.open, self.close = [""], [0], [0], [0]
         self.words: dict[int, set[str]] = {}
-        element, block, at, size = 0, 0, 0, len(html)
-        place: tuple[int, tuple[int, ...]] | None = None
+        self.tags: list[tuple[int, str]] = [(0, "")]
+        paths: dict[tuple[int, str], int] = {}
+        # of the open elements: tag, element, path, and whether it is in noise, a link, a heading, an article, an article's own header
+        stack: list[tuple[str, int, int, bool, bool, bool, bool, bool]] = [("", 0, 0, *(False,) * 5)]
+        opened: dict[str, int] = {}  # how many elements of a tag are open
+        marks: list[int] = []  # places in the stack of blocks and of what blocks close
+        block, at, size = 0, 0, len(html)
 
         def add(raw: str) -> None:
-            nonlocal place
-            if not raw:
-                return
-            if place is None:
-                tags = tuple(t for t, _, _ in stack)
-                if tags not in paths:
-                    paths[tags] = len(paths)
-                    self.tags.append(tags)
-                place = paths[tags], tuple(e for _, e, _ in stack)
-            self.text.append(unescape(raw))
-            self.path.append(place[0])
-            self.chain.append(place[1])
-            self.block.append(block)
-            self.noise.append(bool(stack) and stack[-1][2])
+            if raw:
+                _, e, path, noise, link, heading, _, own = stack[-1]
+                self.text.append(unescape(raw))
+                self.path.append(path), self.element.append(e), self.block.append(block)
+                self.noise.append(noise or own and not heading), self.link.append(link), self.heading.append(heading)
+
+        def pop(length: int) -> None:
+            while len(stack) > length:
+                name, e, *_ = stack.pop()
+                opened[name] -= 1
+                self.close[e] = len(self.text)
+            while marks and marks[-1] >= length:
+                marks.pop()
 
         while at < size:
             lt = html.find("<", at)
@@ -127,11 +150,11 @@ class Page:
             if m["end"] == "" and at >= size:  # the page was cut inside a tag
                 break
             if m["close"]:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        place = None
-                        break
+                if opened.get(tag):
+                    k = len(stack) - 1
+                    while stack[k][0] != tag:
+                        k -= 1
+                    pop(k)
                 if tag in BLOCKS:
                     block += 1
                 continue
@@ -139,137 +162,175 @@ class Page:
                 add(" ")
             if tag in BLOCKS:
                 block += 1
-                while stack:  # an unclosed paragraph or list item ends here
-                    k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in CLOSED_BY or stack[k][0] in BLOCKS), None)
-                    if k is None or tag not in CLOSED_BY.get(stack[k][0], ()):
-                        break
-                    del stack[k:]
-                    place = None
+                while marks and tag in CLOSED_BY.get(stack[marks[-1]][0], ()):  # an unclosed paragraph or list item ends here
+                    pop(marks[-1])
             if tag in VOID or m["attrs"].endswith("/") and tag not in BLOCKS:
                 continue
             if tag in RAW:
                 end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>?", re.I).search(html, at)
                 at = end.end() if end else size
                 continue
-            element += 1
-            noise, words = _noise(tag, m["attrs"])
+            _, above, path, noise, link, heading, article, own = stack[-1]
+            e = len(self.tag)
+            never, words = _noise(tag, m["attrs"])
             if words:
-                self.words[element] = words
-            stack.append((tag, element, bool(stack) and stack[-1][2] or noise))
-            place = None
-
-
-def _drop_named(page: Page) -> None:
-    """Add to the noise the elements that are it by their words, but for wrappers of the main text.
-
-    A wrapper is around the article (or main) with the most text, or holds most
-    of that article's text (of the page's, without one); where the words are of
-    text by others, nearly all of it.
-    """
-    if not page.words:
-        return
-    clean = [i for i, n in enumerate(page.noise) if not n and page.text[i].strip()]
-    size = {i: len(page.text[i].strip()) for i in clean}
-    named = {i: [e for e in page.chain[i] if e in page.words] for i in clean}
-    own: dict[tuple[int, ...], int] = {}
-    for i in clean:
-        tags = page.tags[page.path[i]]
-        if whole := [d for d, t in enumerate(tags) if t in ("article", "main")]:
-            around = page.chain[i][: whole[-1] + 1]
-            own[around] = own.get(around, 0) + size[i]
-    article = max(own, key=lambda c: own[c], default=())
-    inner = [i for i in clean if page.chain[i][: len(article)] == article]
-    wrappers: set[int] = set(article) & page.words.keys()
-    others = {e for e, w in page.words.items() if w & OTHERS}
-    for some, most in ((others, 0.9), (page.words.keys() - others, 0.5)):
-        left = inner if some is others else [i for i in inner if not any(e in others and e not in wrappers for e in named[i])]
-        held: dict[int, int] = {}
-        for i in left:
-            for e in named[i]:
-                held[e] = held.get(e, 0) + size[i]
-        total = sum(size[i] for i in left)
-        wrappers |= {e for e, n in held.items() if e in some and n > most * total}
-    dropped = {i for i in clean if any(e not in wrappers for e in named[i])}
-    if len(dropped) < len(clean):  # words alone don't make a page empty
-        for i in dropped:
-            page.noise[i] = True
+                self.words[e] = words
+            if (path, tag) not in paths:
+                paths[path, tag] = len(self.tags)
+                self.tags.append((path, tag))
+            if tag == "header" and article:
+                never, own = False, True
+            heading = heading or bool(HEADING.match(tag))
+            self.tag.append(tag), self.parent.append(above), self.open.append(len(self.text)), self.close.append(0)
+            if tag in CLOSED_BY or tag in BLOCKS:
+                marks.append(len(stack))
+            opened[tag] = opened.get(tag, 0) + 1
+            stack.append((tag, e, paths[path, tag], noise or never, link or tag == "a" and not heading, heading, article or tag in ("article", "main"), own))
+        pop(1)
+        self.close[0] = len(self.text)
+
+    def sums(self, value: np.ndarray) -> np.ndarray:
+        """The sum of ``value`` over every element's nodes (they follow each other, so by sums up to a place)."""
+        upto = np.append(0.0, np.cumsum(value))
+        return upto[np.array(self.close)] - upto[np.array(self.open)]
+
+    def within(self, elements: np.ndarray) -> np.ndarray:
+        """Which nodes lie in any of some elements."""
+        edge = np.zeros(len(self.text) + 1, np.int64)
+        np.add.at(edge, np.array(self.open)[elements], 1)
+        np.add.at(edge, np.array(self.close)[elements], -1)
+        return np.cumsum(edge[:-1]) > 0
 
 
 def fused_ratios(page: Page, sigma: float) -> np.ndarray:
-    """One smoothed and fused ratio for each text node."""
+    """One smoothed and fused ratio for each text node, the same for all nodes of a path."""
     path = np.array(page.path)
     clean = [_SPACE.sub(" ", t).strip() for t in page.text]
     length = np.array([len(t) for t in clean], float)
     marks = np.array([len(_MARK.findall(t)) for t in clean], float)
     some = np.maximum(np.bincount(path, length > 0), 1)
     text_ratio, mark_ratio = np.bincount(path, length) / some, np.bincount(path, marks) / some
+    # nodes of blanks only don't stand between the others
+    seen = np.flatnonzero(length > 0)
     reach = int(3 * sigma)
     kernel = np.exp(-0.5 * np.square(np.arange(-reach, reach + 1) / sigma))
-    weight = np.convolve(np.ones(len(path)), kernel, "full")[reach : reach + len(path)]
-    smooth = lambda x: np.convolve(x, kernel, "full")[reach : reach + len(path)] / weight
-    fused = smooth(text_ratio[path]) * (1 + smooth(mark_ratio[path]))
-    return np.bincount(path, fused)[path] / np.bincount(path)[path]
-
-
-def _container(page: Page, content: np.ndarray, length: np.ndarray | None, share: float = 1.0) -> tuple[int, ...]:
-    """The chain of the smallest element that holds all of the content, or more than a share of its text; empty: the page."""
-    if length is None:
-        chain = page.chain[content[0]]
-        for i in content[1:]:
-            chain = chain[: next((d for d, (a, b) in enumerate(zip(chain, page.chain[i], strict=False)) if a != b), min(len(chain), len(page.chain[i])))]
-        first = content[0]
-    else:
-        held: dict[int, float] = {}
-        for i in content:
-            for e in page.chain[i]:
-                held[e] = held.get(e, 0) + length[i]
-        first = max(content, key=lambda i: sum(held[e] > share * length.sum() for e in page.chain[i]))
-        chain = tuple(e for e in page.chain[first] if held[e] > share * length.sum())
-    # a paragraph, list or table isn't the container of its brothers, nor is an article's section that of its title
-    tags = page.tags[page.path[first]][: len(chain)]
-    whole = [d for d, t in enumerate(tags) if t in ("article", "main")]
-    depth = whole[-1] + 1 if whole else len(chain)
-    while not whole and depth > 1 and (tags[depth - 1] in PARTS or tags[depth - 1] not in BLOCKS):
-        depth -= 1
-    return chain[:depth]
-
-
-def _without_links(page: Page, nodes: list[int], content: np.ndarray, length: np.ndarray, inside: tuple[int, ...], core: tuple[int, ...]) -> list[int]:
-    """``nodes`` but for elements beside the core that hold no content and mostly links."""
-    if inside == core:
-        return nodes
-    beside: dict[int, int | None] = {}
-    text: dict[int | None, float] = {}
-    links: dict[int | None, float] = {}
-    for i in nodes:
-        chain = page.chain[i]
-        d = next((d for d, (a, b) in enumerate(zip(chain, core, strict=False)) if a != b), None)
-        e = beside[i] = None if d is None else chain[d]
-        text[e] = text.get(e, 0) + length[i]
-        if "a" in page.tags[page.path[i]]:
-            links[e] = links.get(e, 0) + length[i]
-    kept = {None, *(beside[i] for i in nodes if content[i]), *(e for e in text if links.get(e, 0) <= text[e] / 2)}
-    return [i for i in nodes if beside[i] in kept]
-
-
-def main_text(html: str | None, *, sigma: float = 1.0, threshold: float = 0.5, share: float = 0.5) -> str:
+    weight = np.convolve(np.ones(len(seen)), kernel, "full")[reach : reach + len(seen)]
+    smooth = lambda x: np.convolve(x, kernel, "full")[reach : reach + len(seen)] / weight
+    fused = np.zeros(len(path))
+    if len(seen):
+        fused[seen] = smooth(text_ratio[path[seen]]) * (1 + smooth(mark_ratio[path[seen]]))
+    return np.bincount(path, fused)[path] / some[path]
+
+
+def _named(page: Page, weight: np.ndarray) -> np.ndarray:
+    """Which nodes lie in elements that are none of the main text by their words.
+
+    An element around the article with the most weight, or with most of the
+    weight (nearly all, if the words are those of text by others), is a wrapper of
+    the main text and taken out by its words in no case.
+    """
+    none = np.zeros(len(page.text), bool)
+    if not page.words or not weight.any():
+        return none
+    named = np.array(sorted(page.words))
+    others = np.array([bool(page.words[e] & OTHERS) for e in named.tolist()])
+    held = page.sums(weight)
+    whole = [e for e, t in enumerate(page.tag) if t in ("article", "main")]
+    wrapper = np.zeros(len(page.tag), bool)
+    e = max(whole, key=lambda x: (held[x], x), default=0)
+    inner = none | True
+    if e and held[e] > 0:
+        inner = page.within(np.array([e]))
+        while e:
+            wrapper[e] = True
+            e = page.parent[e]
+    out = none
+    for some, most in ((named[others], 0.9), (named[~others], 0.5)):
+        left = weight * (inner & ~out)
+        share = page.sums(left)
+        wrapper[some[share[some] > most * left.sum()]] = True
+        out = out | page.within(some[~wrapper[some]])
+    return out if (weight * ~out).any() else none
+
+
+def _core(page: Page, weight: np.ndarray, share: float) -> int:
+    """The smallest element with more than ``share`` of the weight; no part of an article (a list, a table), but the article itself."""
+    held = page.sums(weight)
+    e = int(np.flatnonzero(held >= share * weight.sum() - 1e-9).max())  # they contain each other
+    while e and (page.tag[e] in PARTS or page.tag[e] not in BLOCKS):
+        e = page.parent[e]
+    up = e
+    while up:
+        if page.tag[up] == "article":
+            return up
+        up = page.parent[up]
+    return e
+
+
+def _brothers(page: Page, core: int) -> np.ndarray:
+    """Which nodes are in a paragraph, heading, list item or cell whose parent is around the core."""
+    spine = np.zeros(len(page.tag), bool)
+    spine[0] = True
+    e = page.parent[core]
+    while e:
+        spine[e] = True
+        e = page.parent[e]
+    near = np.zeros(len(page.tag), bool)
+    for e in range(1, len(page.tag)):
+        above = page.parent[e]
+        near[e] = spine[above] and page.tag[e] in PARTS if page.tag[e] in BLOCKS else near[above]
+    return near[np.array(page.element)]
+
+
+def selected(page: Page, ratio: np.ndarray, threshold: float = 0.5, share: float = 0.9) -> np.ndarray:
+    """Which text nodes are main text, by the ratios of their paths."""
+    length = np.array([len(t.strip()) for t in page.text], float) * ~np.array(page.noise, bool)
+    seen = length > 0
+    if not seen.any():
+        return seen
+    limit = threshold * ratio[seen].std()
+    content = seen & (ratio >= limit)
+    content = content if content.any() else seen
+    out = _named(page, length * ratio * content)
+    length, content = length * ~out, content & ~out
+    clean = length > 0
+    content = content if content.any() else clean
+    core = _core(page, length * ratio * content, share)
+    inside = page.within(np.array([core])) if core else np.ones(len(page.text), bool)
+    link = length * np.array(page.link, bool)
+    # inside the core: without blocks that hold no content and mostly links
+    text_of, link_of, content_of = page.sums(length), page.sums(link), page.sums(content.astype(float))
+    block_tag = np.array([t in BLOCKS for t in page.tag])
+    lists = np.flatnonzero(block_tag & (content_of == 0) & (link_of > 0.5 * text_of))
+    keep = inside & ~page.within(lists)
+    # outside: whole blocks with content that aren't mostly links, and headings
+    block, within = np.array(page.block), length * content * inside
+    brother = _brothers(page, core)
+    equal = content & (brother | (ratio >= BESIDE_SHARE * (within @ ratio) / within.sum()))
+    text_in, link_in, content_in = (np.bincount(block, x) for x in (length, link, equal.astype(float)))
+    beside = (content_in > 0) & (link_in <= 0.5 * text_in)
+    keep = (keep | ~inside & beside[block]) & clean
+    # a heading goes with the text that follows it
+    follows = False
+    for i in np.flatnonzero(clean)[::-1].tolist():
+        if page.heading[i] and follows:
+            keep[i] = True
+        follows = bool(keep[i])
+    # blanks between the words of kept blocks
+    kept = np.bincount(block, keep) > 0
+    blank = np.array([not t.strip() for t in page.text])
+    return keep | blank & kept[block] & ~np.array(page.noise, bool)
+
+
+def main_text(html: str | None, *, sigma: float = 1.0, threshold: float = 0.5, share: float = 0.9) -> str:
     """The main text of one page; empty where there is none."""
     if not html:
         return ""
     page = Page(html)
-    _drop_named(page)
-    keep = [i for i in range(len(page.text)) if not page.noise[i]]
-    if not any(page.text[i].strip() for i in keep):
+    if not page.text:
         return ""
-    ratio = fused_ratios(page, sigma)
-    length = np.array([0 if page.noise[i] else len(t.strip()) for i, t in enumerate(page.text)], float)
-    content = (ratio >= threshold * ratio.std()) & (length > 0)
-    if not content.any():
-        content = length > 0
-    where = np.flatnonzero(content)
-    inside, core = _container(page, where, None), _container(page, where, length * content, share)
     blocks: dict[int, list[str]] = {}
-    for i in _without_links(page, [i for i in keep if page.chain[i][: len(inside)] == inside], content, length, inside, core):
+    for i in np.flatnonzero(selected(page, fused_ratios(page, sigma), threshold, share)).tolist():
         blocks.setdefault(page.block[i], []).append(page.text[i])
     lines = (_SPACE.sub(" ", "".join(parts)).strip() for parts in blocks.values())
     return "\n".join(x for x in lines if x)
@@ -280,7 +341,8 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 
     Null or empty html, or a page without any main text: empty text, 0.  A page
     cut off anywhere gives what stands before the cut.  Repeated rows give a row
-    each.  Columns named text or n_chars are replaced.
+    each.  Very long and deeply nested pages take time and memory in proportion to
+    their length.  Columns named text or n_chars are replaced.
     """
     ship(pages.sparkSession)
     kept = [c for c in pages.columns if c not in ("text", "n_chars", html_col)] if keep_columns else [id_col, url_col]

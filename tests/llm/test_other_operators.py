@@ -57,6 +57,68 @@ def test_main_text_is_not_emptied_by_words_but_comments_stay_out():
         assert html.main_text("<body>" + part.format(LONG[:-1]) + said + "</body>") == LONG.strip()
 
 
+def plain_ratios(page, sigma):
+    """Path ratios by loops over the nodes' whole tag paths."""
+    def path(i):
+        tags, e = [], page.element[i]
+        while e:
+            tags, e = [page.tag[e], *tags], page.parent[e]
+        return tuple(tags)
+
+    clean = [" ".join(x.split()) for x in page.text]
+    paths = [path(i) for i in range(len(clean))]
+    mean = {p: [sum(f(clean[i]) for i in own) / len(own) for f in (len, lambda x: len(html._MARK.findall(x)))] for p in set(paths) if (own := [i for i, q in enumerate(paths) if q == p and clean[i]])}
+    seen = [i for i, x in enumerate(clean) if x]
+    fused = {}
+    for k, i in enumerate(seen):
+        near = [(np.exp(-0.5 * ((k - j) / sigma) ** 2), paths[seen[j]]) for j in range(max(0, k - int(3 * sigma)), min(len(seen), k + int(3 * sigma) + 1))]
+        a, b = (sum(w * mean[p][n] for w, p in near) / sum(w for w, _ in near) for n in (0, 1))
+        fused.setdefault(paths[i], []).append(a * (1 + b))
+    return [sum(fused[p]) / len(fused[p]) if p in fused else 0.0 for p in paths]
+
+
+def test_ratios_equal_plain_ones(data):
+    import pyarrow.parquet as pq
+
+    for text in pq.read_table(f"{data}/pages.parquet").column("html").to_pylist()[:40] + ["<div>a <b>b, c.</b> d</div><div>e</div>", "x", "<p> <p>a"]:
+        page = html.Page(text)
+        assert np.allclose(html.fused_ratios(page, 1.0), plain_ratios(page, 1.0))
+
+
+def test_ratios_select_the_text_without_any_words(data, monkeypatch):
+    """Without the words of classes the paths' ratios find the article; with one ratio for all they don't."""
+    import pyarrow.parquet as pq
+
+    pages = [h for h in pq.read_table(f"{data}/pages.parquet").column("html").to_pylist() if h]
+    right = [html.main_text(h) for h in pages]
+    monkeypatch.setattr(html, "_named", lambda page, weight: np.zeros(len(page.text), bool))
+    assert sum(a == html.main_text(h) for a, h in zip(right, pages, strict=True)) > 0.9 * len(pages)
+    monkeypatch.setattr(html, "fused_ratios", lambda page, sigma: np.ones(len(page.text)))
+    assert sum(a == html.main_text(h) for a, h in zip(right, pages, strict=True)) < 0.1 * len(pages)
+
+
+def test_unmarked_list_of_links_is_left_out():
+    links = "".join(f"<li><a href='/{k}'>Link {k}</a></li>" for k in range(40))
+    article = "<div><h1>The title</h1><p>One sentence of it, long enough to be one. And another.</p><p>A second paragraph, with words of its own; it says more.</p></div>"
+    text = "The title\nOne sentence of it, long enough to be one. And another.\nA second paragraph, with words of its own; it says more."
+    for page in (f"{article}<div><ul>{links}</ul></div>", f"<div>{links}</div>{article}", f"<div><div>{links}</div>{article}</div>"):
+        assert html.main_text(page) == text
+
+
+def test_captions_and_labels_stay_and_controls_go():
+    page = f"<article><header><h1>Title</h1><p>By someone</p></header><p>{LONG}</p><figure><img><figcaption>A caption.</figcaption></figure><fieldset><label>A label</label></fieldset><textarea>typed</textarea><dialog>Accept?</dialog><form><label>Name</label></form></article>"
+    assert html.main_text(page).split("\n") == ["Title", LONG.strip(), "A caption.", "A label"]
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+
+    began = time.process_time()
+    for page in ("<div>x" * 50_000, "<b>x" * 50_000 + "<p>y" * 50_000, "<i>x" * 50_000 + "</b>" * 50_000, "<ul><li>" * 50_000 + "z"):
+        assert html.main_text(page)
+    assert time.process_time() - began < 30
+
+
 def test_extract_keeps_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, 7), (1, "u", "<p>" + "a, b. " * 30000, 8), (None, None, "", 9)], "page_id long, url string, html string, n_chars int")
     assert sorted(r["n_chars"] for r in html.extract(pages).collect()) == [0, 0, 30000 * 6 - 1]
