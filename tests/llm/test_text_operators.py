@@ -66,6 +66,34 @@ def test_decontaminate_long_texts_cross_lanes(spark):
     assert (row["n_hit"], row["items"], [tuple(h) for h in row["hits"]]) == (30, ["7"], [(500, 530)])
 
 
+def test_decontaminate_in_parts_equals_one_search(spark):
+    texts = random_texts(40, 5) + [None, ""]
+    items = [(f"i{k}", t) for k, t in enumerate(random_texts(15, 6, longest=20))] + [("i3", "w1 w2")]
+    docs = spark.createDataFrame([(k % 30 or None, t, "x") for k, t in enumerate(texts)], DOC + ", n_hit string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    key = lambda r: tuple(str(x) for x in r)
+    whole, parts = (sorted((tuple(r) for r in decontaminate.decontaminate(docs, bench, window=3, part_chars=n, keep_columns=True).collect()), key=key) for n in (10**6, 120))
+    assert whole == parts and len(whole) == len(texts)
+
+
+def test_many_items_with_one_window_and_one_suffix(spark):
+    """20,000 items share a window, and as many windows end in the same two words."""
+    common = " ".join(f"c{k}" for k in range(13))
+    items = [(f"{k:05d}", common) for k in range(20_000)] + [(f"s{k}", " ".join(f"x{k}y{j}" for j in range(11)) + " of the") for k in range(20_000)]
+    texts = [common + " tail", "of the " * 4000, " ".join(f"x7y{j}" for j in range(11)) + " of the"]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    rows = decontaminate.decontaminate(spark.createDataFrame(list(enumerate(texts)), DOC), bench).orderBy("doc_id").collect()
+    assert [r["n_items"] for r in rows] == [20_000, 0, 1] and rows[2]["items"] == ["s7"] and rows[0]["items"][:2] == ["00000", "00001"]
+
+
+def test_occurrences_are_confirmed_by_bytes(monkeypatch):
+    """Were all hashes equal, only equal words would count."""
+    monkeypatch.setattr(_text, "word_hashes", lambda data, starts, ends, byte=None: np.zeros(len(starts), np.uint64))
+    p = decontaminate.Patterns.of(["1"], pa.array(["aa Bb cc"]), 13)
+    count, hits, items = decontaminate.occurrences(p, pa.array(["aa bb cc", "aa bb cd", "x AA, bb; cC x", "ab bb cc"]))
+    assert count.tolist() == [3, 3, 5, 3] and hits == {0: [(0, 3)], 2: [(1, 4)]} and items == {0: ["1"], 2: ["1"]}
+
+
 def test_decontaminate_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b")], DOC), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.decontaminate(docs, items).first()["contaminated"] is False
