@@ -1,20 +1,47 @@
 """As-of joins of dated rows with the images of a collection.
 
-A collection has at most some thousand images; their table is folded into one
-sorted array (one aggregated row, size checked), so each row finds its image by
-expressions over that array: no shuffle of the rows, whatever their skew.
+Rows are matched by their day: the distinct days of the rows and of the images'
+starts are laid out in order once (a table with at most one row for each day of
+the calendar, however many rows or images there are), and every row then meets
+its day in one equi-join.  No row is compared with more than one image.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: More images than this are refused rather than sent to every task.
-MAX_IMAGES = 100_000
 
+def _days(rows: DataFrame, images: DataFrame, policy: str, day: str, keys: tuple[str, ...]) -> DataFrame:
+    """_day, _v (the chosen image), date_clamped and date_source of every distinct day (and keys) of ``rows``, null included."""
+    image = images.where("time_start is not null").select(*keys, F.col("time_start").cast("date").alias("s"), F.struct(F.col("time_end").cast("date").alias("e"), F.col("image_id").alias("i")).alias("v"))
+    order = Window.partitionBy(*keys).orderBy("s")
+    starts = image.groupBy(*keys, "s").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    starts = starts.select(*keys, "s", "lo", "hi", F.lead("s").over(order).alias("after"))
+    chosen = lambda which: F.struct(F.col("s"), F.col(f"{which}.e").alias("e"), F.col(f"{which}.i").alias("i"), "after")
+    none = F.lit(None).cast(starts.select(chosen("lo").alias("v")).schema["v"].dataType)
+    asked = rows.select(*keys, F.col(day).alias("d")).distinct().select(*keys, "d", F.lit(1).alias("asked"), none.alias("lo"), none.alias("hi"))
+    both = starts.select(*keys, F.col("s").alias("d"), F.lit(0).alias("asked"), chosen("lo").alias("lo"), chosen("hi").alias("hi")).unionByName(asked)
+    # starts before the asked day itself, so "up to here" means started by that day; a null day comes first
+    upto, whole = Window.partitionBy(*keys).orderBy("d", "asked"), Window.partitionBy(*keys)
+    after, all_of = upto.rowsBetween(1, Window.unboundedFollowing), whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    laid = both.select(
+        *keys, "d", "asked", F.last("lo", True).over(upto).alias("prev_lo"), F.last("hi", True).over(upto).alias("prev_hi"), F.first("lo", True).over(after).alias("next"),
+        F.min("lo").over(all_of).alias("first"), F.max("hi").over(all_of).alias("last"),
+    ).where("asked = 1")
+    d = F.col("d")
+    if policy == "nearest":
+        later = F.datediff("next.s", d) <= F.datediff(d, F.col("prev_lo.s"))
+        found = F.when(F.col("prev_lo").isNull() | later, F.coalesce("next", "prev_lo")).otherwise(F.col("prev_lo"))
+        clamped, inside = (d < F.col("first.s")) | (d > F.col("last.s")), "nearest_to_sample"
+    else:
+        found = F.coalesce("prev_hi", "first")
+        clamped, inside = (d <= F.col("first.s")) | (d >= F.col("last.s")), "contains_sample_date"
+    source = F.when(F.col("last").isNull(), None).when(d.isNull(), "most_recent_no_date").when(clamped, "clamped_to_nearest").otherwise(inside)
+    return laid.select(*(F.col(k).alias(f"_of_{k}") for k in keys), d.alias("_day"), F.when(d.isNull(), F.col("last")).otherwise(found).alias("_v"), F.coalesce(clamped, F.lit(False)).alias("date_clamped"), source.alias("date_source"))
 
-def match_images(rows: DataFrame, images: DataFrame, policy: str = "nearest", date_col: str = "date") -> DataFrame:
+
+def match_images(rows: DataFrame, images: DataFrame, policy: str = "nearest", date_col: str = "date", keys: tuple[str, ...] = ()) -> DataFrame:
     """``rows`` with image_id, image_time_start, image_time_end, date_clamped and date_source.
 
     nearest: the image that starts closest (a tie: the later); before the first
@@ -22,38 +49,33 @@ def match_images(rows: DataFrame, images: DataFrame, policy: str = "nearest", da
     by the date; at the bounds and beyond it counts as clamped.  Rows without a
     date get the most recent image.  image_time_end is the image's own end; for
     contains without one, the next image's start or a day after its own.
+
+    ``keys`` are columns of both tables: a row is matched only with images of its
+    own key (tiles of a collection by their zone).  Images without a start can't be matched; where none has one, or there are no
+    images, all rows stay and these columns are null (date_clamped false).
     """
     if policy not in ("nearest", "contains"):
         raise ValueError(f"Unknown date policy {policy!r}: use nearest or contains")
-    image = F.struct(F.col("time_start").cast("date").alias("s"), F.col("time_end").cast("date").alias("e"), F.col("image_id").alias("i"))
-    # one row at most; the list's length is checked before it is used
-    listed = images.where("time_start is not null").select(image.alias("v")).agg(F.array_sort(F.collect_list("v")).alias("_images")).where(F.size("_images") > 0)
-    n = images.count()
-    if n > MAX_IMAGES:
-        raise ValueError(f"{n} images; at most {MAX_IMAGES}")
-    d = F.col(date_col).cast("date")
-    joined = rows.join(F.broadcast(listed))
-    first, last = F.col("_images")[0], F.element_at("_images", -1)
-    started = F.filter("_images", lambda v: v["s"] <= d)
-    if policy == "nearest":
-        chosen = F.array_min(F.transform("_images", lambda v: F.struct(F.abs(F.datediff(v["s"], d)).alias("gap"), (-F.unix_date(v["s"])).alias("late"), v.alias("v"))))["v"]
-        clamped = (d < first["s"]) | (d > last["s"])
-        source = F.when(clamped, "clamped_to_nearest").otherwise("nearest_to_sample")
-    else:
-        chosen = F.when(F.size(started) > 0, F.element_at(started, -1)).otherwise(first)
-        clamped = (d <= first["s"]) | (d >= last["s"])
-        source = F.when(clamped, "clamped_to_nearest").otherwise("contains_sample_date")
-    joined = joined.withColumn("_v", F.when(d.isNull(), last).otherwise(chosen))
-    after = F.array_min(F.transform(F.filter("_images", lambda v: v["s"] > F.col("_v")["s"]), lambda v: v["s"]))
-    end = F.col("_v")["e"] if policy == "nearest" else F.coalesce(F.col("_v")["e"], after, F.date_add(F.col("_v")["s"], 1))
-    return joined.withColumns({
-        "image_id": F.col("_v")["i"], "image_time_start": F.col("_v")["s"], "image_time_end": end,
-        "date_clamped": F.when(d.isNull(), F.lit(False)).otherwise(clamped), "date_source": F.when(d.isNull(), "most_recent_no_date").otherwise(source),
-    }).drop("_images", "_v")
+    dated = rows.withColumn("_asked", F.col(date_col).cast("date"))
+    days = _days(dated, images, policy, "_asked", keys)
+    on = F.col("_asked").eqNullSafe(F.col("_day"))
+    for k in keys:
+        on &= F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    joined = dated.join(days, on, "left")
+    v = F.col("_v")
+    end = v["e"] if policy == "nearest" else F.coalesce(v["e"], v["after"], F.date_add(v["s"], 1))
+    own = [c for c in rows.columns if c not in ("image_id", "image_time_start", "image_time_end", "date_clamped", "date_source")]
+    return joined.select(*(F.col(f"`{c}`") for c in own), v["i"].alias("image_id"), v["s"].alias("image_time_start"), end.alias("image_time_end"), F.coalesce("date_clamped", F.lit(False)).alias("date_clamped"), "date_source")
+
+
+def undated(images: DataFrame) -> bool:
+    """Whether no image of a collection has a start: it can't be matched by date."""
+    return images.where("time_start is not null").isEmpty()
 
 
 def date_info(matched: DataFrame) -> DataFrame:
     """One row: how many rows per date_source and the distinct image date ranges used, sorted."""
     count = lambda s: F.count_if(F.col("date_source") == s).alias(f"n_{s}")
-    used = F.array_sort(F.collect_set(F.struct(F.col("image_time_start").alias("start"), F.col("image_time_end").alias("end")))).alias("image_date_ranges_used")
+    start, end = F.col("image_time_start"), F.coalesce("image_time_end", "image_time_start")
+    used = F.array_sort(F.collect_set(F.when(start.isNotNull(), F.struct(start.alias("start"), end.alias("end"))))).alias("image_date_ranges_used")
     return matched.agg(*(count(s) for s in ("nearest_to_sample", "clamped_to_nearest", "most_recent_no_date", "contains_sample_date")), used)
