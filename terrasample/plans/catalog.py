@@ -43,6 +43,8 @@ hii_driver_roads | projects/HII/v1/driver/roads | continuous | 300 meters | annu
 hii_driver_water | projects/HII/v1/driver/water | continuous | 300 meters | annual | 2001-2020 | |
 aef_satellite_embeddings | GOOGLE/SATELLITE_EMBEDDING/V1/ANNUAL | continuous | 10 meters | annual | 2017-2025 | | contains
 """
+#: Where the remote catalog describes a public asset, by its path.
+SOURCE_PAGE = "https://developers.google.com/earth-engine/datasets/catalog/"
 DEFAULTS: dict[str, Any] = {"output_file_format": "csv", "window_size_m": 500, "min_coverage_pct": 0, "max_workers": 20, "stats_output_decimals": 5}
 
 
@@ -51,7 +53,8 @@ def builtin() -> dict[str, dict[str, Any]]:
     out = {}
     for line in _BUILTIN.strip().splitlines():
         name, path, kind, resolution, step, span, bands, policy = (x.strip() for x in line.split("|"))
-        spec: dict[str, Any] = {"data_source": "earth_engine", "path": path, "data_type": kind, "dataset_information": {"spatial_resolution": resolution, "temporal_resolution": step, "temporal_range": span}}
+        about = {"description": f"{name.replace('_', ' ')}: {kind} data, {resolution}, {step} ({span})", "ee_source_url": SOURCE_PAGE + path.replace("/", "_"), "spatial_resolution": resolution, "temporal_resolution": step, "temporal_range": span}
+        spec: dict[str, Any] = {"data_source": "earth_engine", "path": path, "data_type": kind, "dataset_information": about}
         if bands:
             spec["bands"] = bands.split(",")
         extra = {"collection_date_policy": policy} if policy else {}
@@ -90,7 +93,7 @@ def update_catalog(source: str | Path | dict[str, Any]) -> None:
     if not isinstance(source, dict):
         path = Path(source)
         if not path.exists():
-            raise FileNotFoundError(f"Catalog file not found: {path}")
+            raise CatalogError(f"Catalog file not found: {path}")
         try:
             source = yaml.safe_load(path.read_text())
         except yaml.YAMLError as e:
@@ -108,16 +111,17 @@ def datasets() -> dict[str, dict[str, Any]]:
     return {**builtin(), **_session}
 
 
-def list_datasets(verbosity: str = "names") -> list[str] | dict[str, Any]:
-    """Sorted names, their information ("info") or whole entries ("full")."""
+def list_datasets(verbosity: str = "names") -> list[str] | list[dict[str, Any]]:
+    """Sorted names; records of what is known about each ("info"); or whole entries with their names ("full")."""
     every = dict(sorted(datasets().items()))
     if verbosity == "names":
         return list(every)
     if verbosity == "info":
-        return {k: v.get("dataset_information", {}) for k, v in every.items()}
+        about = lambda v: v.get("dataset_information") or {}
+        return [{"name": k, "data_source": v.get("data_source"), "data_type": v.get("data_type"), **{f: about(v).get(f) for f in ("description", "citation", "ee_source_url", "source_url")}} for k, v in every.items()]
     if verbosity == "full":
-        return every
-    raise ValueError(f"Unknown verbosity {verbosity!r}: use names, info or full")
+        return [{"name": k, **v} for k, v in every.items()]
+    raise ValueError(f"verbosity must be names, info or full, not {verbosity!r}")
 
 
 def catalog_table(spark: SparkSession) -> DataFrame:

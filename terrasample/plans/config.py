@@ -22,6 +22,12 @@ class Selection:
     name: str
     bands: list[str | int] | None = None
     derived: list[str] = field(default_factory=list)
+    listed: bool = False
+
+    @property
+    def keeps_source(self) -> bool:
+        """Whether source bands stand beside the derived ones: those that the call lists, or the catalog's."""
+        return bool(self.bands) or not self.listed
 
 
 @dataclass(frozen=True)
@@ -73,19 +79,25 @@ def _selection(entry: Any, batch: str, catalog: dict[str, Any]) -> Selection:
         if unknown := set(chosen) - {"bands"}:
             raise ValueError(f"Output {batch!r}: unknown settings {sorted(unknown)} of {name!r}")
         chosen = chosen.get("bands")
-    if chosen is None:
-        return Selection(name)
-    if not isinstance(chosen, list):
-        raise ValueError(f"Output {batch!r}: bands of {name!r} must be a list")
-    if not chosen:
-        raise ValueError(f"Output {batch!r}: bands of {name!r} must not be empty")
     spec = catalog[name]
-    derived = [b for b in chosen if b in DERIVED]
+    if chosen is not None:
+        if not isinstance(chosen, list):
+            raise ValueError(f"Output {batch!r}: bands of {name!r} must be a list")
+        if not chosen:
+            raise ValueError(f"Output {batch!r}: bands of {name!r} must not be empty")
+    derived = [b for b in chosen or [] if b in DERIVED]
+    if not derived:  # the catalog's own, which must be allowed as well
+        own = spec.get("derived_bands") or []
+        derived = [own] if isinstance(own, str) else list(own)
     if derived:
+        if spec.get("data_source") in ("local", "geotiff"):
+            raise ValueError(f"Output {batch!r}: {name!r} is a local raster, which has no derived bands")
         allowed = spec.get("supported_derived_bands") or []
-        if bad := [b for b in derived if b not in allowed]:
-            raise ValueError(f"Output {batch!r}: {name!r} doesn't support derived bands {bad}")
-    return Selection(name, [b for b in chosen if b not in DERIVED] or None, derived)
+        if bad := sorted({b for b in derived if b not in allowed}):
+            raise ValueError(f"Output {batch!r}: {name!r} doesn't support derived bands {bad}; it supports {sorted(allowed)}")
+        if bad := sorted({b for b in derived if b not in DERIVED}):
+            raise ValueError(f"Output {batch!r}: unknown derived bands {bad}; known: {', '.join(DERIVED)}")
+    return Selection(name, [b for b in chosen or [] if b not in DERIVED] or None, derived, chosen is not None)
 
 
 def _statistics(raw: Any, batch: str) -> list[str] | dict[str, list[str]]:
