@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # WGS84, the UTM scale and offsets, and the series' coefficients.
@@ -146,3 +146,8 @@ def to_wgs84(x: Column, y: Column, code: int) -> tuple[Column, Column]:
     if code == 4326:
         return y, x
     return mercator_inverse(x, y) if code == 3857 else utm_inverse(x, y, F.lit(code))
+
+
+def zones(points: DataFrame) -> DataFrame:
+    """The distinct UTM zones of points (lat, lon) as their codes (epsg); 120 at most."""
+    return points.select(utm_epsg(F.col("lat"), F.col("lon")).alias("epsg")).distinct()

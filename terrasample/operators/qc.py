@@ -20,9 +20,3 @@ def coverage_summary(rows: DataFrame) -> DataFrame:
 def ids_without_data(rows: DataFrame) -> DataFrame:
     """The ids of rows without any coverage."""
     return rows.where(F.coalesce("coverage_pct", F.lit(0.0)) == 0).select("id")
-
-
-def band_coverage_summary(rows: DataFrame) -> DataFrame:
-    """band, min, mean and max of coverage over ``rows`` (band, coverage_pct)."""
-    r2 = lambda c: F.round(c, 2)
-    return rows.groupBy("band").agg(r2(F.min("coverage_pct")).alias("min_pct"), r2(F.avg("coverage_pct")).alias("mean_pct"), r2(F.max("coverage_pct")).alias("max_pct"))

@@ -19,13 +19,26 @@ from pyspark.sql import functions as F
 from terrasample.functions import crs, reducers
 from terrasample.functions.grid import centres_between, touched_between
 from terrasample.sources.raster import Raster
+from terrasample.sources.shared import cut, shared_folder
 
 ROW = "_row"
 
 
-def with_row_ids(points: DataFrame) -> DataFrame:
-    """``points`` with _row, a number that keeps their order within and between partitions."""
-    return points.withColumn(ROW, F.monotonically_increasing_id())
+def keyed(points: DataFrame) -> DataFrame:
+    """``points`` with _row, a key made of their place and date.
+
+    The statistics of a point depend on nothing else, so they are computed once
+    for each key (see :func:`sites`) and joined back by it.  A key is a value of the
+    row, unlike a running number, so all branches of a plan agree on it, whatever
+    shuffles and coalesced partitions lie below them.
+    """
+    return points.withColumn(ROW, F.struct(*(c for c in ("lat", "lon", "x", "y", "date") if c in points.columns)))
+
+
+def sites(points: DataFrame) -> DataFrame:
+    """The distinct keys of ``points`` with their place and date, a row each."""
+    one = points.select(ROW).distinct()
+    return one.select(ROW, *(F.col(ROW)[c].alias(c) for c in points.schema[ROW].dataType.names))
 
 
 def corners(points: DataFrame, raster: Raster, window_m: float) -> DataFrame:
@@ -55,28 +68,34 @@ def index_ranges(points: DataFrame, raster: Raster) -> DataFrame:
     return out.withColumn("in_extent", F.coalesce(F.col("total") > 0, F.lit(False)))
 
 
-def window_pixels(points: DataFrame, raster: Raster, window_m: float, bands: list[str], extra: tuple[str, ...] = (), together: bool = True) -> DataFrame:
+def window_pixels(points: DataFrame, raster: Raster, window_m: float, bands: list[str], extra: tuple[str, ...] = (), together: bool = True, outer: bool = False) -> DataFrame:
     """One row for each pixel of each window: _row, extra columns, r, c and the bands (null where not valid).
 
     With several bands a pixel is valid only if it is in every band, unless not ``together``.
+    ``outer``: windows without a pixel have a row of nulls, and pixels whose
+    centre isn't in the window, which are left out otherwise, are not valid.
     """
     size, header = raster.size, raster.header
     at = index_ranges(corners(points, raster, window_m), raster)
-    at = at.where("r0 <= r1 and c0 <= c1")
+    some = F.expr("r0 <= r1 and c0 <= c1")
+    at = at if outer else at.where(some)
     tile = lambda c: F.floor(F.col(c) / size).cast("int")
+    spread = lambda lo, hi: (F.explode_outer if outer else F.explode)(F.when(some, F.sequence(tile(lo), tile(hi))))
     keys = ["image_id"] if "image_id" in raster.tiles.columns else []
-    at = at.select(ROW, *extra, *(k for k in keys if k not in extra), "r0", "r1", "c0", "c1", "pr", "pc", F.explode(F.sequence(tile("r0"), tile("r1"))).alias("tile_row"))
-    at = at.withColumn("tile_col", F.explode(F.sequence(tile("c0"), tile("c1"))))
-    joined = at.join(raster.tiles.select(*raster.keys, *bands), [*keys, "tile_row", "tile_col"])
+    at = at.select(ROW, *extra, *(k for k in keys if k not in extra), "r0", "r1", "c0", "c1", "pr", "pc", spread("r0", "r1").alias("tile_row"))
+    at = at.withColumn("tile_col", spread("c0", "c1"))
+    joined = at.join(raster.tiles.select(*raster.keys, *bands), [*keys, "tile_row", "tile_col"], "left" if outer else "inner")
     tr, tc = F.col("tile_row") * size, F.col("tile_col") * size
     joined = joined.withColumns({"q0": F.greatest("r0", tr) - tr, "q1": F.least(F.col("r1"), tr + size - 1) - tr, "k0": F.greatest("c0", tc) - tc, "k1": F.least(F.col("c1"), tc + size - 1) - tc})
     cut = lambda b: F.flatten(F.transform(F.sequence("q0", "q1"), lambda q: F.slice(F.col(b), q * size + F.col("k0") + 1, F.col("k1") - F.col("k0") + 1)))
-    cut_out = joined.select(ROW, *extra, "tile_row", "tile_col", "q0", "k0", "k1", "pr", "pc", F.posexplode(F.arrays_zip(*(cut(b).alias(b) for b in bands))).alias("o", "z"))
+    cut_out = joined.select(ROW, *extra, "tile_row", "tile_col", "q0", "k0", "k1", "pr", "pc", (F.posexplode_outer if outer else F.posexplode)(F.arrays_zip(*(cut(b).alias(b) for b in bands))).alias("o", "z"))
     span = F.col("k1") - F.col("k0") + 1
     px = cut_out.select(ROW, *extra, (tr + F.col("q0") + F.floor(F.col("o") / span)).cast("int").alias("r"), (tc + F.col("k0") + F.col("o") % span).cast("int").alias("c"), "pr", "pc", *(F.col(f"z.{b}").alias(b) for b in bands))
-    if header.crs is not None:
-        px = px.where(_inside(F.col("r") + 0.5, F.col("c") + 0.5))
     valid = {b: reducers.masked(F.col(b), n) for b, n in zip(header.bands, header.nodata, strict=True) if b in bands}
+    if header.crs is not None:
+        inside = _inside(F.col("r") + 0.5, F.col("c") + 0.5)
+        px = px if outer else px.where(inside)
+        valid = {b: F.when(inside, v) for b, v in valid.items()} if outer else valid
     if len(bands) > 1 and together:
         every = reduce(lambda a, b: a & b, (v.isNotNull() for v in valid.values()))
         valid = {b: F.when(every, v) for b, v in valid.items()}
@@ -104,35 +123,44 @@ def window_stats(points: DataFrame, raster: Raster, window_m: float, names: list
     divides by the cells that the window touches inside the raster,
     "geometric" by the cells of its area.
     """
-    px = window_pixels(points, raster, window_m, bands)
+    px = window_pixels(points, raster, window_m, bands, ("total",), outer=True)
     scalar = [n for n in names if reducers.is_scalar(n)]
     aggs = [reducers.get(n)(F.col(b)).alias(f"{b}.{n}") for b in bands for n in scalar]
-    found = px.groupBy(ROW).agg(F.count(bands[0]).alias("n_pixels"), *(F.count(b).alias(f"{b}.n_valid") for b in bands), *aggs)
-    at = index_ranges(corners(points, raster, window_m), raster).select(ROW, "total", "in_extent")
-    out = at.join(found, ROW, "left").withColumn("n_pixels", F.coalesce("n_pixels", F.lit(0).cast("bigint")))
+    # a point without any pixel has one row of nulls
+    out = px.groupBy(ROW).agg(F.first("total").alias("total"), F.count(bands[0]).alias("n_pixels"), *(F.count(b).alias(f"{b}.n_valid") for b in bands), *aggs)
+    out = out.withColumn("in_extent", F.coalesce(F.col("total") > 0, F.lit(False)))
     total = F.col("total") if coverage == "touched" else F.when(F.col("in_extent"), F.lit(max(1, round((window_m / abs(raster.header.a)) ** 2)))).otherwise(0)
     pct = F.when(total > 0, F.least(F.col("n_pixels") * 100.0 / total, F.lit(100.0))).otherwise(0.0)
     return out.withColumns({"had_nodata": F.col("in_extent") & (F.col("n_pixels") < total), "coverage_pct": pct})
 
 
+#: More classes than this, found in the data, are refused: each makes a column.
+MAX_CLASSES = 2000
+
+
 def window_classes(points: DataFrame, raster: Raster, window_m: float, names: list[str], bands: list[str], classes: list[int] | None = None) -> DataFrame:
     """One row for each point with a valid pixel: _row and ``{band}.class_{k}_count`` / ``_fraction``, zero where a class is absent.
 
-    The classes are those of all windows (a distinct pass over small integers)
-    unless they are given; codes are truncated to integers and then counted.
+    The classes are ``classes`` or those of all windows: then the counts, a row
+    for each point and class, are written once to the shared folder, and the codes
+    are read from there.  Codes are truncated to integers and then counted; a
+    continuous band, with more than MAX_CLASSES codes, is refused.
     """
     px = window_pixels(points, raster, window_m, bands)
     long = px.select(ROW, F.inline(F.array(*(F.struct(F.lit(b).alias("band"), F.col(b).cast("int").alias("k")) for b in bands)))).where("k is not null")
     counts = long.groupBy(ROW, "band", "k").agg(F.count("*").alias("n"))
     if classes is None:
-        classes = [r["k"] for r in long.select("k").distinct().orderBy("k").collect()]
+        counts = cut(counts, shared_folder(points.sparkSession), "class-counts")
+        classes = sorted(r["k"] for r in counts.select("k").distinct().limit(MAX_CLASSES + 1).collect())
+        if len(classes) > MAX_CLASSES:
+            raise ValueError(f"more than {MAX_CLASSES} classes; name those to count, or use reducers for continuous data")
     both = [("count", lambda n, _: n), ("fraction", lambda n, t: n / t)]
+    total = {b: F.sum(F.when(F.col("band") == b, F.col("n"))) for b in bands}
     aggs = []
     for b in bands:
-        total = F.sum(F.when(F.col("band") == b, F.col("n")))
         for k in classes:
             own = F.coalesce(F.sum(F.when((F.col("band") == b) & (F.col("k") == k), F.col("n"))), F.lit(0))
-            aggs += [f(own, total).alias(f"{b}.class_{k}_{kind}") for kind, f in both if f"class_{kind}" in names]
+            aggs += [f(own, total[b]).alias(f"{b}.class_{k}_{kind}") for kind, f in both if f"class_{kind}" in names]
     if not aggs:
         return counts.select(ROW).distinct()
     return counts.groupBy(ROW).agg(*aggs)

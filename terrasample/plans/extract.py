@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from dataclasses import replace
 from pathlib import Path
 from typing import Any
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrasample.functions import crs, reducers
@@ -18,9 +19,15 @@ from terrasample.plans import catalog as catalogs
 from terrasample.plans import config as configs
 from terrasample.plans import progress
 from terrasample.sources import geotiff, points as point_source, sinks
-from terrasample.sources.raster import Raster, open_raster, pixels_of_tiles
+from terrasample.sources.raster import Raster, open_raster, pixels_of_tiles, tiles_of_pixels
+from terrasample.sources.shared import cut, shared_folder
 
 MAX_TILE_BYTES = 32 * 2**20
+#: A number that keeps the rows' order; made once, in the branch that the result is joined to.
+ORDER = "_order"
+DATE_SOURCES = ("nearest_to_sample", "clamped_to_nearest", "most_recent_no_date", "contains_sample_date")
+#: Metres of a degree at the equator, the scale of assets without their own projection.
+DEFAULT_DEGREE = 111_319.49
 #: Of latitude, for the size of a tile of a raster in degrees.
 METRES_PER_DEGREE = 111_320
 
@@ -45,22 +52,27 @@ def _bands(spec: dict[str, Any], chosen: configs.Selection, raster: Raster) -> t
     return names, isinstance(wanted, list) if numbered else len(names) > 1
 
 
-def dataset_columns(points: DataFrame, raster: Raster, name: str, names: list[str], bands: list[str], multi: bool, window_m: int, *, policy: str = "nearest", coverage: str = "touched", expand_subpixel: bool = False, classes: list[int] | None = None, with_point: bool = True, point_only: bool = False) -> tuple[DataFrame, list[str], list[str]]:
+def dataset_columns(points: DataFrame, raster: Raster, name: str, names: list[str], bands: list[str], multi: bool, window_m: int, *, policy: str = "nearest", coverage: str = "touched", expand_subpixel: bool = False, classes: list[int] | None = None, with_point: bool = True, scale: float | None = None, by_zone: bool = False) -> tuple[DataFrame, list[str], list[str]]:
     """_row with the named statistics and quality columns of one dataset and window; their two lists of names."""
     raster = raster.select(bands)
+    points = _located(points, raster)
     extra: list[str] = []
+    if raster.images is not None and asof.undated(raster.images):
+        raster = _flattened(raster)
     if raster.images is not None:
         if "date" not in points.columns:
             points = points.withColumn("date", F.lit(None).cast("date"))
-        points = asof.match_images(points, raster.images, policy)
+        keys = ("utm_zone",) if by_zone and "utm_zone" in raster.images.columns else ()
+        points = points.withColumn("utm_zone", crs.utm_zone_label(F.col("lat"), F.col("lon"))) if keys else points
+        points = asof.match_images(points, raster.images, policy, keys=keys)
         extra = ["date_clamped", "date_source", "image_time_start", "image_time_end"]
-    side = effective_window(window_m, abs(raster.header.a)) if expand_subpixel else window_m
+    side = effective_window(window_m, scale or abs(raster.header.a)) if expand_subpixel else window_m
     label = {b: f"{name}_{b}_" if multi else f"{name}_" for b in bands}
     out = points.select(window.ROW, *extra)
     stats, made = [], {}
     windowed = [n for n in names if n != reducers.POINT]
     quality = None
-    if windowed and not point_only:
+    if windowed:
         quality = window.window_stats(points, raster, side, windowed, bands, coverage)
         out = out.join(quality, window.ROW, "left")
         scalar = [n for n in windowed if reducers.is_scalar(n)]
@@ -91,6 +103,33 @@ def dataset_columns(points: DataFrame, raster: Raster, name: str, names: list[st
     return out.select(window.ROW, *(c.alias(k) for k, c in (made | flags).items())), stats, list(flags)
 
 
+def _located(points: DataFrame, raster: Raster) -> DataFrame:
+    """``points`` with x and y for a raster without a system, whose plane is that of the coordinates."""
+    return points.withColumns({"x": F.col("lon"), "y": F.col("lat")}) if raster.header.crs is None and "x" not in points.columns else points
+
+
+def native_scale(spec: dict[str, Any], raster: Raster) -> float:
+    """Metres of a pixel: the catalog's native_scale_m, else the raster's own.
+
+    A remote asset's copy whose pixels are the default degree has lost its
+    projection; its true scale must be stated.
+    """
+    own, h = spec.get("dataset_spec") or {}, raster.header
+    if own.get("native_scale_m"):
+        return float(own["native_scale_m"])
+    scale = abs(h.a) * (DEFAULT_DEGREE if h.crs == 4326 else 1)
+    if spec.get("data_source") == "earth_engine" and h.crs == 4326 and abs(scale - DEFAULT_DEGREE) < 1:
+        raise ValueError(f"{spec.get('path')}: pixels of one degree are the default of an asset without its own projection; state native_scale_m in dataset_spec")
+    return scale
+
+
+def _flattened(raster: Raster) -> Raster:
+    """A collection without dates as one image: of every pixel the last valid value by image_id."""
+    bands = list(raster.header.bands)
+    flat = terrain.mosaic(pixels_of_tiles(raster), raster.images.select("image_id", F.lit(None).cast("date").alias("time_start")), bands)
+    return replace(raster, images=None, tiles=tiles_of_pixels(flat, raster.header, raster.size))
+
+
 def extract(
     df: DataFrame,
     config: dict | list | str | Path,
@@ -117,7 +156,7 @@ def extract(
     names = {id_column: "id", latitude_column: "lat", longitude_column: "lon"} | ({date_column: "date"} if date_column in df.columns else {})
     clash = [c for c in ("id", "lat", "lon", "date") if c in df.columns and c not in names]
     points = df.drop(*clash).withColumnsRenamed(names)
-    checked = point_source.check(window.with_row_ids(points), input_crs=input_crs)
+    checked = point_source.check(points.withColumn(ORDER, F.monotonically_increasing_id()), input_crs=input_crs)
     catalog = {**catalogs.datasets(), **{k: {"data_source": "given", "path": k, "data_type": r.meta.get("data_type", "continuous"), **r.meta.get("spec", {})} for k, r in (rasters or {}).items() if k not in catalogs.datasets()}}
     results: dict[str, Any] = {}
     opened: dict[str, Raster] = dict(rasters or {})
@@ -125,8 +164,9 @@ def extract(
         run = configs.parse(raw, index, catalog, catalogs.DEFAULTS)
         notes: dict[str, Any] = {"points": checked.warnings} if checked.warnings else {}
         info: dict[str, Any] = {}
-        base = checked.points
-        total = base.count() if progress_callback or write_metadata or not quiet else 0
+        base = window.keyed(checked.points)
+        places = window.sites(base)
+        total = base.count() if progress_callback or not quiet else 0
         wide, stats, flags = base, [], []
         for chosen in run.datasets:
             spec = catalog[chosen.name]
@@ -137,14 +177,17 @@ def extract(
             for derived in chosen.derived:
                 raster = _with_derived(raster, derived, bands[0])
             if chosen.derived:
-                bands, multi = [*(bands if chosen.bands else []), *chosen.derived], len(chosen.derived) + (len(bands) if chosen.bands else 0) > 1
+                bands = [*(bands if chosen.keeps_source else []), *chosen.derived]
+                multi = len(bands) > 1
             kind = spec.get("data_type", "continuous")
             own = spec.get("dataset_spec") or {}
+            remote, scale = spec.get("data_source") == "earth_engine", native_scale(spec, raster)
             if run.output_type == "raster":
                 for w in run.windows:
                     key = f"{run.batch_id}:{chosen.name}" + (f":{w}m" if len(run.windows) > 1 else "")
-                    results[key] = _tiles(base, raster.select(bands), w, run.resample_m, chosen.name, f"{output_dir}/{run.batch_id}/{chosen.name}", len(run.windows) > 1, own.get("collection_date_policy", "nearest"))
-                info[chosen.name] = {"path": spec.get("path"), "crs": raster.header.crs, "resolution": abs(raster.header.a), "bands": bands}
+                    results[key], summary = _tiles(base, raster.select(bands), w, run.resample_m, chosen.name, f"{output_dir}/{run.batch_id}/{chosen.name}", len(run.windows) > 1, own.get("collection_date_policy", "nearest"), scale)
+                    info.setdefault(chosen.name, _described(spec, raster, bands, scale))[f"tiles_{w}m"] = summary
+                    total = summary["total"]
                 continue
             wanted = run.statistics_for(chosen.name, kind)
             if found := reducers.type_warnings(wanted, kind):
@@ -154,54 +197,118 @@ def extract(
                 only_point = set(wanted) == {reducers.POINT}
                 if k and only_point:
                     continue
-                cols, s, f = dataset_columns(base, raster, chosen.name, wanted, bands, multi, w, policy=own.get("collection_date_policy", "nearest"), coverage=own.get("coverage", "touched"), with_point=k == 0)
+                cols, s, f = dataset_columns(places, raster, chosen.name, wanted, bands, multi, w, policy=own.get("collection_date_policy", "nearest"), coverage=own.get("coverage", "geometric" if remote else "touched"), expand_subpixel=own.get("expand_subpixel", remote), classes=own.get("classes"), with_point=k == 0, scale=scale, by_zone=bool(own.get("use_utm_zone")))
                 wide = wide.join(cols.drop(*(c for c in cols.columns if c in wide.columns and c != window.ROW)), window.ROW, "left")
                 stats, flags = [*stats, *(c for c in s if c not in stats)], [*flags, *(c for c in f if c not in flags)]
                 progress.emit(progress_callback, progress.ProgressEvent(run.batch_id, chosen.name, w, total, total), quiet)
-            info[chosen.name] = {"path": spec.get("path"), "crs": raster.header.crs, "resolution": abs(raster.header.a), "bands": bands, "data_type": kind}
+            info[chosen.name] = _described(spec, raster, bands, scale) | {"data_type": kind}
         if run.output_type == "raster":
             if write_metadata:
-                sinks.write_sidecar(sinks.sidecar(run.batch_id, n_points=total, config=raw, datasets=info, warnings=notes), f"{output_dir}/{run.batch_id}", run.batch_id)
+                sinks.write_sidecar(spark, sinks.sidecar(run.batch_id, n_points=total, config=raw, datasets=info, warnings=notes), f"{output_dir}/{run.batch_id}", run.batch_id)
             continue
-        table, quality = _assembled(wide, df, names, stats, flags, input_crs)
+        # written once: the table, the quality table and the summaries below read it from the shared folder
+        wide = cut(wide.drop(window.ROW), shared_folder(spark), "extracted")
+        table, quality = _assembled(wide, df, names, stats, flags)
         if run.output_file_format == "dataframe":
             results[run.batch_id] = table
         else:
             results[run.batch_id] = sinks.write_table(table, output_dir, run.batch_id, run.output_file_format)
         sinks.write_table(quality, output_dir, f"{run.batch_id}_qc", "csv" if run.output_file_format == "dataframe" else run.output_file_format)
         if write_metadata:
-            for chosen in run.datasets:
-                pct = next((c for c in flags if c.startswith(f"{chosen.name}_coverage_pct_")), None)
-                if pct:
-                    info[chosen.name]["quality"] = qc.coverage_summary(wide.select("id", F.col(pct).alias("coverage_pct"))).first().asDict()
-                    if low := wide.where(F.col(pct) < run.min_coverage_pct).count():
-                        notes.setdefault(chosen.name, []).append(f"{low} points below {run.min_coverage_pct} % coverage")
-            sinks.write_sidecar(sinks.sidecar(run.batch_id, n_points=total, config=raw, datasets=info, warnings=notes), output_dir, run.batch_id)
+            total, found = _summaries(wide, [chosen.name for chosen in run.datasets], flags, run.min_coverage_pct)
+            for name, quality_of in found.items():
+                low = {w: q.pop("n_low") for w, q in quality_of["windows"].items()}
+                for w, n in low.items():
+                    if n:
+                        notes.setdefault(name, []).append(f"{n} points below {run.min_coverage_pct} % coverage ({w})")
+                info[name] |= quality_of
+            sinks.write_sidecar(spark, sinks.sidecar(run.batch_id, n_points=total, config=raw, datasets=info, warnings=notes), output_dir, run.batch_id)
     if not many and len(results) == 1 and isinstance(next(iter(results.values())), DataFrame):
         return next(iter(results.values()))
     return results
 
 
-def _assembled(wide: DataFrame, given: DataFrame, names: dict[str, str], stats: list[str], flags: list[str], input_crs: str | None) -> tuple[DataFrame, DataFrame]:
+def _described(spec: dict[str, Any], raster: Raster, bands: list[str], scale: float) -> dict[str, Any]:
+    """A dataset's entry in the sidecar: where it comes from, its system, extent, type and missing value."""
+    h = raster.header
+    corner = lambda r, c: (h.a * c + h.b * r + h.c, h.d * c + h.e * r + h.f)
+    xs, ys = zip(*(corner(r, c) for r in (0, h.height) for c in (0, h.width)), strict=True)
+    nodata = h.nodata[0] if h.nodata[0] is not None else (raster.meta.get("nodata") or (None,))[0]
+    return {
+        "path": spec.get("path"), "crs": f"EPSG:{h.crs}" if h.crs else None, "resolution": abs(h.a), "native_scale_m": scale, "width": h.width, "height": h.height,
+        "extent": [min(xs), min(ys), max(xs), max(ys)], "dtype": raster.meta.get("dtype", h.dtype), "nodata": nodata, "bands": bands,
+    }
+
+
+def _summaries(wide: DataFrame, names: list[str], flags: list[str], least: float, shown: int = 50) -> tuple[int, dict[str, Any]]:
+    """How many points there are, and for each dataset and window its coverage: points without, with some and with all pixels, ids without data, per-band figures and dates.
+
+    One aggregation over the written table; of the ids without data the first ``shown`` by id are listed, the count is of all.
+    """
+    aggs: dict[str, Any] = {"n": F.count("*")}
+    kinds: dict[str, dict[str, str]] = {}
+    for name in names:
+        for c in flags:
+            prefix = f"{name}_coverage_pct_"
+            if c.startswith(prefix):
+                w = c.removeprefix(prefix)
+                kinds.setdefault(name, {})[w] = c
+                pct = F.coalesce(F.col(f"`{c}`"), F.lit(0.0))
+                aggs |= {f"{c}|no": F.count_if(pct == 0), f"{c}|some": F.count_if((pct > 0) & (pct < 100)), f"{c}|all": F.count_if(pct >= 100), f"{c}|low": F.count_if(pct < least)}
+                for b in (f for f in flags if f.startswith(f"{name}_") and f.endswith(f"_coverage_pct_{w}") and f != c):
+                    aggs |= {f"{b}|min": F.min(F.col(f"`{b}`")), f"{b}|mean": F.avg(F.col(f"`{b}`")), f"{b}|max": F.max(F.col(f"`{b}`"))}
+                source = f"{name}_date_source_{w}"
+                if source in flags:
+                    used = F.struct(F.col(f"`{name}_image_time_start_{w}`").alias("s"), F.coalesce(F.col(f"`{name}_image_time_end_{w}`"), F.col(f"`{name}_image_time_start_{w}`")).alias("e"))
+                    aggs |= {f"{source}|{s}": F.count_if(F.col(f"`{source}`") == s) for s in DATE_SOURCES}
+                    aggs[f"{source}|used"] = F.array_sort(F.collect_set(F.when(F.col(f"`{name}_image_time_start_{w}`").isNotNull(), used)))
+    got = wide.agg(*(v.alias(k) for k, v in aggs.items())).first()
+    out: dict[str, Any] = {}
+    for name, windows in kinds.items():
+        own: dict[str, Any] = {"windows": {}}
+        for w, c in windows.items():
+            q: dict[str, Any] = {"n_no_data": got[f"{c}|no"], "n_partial": got[f"{c}|some"], "n_full": got[f"{c}|all"], "n_low": got[f"{c}|low"]}
+            if q["n_no_data"]:
+                q["ids_no_data"] = [r["id"] for r in qc.ids_without_data(wide.select("id", F.col(f"`{c}`").alias("coverage_pct"))).orderBy("id").limit(shown).collect()]
+            bands = sorted(k.split("|")[0] for k in aggs if k.endswith("|mean") and k.startswith(f"{name}_") and k.split("|")[0].endswith(f"_{w}"))
+            figures = {b: {k: round(v, 2) if (v := got[f"{b}|{k}"]) is not None else None for k in ("min", "mean", "max")} for b in bands}
+            if len({json.dumps(f) for f in figures.values()}) > 1:  # the same for all bands says nothing more
+                q["band_coverage"] = figures
+            source = f"{name}_date_source_{w}"
+            if f"{source}|used" in aggs:
+                q["date_info"] = {f"n_{s}": got[f"{source}|{s}"] for s in DATE_SOURCES} | {"image_date_ranges_used": [list(r) for r in got[f"{source}|used"]]}
+            own["windows"][w] = q
+        first = next(iter(own["windows"].values()))
+        own["quality"] = {k: v for k, v in first.items() if k not in ("n_low", "date_info")}
+        if "date_info" in first:
+            own["date_info"] = first["date_info"]
+        out[name] = own
+    return got["n"], out
+
+
+def _assembled(wide: DataFrame, given: DataFrame, names: dict[str, str], stats: list[str], flags: list[str]) -> tuple[DataFrame, DataFrame]:
     """The statistics table with the caller's columns and names, and the quality table; both in input order."""
     reverse = {v: k for k, v in names.items()}
     moved = "lat_original" in wide.columns
-    value = lambda c: F.col(f"{c}_original") if moved and c in ("lat", "lon") else dates_text(c)
-    dates_text = lambda c: F.date_format(c, "yyyy-MM-dd") if c == "date" else F.col(c)
+
+    def value(c: str) -> Column:
+        if moved and c in ("lat", "lon"):
+            return F.col(f"{c}_original")
+        return F.date_format(c, "yyyy-MM-dd") if c == "date" else F.col(c)
+
     core = [value(c).alias(reverse[c]) for c in ("id", "lat", "lon", "date") if c in reverse]
     if moved:
         core += [F.col(c).alias(f"{reverse[c]}_wgs84") for c in ("lat", "lon")]
     passed = [F.col(f"`{c}`") for c in given.columns if c not in names and c in wide.columns]
     doubles = {c for c, t in wide.dtypes if t in ("double", "float")}
-    rounded = [reducers.round_half_even(F.col(f"`{c}`"), catalogs.DEFAULTS["stats_output_decimals"]).alias(c) if c in doubles else F.col(f"`{c}`") for c in stats]
-    rows = wide.orderBy(window.ROW)
+    decimals = catalogs.DEFAULTS["stats_output_decimals"]
+    rounded = [reducers.round_half_even(F.col(f"`{c}`"), decimals).alias(c) if c in doubles else F.col(f"`{c}`") for c in stats]
+    rows = wide.orderBy(ORDER)
     return rows.select(*core, *passed, *rounded), rows.select(*core, *(F.col(f"`{c}`") for c in flags))
 
 
 def _with_derived(raster: Raster, name: str, band: str) -> Raster:
     """``raster`` with slope or aspect of a band as another band."""
-    from terrasample.sources.raster import tiles_of_pixels
-
     made = {"slope": terrain.slope, "aspect": terrain.aspect}[name](pixels_of_tiles(raster.select([band])), band, raster.header)
     header = replace(raster.header, bands=(name,), nodata=(None,))
     extra = tiles_of_pixels(made, header, raster.size)
@@ -255,20 +362,26 @@ def tile_values(points: DataFrame, raster: Raster, window_m: float, step: float
     return frame.drop("r0", "c0").join(packed.select(window.ROW, F.col("ps.o").alias("o"), values.alias("values")), window.ROW, "left")
 
 
-def _tiles(points: DataFrame, raster: Raster, window_m: int, step: float | None, name: str, folder: str, suffixed: bool, policy: str = "nearest") -> str:
-    """Write a GeoTIFF of each point's window, with all bands, as rows (name, content) of a table; its path.
+def _tiles(points: DataFrame, raster: Raster, window_m: int, step: float | None, name: str, folder: str, suffixed: bool, policy: str = "nearest", scale: float | None = None) -> tuple[str, dict[str, int]]:
+    """Write a GeoTIFF file of each point's window, with all bands; the folder, and how many were written and not.
 
-    Of a collection each point's image is taken; points outside the raster get no tile.
+    Of a collection each point's image is taken.  Points outside the raster, and
+    tiles that can't be encoded, have no file and count as failed.
     """
     h = raster.header
-    check_tile_size(window_m, step or abs(h.a) * (METRES_PER_DEGREE if h.crs == 4326 else 1), len(h.bands))
-    if h.crs is None:
-        points = points.withColumns({"x": F.col("lon"), "y": F.col("lat")})
+    check_tile_size(window_m, step or scale or abs(h.a) * (METRES_PER_DEGREE if h.crs == 4326 else 1), len(h.bands))
+    places = _located(window.sites(points), raster)
     if raster.images is not None:
-        points = asof.match_images(points if "date" in points.columns else points.withColumn("date", F.lit(None).cast("date")), raster.images, policy)
+        if asof.undated(raster.images):
+            raster = _flattened(raster)
+        else:
+            places = asof.match_images(places if "date" in places.columns else places.withColumn("date", F.lit(None).cast("date")), raster.images, policy)
     label = F.concat(F.col("id").cast("string"), F.lit(f"-{name}" + (f"-{window_m}m" if suffixed else "") + ".tif"))
-    rows = points.select(window.ROW, label.alias("name")).join(tile_values(points, raster, window_m, step), window.ROW).drop(window.ROW)
+    rows = points.select(window.ROW, label.alias("name")).join(tile_values(places, raster, window_m, step), window.ROW).drop(window.ROW)
     path = f"{folder}/tiles" + (f"-{window_m}m" if suffixed else "")
     given = h.nodata[0] if h.nodata[0] is not None else (raster.meta.get("nodata") or (None,))[0]
-    geotiff.write_tiles(rows, replace(h, nodata=(given,) * len(h.bands))).write.mode("overwrite").parquet(path)
-    return path
+    files = sinks.write_files(geotiff.write_tiles(rows, replace(h, nodata=(given,) * len(h.bands))), path)
+    found = cut(files, shared_folder(points.sparkSession), "tiles").agg(F.count_if("written").alias("n")).first()["n"]
+    total = points.count()
+    zones = [r["epsg"] for r in crs.zones(points).orderBy("epsg").collect()] if step and h.crs else []
+    return path, {"n_exported": found, "n_failed": total - found, "total": total} | ({"zones": zones} if zones else {})

@@ -7,14 +7,18 @@ key, nodata where p_size is 1) and ``customer`` as points on it.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrasample.functions import crs, dates, grid, reducers
 from terrasample.operators import asof, qc, terrain, window
 from terrasample.plans import catalog
+from terrasample.sources import geotiff
+from terrasample.sources import points as point_source
 from terrasample.sources.raster import Raster, pixels_of_tiles, tiles_of_pixels
+from terrasample.sources.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -59,16 +63,19 @@ def customer_points(spark: SparkSession, d: str, raster: Raster) -> DataFrame:
 _PX = """px as (select cast(floor(p_partkey / 50) as int) as r, cast(p_partkey % 50 as int) as c,
   case when p_size <> 1 then p_retailprice end as b1, p_size::double as b2, (p_partkey % 7)::double as b3 from part),
 hd as (select cast(ceil((max(p_partkey) + 1) / 50.0) as bigint) as rows from part),
+pe as (select c_custkey as id, ((c_custkey * 37) % 180)::double as x, ((c_custkey * 53) % 90)::double as y, n_name as name from customer join nation on n_nationkey = c_nationkey),
 pt as (select c_custkey as id, ((c_custkey * 37) % 500)::double as x, ((c_custkey * 53) % (10 * (select rows from hd)))::double as y from customer)"""
 
 
-def _win(w: int, cond: str = "true") -> str:
+def _win(w: int, cond: str = "true", size: int = 10, points: str = "pt") -> str:
     h = w / 2
+    touched = lambda c, n: f"greatest(least(ceil(({c} + {h}) / {size}) - 1, {n}) - greatest(floor(({c} - {h}) / {size}), 0) + 1, 0)"
+    rows = "(select rows from hd) - 1"
     return f"""with {_PX},
-rng as (select id, x, y, greatest(ceil((y - {h}) / 10 - 0.5), 0) as r0, least(ceil((y + {h}) / 10 - 0.5) - 1, (select rows from hd) - 1) as r1,
-  greatest(ceil((x - {h}) / 10 - 0.5), 0) as c0, least(ceil((x + {h}) / 10 - 0.5) - 1, 49) as c1,
-  greatest(least(ceil((y + {h}) / 10) - 1, (select rows from hd) - 1) - greatest(floor((y - {h}) / 10), 0) + 1, 0)
-  * greatest(least(ceil((x + {h}) / 10) - 1, 49) - greatest(floor((x - {h}) / 10), 0) + 1, 0) as total from pt),
+rng as (select id, x, y,
+  greatest(ceil((y - {h}) / {size} - 0.5), 0) as r0, least(ceil((y + {h}) / {size} - 0.5) - 1, {rows}) as r1,
+  greatest(ceil((x - {h}) / {size} - 0.5), 0) as c0, least(ceil((x + {h}) / {size} - 0.5) - 1, 49) as c1,
+  {touched("y", rows)} * {touched("x", "49")} as total from {points}),
 ids as (select id, total, unnest(range(r0::bigint, r1::bigint + 1)) as r, c0, c1 from rng),
 idc as (select id, total, r, unnest(range(c0::bigint, c1::bigint + 1)) as c from ids),
 w as (select idc.id, total, b1, b2, b3 from idc join px on px.r = idc.r and px.c = idc.c where {cond})
@@ -88,12 +95,9 @@ def _grouped(select: str, w: int = 100) -> str:
     return _win(w) + f"select pt.id, {select} from pt left join w on w.id = pt.id group by pt.id"
 
 
-@query(_grouped("count(b1) as n_pixels, round_even(sum(b1::decimal(18,4))::double / count(b1) * 1e5, 0) / 1e5 as mean"))
+@query(_grouped("count(b2) as n_pixels, round_even(avg(b2) * 1e5, 0) / 1e5 as mean"))
 def window_mean(spark: SparkSession, d: str) -> DataFrame:
-    raster = part_raster(spark, d)
-    px = window.window_pixels(customer_points(spark, d, raster), raster, 100, ["b1"])
-    found = px.groupBy("_row").agg(F.count("b1").alias("n"), (F.sum(F.col("b1").cast("decimal(18,4)")).cast("double") / F.count("b1")).alias("m"))
-    return customer_points(spark, d, raster).join(found, "_row", "left").select(F.col("_row").alias("id"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_pixels"), reducers.round_half_even(F.col("m"), 5).alias("mean"))
+    return _stats(spark, d, ["mean"], bands=("b2",)).select("id", "n_pixels", F.expr(_exact("b2.mean")).alias("mean"))
 
 
 @query(_grouped("median(b1) as median"))
@@ -242,21 +246,21 @@ def utm_zone_label(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {_LL} select distinct 32600 + cast(least(floor((lon + 180) / 6) + 1, 60) as int) as epsg from ll")
 def tile_zones(spark: SparkSession, d: str) -> DataFrame:
-    return event_points(spark, d).select(crs.utm_epsg(F.col("lat"), F.col("lon")).alias("epsg")).distinct()
+    return crs.zones(event_points(spark, d))
 
 
-@query(f"with {_utm_sql()} select id, round(degrees(2 * atan(exp(y / 6378137)) - pi() / 2), 6) as lat, round(degrees(x / 6378137), 6) as lon from (select id, radians(lon) * 6378137 as x, ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137 as y from ll)")
+@query(f"with {_utm_sql()} select id, round(degrees(2 * atan(exp(y / 6378137)) - pi() / 2), 6) as lat, round(degrees(x / 6378137), 6) as lon, round(x, 2) as x, round(y, 2) as y from (select id, radians(lon) * 6378137 as x, ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137 as y from ll)")
 def crs_reproject(spark: SparkSession, d: str) -> DataFrame:
     p = event_points(spark, d)
     x, y = crs.mercator_forward(F.col("lat"), F.col("lon"))
     lat, lon = crs.mercator_inverse(x, y)
-    return p.select("id", F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"))
+    return p.select("id", F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"), F.round(x, 2).alias("x"), F.round(y, 2).alias("y"))
 
 
 @query(f"with {_LL} select count(*) as n, count(*) filter (where abs(lat * 1.4) > 90 or abs(lon * 8) > 180) as n_bad from ll")
 def coordinate_validate(spark: SparkSession, d: str) -> DataFrame:
-    bad = (F.abs(F.col("lat") * 1.4) > 90) | (F.abs(F.col("lon") * 8) > 180) | F.isnan("lat") | F.isnan("lon")
-    return event_points(spark, d).agg(F.count("*").alias("n"), F.count_if(bad).alias("n_bad"))
+    p = event_points(spark, d).withColumns({"lat": F.col("lat") * 1.4, "lon": F.col("lon") * 8})
+    return p.agg(F.count("*").alias("n"), F.count_if(point_source.out_of_range()).alias("n_bad"))
 
 
 # Image collection: the months of the orders; sample dates: ship dates moved back and forth.
@@ -268,8 +272,8 @@ def month_images(spark: SparkSession, d: str) -> DataFrame:
     return m.select(F.date_format("time_start", "yyyyMM").alias("image_id"), "time_start", F.lit(None).cast("date").alias("time_end"))
 
 
-def ship_dates(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.date_sub(F.to_date("l_shipdate"), (F.col("l_linenumber") * 60).cast("int")).alias("date"))
+def ship_dates(spark: SparkSession, d: str, *extra: Column) -> DataFrame:
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *extra, F.date_sub(F.to_date("l_shipdate"), (F.col("l_linenumber") * 60).cast("int")).alias("date"))
 
 
 def _asof_out(m: DataFrame) -> DataFrame:
@@ -294,6 +298,26 @@ def asof_no_date(spark: SparkSession, d: str) -> DataFrame:
     return asof.match_images(ship_dates(spark, d).withColumn("date", F.lit(None).cast("date")), month_images(spark, d)).select("l_orderkey", "l_linenumber", "image_id", "date_source")
 
 
+@query("select l_orderkey, l_linenumber, cast(null as varchar) as image_id, false as date_clamped, cast(null as varchar) as date_source from lineitem")
+def asof_undated(spark: SparkSession, d: str) -> DataFrame:
+    """A collection without start times matches nothing, and all rows stay."""
+    images = month_images(spark, d).withColumn("time_start", F.lit(None).cast("date"))
+    return asof.match_images(ship_dates(spark, d), images).select("l_orderkey", "l_linenumber", "image_id", "date_clamped", "date_source")
+
+
+@query("""with im as (select distinct date_trunc('month', o_orderdate)::date as s, o_orderstatus as k from orders),
+ dt as (select l_orderkey, l_linenumber, l_linestatus as k, (l_shipdate::date - (l_linenumber * 60)::int) as d from lineitem), u as (select distinct k, d from dt),
+ pick as (select u.k, d, coalesce(max(s) filter (where s <= d), min(s)) as s from u join im on im.k = u.k group by all)
+select l_orderkey, l_linenumber, strftime(p.s, '%Y-%m-%d') as start_day from dt left join pick p on p.d = dt.d and p.k = dt.k""")
+def asof_by_key(spark: SparkSession, d: str) -> DataFrame:
+    """Rows matched within their own key, as tiles of a collection by their zone."""
+    images = table(spark, d, "orders").select(F.col("o_orderstatus").alias("k"), F.trunc("o_orderdate", "month").alias("time_start")).distinct()
+    images = images.select("k", F.date_format("time_start", "yyyyMM").alias("image_id"), "time_start", F.lit(None).cast("date").alias("time_end"))
+    rows = ship_dates(spark, d, F.col("l_linestatus").alias("k"))
+    m = asof.match_images(rows, images, "contains", keys=("k",))
+    return m.select("l_orderkey", "l_linenumber", F.date_format("image_time_start", "yyyy-MM-dd").alias("start_day"))
+
+
 @query(_NEAR + "select count(*) filter (where not (dt.d < lo or dt.d > hi)) as n_nearest_to_sample, count(*) filter (where dt.d < lo or dt.d > hi) as n_clamped_to_nearest, count(distinct p.s) as n_ranges from dt join pick p on p.d = dt.d, b")
 def date_info_summary(spark: SparkSession, d: str) -> DataFrame:
     m = asof.match_images(ship_dates(spark, d), month_images(spark, d), "nearest")
@@ -390,6 +414,28 @@ def tile_multiband(spark: SparkSession, d: str) -> DataFrame:
     return cells.select("id", F.floor(F.col("z.o") / F.col("width")).cast("int").alias("i"), (F.col("z.o") % F.col("width")).cast("int").alias("j"), "z.b1", "z.b2", "z.b3").where("b2 is not null")
 
 
+@query(_win(80).split("ids as (")[0].rstrip().rstrip(",") + """
+select id, (c0::int * 10)::double as left_x, (r0::int * 10)::double as top_y, (r1 - r0 + 1)::int as height, (c1 - c0 + 1)::int as width from rng""")
+def tile_native_crop(spark: SparkSession, d: str) -> DataFrame:
+    """Place and size of each point's block of native pixels."""
+    from terrasample.plans.extract import tile_values
+
+    raster = part_raster(spark, d)
+    return tile_values(customer_points(spark, d, raster), raster, 80).select(F.col("_row").alias("id"), F.col("left").alias("left_x"), F.col("top").alias("top_y"), "height", "width")
+
+
+@query(_win(80).split("w as (")[0].rstrip().rstrip(",") + """
+select idc.id, 2147483647::double as nodata, count(*) - count(b1) as n_missing, sum(floor(b1 + 0.5))::bigint as total from idc left join px on px.r = idc.r and px.c = idc.c group by idc.id""")
+def tile_nodata(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles of whole numbers written as files and read back: missing cells hold the type's own nodata value."""
+    from terrasample.plans.extract import tile_values
+
+    raster = part_raster(spark, d)
+    tiles = tile_values(customer_points(spark, d, raster), raster, 80)
+    files = geotiff.write_tiles(tiles.withColumn("name", F.col("_row").cast("string")), replace(raster.header, dtype="int32"))
+    return geotiff.summary(files).select(F.col("name").cast("bigint").alias("id"), "nodata", "n_missing", F.col("total").cast("bigint").alias("total"))
+
+
 @query("select l_orderkey, l_linenumber, floor(l_extendedprice / 30 + 0.5) * 30 as half_up, round_even(l_extendedprice / 30, 0) * 30 as half_even from lineitem")
 def snap_to_grid(spark: SparkSession, d: str) -> DataFrame:
     x = F.col("l_extendedprice")
@@ -427,6 +473,24 @@ def extract_tabular(spark: SparkSession, d: str) -> DataFrame:
     return points.join(cols, "_row", "left").select(F.col("_row").alias("occurrenceID"), (F.col("y") / 1000).alias("decimalLatitude"), (F.col("x") / 1000).alias("decimalLongitude"), *stats)
 
 
+_END = _win(12, size=3, points="pe") + """select pe.id as "occurrenceID", pe.y as "decimalLatitude", pe.x as "decimalLongitude", pe.name as place, max(w.b1) as part_max_12m, median(w.b1) as part_median_12m, nullif(count(w.b1), 0) as part_count_12m, max(a.b1) as part_point
+from pe left join w on w.id = pe.id left join px a on a.r = floor(pe.y / 3) and a.c = floor(pe.x / 3) group by pe.id, pe.y, pe.x, pe.name"""
+
+
+@query(_END)
+def extract_end_to_end(spark: SparkSession, d: str) -> DataFrame:
+    """extract() itself, on points that come out of a join."""
+    from terrasample.plans.extract import extract
+
+    raster = part_raster(spark, d)
+    raster = replace(raster, header=replace(raster.header, a=3.0, e=3.0))
+    k = F.col("c_custkey")
+    points = table(spark, d, "customer").select(k.alias("occurrenceID"), ((k * 53) % 90).cast("double").alias("decimalLatitude"), ((k * 37) % 180).cast("double").alias("decimalLongitude"), "c_nationkey")
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("place"))
+    settings = {"output_type": "tabular", "statistics": ["max", "median", "count", "point"], "window_size_m": 12, "output_file_format": "dataframe"}
+    return extract(points.hint("shuffle_hash").join(nations, "c_nationkey").drop("c_nationkey"), {"datasets": ["part"], "settings": settings}, output_dir=shared_folder(spark), rasters={"part": raster}, write_metadata=False, quiet=True)
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

@@ -257,6 +257,20 @@ def write_tiles(rows: DataFrame, header: Header) -> DataFrame:
     return rows.mapInArrow(run, "name string, content binary")
 
 
+def summary(files: DataFrame) -> DataFrame:
+    """name, nodata, n_missing and total (of the first band's other values) of files (name, content)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content"), strict=True):
+                nodata, x = header_of(content.as_py()).nodata[0], decode(content.as_py())[0].astype(np.float64)
+                missing = np.isnan(x) if nodata is None or nodata != nodata else x == nodata
+                out.append({"name": name, "nodata": nodata, "n_missing": int(missing.sum()), "total": float(x[~missing].sum())})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("name", pa.string()), ("nodata", pa.float64()), ("n_missing", pa.int64()), ("total", pa.float64())]))
+
+    return files.select("name", "content").mapInArrow(run, "name string, nodata double, n_missing bigint, total double")
+
+
 def synthetic_nodata(dtype: str) -> float:
     """NaN for floats, the largest value for integers, else 0."""
     k = np.dtype(dtype)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrasample.functions import crs, dates
@@ -23,6 +23,11 @@ def require_columns(points: DataFrame, needed: list[str]) -> None:
         raise ValueError(f"Missing columns {missing}; expected {needed}, found {points.columns}")
 
 
+def out_of_range() -> Column:
+    """Whether lat, lon isn't a place on the globe: outside of its ranges, NaN or null."""
+    return ~F.coalesce(~F.isnan("lat") & ~F.isnan("lon") & (F.abs("lat") <= 90) & (F.abs("lon") <= 180), F.lit(False))
+
+
 @dataclass
 class Checked:
     """Points with id, lat, lon (WGS84), date (or null) and what the checks have to say."""
@@ -61,7 +66,6 @@ def check(points: DataFrame, *, input_crs: str | None = None, date_col: str = "d
     if code != 4326:
         lat, lon = crs.to_wgs84(F.col("lon"), F.col("lat"), code)
         out = out.withColumns({"lat_original": F.col("lat"), "lon_original": F.col("lon"), "lat": lat, "lon": lon})
-    wrong = ~F.coalesce(~F.isnan("lat") & ~F.isnan("lon") & (F.abs("lat") <= 90) & (F.abs("lon") <= 180), F.lit(False))
-    if rows := out.where(wrong).select("id", "lat", "lon").limit(shown).collect():
+    if rows := out.where(out_of_range()).select("id", "lat", "lon").limit(shown).collect():
         raise ValueError(f"coordinates out of range, such as {[tuple(r) for r in rows]}")
     return Checked(out, has_dates, warnings)

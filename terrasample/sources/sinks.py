@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import os
+from collections.abc import Iterator
 from datetime import datetime
-from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
 VERSION = "0.1.0"
 
@@ -35,8 +37,51 @@ def sidecar(batch_id: str, *, n_points: int, config: dict[str, Any], datasets: d
     return out | ({"warnings": warnings} if warnings else {})
 
 
-def write_sidecar(content: dict[str, Any], folder: str, name: str) -> str:
-    path = Path(folder) / f"{name}_metadata.json"
-    path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text(json.dumps(content, indent=2, default=str))
-    return str(path)
+def _qualified(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    """Spark's file system of a path (relative local ones from the driver's folder) and the whole path."""
+    whole = path if "://" in path or path.startswith("/") else os.path.abspath(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(whole)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, at.makeQualified(fs.getUri(), fs.getWorkingDirectory())
+
+
+def write_sidecar(spark: SparkSession, content: dict[str, Any], folder: str, name: str) -> str:
+    """Write metadata as JSON to any folder that Spark can write; its path."""
+    path = f"{str(folder).rstrip('/')}/{name}_metadata.json"
+    fs, at = _qualified(spark, path)
+    out = fs.create(at, True)
+    try:
+        out.write(bytearray(json.dumps(content, indent=2, default=str).encode()))
+    finally:
+        out.close()
+    return path
+
+
+def write_files(rows: DataFrame, folder: str) -> DataFrame:
+    """Write each row (name, content) as a file of that name below ``folder``; name and written of each row, once asked for.
+
+    Tasks write their own files, under another name first, so a repeated task
+    leaves whole files.  A null content is not written (written = false).
+    ``folder`` is local or in a store that Arrow's file systems know.
+    """
+    _, at = _qualified(rows.sparkSession, folder)
+    uri = at.toString()
+    uri = "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        from pyarrow import fs as stores
+
+        fs, base = stores.FileSystem.from_uri(uri)
+        fs.create_dir(base, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content"), strict=True):
+                if content.is_valid:
+                    part = f"{base}/.{uuid.uuid4().hex}"
+                    with fs.open_output_stream(part) as out:
+                        out.write(content.as_buffer())
+                    fs.move(part, f"{base}/{name}")
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([content.is_valid])], names=["name", "written"])
+
+    return rows.select("name", "content").mapInArrow(run, "name string, written boolean")

@@ -16,8 +16,8 @@ from terrasample.sources.raster import Raster
 def enrich_stream(points: DataFrame, raster: Raster, window_m: float, names: list[str], bands: list[str], path: str, checkpoint: str) -> StreamingQuery:
     """Append each micro-batch's points with their statistics to a Parquet table."""
     def batch(df: DataFrame, number: int) -> None:
-        rows = window.with_row_ids(df)
-        found = window.window_stats(rows, raster, window_m, names, bands)
+        rows = window.keyed(df)
+        found = window.window_stats(window.sites(rows), raster, window_m, names, bands)
         out = rows.join(found, window.ROW, "left").drop(window.ROW)
         out.toDF(*(c.replace(".", "_") for c in out.columns)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 

@@ -2,6 +2,7 @@
 
 import datetime
 import json
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -77,6 +78,82 @@ def test_date_policies(spark, images, policy, day, expected):
         assert str(r["image_time_end"]) == "2020-03-01"
 
 
+def test_collections_that_match_nothing_keep_the_rows(spark, images):
+    rows = spark.createDataFrame([(1, datetime.date(2020, 2, 1)), (2, None)], "k int, date date")
+    for im in (images.where("false"), images.withColumn("time_start", F.lit(None).cast("date"))):
+        got = asof.match_images(rows, im).orderBy("k").collect()
+        assert [(r["k"], r["image_id"], r["date_clamped"], r["date_source"]) for r in got] == [(1, None, False, None), (2, None, False, None)]
+    assert asof.undated(images.where("false")) and not asof.undated(images)
+
+
+def test_images_are_matched_within_their_zone(spark):
+    d = datetime.date
+    im = spark.createDataFrame([("a", d(2020, 1, 1), None, "33N"), ("b", d(2020, 3, 1), None, "34N")], "image_id string, time_start date, time_end date, utm_zone string")
+    rows = spark.createDataFrame([(1, d(2020, 3, 1), "33N"), (2, d(2020, 1, 1), "34N"), (3, d(2020, 1, 1), "35N")], "k int, date date, utm_zone string")
+    assert [r["image_id"] for r in asof.match_images(rows, im, keys=("utm_zone",)).orderBy("k").collect()] == ["a", "b", None]
+
+
+def plane(n=60, crs_code=4326, size=16, **more):
+    """A raster in degrees whose value tells the pixel."""
+    return Header(n, n, 0.01, -0.01, 18.0, 63.0, crs=crs_code, **more), size
+
+
+def plane_raster(spark, n=60):
+    h, size = plane(n)
+    px = spark.range(n * n).select((F.col("id") / n).cast("int").alias("r"), (F.col("id") % n).cast("int").alias("c"), F.col("id").cast("double").alias("b1"))
+    return Raster(h, tiles_of_pixels(px, h, size), size)
+
+
+@pytest.mark.parametrize("kind", ["joined", "repartitioned", "wide", "repeated"])
+def test_extract_of_shuffled_points(spark, tmp_path, kind):
+    """Each point gets its own pixel, whatever lies below the points."""
+    n, r = 3000, plane_raster(spark)
+    k = F.col("id")
+    df = spark.range(n).select(k.alias("occurrenceID"), (63.0 - 0.005 - 0.01 * ((k * 7) % 60)).alias("decimalLatitude"), (18.005 + 0.01 * ((k * 13) % 60)).alias("decimalLongitude"))
+    if kind == "joined":
+        df = df.hint("merge").join(spark.range(n).select(k.alias("occurrenceID"), (k % 5).alias("g")), "occurrenceID")
+    elif kind == "repartitioned":
+        df = df.repartition(7, "occurrenceID").withColumn("g", F.lit(1))
+    elif kind == "wide":
+        df = df.select("*", *(F.lit(c).alias(f"x{c}") for c in range(120))).groupBy(*df.columns).agg(*(F.max(f"x{c}").alias(f"x{c}") for c in range(120)))
+    else:
+        df = df.unionByName(df)
+    out = terrasample.extract(df, {"datasets": ["p"], "settings": {"output_type": "tabular", "statistics": ["point", "max"], "window_size_m": 200, "output_file_format": "dataframe"}}, rasters={"p": r}, quiet=True, write_metadata=False, output_dir=str(tmp_path))
+    rows = out.collect()
+    assert len(rows) == n * (2 if kind == "repeated" else 1)
+    assert all(x["p_point"] == ((x["occurrenceID"] * 7) % 60) * 60 + (x["occurrenceID"] * 13) % 60 for x in rows)
+    if kind == "repeated":
+        assert all(x["p_max_200m"] == x["p_point"] for x in rows)
+
+
+def test_extract_of_an_undated_collection_takes_the_last_valid_value(spark, tmp_path):
+    h = Header(20, 20, 0.01, -0.01, 18.0, 63.0, crs=4326)
+    px = spark.range(2 * 400).select(F.element_at(F.array(F.lit("a"), F.lit("b")), (F.col("id") / 400).cast("int") + 1).alias("image_id"), ((F.col("id") % 400) / 20).cast("int").alias("r"), (F.col("id") % 20).cast("int").alias("c"))
+    px = px.withColumn("b1", F.when((F.col("image_id") == "a") | (F.col("c") < 10), F.ascii("image_id").cast("double")))
+    im = spark.createDataFrame([("a", None, None), ("b", None, None)], "image_id string, time_start date, time_end date")
+    r = Raster(h, tiles_of_pixels(px, h, 16, ("image_id",)), 16, im)
+    df = spark.createDataFrame([("p", 62.9, 18.05), ("q", 62.9, 18.15)], "occurrenceID string, decimalLatitude double, decimalLongitude double")
+    out = terrasample.extract(df, {"datasets": ["ts"], "settings": {"output_type": "tabular", "statistics": ["point"], "output_file_format": "dataframe"}}, rasters={"ts": r}, quiet=True, write_metadata=False, output_dir=str(tmp_path))
+    assert [x["ts_point"] for x in out.collect()] == [float(ord("b")), float(ord("a"))]
+
+
+def test_remote_copies_without_a_projection_are_refused(spark):
+    from terrasample.plans.extract import native_scale
+
+    h = Header(10, 10, 1.0, -1.0, crs=4326)
+    r = Raster(h, spark.createDataFrame([], "tile_row int, tile_col int, b1 array<double>"), 16)
+    with pytest.raises(ValueError, match="native_scale_m"):
+        native_scale({"data_source": "earth_engine", "path": "x"}, r)
+    assert native_scale({"data_source": "earth_engine", "path": "x", "dataset_spec": {"native_scale_m": 30}}, r) == 30
+    assert native_scale({"data_source": "local", "path": "x"}, r) > 111_000
+
+
+@pytest.mark.parametrize("spec", [{"data_source": "local", "supported_derived_bands": ["slope"]}, {"data_source": "earth_engine", "derived_bands": "slope"}, {"data_source": "earth_engine", "supported_derived_bands": ["aspect"], "derived_bands": ["slope"]}])
+def test_derived_bands_must_be_allowed(spec):
+    with pytest.raises(ValueError):
+        config.parse(GOOD | {"datasets": [{"dem": ["slope"]}] if spec["data_source"] == "local" else ["dem"]}, 0, {"dem": spec}, catalog.DEFAULTS)
+
+
 def test_terrain_of_a_plane(spark):
     px = spark.range(100).select((F.col("id") / 10).cast("int").alias("r"), (F.col("id") % 10).cast("int").alias("c")).withColumn("v", F.col("c") * 10.0)
     h = Header(10, 10, 10.0, -10.0)
@@ -144,14 +221,16 @@ def test_configuration_defaults(tmp_path):
 
 
 def test_catalog(spark, tmp_path):
-    assert len(terrasample.list_datasets()) == 26 and terrasample.list_datasets("full")["aef_satellite_embeddings"]["dataset_spec"]["use_utm_zone"]
+    assert len(terrasample.list_datasets()) == 26 and next(r for r in terrasample.list_datasets("full") if r["name"] == "aef_satellite_embeddings")["dataset_spec"]["use_utm_zone"]
+    info = terrasample.list_datasets("info")[0]
+    assert set(info) == {"name", "data_source", "data_type", "description", "citation", "ee_source_url", "source_url"} and info["ee_source_url"].startswith("https://")
     terrasample.update_catalog({"datasets": {"mine": {"data_source": "local", "path": "/x.tif"}}})
     assert "mine" in terrasample.list_datasets() and terrasample.catalog_table(spark).count() == 27
     (tmp_path / "bad.yml").write_text("datasets: [")
     for bad in ({}, {"datasets": {}}, {"datasets": {"a": {"path": "x"}}}, {"datasets": {"a": {"data_source": "earth_engine", "path": "x"}}}, tmp_path / "bad.yml"):
         with pytest.raises(terrasample.CatalogError):
             terrasample.update_catalog(bad)
-    with pytest.raises(FileNotFoundError):
+    with pytest.raises(terrasample.CatalogError):
         terrasample.update_catalog("/no/such.yml")
     terrasample.reset_catalog()
     assert "mine" not in terrasample.list_datasets()
@@ -204,9 +283,11 @@ def test_extract_tiles(spark, dem, tmp_path):
     path, v = dem
     terrasample.update_catalog({"datasets": {"dem": {"data_source": "local", "path": path, "bands": 1}}})
     out = terrasample.extract(sites(spark).limit(2), {"batch_id": "t", "datasets": ["dem"], "settings": {"output_type": "raster", "window_size_m": 80}}, output_dir=str(tmp_path), quiet=True)
-    rows = spark.read.parquet(out["t:dem"]).orderBy("name").collect()
-    assert [r["name"] for r in rows] == ["T2-dem.tif", "T6-dem.tif"]
-    h, x = geotiff.header_of(bytes(rows[0]["content"])), geotiff.decode(bytes(rows[0]["content"]))[0]
+    assert sorted(p.name for p in Path(out["t:dem"]).iterdir()) == ["T2-dem.tif", "T6-dem.tif"]
+    data = (Path(out["t:dem"]) / "T2-dem.tif").read_bytes()
+    h, x = geotiff.header_of(data), geotiff.decode(data)[0]
+    side = json.loads((tmp_path / "t" / "t_metadata.json").read_text())["datasets"]["dem"]
+    assert side["tiles_80m"] == {"n_exported": 2, "n_failed": 0, "total": 2} and side["crs"] == "EPSG:32634" and side["dtype"] == "float32"
     r0, c0 = round((6988980 - h.f) / 10), round((h.c - 347020) / 10)
     assert x.shape == (8, 8) and np.allclose(x, v[0, r0 : r0 + 8, c0 : c0 + 8], atol=1e-3)
     from terrasample.plans.extract import check_tile_size
@@ -217,7 +298,7 @@ def test_extract_tiles(spark, dem, tmp_path):
 
 def tiles_of(spark, df, raster, tmp_path, **settings):
     out = terrasample.extract(df, {"batch_id": "t", "datasets": ["ts"], "settings": {"output_type": "raster", **settings}}, rasters={"ts": raster}, quiet=True, write_metadata=False, output_dir=str(tmp_path))
-    return {r["name"]: (geotiff.header_of(bytes(r["content"])), geotiff.decode(bytes(r["content"]))) for r in spark.read.parquet(out["t:ts"]).collect()}
+    return {p.name: (geotiff.header_of(p.read_bytes()), geotiff.decode(p.read_bytes())) for p in Path(out["t:ts"]).iterdir()}
 
 
 @pytest.mark.parametrize("step", [None, 10])
