@@ -135,7 +135,7 @@ def plain_links(x, t):
     return s.sum(1).tolist(), low
 
 
-@pytest.mark.parametrize(("cell", "block"), [(4096, 4096), (40, 16)])
+@pytest.mark.parametrize(("cell", "block"), [(4096, 1 << 20), (40, 16 * 64)])
 def test_embeddings_equal_all_pairs(spark, cell, block):
     r = np.random.default_rng(1)
     x = r.normal(size=(60, 8))
@@ -143,12 +143,12 @@ def test_embeddings_equal_all_pairs(spark, cell, block):
     rows = [(k, [float(c) for c in v], k) for k, v in enumerate(x)]
     odd = [(1000, None, 0), (1001, [0.0] * 8, 0), (1002, [float("nan")] * 8, 0), (1003, [1.0, None] * 4, 0), (1004, [1.0], 0), (1005, [], 0)]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, n_links int")
-    got = {v["vec_id"]: (v["n_links"], v["component_id"], v["kept"]) for v in embeddings.near_duplicates(df, cell_rows=cell, block=block).collect()}
+    got = {v["vec_id"]: (v["n_links"], v["component_id"], v["kept"]) for v in embeddings.near_duplicates(df, cell_rows=cell, block_bytes=block).collect()}
     n, low = plain_links(x.astype(float), 0.95)
     assert got == {k: (n[k], low[k], low[k] == k) for k in range(len(x))} | {k: (0, k, True) for k, _, _ in odd}
 
 
-@pytest.mark.parametrize(("cell", "block"), [(4096, 4096), (16, 8)])
+@pytest.mark.parametrize(("cell", "block"), [(4096, 1 << 20), (16, 8 * 40)])
 def test_embeddings_of_several_lengths(spark, cell, block):
     r = np.random.default_rng(3)
     sets = []
@@ -157,7 +157,7 @@ def test_embeddings_of_several_lengths(spark, cell, block):
         x[n // 2 : n // 2 + n // 4] = x[: n // 4] + r.normal(size=(n // 4, d)) * 0.05
         sets.append((1000 * at, np.concatenate((x, x[:4])).astype(np.float32)))
     df = spark.createDataFrame([(base + k, [float(c) for c in v]) for base, x in sets for k, v in enumerate(x)], "vec_id long, embedding array<float>")
-    got = {v["vec_id"]: (v["n_links"], v["component_id"], v["kept"]) for v in embeddings.near_duplicates(df, cell_rows=cell, block=block).collect()}
+    got = {v["vec_id"]: (v["n_links"], v["component_id"], v["kept"]) for v in embeddings.near_duplicates(df, cell_rows=cell, block_bytes=block).collect()}
     want = {}
     for base, x in sets:
         n, low = plain_links(x.astype(float), 0.95)
@@ -169,12 +169,24 @@ def test_embeddings_empty(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("dim", [3, 20, 96])
+def test_bounds_drop_no_link(dim):
+    r = np.random.default_rng(dim)
+    x = r.normal(size=(400, dim)) * np.linspace(3, 0.2, dim)
+    x[200:] = x[:200] + r.normal(size=(200, dim)) * 0.15
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    bound = embeddings.bounds_of(x, embeddings.principal_axes(x[::3]))
+    exact = x @ x.T
+    assert (bound.astype(float) @ bound.T.astype(float) >= exact - embeddings.MARGIN).all()
+    assert (embeddings.links_of(x, x, 0.95, bound, bound) == (exact >= 0.95)).all()
+
+
 def test_dense_groups_stay_connected():
     link = np.ones((300, 400), bool)
     link[:, 200:] = False
     link[200:, :] = False
     link[200:, 200:] = True
-    a, b = embeddings.spanning_edges(link, np.arange(300), np.arange(1000, 1400), most=10)
+    a, b = embeddings.spanning_edges(link, np.arange(300), np.arange(1000, 1400))
     assert len(set(a.tolist())) == 2 and len(a) == 700 and set(b.tolist()) == {*range(300), *range(1000, 1400)}
 
 
