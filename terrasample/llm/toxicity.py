@@ -5,13 +5,16 @@ weight vector ``w`` for all thresholds t_1 <= ... <= t_K.  ``x`` says which of
 the selected words and word beginnings occur in the whole text.  The expected
 severity is the sum of P(grade >= k), between 0 and K.
 
-Grades.  Labels mark documents as toxic or not.  Grade 0 is "not toxic";
-the toxic ones are graded by how many different marked words they hold: 1 up to
-the median of the toxic training documents, 2 above it.
+Grades.  Labels mark documents as toxic or not.  Grade 0 is "not toxic"; the
+toxic ones are graded by how much of their text is marked words, a quantity that
+the features (which tell only *whether* a word occurs) don't hold: 1 up to the
+median of the toxic training documents, 2 above it.
 
 Fitting uses labelled rows that aren't held out, about ``max_rows`` of them
-(chosen by a hash of the id).  Features are selected by counts that Spark adds
-up over this sample; scoring reads every text of every document, no shuffle.
+(chosen by a hash of the id).  Features are all words and beginnings whose
+signed likelihood ratio with the label is ``min_ratio`` or more, by counts that
+Spark adds up over this sample; the squared weights are held down, so that many
+features don't overfit.  Scoring reads every text of every document, no shuffle.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrasample.llm import _features, _text
-from terrasample.llm._session import cut, shared_folder, ship
+from terrasample.llm._session import TEXT_ROWS, cut, lean, shared_folder, ship
 from terrasample.llm.quality import _adam, _sigmoid, held_out
 
 BITS = 22
@@ -50,13 +53,14 @@ class OrdinalModel:
         return t
 
 
-def present(column: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, selected feature) pairs of a text column."""
+def present(column: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (row, selected feature) pairs of a text column, and each row's share of words and beginnings that are selected."""
     row, key = _features.word_features(column, BITS)
     place = table[key]
     hit = place > 0
+    share = np.bincount(row[hit], minlength=len(column)) / np.maximum(np.bincount(row, minlength=len(column)), 1)
     pair = np.unique(row[hit] * np.int64(2**31) + place[hit] - 1)
-    return pair >> 31, pair & (2**31 - 1)
+    return pair >> 31, pair & (2**31 - 1), share
 
 
 def fit_ordinal(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, n_features: int, grades: int, l2: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +79,7 @@ def fit_ordinal(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, n_featu
     return p[:n_features], np.cumsum(np.append(p[n_features], np.exp(np.clip(p[n_features + 1 :], -20, 20))))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, max_features: int = 400) -> OrdinalModel | None:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, min_ratio: float = 10.0) -> OrdinalModel | None:
     """Fit on labelled rows that aren't held out; None where either class or all text is missing."""
     ship(docs.sparkSession)
     use = F.col(id_col).isNotNull() & ~held_out(id_col)
@@ -102,32 +106,31 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     n_bad, n_good = (sum(r["count"] for r in totals if (r["y"] > 0) == side) for side in (True, False))
     if not n_bad or not n_good:
         return None
-    c = sample.mapInArrow(counts, "bucket long, bad long, good long").groupBy("bucket").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    c = sample.mapInArrow(lean(counts), "bucket long, bad long, good long").groupBy("bucket").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     # signed likelihood ratio of "has the feature" against the label
     def term(k, n_all, rate):
         return k * F.log((k + 1e-9) / (n_all * rate)) + (n_all - k) * F.log((n_all - k + 1e-9) / (n_all * (1 - rate)))
 
     rate = (F.col("bad") + F.col("good")) / F.lit(float(n_bad + n_good))
     c = c.where((rate < 1) & (F.col("bad") * n_good > F.col("good") * n_bad)).withColumn("llr", term(F.col("bad"), F.lit(float(n_bad)), rate) + term(F.col("good"), F.lit(float(n_good)), rate))
-    best = [r["bucket"] for r in c.where("llr > 10").orderBy(F.desc("llr"), "bucket").limit(max_features).collect()]
-    if not best:
+    best = c.where(F.col("llr") >= min_ratio).select("bucket").toArrow().column("bucket").to_numpy()  # of the bounded sample's words
+    if not len(best):
         return None
-    model = OrdinalModel(np.sort(np.array(best)), np.zeros(0), np.zeros(0))
+    model = OrdinalModel(np.sort(best), np.zeros(0), np.zeros(0))
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()
         for whole in batches:
             for i, j in _text.slices(whole.column(2)):
-                row, feature = present(whole.column(2).slice(i, j - i), table)
+                row, feature, share = present(whole.column(2).slice(i, j - i), table)
                 lists = np.split(feature, np.searchsorted(row, np.arange(1, j - i)))
-                yield pa.RecordBatch.from_arrays([whole.column(0).slice(i, j - i), whole.column(1).slice(i, j - i), pa.array(lists, pa.list_(pa.int64()))], names=["id", "y", "f"])
-
-    rows = sample.mapInArrow(select, f"id {dict(docs.dtypes)[id_col]}, y int, f array<long>").toArrow().sort_by("id")
-    y, lists = rows.column("y").to_numpy(), rows.column("f").to_pylist()
-    size = np.array([len(x) for x in lists])
-    row, feature = np.repeat(np.arange(len(y)), size), np.array([v for x in lists for v in x], np.int64)
-    middle = np.median(size[y > 0])
-    grade = np.where(y > 0, np.where(size > middle, 2, 1), 0)
+                yield pa.RecordBatch.from_arrays([whole.column(0).slice(i, j - i), whole.column(1).slice(i, j - i), pa.array(share), pa.array(lists, pa.list_(pa.int64()))], names=["id", "y", "share", "f"])
+
+    rows = sample.mapInArrow(lean(select), f"id {dict(docs.dtypes)[id_col]}, y int, share double, f array<long>").toArrow().sort_by([("id", "ascending"), ("share", "ascending")])
+    y, share, lists = rows.column("y").to_numpy(), rows.column("share").to_numpy(), rows.column("f").combine_chunks()
+    size = lists.value_lengths().to_numpy(zero_copy_only=False)
+    row, feature = np.repeat(np.arange(len(y)), size), lists.flatten().to_numpy(zero_copy_only=False)
+    grade = np.where(y > 0, np.where(share > np.median(share[y > 0]), 2, 1), 0)
     model.weight, model.threshold = fit_ordinal(row, feature, grade, len(model.bucket), 2)
     return model
 
@@ -136,7 +139,9 @@ def score(docs: DataFrame, model: OrdinalModel | None, *, id_col: str = "doc_id"
     """Every row's id (or all columns), p_mild = P(grade >= 1), p_severe, expected_severity, grade and toxic (p_mild >= 0.5).
 
     Null and empty texts have no words and get the grade of a text without
-    marked words.  Without a model (nothing to learn from) all is 0.
+    marked words; very long texts count whole; repeated rows are scored alike; an
+    empty table gives an empty table.  Columns of ``docs`` named as result columns
+    are replaced.  Without a model (nothing to learn from) all is 0.
     """
     ship(docs.sparkSession)
     extra = {"p_mild": "double", "p_severe": "double", "expected_severity": "double", "grade": "int", "toxic": "boolean"}
@@ -150,10 +155,10 @@ def score(docs: DataFrame, model: OrdinalModel | None, *, id_col: str = "doc_id"
                 part = whole.slice(i, j - i)
                 p = np.zeros((j - i, 2))
                 if model:
-                    row, feature = present(part.column(text_col), table)
+                    row, feature, _ = present(part.column(text_col), table)
                     p = model.at_least(np.bincount(row, model.weight[feature], j - i))
                 out = [pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(p.sum(1)), pa.array((p >= 0.5).sum(1), pa.int32()), pa.array(p[:, 0] >= 0.5)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *out], names=[*kept, *extra])
 
     source = docs.select(*dict.fromkeys([*(f"`{c}`" for c in kept), f"`{text_col}`"]))
-    return source.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in kept), *(f"{c} {t}" for c, t in extra.items())]))
+    return source.mapInArrow(lean(run), ", ".join([*(f"`{c}` {types[c]}" for c in kept), *(f"{c} {t}" for c, t in extra.items())]))
