@@ -12,8 +12,14 @@ in every document and two values never share one:
 
 A card number keeps its length and separators and ends in a right Luhn digit, an
 IBAN gets right check digits, a date becomes another date of 1900-2099 in the
-same layout, an address another address.  Everything runs inside the scan's
-stage: no shuffle, no Python, no state.
+same layout, an address another address, a social security number another of
+the numbers that can be issued (898 areas, 99 groups, 9999 serials as a pair of
+numbers).  So a pseudonym is itself a value of its format.  Everything runs
+inside the scan's stage: no shuffle, no Python, no state.
+
+Formats, not limits, end a value: a card number has 13 to 19 digits, an IBAN at
+most 34 characters, a host name at most 127 labels of 63 characters.  Local parts
+of addresses and hexadecimal secrets (32 characters or more) are of any length.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ DAY_A, DAY_B = 17, 4297
 
 #: Fixed patterns, tried in this order at each place of a text.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}(?![A-Za-z0-9])",
     "ip": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
     "iso_date": r"(?<![0-9A-Za-z./-])(?:19|20)[0-9]{2}[-/.](?:0[1-9]|1[0-2])[-/.](?:0[1-9]|[12][0-9]|3[01])(?![0-9A-Za-z]|[-/.][0-9])",
     "day_date": r"(?<![0-9A-Za-z./-])(?:0[1-9]|[12][0-9]|3[01])[-/.](?:0[1-9]|1[0-2])[-/.](?:19|20)[0-9]{2}(?![0-9A-Za-z]|[-/.][0-9])",
@@ -35,7 +41,7 @@ PATTERNS = {
     "ssn": r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "card": r"(?<![0-9A-Za-z.])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])",
-    "secret": r"(?<![0-9A-Za-z])(?=[a-f]{0,63}[0-9])[0-9a-f]{32,64}(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])(?=[a-f]*+[0-9])[0-9a-f]{32,}+(?![0-9A-Za-z])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -127,7 +133,7 @@ def _kind(t: Column) -> Column:
     iban = _plain(t, "[^0-9A-Z]")
     return (
         F.when(t.contains("@"), "email").when(whole("ip"), "ip").when(whole("iso_date"), "iso_date").when(whole("day_date"), "day_date").when(whole("phone"), "phone").when(whole("ssn"), "ssn")
-        .when(whole("iban") & (_mod97(F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, 1, 4))) == 1), "iban")
+        .when(whole("iban") & F.substring(iban, 3, 2).between("02", "98") & (_mod97(F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, 1, 4))) == 1), "iban")
         .when(whole("card") & (_luhn_sum(_plain(t, "[^0-9]"), False) % 10 == 0), "card").when(whole("secret"), "secret")
     )
 
@@ -136,22 +142,27 @@ def _permuted_part(t: Column, kind: Column) -> Column:
     """The characters of ``t`` that are permuted; empty for pairs of numbers."""
     digits, plain = _plain(t, "[^0-9]"), _plain(t, "[^0-9A-Z]")
     return (
-        F.when(kind == "email", _plain(F.substring_index(t, "@", 1), "[^0-9A-Za-z]")).when(kind.isin("phone", "ssn"), digits).when(kind == "secret", t)
+        F.when(kind == "email", _plain(F.substring_index(t, "@", 1), "[^0-9A-Za-z]")).when(kind == "phone", digits).when(kind == "secret", t)
         .when(kind == "card", F.substring(digits, F.lit(1), F.length(digits) - 1)).when(kind == "iban", F.substring(plain, F.lit(5), F.length(plain))).otherwise("")
     )
 
 
 FIRST_DAY = "1900-01-01"
+#: Social security numbers: areas 001-899 but 666, and groups 01-99 with serials 0001-9999.
+AREAS, GROUPED = 898, 99 * 9999
 
 
 def _pair(t: Column, kind: Column) -> Column:
-    """An address or a date as two numbers below a and b; null for the rest and for days that don't exist."""
+    """An address, a date or a social security number as two numbers below a and b; null for the rest and for days that don't exist."""
     o = F.transform(F.split(t, r"\."), lambda x: F.expr("bigint(0)") + x.try_cast("bigint"))
     place = lambda iso, day, n: F.when(kind == "iso_date", F.substring(t, iso, n)).otherwise(F.substring(t, day, n))
     days = F.datediff(F.try_to_date(F.concat_ws("-", place(1, 7, 4), place(6, 4, 2), place(9, 1, 2)), "yyyy-MM-dd"), F.lit(FIRST_DAY).cast("date")).cast("bigint")
     struct = lambda l, r, a, b: F.struct(l.alias("l"), r.alias("r"), F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b"))
     dated = _let(days, lambda d: F.when(d.isNotNull(), struct(d % DAY_A, F.floor(d / DAY_A), DAY_A, DAY_B)))
-    return F.when(kind == "ip", _let(o, lambda o: struct(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536))).when(kind.isin("iso_date", "day_date"), dated)
+    number = lambda first, n: F.substring(t, first, n).cast("bigint")
+    area = number(1, 3)
+    ssn = struct(area - F.when(area > 666, 2).otherwise(1), (number(5, 2) - 1) * 9999 + number(8, 4) - 1, AREAS, GROUPED)
+    return F.when(kind == "ssn", ssn).when(kind == "ip", _let(o, lambda o: struct(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536))).when(kind.isin("iso_date", "day_date"), dated)
 
 
 def _written(t: Column, kind: Column, chars: Column, pair: Column) -> Column:
@@ -164,10 +175,12 @@ def _written(t: Column, kind: Column, chars: Column, pair: Column) -> Column:
         .when(kind == "iban", F.concat(country, F.lpad((98 - _mod97(F.concat(chars, country, F.lit("00")))).cast("string"), 2, "0"), chars))
         .when(kind == "iso_date", F.date_format(moved, "yyyyMMdd")).when(kind == "day_date", F.date_format(moved, "ddMMyyyy")).otherwise(chars)
     )
+    area = pair["l"] + F.when(pair["l"] >= 665, 2).otherwise(1)
+    ssn = F.concat_ws("-", F.lpad(area.cast("string"), 3, "0"), F.lpad((F.floor(pair["r"] / 9999) + 1).cast("string"), 2, "0"), F.lpad((pair["r"] % 9999 + 1).cast("string"), 4, "0"))
     address = F.concat_ws(".", div(pair["l"]), (pair["l"] % 256).cast("string"), div(pair["r"]), (pair["r"] % 256).cast("string"))
     tail = F.when(kind == "email", F.concat(F.lit("@"), F.substring_index(t, "@", -1))).otherwise("")
     layout = F.when(kind == "email", F.substring_index(t, "@", 1)).otherwise(t)
-    return F.when(kind == "ip", address).when(new.isNull(), t).otherwise(F.concat(_let(new, lambda n: _fill(layout, n, "0-9A-Za-z")), tail))
+    return F.when(kind == "ip", address).when(kind == "ssn", ssn).when(new.isNull(), t).otherwise(F.concat(_let(new, lambda n: _fill(layout, n, "0-9A-Za-z")), tail))
 
 
 def pseudonym(t: Column, key: str) -> Column:
@@ -181,8 +194,9 @@ def pseudonymize(docs: DataFrame, key: str, *, text_col: str = "text", keep_colu
     """``docs`` with every found value of ``text_col`` replaced, and n_values, how many were.
 
     Null text: null, 0 values.  Values that fail their check (a wrong Luhn
-    digit, 30 February) stay.  An SSN's new area may be one that isn't issued.
-    A column named n_values is replaced.
+    digit, 30 February, an IBAN whose check digits aren't 02 to 98) stay.
+    Repeated rows are changed alike and stay as many; very long texts count whole;
+    an empty table gives an empty table.  A column named n_values is replaced.
     """
     text = F.col(text_col)
     own = [c for c in docs.columns if c not in ("n_values", "__old", "__new")] if keep_columns else [id_col, text_col]
