@@ -43,6 +43,14 @@ def poisson_cdf(rate: float) -> list[float]:
     return out
 
 
+#: The largest mean of one Poisson draw; a greater rate is the sum of as many draws as it takes, whose counts are Poisson too.
+LARGEST = 50.0
+
+
+def draws(rate: float) -> int:
+    return max(1, math.ceil(rate / LARGEST))
+
+
 def rates(counts: Mapping[str | None, int], weights: Mapping[str, float], size: float = 1.0) -> dict[str | None, float]:
     """Mean repetitions of each source so that the output has about ``size`` times the input's rows in the target shares.
 
@@ -66,19 +74,26 @@ def poisson_mix(docs: DataFrame, weights: Mapping[str, float], *, size: float =
 
     Null source: one of the unnamed sources.  Null id: hashed as the text
     "null".  Rows with the same id get the same number of copies.  Texts aren't
-    read.  An empty table gives an empty table.
+    read, however long.  Repeated rows are each replicated.  An empty table gives an
+    empty table.
     """
     named = F.when(F.col(source_col).isin(*weights), F.col(source_col)) if weights else F.lit(None).cast("string")
     counts = {r["s"]: r["n"] for r in docs.groupBy(named.alias("s")).agg(F.count("*").alias("n")).collect()}
     rate_of = rates(counts, weights, size)
-    rate, cdf = F.lit(0.0), F.array(F.lit(1.0))
+    rate, n_draws, cdf = F.lit(0.0), F.lit(1), F.array(F.lit(1.0))
     for s, r in sorted(rate_of.items(), key=lambda x: str(x[0])):
         is_s = named.eqNullSafe(F.lit(s))
         rate = F.when(is_s, F.lit(r)).otherwise(rate)
-        cdf = F.when(is_s, F.array(*(F.lit(p) for p in poisson_cdf(r)))).otherwise(cdf)
+        n_draws = F.when(is_s, F.lit(draws(r))).otherwise(n_draws)
+        cdf = F.when(is_s, F.array(*(F.lit(p) for p in poisson_cdf(r / draws(r))))).otherwise(cdf)
     own = [c for c in docs.columns if c not in ("rate", "copies", "copy", "position")]
-    out = docs.select(*(f"`{c}`" for c in own), rate.alias("rate"), cdf.alias("__cdf"), uniform(seed, F.col(id_col)).alias("__u"))
-    out = out.withColumn("copies", F.expr("cast(size(filter(__cdf, p -> __u >= p)) as bigint)")).where("copies > 0").drop("__cdf", "__u")
+    out = docs.select(*(f"`{c}`" for c in own), rate.alias("rate"), cdf.alias("__cdf"), n_draws.alias("__n"), uniform(seed, F.col(id_col)).alias("__u"))
+    below = lambda u: F.size(F.filter("__cdf", lambda p: u >= p))
+    copies = below(F.col("__u"))
+    if any(draws(r) > 1 for r in rate_of.values()):  # further draws have their number in their seed
+        numbered = F.transform(F.sequence(F.lit(1), F.col("__n") - 1), lambda k: uniform(seed, F.col(id_col), k))
+        copies += F.when(F.col("__n") > 1, F.aggregate(numbered, F.lit(0), lambda s, u: s + below(u))).otherwise(0)
+    out = out.withColumn("copies", copies.cast("bigint")).where("copies > 0").drop("__cdf", "__n", "__u")
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)))
     if shuffle or describe:
         out = out.withColumn("position", uniform(seed + "-order", F.col(id_col), F.col("copy")))
