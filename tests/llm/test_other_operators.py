@@ -210,6 +210,17 @@ def test_url_rules(spark):
     assert got[9][:3] == got[10][:3] == ("", "", None)
     assert got[11][2] == "net/" and got[12][2] is None and got[13][:2] == ("b:", "//c.net/")
     assert urls.judge(df.limit(0), []).count() == 0
+    # the same by a table of rules, with repeated rows and columns of clashing names
+    twice = df.unionByName(df).withColumn("host", F.lit("mine")).withColumn("extra", F.lit(1))
+    plan, table = (sorted((tuple(str(x) for x in r) for r in urls.judge(twice, rules, in_plan=n).select("page_id", "host", "path", "rule", "pattern", "verdict", "extra").collect())) for n in (100, 0))
+    assert plan == table and len(plan) == 2 * len(rows)
+    assert urls.judge(df.limit(0), rules, in_plan=0).count() == 0 and urls.judge(spark.createDataFrame([(1, "http://x.net/" + "a/" * 50_000)], "page_id long, url string"), rules).first()["rule"] == "net/"
+
+
+def test_many_rules_come_by_a_table(spark):
+    rules = [urls.Rule(f"site{k}.org/", "block", True) for k in range(6000)]
+    df = spark.createDataFrame([(k, f"http://www.site{k}.org/x") for k in range(0, 9000, 500)], "page_id long, url string")
+    assert {r["page_id"] for r in urls.judge(df, rules).where("verdict = 'block'").collect()} == set(range(0, 6000, 500))
 
 
 def test_rules_are_stored_under_their_rarest_token(spark):

@@ -1,5 +1,6 @@
 """Decontamination, n-gram join, classifiers, mixture and pseudonyms against plain versions."""
 
+import datetime
 import hashlib
 import math
 import random
@@ -189,6 +190,63 @@ def test_scores_of_odd_rows(spark):
     assert quality.score(docs.limit(0), None).count() == 0
 
 
+def test_quality_on_spark_equals_the_fit_on_arrays(spark, data):
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.train(docs, labels)
+    use = docs.where(~quality.held_out("doc_id")).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(77)), F.lit(2))).toPandas()
+    good = {r["doc_id"] for r in labels.where("quality = 1").collect()}
+    x, p, half = _features.dense(pa.array(use["text"])), use["doc_id"].isin(good).to_numpy(), use["half"].to_numpy()
+    of = lambda part: half == part if part is not None else half >= 0
+    want = quality.fit(
+        lambda m, w, part: quality.sums(x[of(part)], p[of(part)], m, w), lambda m, w, part: (quality._binned(x[of(part) & p], m, w), quality._binned(x[of(part)], m, w)),
+        x.mean(0, dtype=float), x.std(0, dtype=float) + 1e-6,
+    )
+    assert np.allclose(got.weight, want.weight, atol=1e-4) and abs(got.prior - want.prior) < 1e-6
+
+
+def test_risk_is_least_at_the_fit():
+    """No step from the fitted weights lowers the risk, written out by its definition."""
+    r = np.random.default_rng(11)
+    n = len(_features.DENSE)
+    p, u = r.normal(0.5, 1, (300, n)), np.concatenate((r.normal(0.5, 1, (300, n)), r.normal(-0.5, 1, (700, n))))
+    m = quality.fit_pu(p, u, prior=0.3)
+
+    def risk(w):
+        fp, fu = m.expand(p) @ w, m.expand(u) @ w
+        loss = lambda f: np.logaddexp(0, -f).mean()
+        return 0.3 * loss(fp) + max(0, loss(-fu) - 0.3 * loss(-fp)) + 20.0 / len(p) * (w @ w) / 2
+
+    assert all(risk(m.weight + d) >= risk(m.weight) - 1e-9 for d in r.normal(0, 0.05, (200, len(m.weight))))
+
+
+def test_ordinal_fit_recovers_a_threshold_model():
+    """Grades drawn from a known cumulative-link model give its weights and thresholds back, and the loss is least there."""
+    r = np.random.default_rng(5)
+    n, w, t = 40_000, np.array([2.0, -1.0, 0.5, 0.0]), np.array([0.5, 2.0])
+    x = r.random((n, 4)) < 0.5
+    grade = (r.logistic(size=n) + x @ w)[:, None] >= t
+    row, feature = np.nonzero(x)
+    got_w, got_t = toxicity.fit_ordinal(row, feature, grade.sum(1), 4, 2, l2=0.0)
+    assert np.abs(got_w - w).max() < 0.12 and np.abs(got_t - t).max() < 0.12 and got_t[0] <= got_t[1]
+
+    def loss(w, t):
+        f = (x @ w)[:, None] - t
+        return np.where(grade, np.logaddexp(0, -f), np.logaddexp(0, f)).sum(1).mean()
+
+    best = loss(got_w, got_t)
+    assert all(loss(got_w + d[:4], got_t + d[4:]) >= best - 1e-6 for d in r.normal(0, 0.05, (100, 6)))
+
+
+def test_toxicity_of_odd_tables(spark):
+    docs = spark.createDataFrame([(k, "vile words here" if k % 3 == 0 else "some other words", "x") for k in range(300)], DOC + ", grade string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(300)], "doc_id long, toxic int")
+    model = toxicity.train(docs.unionByName(docs.limit(10)), labels)
+    odd = spark.createDataFrame([(1, "vile words " * 50_000, "x"), (1, None, "y"), (1, None, "y"), (None, "", "z")], DOC + ", grade string")
+    rows = toxicity.score(odd, model, keep_columns=True)
+    assert [f.dataType.typeName() for f in rows.schema if f.name == "grade"] == ["integer"] and rows.where("toxic").count() == 1 and rows.count() == 4
+    assert toxicity.score(docs.limit(0), model).count() == 0 and toxicity.train(docs.limit(0), labels) is None
+
+
 def test_toxicity_finds_marked_documents(spark):
     r = random.Random(8)
     plain = [f"word{k}" for k in range(300)]
@@ -226,6 +284,19 @@ def test_poisson_quantiles():
         mix.rates({"a": 1}, {"a": 1.5})
 
 
+def test_large_rates_are_sums_of_draws(spark):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2, "rare").otherwise("rest").alias("source"))
+    out = mix.poisson_mix(docs, {"rare": 0.99}, size=100.0, shuffle=False).groupBy("doc_id", "source").agg(F.count("*").alias("n"), F.max("copies").alias("c")).where("source = 'rare'").collect()
+    assert len(out) == 2 and all(r["n"] == r["c"] and abs(r["n"] - 19_800) < 700 for r in out)
+
+    def draw(seed, doc, k, rate):
+        u = int(hashlib.md5(":".join([seed, str(doc), *([str(k)] if k else [])]).encode()).hexdigest()[:13], 16) / 2**52
+        return sum(u >= p for p in mix.poisson_cdf(rate))
+
+    n = mix.draws(19_800.0)
+    assert {r["doc_id"]: r["n"] for r in out} == {d: sum(draw("mix", d, k, 19_800.0 / n) for k in range(n)) for d in (0, 1)}
+
+
 def test_mixture_of_odd_tables(spark):
     docs = spark.createDataFrame([(None, None), (1, None), (1, "a")], "doc_id long, source string")
     assert mix.poisson_mix(docs, {"a": 1.0}, describe=False).columns == ["doc_id", "source"]
@@ -274,6 +345,92 @@ def test_pseudonyms_keep_formats(spark):
     assert int("".join(str(int(c, 36)) for c in m[14][4:] + m[14][:4])) % 97 == 1
 
 
+def plain_pair(l, r, a, b, kind, key):
+    for i in range(pseudonyms.ROUNDS):
+        n = int(hashlib.sha512(f"{key}:{kind}:{i}:{r}".encode()).hexdigest()[:13], 16)
+        l, r, a, b = r, (l + n) % a, b, a
+    return l, r
+
+
+def refill(layout, chars):
+    it = iter(chars)
+    return "".join(next(it) if re.match("[0-9A-Za-z]", c) else c for c in layout)
+
+
+def plain_secret(text, key):
+    digits, half = "0123456789abcdef", len(text) // 2
+    a, b = text[:half], text[half:]
+    for i in range(pseudonyms.ROUNDS):
+        d = hashlib.sha512(f"{key}:secret:{i}:{b}".encode()).digest()
+        a, b = b, "".join(digits[(digits.index(c) + d[j % 64]) % 16] for j, c in enumerate(a))
+    return a + b
+
+
+def plain_pseudonym(kind, v, key):
+    """Every kind of value, written out."""
+    if kind == "ip":
+        o = [int(x) for x in v.split(".")]
+        l, r = plain_pair(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, "ip", key)
+        return f"{l // 256}.{l % 256}.{r // 256}.{r % 256}"
+    if kind == "ssn":
+        area, group, serial = (int(x) for x in v.split("-"))
+        l, r = plain_pair(area - (2 if area > 666 else 1), (group - 1) * 9999 + serial - 1, 898, 99 * 9999, "ssn", key)
+        return f"{l + (2 if l >= 665 else 1):03d}-{r // 9999 + 1:02d}-{r % 9999 + 1:04d}"
+    if kind in ("iso_date", "day_date"):
+        form = "%Y{0}%m{0}%d" if kind == "iso_date" else "%d{0}%m{0}%Y"
+        sep = re.search("[^0-9]", v)[0]
+        days = (datetime.datetime.strptime(v, form.format(sep)).date() - datetime.date(1900, 1, 1)).days
+        l, r = plain_pair(days % 17, days // 17, 17, 4297, "date", key)
+        return (datetime.date(1900, 1, 1) + datetime.timedelta(r * 17 + l)).strftime(form.format(sep))
+    if kind == "iban":
+        plain = v.replace(" ", "")
+        body = plain_feistel(plain[4:], "iban", key)
+        check = 98 - int("".join(str(int(c, 36)) for c in body + plain[:2] + "00")) % 97
+        return refill(v, f"{plain[:2]}{check:02d}{body}")
+    if kind == "email":
+        local, _, host = v.rpartition("@")
+        return refill(local, plain_feistel(re.sub("[^0-9A-Za-z]", "", local), "email", key)) + "@" + host
+    if kind == "secret":
+        return plain_secret(v, key)
+    if kind == "card":
+        body = plain_feistel(re.sub("[^0-9]", "", v)[:-1], "card", key)
+        return refill(v, next(body + c for c in "0123456789" if luhn(body + c)))
+    return refill(v, plain_feistel(re.sub("[^0-9]", "", v), "phone", key))
+
+
+def test_every_kind_of_pseudonym_equals_its_plain_version(spark):
+    r = random.Random(4)
+    hexa = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n - 1)) + "7"
+    values = [("ip", f"{r.randrange(256)}.{r.randrange(256)}.{r.randrange(256)}.{r.randrange(256)}") for _ in range(20)]
+    values += [("ssn", f"{a:03d}-{r.randrange(1, 100):02d}-{r.randrange(1, 10000):04d}") for a in (1, 2, 665, 667, 898, 899)]
+    values += [("iso_date", d) for d in ("1900-01-01", "2099/12/31", "2024.02.29")] + [("day_date", d) for d in ("01.01.1900", "31-12-2099")]
+    values += [("iban", "DE89370400440532013000"), ("iban", "GB82 WEST 1234 5698 7654 32"), ("card", "4417 7442 8035 1547"), ("card", "378282246310005"), ("phone", "+1 (017) 555-7713")]
+    values += [("secret", hexa(n)) for n in (32, 40, 128, 1000)] + [("email", e) for e in ("a.b-1@mail.example.com", "x" * 300 + "@" + "sub." * 40 + "example.org")]
+    docs = spark.createDataFrame([(k, f"see {v}, ok") for k, (_, v) in enumerate(values)], DOC)
+    got = [x["text"] for x in pseudonyms.pseudonymize(docs, "k").orderBy("doc_id").collect()]
+    assert got == [f"see {plain_pseudonym(kind, v, 'k')}, ok" for kind, v in values]
+
+
+def test_social_security_numbers_stay_in_their_format(spark):
+    pattern = re.compile(pseudonyms.PATTERNS["ssn"])
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat_ws("-", F.lpad((F.col("id") % 600 + 1).cast("string"), 3, "0"), F.lpad((F.col("id") % 99 + 1).cast("string"), 2, "0"), F.lpad((F.col("id") + 1).cast("string"), 4, "0")).alias("text"))
+    got = [r["text"] for r in pseudonyms.pseudonymize(docs, "k").collect()]
+    assert len(set(got)) == 5000 and all(pattern.fullmatch(x) for x in got)
+
+
+def test_bank_numbers_without_right_check_digits_stay(spark):
+    docs = spark.createDataFrame([(1, "DE02000000000001000003"), (2, "DE99000000000001000003"), (3, "DE02000000000001000003"), (4, None)], DOC + "")
+    got = {r["doc_id"]: r["text"] for r in pseudonyms.pseudonymize(docs, "k").collect()}
+    assert got[2] == "DE99000000000001000003" and got[1] == got[3] != "DE02000000000001000003" and got[4] is None
+
+
+def test_pseudonyms_of_odd_tables(spark):
+    docs = spark.createDataFrame([(1, "1.2.3.4 " * 20_000, "x"), (1, "1.2.3.4", "y"), (1, "1.2.3.4", "y"), (None, "", None)], DOC + ", n_values string")
+    rows = pseudonyms.pseudonymize(docs, "k").collect()
+    assert sorted(r["n_values"] for r in rows) == [0, 1, 1, 20_000] and docs.columns == pseudonyms.pseudonymize(docs, "k").columns
+    assert pseudonyms.pseudonymize(docs.limit(0), "k").count() == 0
+
+
 def test_pseudonyms_are_a_permutation(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("1.2."), F.floor(F.col("id") / 200).cast("string"), F.lit("."), (F.col("id") % 200).cast("string")).alias("text"))
     assert pseudonyms.pseudonymize(docs, "k").select("text").distinct().count() == 3000
