@@ -51,6 +51,9 @@ _scalar: dict[str, Callable[[Column], Column]] = {
 }
 
 
+_builtin = dict(_scalar)
+
+
 def register_reducer(name: str, reducer: Callable[[Column], Column]) -> None:
     """Add a scalar reducer: a function from the values' column to an aggregate column."""
     key = name.lower()
@@ -71,6 +74,12 @@ def get(name: str) -> Callable[[Column], Column]:
     return _scalar[key]
 
 
+def share_of(name: str) -> float | None:
+    """The share below a built-in quantile (of the median too); None for other and for replaced reducers."""
+    key = name.lower()
+    return {**QUANTILES, "median": 0.5}.get(key) if _scalar.get(key) is _builtin.get(key) else None
+
+
 def is_scalar(name: str) -> bool:
     return name.lower() in _scalar
 

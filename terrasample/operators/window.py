@@ -84,7 +84,7 @@ def window_pixels(points: DataFrame, raster: Raster, window_m: float, bands: lis
     keys = ["image_id"] if "image_id" in raster.tiles.columns else []
     at = at.select(ROW, *extra, *(k for k in keys if k not in extra), "r0", "r1", "c0", "c1", "pr", "pc", spread("r0", "r1").alias("tile_row"))
     at = at.withColumn("tile_col", spread("c0", "c1"))
-    joined = at.join(raster.tiles.select(*raster.keys, *bands), [*keys, "tile_row", "tile_col"], "left" if outer else "inner")
+    joined = at.join(raster.tiles_for(at, bands), [*keys, "tile_row", "tile_col"], "left" if outer else "inner")
     tr, tc = F.col("tile_row") * size, F.col("tile_col") * size
     joined = joined.withColumns({"q0": F.greatest("r0", tr) - tr, "q1": F.least(F.col("r1"), tr + size - 1) - tr, "k0": F.greatest("c0", tc) - tc, "k1": F.least(F.col("c1"), tc + size - 1) - tc})
     cut = lambda b: F.flatten(F.transform(F.sequence("q0", "q1"), lambda q: F.slice(F.col(b), q * size + F.col("k0") + 1, F.col("k1") - F.col("k0") + 1)))
@@ -125,9 +125,16 @@ def window_stats(points: DataFrame, raster: Raster, window_m: float, names: list
     """
     px = window_pixels(points, raster, window_m, bands, ("total",), outer=True)
     scalar = [n for n in names if reducers.is_scalar(n)]
-    aggs = [reducers.get(n)(F.col(b)).alias(f"{b}.{n}") for b in bands for n in scalar]
+    # all quantiles of a band come from one sorted set of its values
+    shares = {n: q for n in scalar if (q := reducers.share_of(n)) is not None}
+    ranks = sorted(set(shares.values()))
+    aggs = [reducers.get(n)(F.col(b)).alias(f"{b}.{n}") for b in bands for n in scalar if n not in shares]
+    aggs += [F.percentile(b, F.array(*(F.lit(q) for q in ranks))).alias(f"_{b}.ranks") for b in bands if ranks]
     # a point without any pixel has one row of nulls
     out = px.groupBy(ROW).agg(F.first("total").alias("total"), F.count(bands[0]).alias("n_pixels"), *(F.count(b).alias(f"{b}.n_valid") for b in bands), *aggs)
+    if ranks:
+        picked = {f"{b}.{n}": F.col(f"`_{b}.ranks`")[ranks.index(q)] for b in bands for n, q in shares.items()}
+        out = out.withColumns(picked).drop(*(f"`_{b}.ranks`" for b in bands))
     out = out.withColumn("in_extent", F.coalesce(F.col("total") > 0, F.lit(False)))
     total = F.col("total") if coverage == "touched" else F.when(F.col("in_extent"), F.lit(max(1, round((window_m / abs(raster.header.a)) ** 2)))).otherwise(0)
     pct = F.when(total > 0, F.least(F.col("n_pixels") * 100.0 / total, F.lit(100.0))).otherwise(0.0)
@@ -178,7 +185,7 @@ def point_sample(points: DataFrame, raster: Raster, bands: list[str]) -> DataFra
     at = points.select(ROW, *keys, F.floor(row).cast("int").alias("r"), F.floor(col).cast("int").alias("c"))
     inside = F.col("r").between(0, header.height - 1) & F.col("c").between(0, header.width - 1)
     at = at.withColumns({"tile_row": F.when(inside, F.floor(F.col("r") / size).cast("int")), "tile_col": F.when(inside, F.floor(F.col("c") / size).cast("int"))})
-    joined = at.join(raster.tiles.select(*raster.keys, *bands), [*keys, "tile_row", "tile_col"], "left")
+    joined = at.join(raster.tiles_for(at, bands), [*keys, "tile_row", "tile_col"], "left")
     place = (F.col("r") % size) * size + F.col("c") % size
     nodata = dict(zip(header.bands, header.nodata, strict=True))
     out = joined.select(ROW, inside.alias("_in"), *(reducers.masked(F.get(F.col(b), place), nodata[b]).alias(f"{b}.point") for b in bands))

@@ -127,7 +127,7 @@ def _flattened(raster: Raster) -> Raster:
     """A collection without dates as one image: of every pixel the last valid value by image_id."""
     bands = list(raster.header.bands)
     flat = terrain.mosaic(pixels_of_tiles(raster), raster.images.select("image_id", F.lit(None).cast("date").alias("time_start")), bands)
-    return replace(raster, images=None, tiles=tiles_of_pixels(flat, raster.header, raster.size))
+    return replace(raster, images=None, fetch=None, tiles=tiles_of_pixels(flat, raster.header, raster.size))
 
 
 def extract(
@@ -314,7 +314,7 @@ def _with_derived(raster: Raster, name: str, band: str) -> Raster:
     extra = tiles_of_pixels(made, header, raster.size)
     # tiles have one type for all bands: one that holds fractions
     kind = str(np.result_type(np.dtype(raster.header.dtype), np.float32))
-    return replace(raster, header=replace(raster.header, bands=(*raster.header.bands, name), nodata=(*raster.header.nodata, None), dtype=kind), meta={**raster.meta, "nodata": None}, tiles=raster.tiles.join(extra, raster.keys, "left"))
+    return replace(raster, fetch=None, header=replace(raster.header, bands=(*raster.header.bands, name), nodata=(*raster.header.nodata, None), dtype=kind), meta={**raster.meta, "nodata": None}, tiles=raster.tiles.join(extra, raster.keys, "left"))
 
 
 def tile_values(points: DataFrame, raster: Raster, window_m: float, step: float | None = None) -> DataFrame:

@@ -24,7 +24,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 COLUMNS = 50
-TILE = 64
+TILE = 32
 
 
 def query(sql: str | None = None):

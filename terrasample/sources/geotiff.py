@@ -1,21 +1,26 @@
 """GeoTIFF files, read into tile tables and written from arrays, after the public TIFF 6 and GeoTIFF specifications.
 
-Spark lists and reads the files (``binaryFile``, so any store that Spark reads
-works); each file is decoded where it lies into rows of tiles.  Strips and
+A file is read block by block: the header by one task from the file's first
+kilobytes, and each output tile by the task that makes it, which reads only the
+strips or blocks that the tile touches, by ranges.  Where windows say which tiles
+they need, no others are read.  Stores that only Spark can open are read whole,
+file by file (``binaryFile``).  Classic and big files (over 4 GB), strips and
 tiles, planar or interleaved samples, no compression, deflate, LZW or PackBits,
 and predictors 1 to 3 are understood.
 """
 
 from __future__ import annotations
 
+import pickle
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,26 +28,59 @@ from terrasample.functions.grid import Header
 from terrasample.sources.raster import Raster, register_source
 
 # Fixed values of the TIFF and GeoTIFF formats: tag numbers, type sizes, compression codes.
-_TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
+_TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 17: "q", 18: "Q"}
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, STRIP_ROWS, STRIP_BYTES, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_HEIGHT, TILE_AT, TILE_BYTES, FORMAT, SCALE, TIE, MATRIX, GEO_KEYS, NODATA = 322, 323, 324, 325, 339, 33550, 33922, 34264, 34735, 42113
 _CODES = {1: "none", 5: "lzw", 8: "deflate", 32946: "deflate", 32773: "packbits"}
 
 
-def _tags(data: bytes) -> tuple[str, dict[int, tuple]]:
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if not order or struct.unpack(order + "H", data[2:4])[0] != 42:
+#: Bytes that are read at once for a header.
+HEAD = 1 << 16
+Reader = Callable[[int, int], bytes]
+
+
+def _ranged(uri: str) -> Reader:
+    """Reads (offset, size) of a file in a store that Arrow knows; the first HEAD bytes are kept."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri("file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+    f = store.open_input_file(path)
+    head = f.read_at(min(HEAD, f.size()), 0)
+
+    def read(at: int, size: int) -> bytes:
+        return head[at : at + size] if at + size <= len(head) else f.read_at(size, at)
+
+    return read
+
+
+def _reader(data: bytes | Reader) -> Reader:
+    return data if callable(data) else lambda at, size: data[at : at + size]
+
+
+def _tags(data: bytes | Reader) -> tuple[str, dict[int, tuple]]:
+    """Byte order and the tags of the first directory."""
+    read = _reader(data)
+    start = read(0, 16)
+    order = {b"II": "<", b"MM": ">"}.get(start[:2])
+    magic = struct.unpack_from(order + "H", start, 2)[0] if order else 0
+    if magic not in (42, 43):
         raise ValueError("not a TIFF file")
-    at = struct.unpack_from(order + "I", data, 4)[0]
+    # offsets, counts of entries and sizes of an entry's own value: 4, 2 and 4 bytes, or all 8
+    word, count, room = ("Q", "Q", 8) if magic == 43 else ("I", "H", 4)
+    at = struct.unpack_from(order + word, start, 8 if magic == 43 else 4)[0]
+    n = struct.unpack(order + count, read(at, struct.calcsize(count)))[0]
+    entry = struct.Struct(order + "HH" + word)
+    each, first = entry.size + room, at + struct.calcsize(count)
+    entries = read(first, each * n)
     out: dict[int, tuple] = {}
-    for k in range(struct.unpack_from(order + "H", data, at)[0]):
-        tag, kind, n = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
+    for k in range(n):
+        tag, kind, many = entry.unpack_from(entries, each * k)
         if kind not in _TYPES:
             continue
-        form = order + _TYPES[kind] * n
-        size = struct.calcsize(form)
-        place = at + 2 + 12 * k + 8 if size <= 4 else struct.unpack_from(order + "I", data, at + 2 + 12 * k + 8)[0]
-        v = struct.unpack_from(form, data, place)
+        form = order + _TYPES[kind] * many
+        size, value = struct.calcsize(form), entries[each * k + entry.size : each * (k + 1)]
+        raw = value[:size] if size <= room else read(struct.unpack(order + word, value)[0], size)
+        v = struct.unpack(form, raw)
         out[tag] = (b"".join(v).rstrip(b"\0").decode("latin-1"),) if kind == 2 else v
     return order, out
 
@@ -89,9 +127,12 @@ def _unpackbits(data: bytes) -> bytes:
 _DECODE = {"none": bytes, "deflate": zlib.decompress, "lzw": _unlzw, "packbits": _unpackbits}
 
 
-def header_of(data: bytes) -> Header:
+def header_of(data: bytes | Reader) -> Header:
     """Size, affine, system, bands, type and nodata of a file."""
-    _, t = _tags(data)
+    return _header(_tags(data)[1])
+
+
+def _header(t: dict[int, tuple]) -> Header:
     a, e, c, f, b, d = 1.0, -1.0, 0.0, 0.0, 0.0, 0.0
     if MATRIX in t:
         m = t[MATRIX]
@@ -112,39 +153,59 @@ def header_of(data: bytes) -> Header:
     return Header(t[WIDTH][0], t[HEIGHT][0], a, e, c, f, b, d, crs, bands, (nodata,) * n, kind)
 
 
-def decode(data: bytes) -> np.ndarray:
+class Blocks:
+    """The strips or blocks of a file, decoded one by one."""
+
+    def __init__(self, data: bytes | Reader):
+        self.read = _reader(data)
+        order, t = _tags(data)
+        self.header = _header(t)
+        self.tiled = TILE_AT in t
+        self.bands = t.get(SAMPLES, (1,))[0]
+        self.kind = np.dtype(self.header.dtype).newbyteorder(order)
+        code = t.get(COMPRESSION, (1,))[0]
+        if code not in _CODES:
+            raise ValueError(f"unsupported compression {code}")
+        self.unpack = _DECODE[_CODES[code]]
+        self.planar, self.predictor = t.get(PLANAR, (1,))[0] == 2, t.get(PREDICTOR, (1,))[0]
+        h = self.header.height
+        self.width, self.height = (t[TILE_WIDTH][0], t[TILE_HEIGHT][0]) if self.tiled else (self.header.width, min(h, t.get(STRIP_ROWS, (h,))[0]))
+        self.places, self.sizes = (t[TILE_AT], t[TILE_BYTES]) if self.tiled else (t[STRIP_AT], t[STRIP_BYTES])
+        self.across, self.down = -(-self.header.width // self.width), -(-h // self.height)
+
+    def block(self, i: int, j: int, band: int) -> np.ndarray:
+        """Rows x columns x samples (one, if they are planar) of the block in row i, column j."""
+        n, w = 1 if self.planar else self.bands, self.width
+        k = i * self.across + j + (band * self.across * self.down if self.planar else 0)
+        rows = self.height if self.tiled else min(self.height, self.header.height - i * self.height)
+        kind = self.kind
+        raw = self.unpack(self.read(self.places[k], self.sizes[k]))[: rows * w * n * kind.itemsize]
+        if self.predictor == 3:  # bytes of the samples of a row by significance, then differences
+            x = np.cumsum(np.frombuffer(raw, np.uint8).reshape(rows, kind.itemsize * w, n), 1, dtype=np.uint8).reshape(rows, kind.itemsize, w * n)
+            return np.ascontiguousarray(x.transpose(0, 2, 1)).view(kind.newbyteorder(">")).reshape(rows, w, n)
+        x = np.frombuffer(raw, kind).reshape(rows, w, n)
+        return np.cumsum(x, 1, dtype=kind.newbyteorder("=")) if self.predictor == 2 else x
+
+    def window(self, r0: int, r1: int, c0: int, c1: int, bands: list[int] | None = None) -> np.ndarray:
+        """Bands x rows x columns of a part of the file, of the blocks that it touches only."""
+        bands = list(range(self.bands)) if bands is None else bands
+        out = np.zeros((len(bands), r1 - r0, c1 - c0), self.kind.newbyteorder("="))
+        for i in range(r0 // self.height, -(-r1 // self.height)):
+            for j in range(c0 // self.width, -(-c1 // self.width)):
+                y0, x0 = i * self.height, j * self.width
+                x = None
+                for k, band in enumerate(bands):
+                    if x is None or self.planar:
+                        x = self.block(i, j, band)
+                    a, b, c, d = max(r0, y0), min(r1, y0 + x.shape[0]), max(c0, x0), min(c1, x0 + x.shape[1])
+                    out[k, a - r0 : b - r0, c - c0 : d - c0] = x[a - y0 : b - y0, c - x0 : d - x0, 0 if self.planar else band]
+        return out
+
+
+def decode(data: bytes | Reader) -> np.ndarray:
     """All samples: bands x rows x columns."""
-    order, t = _tags(data)
-    w, h, n = t[WIDTH][0], t[HEIGHT][0], t.get(SAMPLES, (1,))[0]
-    kind = np.dtype(header_of(data).dtype).newbyteorder(order)
-    if t.get(COMPRESSION, (1,))[0] not in _CODES:
-        raise ValueError(f"unsupported compression {t[COMPRESSION][0]}")
-    unpack = _DECODE[_CODES[t.get(COMPRESSION, (1,))[0]]]
-    planar, predictor = t.get(PLANAR, (1,))[0] == 2, t.get(PREDICTOR, (1,))[0]
-    bw, bh = (t[TILE_WIDTH][0], t[TILE_HEIGHT][0]) if TILE_AT in t else (w, min(h, t.get(STRIP_ROWS, (h,))[0]))
-    places, sizes = (t[TILE_AT], t[TILE_BYTES]) if TILE_AT in t else (t[STRIP_AT], t[STRIP_BYTES])
-    per = 1 if planar else n
-    across, down = -(-w // bw), -(-h // bh)
-    out = np.zeros((n, h, w), kind.newbyteorder("="))
-    for k, (at, size) in enumerate(zip(places, sizes, strict=True)):
-        band, block = divmod(k, across * down) if planar else (0, k)
-        i, j = divmod(block, across)
-        rows = bh if TILE_AT in t else min(bh, h - i * bh)
-        raw = unpack(data[at : at + size])[: rows * bw * per * kind.itemsize]
-        if predictor == 3:  # bytes of the samples of a row by significance, then differences
-            x = np.cumsum(np.frombuffer(raw, np.uint8).reshape(rows, kind.itemsize * bw, per), 1, dtype=np.uint8).reshape(rows, kind.itemsize, bw * per)
-            x = np.ascontiguousarray(x.transpose(0, 2, 1)).view(kind.newbyteorder(">")).reshape(rows, bw, per)
-        else:
-            x = np.frombuffer(raw, kind).reshape(rows, bw, per)
-            if predictor == 2:
-                x = np.cumsum(x, 1, dtype=kind.newbyteorder("="))
-        y1, x1 = min(h, i * bh + rows), min(w, (j + 1) * bw)
-        part = x[: y1 - i * bh, : x1 - j * bw]
-        if planar:
-            out[band, i * bh : y1, j * bw : x1] = part[:, :, 0]
-        else:
-            out[:, i * bh : y1, j * bw : x1] = part.transpose(2, 0, 1)
-    return out
+    b = Blocks(data)
+    return b.window(0, b.header.height, 0, b.header.width)
 
 
 def encode(values: np.ndarray, header: Header) -> bytes:
@@ -188,40 +249,114 @@ def encode(values: np.ndarray, header: Header) -> bytes:
     return struct.pack("<2sHI", b"II", 42, 8) + struct.pack("<H", len(tags)) + b"".join(entries) + b"\0" * 4 + body + b"".join(strips)
 
 
-def read(spark: SparkSession, path: str, *, size: int = 256, image_id: str | None = None) -> Raster:
-    """A raster of one file (or of files that share grid and bands, told apart by image_id, the file's name).
+def _tile_arrays(x: np.ndarray, size: int, nodata: tuple[float | None, ...]) -> list[pa.Array]:
+    """Each band of a tile's part, padded to size x size, as a list array of one row; what is missing is null."""
+    out = []
+    for band, missing in zip(x.astype(np.float64), nodata, strict=True):
+        whole = np.full((size, size), np.nan)
+        whole[: band.shape[0], : band.shape[1]] = band
+        flat = whole.reshape(-1)
+        none = ~np.isfinite(flat) | (flat == missing if missing is not None else False)
+        out.append(pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat, mask=none)))
+    return out
 
-    A task decodes one file at a time.
-    """
-    files = spark.read.format("binaryFile").load(path)
-    first = files.orderBy("path").select("content").first()
-    if first is None:
-        raise FileNotFoundError(path)
-    header = header_of(bytes(first[0]))
-    many = image_id is not None
+
+def _head(files: DataFrame) -> tuple[str, Header, bool]:
+    """The path and header of the first of some files (path) and whether files can be read by ranges; read by a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = header_of(content.as_py())
-                if (own.width, own.height, len(own.bands)) != (header.width, header.height, len(header.bands)):
-                    raise ValueError(f"{name} has another grid than the first file")
-                x = decode(content.as_py()).astype(np.float64)
-                for k, nodata in enumerate(own.nodata):
-                    x[k][~np.isfinite(x[k]) | (x[k] == nodata if nodata is not None else False)] = np.nan
-                for i in range(0, own.height, size):
-                    for j in range(0, own.width, size):
-                        part = np.full((len(x), size, size), np.nan)
-                        cut = x[:, i : i + size, j : j + size]
-                        part[:, : cut.shape[1], : cut.shape[2]] = cut
-                        flat = part.reshape(len(x), -1)
-                        cols = [pa.array([pa.array(v, mask=np.isnan(v)).to_pylist()], pa.list_(pa.float64())) for v in flat]
-                        ids = [pa.array([name.rsplit("/", 1)[-1]])] if many else []
-                        yield pa.RecordBatch.from_arrays([*ids, pa.array([i // size], pa.int32()), pa.array([j // size], pa.int32()), *cols], names=[*(["image_id"] if many else []), "tile_row", "tile_col", *header.bands])
-
-    schema = ", ".join([*(["image_id string"] if many else []), "tile_row int, tile_col int", *(f"{b} array<double>" for b in header.bands)])
-    tiles = files.select("path", "content").mapInArrow(run, schema)
-    return Raster(replace(header, nodata=(None,) * len(header.bands)), tiles, size, meta={"path": path, "nodata": header.nodata, "dtype": header.dtype})
+            for path in batch.column(0).to_pylist():
+                try:
+                    found = pickle.dumps(header_of(_ranged(path)))
+                except (OSError, ValueError, pa.ArrowInvalid) as e:
+                    if isinstance(e, ValueError) and not isinstance(e, pa.ArrowInvalid):
+                        raise
+                    found = None  # a store that Arrow doesn't know
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([found], pa.binary())], names=["path", "header"])
+
+    row = files.orderBy("path").select("path").limit(1).mapInArrow(run, "path string, header binary").first()
+    if row is None:
+        raise FileNotFoundError("no raster file there")
+    path = row["path"]
+    if row["header"] is not None:
+        return path, pickle.loads(bytes(row["header"])), True
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(header_of(content.as_py()))], pa.binary())], names=["header"])
+
+    row = files.sparkSession.read.format("binaryFile").load(path).select("content").mapInArrow(whole, "header binary").first()
+    return path, pickle.loads(bytes(row["header"])), False
+
+
+def read(spark: SparkSession, path: str, *, size: int = 256, image_id: str | None = None, errors: str = "raise") -> Raster:
+    """A raster of one file (or of files that share grid and bands, told apart by image_id, the file's name).
+
+    ``errors``: "skip" leaves out tiles that can't be read (and files of another
+    grid), "raise" fails.
+    """
+    try:
+        files = spark.read.format("binaryFile").load(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise FileNotFoundError(path) from e
+    first, header, ranged = _head(files)
+    many = image_id is not None
+    name_of = F.element_at(F.split("path", "/"), -1)
+    keys = [*(["image_id"] if many else []), "tile_row", "tile_col"]
+    rows, cols = -(-header.height // size), -(-header.width // size)
+
+    def fits(own: Header, name: str) -> None:
+        if (own.width, own.height, len(own.bands)) != (header.width, header.height, len(header.bands)):
+            raise ValueError(f"{name} has another grid than the first file")
+
+    def tiles(units: DataFrame, bands: list[str]) -> DataFrame:
+        """The tiles of units with some bands: (path, tile_row, tile_col), or (path, content) of whole files."""
+        picked = [header.bands.index(b) for b in bands]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            name, own = None, None  # the last file
+            for batch in batches:
+                for k, path in enumerate(batch.column(0).to_pylist()):
+                    places = [(batch.column(1)[k].as_py(), batch.column(2)[k].as_py())] if ranged else [(i, j) for i in range(rows) for j in range(cols)]
+                    for i, j in places:
+                        try:
+                            if path != name:
+                                name, own = path, None
+                                own = Blocks(_ranged(path) if ranged else batch.column(1)[k].as_py())
+                                fits(own.header, path)
+                            if own is None:
+                                raise ValueError(f"{path} can't be read")
+                            x = own.window(i * size, min(header.height, (i + 1) * size), j * size, min(header.width, (j + 1) * size), picked)
+                        except (OSError, ValueError, IndexError, KeyError, struct.error, zlib.error):
+                            if errors != "skip":
+                                raise
+                            continue
+                        ids = [pa.array([path.rsplit("/", 1)[-1]])] if many else []
+                        arrays = _tile_arrays(x, size, tuple(own.header.nodata[b] for b in picked))
+                        yield pa.RecordBatch.from_arrays([*ids, pa.array([i], pa.int32()), pa.array([j], pa.int32()), *arrays], names=[*keys, *bands])
+
+        schema = ", ".join([*(["image_id string"] if many else []), "tile_row int, tile_col int", *(f"{b} array<double>" for b in bands)])
+        return units.mapInArrow(run, schema)
+
+    fetch = None
+    if ranged:
+        def fetch(needed: DataFrame, bands: list[str]) -> DataFrame:
+            inside = needed.where(F.col("tile_row").between(0, rows - 1) & F.col("tile_col").between(0, cols - 1))
+            units = inside.join(files.select("path", name_of.alias("image_id")), "image_id") if many else inside.withColumn("path", F.lit(first))
+            return tiles(units.select("path", "tile_row", "tile_col"), bands)
+
+        each = files.select("path", F.explode(F.sequence(F.lit(0), F.lit(rows * cols - 1))).alias("u"))
+        # the tiles of one row share its strips, so a task gets all of them
+        units = each.select("path", F.floor(F.col("u") / cols).cast("int").alias("tile_row"), (F.col("u") % cols).cast("int").alias("tile_col"))
+        units = units.repartition(spark.sparkContext.defaultParallelism * 4, "path", "tile_row").sortWithinPartitions("path", "tile_row", "tile_col")
+    else:
+        units = files.select("path", "content")
+    every = tiles(units, list(header.bands))
+    return Raster(replace(header, nodata=(None,) * len(header.bands)), every, size, meta={"path": path, "nodata": header.nodata, "dtype": header.dtype}, fetch=fetch)
 
 
 def write_tiles(rows: DataFrame, header: Header) -> DataFrame:
@@ -278,7 +413,7 @@ def synthetic_nodata(dtype: str) -> float:
 
 
 def _source(spark: SparkSession, spec: dict[str, Any]) -> Raster:
-    return read(spark, spec["path"])
+    return read(spark, spec["path"], errors=spec.get("on_error", "raise"))
 
 
 register_source("local", _source)

@@ -21,13 +21,24 @@ from terrasample.functions.grid import Header
 
 @dataclass(frozen=True)
 class Raster:
-    """``images`` is the dimension of a collection: image_id, time_start, time_end (dates or null)."""
+    """``images`` is the dimension of a collection: image_id, time_start, time_end (dates or null).
+
+    ``fetch`` is a source's way to read only some tiles: a function of a table of
+    distinct keys and of the bands.
+    """
 
     header: Header
     tiles: DataFrame
     size: int = 256
     images: DataFrame | None = None
     meta: dict[str, Any] = field(default_factory=dict)
+    fetch: Callable[[DataFrame, list[str]], DataFrame] | None = None
+
+    def tiles_for(self, wanted: DataFrame, bands: list[str]) -> DataFrame:
+        """The tiles with some bands that windows want (their keys, repeats and nulls included): all there are, or those that the source is asked for."""
+        if self.fetch is None:
+            return self.tiles.select(*self.keys, *bands)
+        return self.fetch(wanted.select(*self.keys).where("tile_row is not null and tile_col is not null").distinct(), bands)
 
     def select(self, bands: list[str]) -> Raster:
         """Only some bands, in the order given."""

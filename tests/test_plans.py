@@ -187,6 +187,95 @@ def test_geotiff_round_trip(spark, tmp_path, kind):
     assert n == (v[1] != 7).sum()
 
 
+def blocked(v, block, big=False, tiled=True, predictor=1):
+    """A small TIFF file in blocks or strips, written by the specification: single bands after each other."""
+    n, h, w = v.shape
+    import struct
+    import zlib
+
+    rows = [(b, i, j) for b in range(n) for i in range(0, h, block) for j in (range(0, w, block) if tiled else [0])]
+    parts = []
+    for b, i, j in rows:
+        x = np.zeros((block, block), v.dtype) if tiled else v[b, i : i + block].copy()
+        if tiled:
+            cut = v[b, i : i + block, j : j + block]
+            x[: cut.shape[0], : cut.shape[1]] = cut
+        if predictor == 2:
+            x[:, 1:] = np.diff(x, axis=1)
+        parts.append(zlib.compress(np.ascontiguousarray(x).tobytes()))
+    kind = {"u": 1, "i": 2, "f": 3}[v.dtype.kind]
+    word, code = ("<Q", 16) if big else ("<I", 4)
+    first = 16 if big else 8
+    places = [first + sum(map(len, parts[:k])) for k in range(len(parts))]
+    tags = [(256, 4, [w]), (257, 4, [h]), (258, 3, [v.itemsize * 8] * n), (259, 3, [8]), (277, 3, [n]), (284, 3, [2]), (317, 3, [predictor]), (339, 3, [kind] * n), (42113, 2, b"7\0")]
+    tags += [(322, 4, [block]), (323, 4, [block]), (324, code, places), (325, 4, [len(p) for p in parts])] if tiled else [(278, 4, [block]), (273, code, places), (279, 4, [len(p) for p in parts])]
+    body, at = b"".join(parts), first + sum(map(len, parts))
+    entries, room = b"", 8 if big else 4
+    for tag, t, values in sorted(tags, key=lambda x: x[0]):
+        raw = values if t == 2 else struct.pack("<" + {3: "H", 4: "I", 16: "Q"}[t] * len(values), *values)
+        entries += struct.pack("<HH", tag, t) + struct.pack(word, len(values))
+        if len(raw) <= room:
+            entries += raw.ljust(room, b"\0")
+        else:
+            entries += struct.pack(word, at)
+            body, at = body + raw, at + len(raw)
+    head = struct.pack("<2sHHHQ", b"II", 43, 8, 0, at) if big else struct.pack("<2sHI", b"II", 42, at)
+    return head + body + struct.pack("<Q" if big else "<H", len(tags)) + entries + b"\0" * 8
+
+
+@pytest.mark.parametrize("tiled", [True, False])
+@pytest.mark.parametrize("big", [True, False])
+def test_blocks_of_big_and_small_files(spark, tmp_path, big, tiled):
+    v = np.random.default_rng(9).integers(0, 60_000, (2, 75, 90)).astype("uint16")
+    data = blocked(v, 16, big, tiled, predictor=2)
+    assert (geotiff.decode(data) == v).all()
+    (tmp_path / "x.tif").write_bytes(data)
+    read = []
+    blocks = geotiff.Blocks(lambda at, size: (read.append(at), data[at : at + size])[1])
+    read.clear()
+    assert (blocks.window(20, 30, 40, 47, [1]) == v[1:, 20:30, 40:47]).all() and len(read) == (1 if tiled else 1)
+    r = geotiff.read(spark, str(tmp_path / "x.tif"), size=32)
+    assert r.tiles.count() == 9 and r.header.bands == ("b1", "b2") and r.meta["nodata"] == (7.0, 7.0)
+    some = r.tiles_for(spark.createDataFrame([(1, 2), (1, 2), (9, 9), (None, None)], "tile_row int, tile_col int"), ["b2"]).collect()
+    part = np.array([x if x is not None else np.nan for x in some[0]["b2"]]).reshape(32, 32)
+    assert len(some) == 1 and (some[0]["tile_row"], some[0]["tile_col"]) == (1, 2) and (part[:, :26] == v[1, 32:64, 64:]).all() and np.isnan(part[:, 26:]).all()
+
+
+def test_files_that_cannot_be_read(spark, tmp_path):
+    v = np.arange(2 * 40 * 40).reshape(2, 40, 40).astype("float32")
+    for k in "abc":
+        (tmp_path / f"{k}.tif").write_bytes(geotiff.encode(v, Header(40, 40, 10.0, -10.0, bands=("b1", "b2"), nodata=(None, None), dtype="float32")))
+    (tmp_path / "b.tif").write_bytes((tmp_path / "b.tif").read_bytes()[:300])
+    assert {r["image_id"] for r in geotiff.read(spark, str(tmp_path), size=32, image_id="name", errors="skip").tiles.collect()} == {"a.tif", "c.tif"}
+    with pytest.raises(Exception):
+        geotiff.read(spark, str(tmp_path), size=32, image_id="name").tiles.collect()
+    with pytest.raises(FileNotFoundError):
+        geotiff.read(spark, f"{tmp_path}/*.none")
+
+
+def test_choices_become_configurations(spark, dem, tmp_path):
+    from terrasample.plans import requests
+
+    assert requests.window_sizes("100; 500,20 ") == (100, 500, 20)
+    for bad in ("", " ,", "0", "-5", "1.5", "x"):
+        with pytest.raises(ValueError):
+            requests.window_sizes(bad)
+    assert requests.default_statistics({"data_type": "categorical"}) == ("mode", "class_fraction") and requests.default_statistics({}) == ("mean", "std")
+    assert requests.suitable_statistics({"data_type": "categorical"}, ["mean", "count", "mode"]) == ("count", "mode") and requests.suitable_statistics({}, ["Mean", "mode"]) == ("Mean",)
+    one = terrasample.Choice("My data/1", (100,), ("mean",))
+    assert terrasample.build_config([one], "tabular") == [{"batch_id": "extract_01_my_data_1", "datasets": ["My data/1"], "settings": {"output_type": "tabular", "window_size_m": 100, "statistics": ["mean"], "output_file_format": "csv"}}]
+    assert terrasample.build_config([terrasample.Choice("a", (5, 6))], "raster")[0]["settings"] == {"output_type": "raster", "window_size_m": [5, 6], "resample_m": 10}
+    for bad in (([], "tabular"), ([one], "x"), ([terrasample.Choice("", (1,))], "raster"), ([terrasample.Choice("a", ())], "raster"), ([terrasample.Choice("a", (1,))], "tabular")):
+        with pytest.raises(ValueError):
+            terrasample.build_config(*bad)
+    terrasample.update_catalog({"datasets": {"dem": {"data_source": "local", "path": dem[0], "bands": 1}}})
+    out = terrasample.run_extraction(sites(spark), [terrasample.Choice("dem", (100,), ("max",))], "tabular", str(tmp_path), "4326")
+    assert spark.read.csv(out["extract_01_dem"], header=True).columns[-1] == "dem_max_100m"
+    for bad in (sites(spark).limit(0), sites(spark).withColumn("decimalLatitude", F.lit("north")), sites(spark).drop("occurrenceID")):
+        with pytest.raises(ValueError):
+            terrasample.run_extraction(bad, [one], "tabular", str(tmp_path))
+
+
 def test_lzw_and_packbits():
     # the specification's example bytes, and a run-length example
     assert geotiff._unpackbits(bytes([0xFE, 0xAA, 0x02, 0x80, 0x00, 0x2A, 0xFD, 0xAA, 0x03, 0x80, 0x00, 0x2A, 0x22, 0xF7, 0xAA])).hex() == "aaaaaa80002aaaaaaaaa80002a22aaaaaaaaaaaaaaaaaaaa"
