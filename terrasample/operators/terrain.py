@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrasample.functions.grid import Header
+from terrasample.sources.raster import Raster
 
 
 #: A valid neighbour of less weight (a rounding error of the place) doesn't fill a gap.
@@ -32,18 +33,49 @@ def gradients(pixels: DataFrame, band: str) -> DataFrame:
     return joined.where("here > 0").drop("here")
 
 
+def _slope(dx: Column, dy: Column, header: Header) -> Column:
+    return F.degrees(F.atan(F.sqrt((dx / (2 * abs(header.a))) ** 2 + (dy / (2 * abs(header.e))) ** 2)))
+
+
+def _aspect(dx: Column, dy: Column, header: Header) -> Column:
+    turn = F.degrees(F.atan2(-dx / (2 * header.a), -dy / (2 * header.e)))
+    return F.when((dx != 0) | (dy != 0), F.when(turn < 0, turn + 360).otherwise(turn))
+
+
+def derived_tiles(raster: Raster, band: str, name: str) -> DataFrame:
+    """The tiles of slope or aspect of a band: the raster's keys and an array of that name.
+
+    A tile gets the four edges that touch it from its neighbours, one aggregation
+    by tile; within it the neighbours are places of the array.  So little more
+    than the tiles themselves is shuffled, and no pixel is a row.
+    """
+    size, h, v = raster.size, raster.header, F.col(band)
+    line = F.sequence(F.lit(0), F.lit(size - 1))
+    row, col = lambda i: F.slice(v, i * size + 1, size), lambda j: F.transform(line, lambda i: F.get(v, i * size + j))
+    # the part of this tile that another one needs, and that one's place: my last row lies above the tile below
+    parts = ((0, 0, "own", v), (1, 0, "above", row(size - 1)), (-1, 0, "below", row(0)), (0, 1, "left", col(size - 1)), (0, -1, "right", col(0)))
+    others = [k for k in raster.keys if k == "image_id"]
+    sent = raster.tiles.select(*others, F.inline(F.array(*(F.struct((F.col("tile_row") + dr).alias("tile_row"), (F.col("tile_col") + dc).alias("tile_col"), F.lit(kind).alias("kind"), part.alias("part")) for dr, dc, kind, part in parts))))
+    got = sent.groupBy(*raster.keys).agg(*(F.first(F.when(F.col("kind") == kind, F.col("part")), True).alias(kind) for *_, kind, _ in parts)).where("own is not null")
+    place = lambda kind, o: F.get(F.col(kind), o)
+
+    def one(o: Column) -> Column:
+        r, c = F.floor(o / size).cast("int"), (o % size).cast("int")
+        left, right = F.when(c == 0, place("left", r)).otherwise(place("own", o - 1)), F.when(c == size - 1, place("right", r)).otherwise(place("own", o + 1))
+        above, below = F.when(r == 0, place("above", c)).otherwise(place("own", o - size)), F.when(r == size - 1, place("below", c)).otherwise(place("own", o + size))
+        return F.when(place("own", o).isNotNull(), {"slope": _slope, "aspect": _aspect}[name](right - left, below - above, h))
+
+    return got.select(*raster.keys, F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), one).alias(name))
+
+
 def slope(pixels: DataFrame, band: str, header: Header) -> DataFrame:
     """r, c and slope in degrees from the four neighbours; null at edges."""
-    run_x, run_y = 2 * abs(header.a), 2 * abs(header.e)
-    return gradients(pixels, band).select("r", "c", F.degrees(F.atan(F.sqrt((F.col("dx") / run_x) ** 2 + (F.col("dy") / run_y) ** 2))).alias("slope"))
+    return gradients(pixels, band).select("r", "c", _slope(F.col("dx"), F.col("dy"), header).alias("slope"))
 
 
 def aspect(pixels: DataFrame, band: str, header: Header) -> DataFrame:
     """r, c and aspect, the direction of descent in degrees clockwise from north; null at edges and on flat ground."""
-    east = -F.col("dx") / (2 * header.a)
-    north = -F.col("dy") / (2 * header.e)
-    turn = F.degrees(F.atan2(east, north))
-    return gradients(pixels, band).select("r", "c", F.when((F.col("dx") != 0) | (F.col("dy") != 0), F.when(turn < 0, turn + 360).otherwise(turn)).alias("aspect"))
+    return gradients(pixels, band).select("r", "c", _aspect(F.col("dx"), F.col("dy"), header).alias("aspect"))
 
 
 def sample_grid(points: DataFrame, n: int, step: float) -> DataFrame:
@@ -88,6 +120,13 @@ def resample_bands(grid: DataFrame, pixels: DataFrame, bands: list[str], header:
     return joined.groupBy("_row", "i", "j").agg(*(weighed(b) for b in bands))
 
 
+def neighbour_tiles(grid: DataFrame, header: Header, size: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The distinct tiles (keys, tile_row, tile_col) of the pixels that resampling at the grid's places reads."""
+    row, col = header.index(F.col("gx"), F.col("gy"))
+    tile = lambda c, d: F.floor((F.floor(c - 0.5) + d) / size).cast("int")
+    return grid.select(*keys, F.inline(F.array(*(F.struct(tile(row, dr).alias("tile_row"), tile(col, dc).alias("tile_col")) for dr in (0, 1) for dc in (0, 1))))).distinct()
+
+
 def tiles(samples: DataFrame, n: int) -> DataFrame:
     """_row and the row-major array of an n x n tile's values; a tile's cells bound its group."""
     cell = F.struct((F.col("i") * n + F.col("j")).alias("o"), F.col("value").alias("v"))

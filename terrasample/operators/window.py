@@ -102,6 +102,18 @@ def window_pixels(points: DataFrame, raster: Raster, window_m: float, bands: lis
     return px.select(ROW, *extra, "r", "c", *(valid[b].alias(b) for b in bands))
 
 
+def touched_tiles(points: DataFrame, raster: Raster, window_m: float, margin: int = 0) -> DataFrame:
+    """The distinct tile_row and tile_col of the pixels of all windows, and of ``margin`` pixels around them."""
+    h, size = raster.header, raster.size
+    at = index_ranges(corners(points, raster, window_m), raster).where("in_extent")
+    tile = lambda c: F.floor(c / size).cast("int")
+    # the cells that a window touches, not only those with their centre in it
+    low = lambda p: F.greatest(F.floor(F.array_min(p)) - margin, F.lit(0))
+    high = lambda p, n: F.least(F.ceil(F.array_max(p)) - 1 + margin, F.lit(n - 1))
+    rows, cols = F.sequence(tile(low("pr")), tile(high("pr", h.height))), F.sequence(tile(low("pc")), tile(high("pc", h.width)))
+    return at.select(F.explode(rows).alias("tile_row"), cols.alias("cols")).select("tile_row", F.explode("cols").alias("tile_col")).distinct()
+
+
 def _inside(row: Column, col: Column) -> Column:
     """Whether a pixel centre lies in the quadrilateral pr, pc: the four cross products share a sign.
 

@@ -19,7 +19,7 @@ from terrasample.plans import catalog as catalogs
 from terrasample.plans import config as configs
 from terrasample.plans import progress
 from terrasample.sources import geotiff, points as point_source, sinks
-from terrasample.sources.raster import Raster, open_raster, pixels_of_tiles, tiles_of_pixels
+from terrasample.sources.raster import Raster, only, open_raster, pixels_of_tiles, tiles_of_pixels
 from terrasample.sources.shared import cut, shared_folder
 
 MAX_TILE_BYTES = 32 * 2**20
@@ -175,7 +175,7 @@ def extract(
             raster = opened[chosen.name]
             bands, multi = _bands(spec, chosen, raster)
             for derived in chosen.derived:
-                raster = _with_derived(raster, derived, bands[0])
+                raster = _with_derived(raster, derived, bands[0], places, max(run.windows) * 2)
             if chosen.derived:
                 bands = [*(bands if chosen.keeps_source else []), *chosen.derived]
                 multi = len(bands) > 1
@@ -307,14 +307,14 @@ def _assembled(wide: DataFrame, given: DataFrame, names: dict[str, str], stats:
     return rows.select(*core, *passed, *rounded), rows.select(*core, *(F.col(f"`{c}`") for c in flags))
 
 
-def _with_derived(raster: Raster, name: str, band: str) -> Raster:
-    """``raster`` with slope or aspect of a band as another band."""
-    made = {"slope": terrain.slope, "aspect": terrain.aspect}[name](pixels_of_tiles(raster.select([band])), band, raster.header)
-    header = replace(raster.header, bands=(name,), nodata=(None,))
-    extra = tiles_of_pixels(made, header, raster.size)
+def _with_derived(raster: Raster, name: str, band: str, points: DataFrame, window_m: float) -> Raster:
+    """``raster`` with slope or aspect of a band as another band, in the tiles that the points' windows touch."""
+    near = only(raster, window.touched_tiles(_located(points, raster), raster, window_m, margin=3))
+    extra = terrain.derived_tiles(near, band, name)
     # tiles have one type for all bands: one that holds fractions
     kind = str(np.result_type(np.dtype(raster.header.dtype), np.float32))
-    return replace(raster, fetch=None, header=replace(raster.header, bands=(*raster.header.bands, name), nodata=(*raster.header.nodata, None), dtype=kind), meta={**raster.meta, "nodata": None}, tiles=raster.tiles.join(extra, raster.keys, "left"))
+    header = replace(raster.header, bands=(*raster.header.bands, name), nodata=(*raster.header.nodata, None), dtype=kind)
+    return replace(near, header=header, meta={**raster.meta, "nodata": None}, tiles=near.tiles.join(extra, raster.keys, "left"))
 
 
 def tile_values(points: DataFrame, raster: Raster, window_m: float, step: float | None = None) -> DataFrame:
@@ -355,7 +355,8 @@ def tile_values(points: DataFrame, raster: Raster, window_m: float, step: float
         if code:
             moved = crs.let(F.struct("gx", "gy", "epsg"), lambda g: crs.moved(g["gx"], g["gy"], g["epsg"], code))
             grid = grid.withColumn("g", moved).withColumns({"gx": F.col("g.x"), "gy": F.col("g.y")}).drop("g")
-        cells = terrain.resample_bands(grid, pixels_of_tiles(raster), bands, h, keys=keys).select(window.ROW, (F.col("i") * n + F.col("j")).cast("int").alias("o"), *bands)
+        near = only(raster, terrain.neighbour_tiles(grid, h, raster.size, keys))
+        cells = terrain.resample_bands(grid, pixels_of_tiles(near), bands, h, keys=keys).select(window.ROW, (F.col("i") * n + F.col("j")).cast("int").alias("o"), *bands)
     # a tile's cells bound its group
     packed = cells.groupBy(window.ROW).agg(F.array_sort(F.collect_list(F.struct("o", *(F.col(b).cast("double").alias(f"v{k}") for k, b in enumerate(bands))))).alias("ps"))
     values = F.array(*(F.col(f"ps.v{k}") for k in range(len(bands))))

@@ -53,6 +53,16 @@ class Raster:
         return [*(["image_id"] if "image_id" in self.tiles.columns else []), "tile_row", "tile_col"]
 
 
+def only(raster: Raster, wanted: DataFrame) -> Raster:
+    """``raster`` with the tiles that ``wanted`` (tile_row, tile_col and, of a collection, image_id or not) names and no others."""
+    on = [k for k in raster.keys if k in wanted.columns]
+    keys = wanted.select(*on).where("tile_row is not null and tile_col is not null").distinct()
+    bands = list(raster.header.bands)
+    if raster.fetch is not None and on == raster.keys:
+        return replace(raster, fetch=None, tiles=raster.fetch(keys, bands))
+    return replace(raster, fetch=None, tiles=raster.tiles.join(keys, on, "left_semi"))
+
+
 def tiles_of_pixels(pixels: DataFrame, header: Header, size: int = 256, keys: tuple[str, ...] = ()) -> DataFrame:
     """Dense tiles from a table of pixels: r, c and a column for each band; missing pixels and nodata are null.
 

@@ -14,7 +14,7 @@ from terrasample.functions.grid import Header, snap, snap_even
 from terrasample.operators import asof, terrain
 from terrasample.plans import catalog, config
 from terrasample.sources import geotiff, points as point_source
-from terrasample.sources.raster import Raster, tiles_of_pixels
+from terrasample.sources.raster import Raster, pixels_of_tiles, tiles_of_pixels
 from terrasample.streaming.enrich import enrich_stream
 
 
@@ -163,6 +163,18 @@ def test_terrain_of_a_plane(spark):
     assert terrain.slope(px, "v", h).where("r = 0").where("slope is not null").count() == 0
 
 
+@pytest.mark.parametrize("name", ["slope", "aspect"])
+def test_derived_tiles_equal_those_by_pixels(spark, name):
+    n = 23
+    px = spark.range(n * n).where("id % 37 <> 5").select((F.col("id") / n).cast("int").alias("r"), (F.col("id") % n).cast("int").alias("c"), F.pmod(F.xxhash64("id"), F.lit(50)).cast("double").alias("b1"))
+    h = Header(n, n, 10.0, -10.0)
+    r = Raster(h, tiles_of_pixels(px, h, 8), 8)
+    tiled = Raster(Header(n, n, 10.0, -10.0, bands=(name,)), terrain.derived_tiles(r, "b1", name), 8)
+    key = lambda df: {(x["r"], x["c"]): x[name] for x in df.collect() if x[name] is not None}
+    want, got = key(getattr(terrain, name)(px, "b1", h)), key(pixels_of_tiles(tiled))
+    assert want.keys() == got.keys() and len(want) > 300 and all(abs(want[k] - got[k]) < 1e-9 for k in want)
+
+
 def test_resampling(spark):
     px = spark.range(100).select((F.col("id") / 10).cast("int").alias("r"), (F.col("id") % 10).cast("int").alias("c")).withColumn("v", F.col("c") * 10.0 + 5)
     p = spark.createDataFrame([(0, 50.0, 50.0)], "_row long, x double, y double")
@@ -427,6 +439,24 @@ def test_tiles_of_a_raster_in_degrees_are_in_metres_and_of_the_point_s_image(spa
     assert set(x[0][~np.isnan(x[0])]) == {float(ord("b"))} and np.nanmin(x[1]) == round((t.c - 18.0) / 0.00025)
 
 
+def test_extract_derived_bands(spark, tmp_path):
+    """A plane that rises 10 m a pixel to the east: slope 45 degrees, aspect west; in tables and in tiles."""
+    n = 40
+    px = spark.range(n * n).select((F.col("id") / n).cast("int").alias("r"), (F.col("id") % n).cast("int").alias("c")).withColumn("b1", F.col("c") * 10.0)
+    h = Header(n, n, 10.0, -10.0, 347020.0, 6988980.0, crs=32634)
+    r = Raster(h, tiles_of_pixels(px, h, 16), 16, meta={"spec": {"supported_derived_bands": ["slope", "aspect"]}})
+    lat, lon = one(spark, *crs.utm_inverse(F.lit(347020.0 + 205), F.lit(6988980.0 - 205), F.lit(32634)))
+    df = spark.createDataFrame([("p", lat, lon)], "occurrenceID string, decimalLatitude double, decimalLongitude double")
+    run = {"batch_id": "d", "datasets": [{"dem": ["b1", "slope", "aspect"]}], "settings": {"output_type": "tabular", "statistics": ["min", "max", "point"], "window_size_m": 60, "output_file_format": "dataframe"}}
+    row = terrasample.extract(df, run, rasters={"dem": r}, quiet=True, write_metadata=False, output_dir=str(tmp_path)).first()
+    assert [row[f"dem_slope_{s}_60m"] for s in ("min", "max")] == [45.0, 45.0] and row["dem_aspect_point"] == 270.0 and row["dem_b1_point"] == 200.0
+    run["settings"] = {"output_type": "raster", "window_size_m": 60}
+    out = terrasample.extract(df, run, rasters={"dem": r}, quiet=True, write_metadata=False, output_dir=str(tmp_path))
+    x = geotiff.decode((Path(out["d:dem"]) / "p-dem.tif").read_bytes())
+    here = ~np.isnan(x[0])
+    assert x.shape[0] == 3 and 30 < here.sum() < 43 and np.allclose(x[1][here], 45) and np.allclose(x[2][here], 270)
+
+
 def test_extract_collection(spark, images):
     px = spark.range(3 * 400).select(F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("id") / 400).cast("int") + 1).alias("image_id"), ((F.col("id") % 400) / 20).cast("int").alias("r"), (F.col("id") % 20).cast("int").alias("c")).withColumn("b1", F.ascii("image_id").cast("double"))
     h = Header(20, 20, 0.01, -0.01, 18.0, 63.0, crs=4326)
