@@ -288,3 +288,53 @@ def test_pipeline_equals_its_plain_version(spark, data):
     plain = {d: plain_tokens(queries.tokenizer_path(), [(d, t)])[d] for d, t in set(chosen)}
     assert got == sorted((d, *plain[d][1:]) for d, _ in chosen)
     assert [n for n, _ in cp.STAGES] and ngram_join.prefix_size(100, 0.75) == 26
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, score string, n_hit int, rate double, copies int, position string"
+
+
+def odd_documents(spark):
+    long = " ".join(f"word{k % 997}x{k}" for k in range(60_000))
+    rows = [(1, "one two three four five six", "en", "src0"), (1, "one two three four five six", "en", "src0"), (1, "other words of the same id, all of them new", "en", "src1"), (2, "one two three four five six", None, None), (3, None, "en", "src2"), (3, "", "en", "src2"), (None, None, None, None), (None, "one two three four five six", "en", "src0"), (5, long, "en", "src1"), (6, long + " end", "en", "src1")]
+    return spark.createDataFrame([(*r, len(r[1] or ""), f"s{k}", k, float(k), k, f"p{k}") for k, r in enumerate(rows)], CLASHING)
+
+
+def test_pipeline_stages_of_odd_tables(spark, data):
+    """Nulls, repeated rows and ids, long texts and clashing names: whole rows stay or go, their own columns unchanged."""
+    import corpus_pipeline as cp
+
+    docs = odd_documents(spark)
+    given = {tuple(r) for r in docs.collect()}
+    kept = {}
+    for name, stage in cp.STAGES[:4]:
+        out = stage(spark, docs, data)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        kept[name] = out.collect()
+        assert {tuple(r) for r in kept[name]} <= given
+        assert stage(spark, docs.limit(0), data).count() == 0
+    one = kept["n-gram Jaccard join"]
+    assert sorted(r["text"][:9] for r in one if r["doc_id"] is not None and r["text"]) == ["one two t", "other wor", "word0x0 w"]
+    assert sum(r["doc_id"] is None for r in one) == 2 and sum(not r["text"] for r in one if r["doc_id"] == 3) == 2
+    assert len(kept["benchmark decontamination"]) == docs.count()
+    tokens_out = cp.STAGES[4][1](spark, docs, data).collect()
+    assert len(tokens_out) == docs.count() and sum(r["doc_id"] is None for r in tokens_out) == 2
+    assert cp.STAGES[4][1](spark, docs.limit(0), data).count() == 0
+
+
+def test_pipeline_without_labels_keeps_all(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = odd_documents(spark)
+    assert cp.keep_quality(spark, docs, str(tmp_path)).count() == docs.count()
+
+
+def test_token_table_of_odd_rows(spark):
+    docs = odd_documents(spark)
+    got = tokens.token_table(docs, queries.tokenizer_path()).orderBy("start").collect()
+    rows = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or ""))
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.tokenizer_path())
+    sizes = [len(t.encode(x or "", add_special_tokens=False).ids) + 1 for _, x in rows]
+    assert [(r["doc_id"], r["n_tokens"]) for r in got] == [(d, n) for (d, _), n in zip(rows, sizes, strict=True)]
