@@ -494,8 +494,28 @@ class _Join:
         return components(as_edges(second).unionByName(rest), self.folder, "components")
 
 
+def linked_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.75, max_frequent: int = 1 << 19, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The whole join: (a, b) of every two classes that link, a < b by their representatives; and (doc_id, class_id) of every document with words.
+
+    Documents with equal sets are one class, represented by the smallest id, and
+    link with each other and with all of a linked class; a copy's pairs aren't
+    written out.  No pair of different classes is left out because both are in one
+    component already: this costs what the number of such pairs costs, which
+    :func:`similar_documents` is spared.
+    """
+    own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t"))
+    join = _Join(own, width, threshold, max_frequent, folder)
+    join.sets()
+    join.postings()
+    alone = join.docs.sparkSession.createDataFrame([], "node bigint, component bigint")  # every class by itself
+    links = join.compare(join.rest(alone), "all")
+    s, c = join.stats.where("id is not null and n > 0"), join.classes.select(F.col("s1").alias("k1"), F.col("s2").alias("k2"), F.col("n").alias("m"), "rep")
+    member = s.join(c, (s["s1"] == c["k1"]) & (s["s2"] == c["k2"]) & (s["n"] == c["m"])).select(F.col("id").alias("doc_id"), F.col("rep").alias("class_id"))
+    return links, member
+
+
 def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.75, max_frequent: int = 1 << 19, folder: str | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs``.
+    """doc_id, n_shingles, component_id of every row of ``docs``; :func:`linked_pairs` gives the links themselves.
 
     Words are split at blanks after A-Z are lower-cased.  A text of fewer words
     than ``width`` has its whole sequence as its one shingle.  Texts without

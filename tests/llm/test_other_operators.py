@@ -190,9 +190,10 @@ def test_dense_groups_stay_connected():
     assert len(set(a.tolist())) == 2 and len(a) == 700 and set(b.tolist()) == {*range(300), *range(1000, 1400)}
 
 
-def test_components_of_a_chain_and_a_star(spark):
+@pytest.mark.parametrize("per_group", [1_000_000, 20])
+def test_components_of_a_chain_and_a_star(spark, per_group):
     edges = [(k, k + 1) for k in range(1, 60)] + [(100, k) for k in range(101, 400)] + [(7, 7), (None, 3)]
-    found = _graph.components(spark.createDataFrame(edges, "a long, b long"), _session.shared_folder(spark), "t").collect()
+    found = _graph.components(spark.createDataFrame(edges, "a long, b long"), _session.shared_folder(spark), "t", per_group=per_group).collect()
     got = {r["node"]: r["component"] for r in found}
     assert len(found) == len(got) == 60 + 300
     assert got == {k: 1 for k in range(1, 61)} | {k: 100 for k in range(100, 400)}

@@ -119,7 +119,7 @@ def plain_components(sets, t=75):
     return {i: find(i) for i in sets}
 
 
-def test_ngram_join_equals_all_pairs(spark):
+def similar_texts():
     r, texts = random.Random(4), []
     for _ in range(25):
         base = [f"t{r.randrange(400)}" for _ in range(r.randrange(3, 90))]
@@ -129,14 +129,37 @@ def test_ngram_join_equals_all_pairs(spark):
                 copy[r.randrange(len(copy))] = f"x{r.randrange(9)}"
             texts.append(" ".join(copy))
     passage = " ".join(f"p{k}" for k in range(30))
-    texts += [passage + f" own{k} tail{k} end{k} last{k}" for k in range(15)] + ["a b", "A  b", "", None, "!", "same same same same same same"]
+    return texts + [passage + f" own{k} tail{k} end{k} last{k}" for k in range(15)] + ["a b", "A  b", "", None, "!", "same same same same same same"]
+
+
+@pytest.mark.parametrize("bounds", [{}, {"HELD": 50, "DEALT": 100, "BLOCK": 3, "CHUNK": 2}])
+def test_ngram_join_equals_all_pairs(spark, monkeypatch, bounds):
+    """Also with bounds so small that shards are passed on in parts and shingles are paired block by block."""
+    for name, value in bounds.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    texts = similar_texts()
     docs = spark.createDataFrame(list(enumerate(texts)), DOC)
     got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.similar_documents(docs).collect()}
     sets = {k: shingles(t) for k, t in enumerate(texts)}
     assert got == {k: (len(sets[k]), c) for k, c in plain_components(sets).items()}
 
 
+def test_linked_pairs_are_all_pairs(spark):
+    texts = similar_texts()
+    sets = {k: shingles(t) for k, t in enumerate(texts)}
+    low = {}
+    for k, s in sets.items():
+        low.setdefault(frozenset(s), k)
+    links, member = ngram_join.linked_pairs(spark.createDataFrame(list(enumerate(texts)), DOC))
+    assert {r["doc_id"]: r["class_id"] for r in member.collect()} == {k: low[frozenset(s)] for k, s in sets.items() if s}
+    reps = sorted(k for s, k in low.items() if s)
+    want = {(a, b) for a in reps for b in reps if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert {(r["a"], r["b"]) for r in links.collect()} == want and len(want) > 20
+
+
 def test_ngram_join_odd_tables(spark):
+    long = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(200_000)), "x"), (2, " ".join(f"w{k}" for k in range(190_000)), "y")], DOC + ", component_id string")
+    assert [(r["n_shingles"], r["component_id"]) for r in ngram_join.similar_documents(long).orderBy("doc_id").collect()] == [(199_996, 1), (189_996, 1)]
     docs = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (5, None)], DOC)
     got = sorted(((x["doc_id"], x["n_shingles"], x["component_id"]) for x in ngram_join.similar_documents(docs).collect()), key=str)
     assert got == sorted([(None, 2, None), (3, 2, 3), (3, 2, 3), (5, 0, 5)], key=str)
