@@ -68,6 +68,37 @@ def match_images(rows: DataFrame, images: DataFrame, policy: str = "nearest", da
     return joined.select(*(F.col(f"`{c}`") for c in own), v["i"].alias("image_id"), v["s"].alias("image_time_start"), end.alias("image_time_end"), F.coalesce("date_clamped", F.lit(False)).alias("date_clamped"), "date_source")
 
 
+#: Columns of an image's footprint, in degrees.
+FOOTPRINT = ("west", "south", "east", "north")
+
+
+def match_covering(rows: DataFrame, images: DataFrame, policy: str = "nearest", key: str = "_row", date_col: str = "date") -> DataFrame:
+    """:func:`match_images` among the images whose footprint holds the row's place (lat, lon); ``key`` tells the rows apart.
+
+    Footprints meet the rows by the whole degrees that they touch, an equi-join;
+    of the best image under each footprint of a row the best by the same policy
+    is taken.  Rows that no image covers stay, with nulls.
+    """
+    feet = images.select(*FOOTPRINT).distinct().withColumn("footprint", F.concat_ws(",", *(F.col(c).cast("string") for c in FOOTPRINT)))
+    whole = lambda lo, hi: F.explode(F.sequence(F.floor(lo).cast("int"), F.floor(hi).cast("int")))
+    cells = feet.select("footprint", *FOOTPRINT, whole(F.col("south"), F.col("north")).alias("_cy")).withColumn("_cx", whole(F.col("west"), F.col("east")))
+    placed = rows.select(key, "lat", "lon", date_col).withColumns({"_cy": F.floor("lat").cast("int"), "_cx": F.floor("lon").cast("int")})
+    covered = placed.join(cells, ["_cy", "_cx"]).where("lon between west and east and lat between south and north").select(key, date_col, "footprint")
+    of = images.withColumn("footprint", F.concat_ws(",", *(F.col(c).cast("string") for c in FOOTPRINT)))
+    found = match_images(covered, of, policy, date_col, ("footprint",)).where("image_id is not null")
+    d, s = F.col(date_col).cast("date"), F.col("image_time_start")
+    late = -F.unix_date(s)
+    if policy == "nearest":
+        order = F.struct(F.when(d.isNull(), 0).otherwise(F.abs(F.datediff(s, d))).alias("gap"), late.alias("late"), "image_id")
+    else:  # started by the date, the last; else the first of all
+        order = F.struct((s > d).alias("after"), F.when(s > d, -late).otherwise(late).alias("late"), "image_id")
+    picked = ("image_id", "image_time_start", "image_time_end", "date_clamped", "date_source")
+    best = found.groupBy(key).agg(F.min_by(F.struct(*picked), order).alias("_v"))
+    own = [c for c in rows.columns if c not in picked]
+    joined = rows.select(*(F.col(f"`{c}`") for c in own)).join(best, key, "left")
+    return joined.select(*(F.col(f"`{c}`") for c in own), *(F.coalesce("_v.date_clamped", F.lit(False)).alias(c) if c == "date_clamped" else F.col(f"_v.{c}").alias(c) for c in picked))
+
+
 def undated(images: DataFrame) -> bool:
     """Whether no image of a collection has a start: it can't be matched by date."""
     return images.where("time_start is not null").isEmpty()

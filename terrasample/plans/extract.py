@@ -64,7 +64,10 @@ def dataset_columns(points: DataFrame, raster: Raster, name: str, names: list[st
             points = points.withColumn("date", F.lit(None).cast("date"))
         keys = ("utm_zone",) if by_zone and "utm_zone" in raster.images.columns else ()
         points = points.withColumn("utm_zone", crs.utm_zone_label(F.col("lat"), F.col("lon"))) if keys else points
-        points = asof.match_images(points, raster.images, policy, keys=keys)
+        if set(asof.FOOTPRINT) <= set(raster.images.columns):
+            points = asof.match_covering(points, raster.images, policy, window.ROW)
+        else:
+            points = asof.match_images(points, raster.images, policy, keys=keys)
         extra = ["date_clamped", "date_source", "image_time_start", "image_time_end"]
     side = effective_window(window_m, scale or abs(raster.header.a)) if expand_subpixel else window_m
     label = {b: f"{name}_{b}_" if multi else f"{name}_" for b in bands}

@@ -324,6 +324,22 @@ def date_info_summary(spark: SparkSession, d: str) -> DataFrame:
     return asof.date_info(m).select("n_nearest_to_sample", "n_clamped_to_nearest", F.size("image_date_ranges_used").cast("bigint").alias("n_ranges"))
 
 
+@query(f"""with {_LL}, im as (select s_suppkey::varchar as i, date '2024-01-01' + ((s_suppkey * 17) % 400)::int as s, 12 + s_suppkey % 10 + 0.05::double as west, 55 + s_suppkey % 12 + 0.05::double as south from supplier),
+ pt as (select ll.id, lat, lon, ts::date as d from ll join events on event_id = ll.id),
+ pick as (select pt.id, arg_min(i, struct_pack(gap := abs(d - s), late := -(s - date '1970-01-01'), i := i)) as image_id from pt join im on lon between west and west + 2.5 and lat between south and south + 1.5 group by pt.id)
+select pt.id, image_id from pt left join pick on pick.id = pt.id""")
+def asof_covering(spark: SparkSession, d: str) -> DataFrame:
+    """Points matched among the images whose footprint holds them."""
+    k = F.col("s_suppkey")
+    images = table(spark, d, "supplier").select(
+        k.cast("string").alias("image_id"), F.date_add(F.lit("2024-01-01").cast("date"), ((k * 17) % 400).cast("int")).alias("time_start"), F.lit(None).cast("date").alias("time_end"),
+        (12 + k % 10 + F.lit(0.05)).alias("west"), (55 + k % 12 + F.lit(0.05)).alias("south"),
+    ).withColumns({"east": F.col("west") + 2.5, "north": F.col("south") + 1.5})
+    dated = table(spark, d, "events").select(F.col("event_id").alias("id"), F.to_date("ts").alias("date"))
+    points = event_points(spark, d).join(dated, "id").withColumnRenamed("id", "_row")
+    return asof.match_covering(points, images).select(F.col("_row").alias("id"), "image_id")
+
+
 _MESSY = "case event_id % 5 when 0 then strftime(ts, '%Y-%m-%d') when 1 then strftime(ts, '%Y-%m') when 2 then strftime(ts, '%Y') when 3 then strftime(ts, '%Y-%m-%d') || '/' || strftime(ts + interval 3 day, '%Y-%m-%d') else strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z' end"
 
 

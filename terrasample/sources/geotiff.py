@@ -149,8 +149,15 @@ def _header(t: dict[int, tuple]) -> Header:
     if NODATA in t:
         nodata = float(t[NODATA][0].strip())
     bands = tuple(f"b{k + 1}" for k in range(n))
-    kind = {1: "uint", 2: "int", 3: "float"}[t.get(FORMAT, (1,))[0]] + str(t.get(BITS, (1,))[0])
-    return Header(t[WIDTH][0], t[HEIGHT][0], a, e, c, f, b, d, crs, bands, (nodata,) * n, kind)
+    # bands of different types have a common one that keeps all their values
+    return Header(t[WIDTH][0], t[HEIGHT][0], a, e, c, f, b, d, crs, bands, (nodata,) * n, str(np.result_type(*_kinds(t))))
+
+
+def _kinds(t: dict[int, tuple]) -> list[np.dtype]:
+    """The type of each band."""
+    n = t.get(SAMPLES, (1,))[0]
+    forms, bits = (v * n if len(v) < n else v for v in (t.get(FORMAT, (1,)), t.get(BITS, (1,))))
+    return [np.dtype({1: "uint", 2: "int", 3: "float"}[f] + str(b)) for f, b in zip(forms[:n], bits[:n], strict=True)]
 
 
 class Blocks:
@@ -162,13 +169,15 @@ class Blocks:
         self.header = _header(t)
         self.tiled = TILE_AT in t
         self.bands = t.get(SAMPLES, (1,))[0]
-        self.kind = np.dtype(self.header.dtype).newbyteorder(order)
+        self.kinds = [k.newbyteorder(order) for k in _kinds(t)]
         code = t.get(COMPRESSION, (1,))[0]
         if code not in _CODES:
             raise ValueError(f"unsupported compression {code}")
         self.unpack = _DECODE[_CODES[code]]
         self.planar, self.predictor = t.get(PLANAR, (1,))[0] == 2, t.get(PREDICTOR, (1,))[0]
         h = self.header.height
+        if len(set(self.kinds)) > 1 and not self.planar:
+            raise ValueError("bands of different types that aren't stored apart")
         self.width, self.height = (t[TILE_WIDTH][0], t[TILE_HEIGHT][0]) if self.tiled else (self.header.width, min(h, t.get(STRIP_ROWS, (h,))[0]))
         self.places, self.sizes = (t[TILE_AT], t[TILE_BYTES]) if self.tiled else (t[STRIP_AT], t[STRIP_BYTES])
         self.across, self.down = -(-self.header.width // self.width), -(-h // self.height)
@@ -178,7 +187,7 @@ class Blocks:
         n, w = 1 if self.planar else self.bands, self.width
         k = i * self.across + j + (band * self.across * self.down if self.planar else 0)
         rows = self.height if self.tiled else min(self.height, self.header.height - i * self.height)
-        kind = self.kind
+        kind = self.kinds[band]
         raw = self.unpack(self.read(self.places[k], self.sizes[k]))[: rows * w * n * kind.itemsize]
         if self.predictor == 3:  # bytes of the samples of a row by significance, then differences
             x = np.cumsum(np.frombuffer(raw, np.uint8).reshape(rows, kind.itemsize * w, n), 1, dtype=np.uint8).reshape(rows, kind.itemsize, w * n)
@@ -189,7 +198,7 @@ class Blocks:
     def window(self, r0: int, r1: int, c0: int, c1: int, bands: list[int] | None = None) -> np.ndarray:
         """Bands x rows x columns of a part of the file, of the blocks that it touches only."""
         bands = list(range(self.bands)) if bands is None else bands
-        out = np.zeros((len(bands), r1 - r0, c1 - c0), self.kind.newbyteorder("="))
+        out = np.zeros((len(bands), r1 - r0, c1 - c0), np.dtype(self.header.dtype))
         for i in range(r0 // self.height, -(-r1 // self.height)):
             for j in range(c0 // self.width, -(-c1 // self.width)):
                 y0, x0 = i * self.height, j * self.width

@@ -93,6 +93,17 @@ def test_images_are_matched_within_their_zone(spark):
     assert [r["image_id"] for r in asof.match_images(rows, im, keys=("utm_zone",)).orderBy("k").collect()] == ["a", "b", None]
 
 
+def test_images_are_matched_where_they_cover_the_point(spark):
+    d = datetime.date
+    im = spark.createDataFrame(
+        [("a", d(2020, 1, 1), None, 10.5, 50.2, 12.5, 51.7), ("b", d(2020, 3, 1), None, 10.5, 50.2, 12.5, 51.7), ("c", d(2020, 2, 1), None, 12.0, 50.0, 14.0, 52.0)],
+        "image_id string, time_start date, time_end date, west double, south double, east double, north double",
+    )
+    rows = spark.createDataFrame([(1, 51.0, 11.0, d(2020, 2, 2)), (2, 51.0, 12.2, d(2020, 2, 2)), (3, 51.0, 13.0, None), (4, 0.0, 0.0, d(2020, 1, 1)), (5, 51.0, 12.2, None), (6, 51.0, 12.2, d(2019, 1, 1))], "_row int, lat double, lon double, date date")
+    for policy, want in (("nearest", ["b", "c", "c", None, "b", "a"]), ("contains", ["a", "c", "c", None, "b", "a"])):
+        assert [r["image_id"] for r in asof.match_covering(rows, im, policy).orderBy("_row").collect()] == want
+
+
 def plane(n=60, crs_code=4326, size=16, **more):
     """A raster in degrees whose value tells the pixel."""
     return Header(n, n, 0.01, -0.01, 18.0, 63.0, crs=crs_code, **more), size
@@ -201,25 +212,25 @@ def test_geotiff_round_trip(spark, tmp_path, kind):
 
 def blocked(v, block, big=False, tiled=True, predictor=1):
     """A small TIFF file in blocks or strips, written by the specification: single bands after each other."""
-    n, h, w = v.shape
+    n, (h, w) = len(v), v[0].shape
     import struct
     import zlib
 
     rows = [(b, i, j) for b in range(n) for i in range(0, h, block) for j in (range(0, w, block) if tiled else [0])]
     parts = []
     for b, i, j in rows:
-        x = np.zeros((block, block), v.dtype) if tiled else v[b, i : i + block].copy()
+        x = np.zeros((block, block), v[b].dtype) if tiled else v[b][i : i + block].copy()
         if tiled:
-            cut = v[b, i : i + block, j : j + block]
+            cut = v[b][i : i + block, j : j + block]
             x[: cut.shape[0], : cut.shape[1]] = cut
         if predictor == 2:
             x[:, 1:] = np.diff(x, axis=1)
         parts.append(zlib.compress(np.ascontiguousarray(x).tobytes()))
-    kind = {"u": 1, "i": 2, "f": 3}[v.dtype.kind]
+    kinds = [{"u": 1, "i": 2, "f": 3}[x.dtype.kind] for x in v]
     word, code = ("<Q", 16) if big else ("<I", 4)
     first = 16 if big else 8
     places = [first + sum(map(len, parts[:k])) for k in range(len(parts))]
-    tags = [(256, 4, [w]), (257, 4, [h]), (258, 3, [v.itemsize * 8] * n), (259, 3, [8]), (277, 3, [n]), (284, 3, [2]), (317, 3, [predictor]), (339, 3, [kind] * n), (42113, 2, b"7\0")]
+    tags = [(256, 4, [w]), (257, 4, [h]), (258, 3, [x.itemsize * 8 for x in v]), (259, 3, [8]), (277, 3, [n]), (284, 3, [2]), (317, 3, [predictor]), (339, 3, kinds), (42113, 2, b"7\0")]
     tags += [(322, 4, [block]), (323, 4, [block]), (324, code, places), (325, 4, [len(p) for p in parts])] if tiled else [(278, 4, [block]), (273, code, places), (279, 4, [len(p) for p in parts])]
     body, at = b"".join(parts), first + sum(map(len, parts))
     entries, room = b"", 8 if big else 4
@@ -253,6 +264,13 @@ def test_blocks_of_big_and_small_files(spark, tmp_path, big, tiled):
     assert len(some) == 1 and (some[0]["tile_row"], some[0]["tile_col"]) == (1, 2) and (part[:, :26] == v[1, 32:64, 64:]).all() and np.isnan(part[:, 26:]).all()
 
 
+def test_bands_of_different_types_get_a_common_one(spark, tmp_path):
+    r = np.random.default_rng(2)
+    v = [r.integers(0, 200, (20, 30)).astype("uint8"), r.normal(size=(20, 30)).astype("float32"), r.integers(0, 60_000, (20, 30)).astype("uint16")]
+    data = blocked(v, 16)
+    assert geotiff.header_of(data).dtype == "float32" and all((a == b).all() for a, b in zip(geotiff.decode(data), v, strict=True))
+
+
 def test_files_that_cannot_be_read(spark, tmp_path):
     v = np.arange(2 * 40 * 40).reshape(2, 40, 40).astype("float32")
     for k in "abc":
