@@ -6,15 +6,15 @@ the selected words and word beginnings occur in the whole text.  The expected
 severity is the sum of P(grade >= k), between 0 and K.
 
 Grades.  Labels mark documents as toxic or not.  Grade 0 is "not toxic"; the
-toxic ones are graded by how much of their text is marked words, a quantity that
+toxic ones are graded by how often marked words occur in them, a quantity that
 the features (which tell only *whether* a word occurs) don't hold: 1 up to the
 median of the toxic training documents, 2 above it.
 
 Fitting uses labelled rows that aren't held out, about ``max_rows`` of them
 (chosen by a hash of the id).  Features are all words and beginnings whose
-signed likelihood ratio with the label is ``min_ratio`` or more, by counts that
-Spark adds up over this sample; the squared weights are held down, so that many
-features don't overfit.  Scoring reads every text of every document, no shuffle.
+signed likelihood ratio with the label is ``min_ratio`` or more, and ``min_share``
+or more a labelled row, by counts that Spark adds up over this sample; the
+squared weights are held down, so that many features don't overfit.  Scoring reads every text of every document, no shuffle.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from terrasample.llm._session import TEXT_ROWS, cut, lean, shared_folder, ship
 from terrasample.llm.quality import _adam, _sigmoid, held_out
 
 BITS = 22
+#: How much the squared weights count, over the number of rows.
+RIDGE = 0.3
 
 
 @dataclass
@@ -54,13 +56,13 @@ class OrdinalModel:
 
 
 def present(column: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (row, selected feature) pairs of a text column, and each row's share of words and beginnings that are selected."""
+    """Distinct (row, selected feature) pairs of a text column, and how many of each row's words and beginnings are selected, repeats included."""
     row, key = _features.word_features(column, BITS)
     place = table[key]
     hit = place > 0
-    share = np.bincount(row[hit], minlength=len(column)) / np.maximum(np.bincount(row, minlength=len(column)), 1)
+    often = np.bincount(row[hit], minlength=len(column))
     pair = np.unique(row[hit] * np.int64(2**31) + place[hit] - 1)
-    return pair >> 31, pair & (2**31 - 1), share
+    return pair >> 31, pair & (2**31 - 1), often
 
 
 def fit_ordinal(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, n_features: int, grades: int, l2: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +81,7 @@ def fit_ordinal(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, n_featu
     return p[:n_features], np.cumsum(np.append(p[n_features], np.exp(np.clip(p[n_features + 1 :], -20, 20))))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, min_ratio: float = 10.0) -> OrdinalModel | None:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, min_ratio: float = 10.0, min_share: float = 0.0015) -> OrdinalModel | None:
     """Fit on labelled rows that aren't held out; None where either class or all text is missing."""
     ship(docs.sparkSession)
     use = F.col(id_col).isNotNull() & ~held_out(id_col)
@@ -113,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     rate = (F.col("bad") + F.col("good")) / F.lit(float(n_bad + n_good))
     c = c.where((rate < 1) & (F.col("bad") * n_good > F.col("good") * n_bad)).withColumn("llr", term(F.col("bad"), F.lit(float(n_bad)), rate) + term(F.col("good"), F.lit(float(n_good)), rate))
-    best = c.where(F.col("llr") >= min_ratio).select("bucket").toArrow().column("bucket").to_numpy()  # of the bounded sample's words
+    best = c.where(F.col("llr") >= max(min_ratio, min_share * (n_bad + n_good))).select("bucket").toArrow().column("bucket").to_numpy()  # of the bounded sample's words
     if not len(best):
         return None
     model = OrdinalModel(np.sort(best), np.zeros(0), np.zeros(0))
@@ -122,16 +124,16 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         table = model.table()
         for whole in batches:
             for i, j in _text.slices(whole.column(2)):
-                row, feature, share = present(whole.column(2).slice(i, j - i), table)
+                row, feature, often = present(whole.column(2).slice(i, j - i), table)
                 lists = np.split(feature, np.searchsorted(row, np.arange(1, j - i)))
-                yield pa.RecordBatch.from_arrays([whole.column(0).slice(i, j - i), whole.column(1).slice(i, j - i), pa.array(share), pa.array(lists, pa.list_(pa.int64()))], names=["id", "y", "share", "f"])
+                yield pa.RecordBatch.from_arrays([whole.column(0).slice(i, j - i), whole.column(1).slice(i, j - i), pa.array(often), pa.array(lists, pa.list_(pa.int32()))], names=["id", "y", "often", "f"])
 
-    rows = sample.mapInArrow(lean(select), f"id {dict(docs.dtypes)[id_col]}, y int, share double, f array<long>").toArrow().sort_by([("id", "ascending"), ("share", "ascending")])
-    y, share, lists = rows.column("y").to_numpy(), rows.column("share").to_numpy(), rows.column("f").combine_chunks()
+    rows = sample.mapInArrow(lean(select), f"id {dict(docs.dtypes)[id_col]}, y int, often long, f array<int>").toArrow().sort_by([("id", "ascending"), ("often", "ascending")])
+    y, often, lists = rows.column("y").to_numpy(), rows.column("often").to_numpy(), rows.column("f").combine_chunks()
     size = lists.value_lengths().to_numpy(zero_copy_only=False)
     row, feature = np.repeat(np.arange(len(y)), size), lists.flatten().to_numpy(zero_copy_only=False)
-    grade = np.where(y > 0, np.where(share > np.median(share[y > 0]), 2, 1), 0)
-    model.weight, model.threshold = fit_ordinal(row, feature, grade, len(model.bucket), 2)
+    grade = np.where(y > 0, np.where(often > np.median(often[y > 0]), 2, 1), 0)
+    model.weight, model.threshold = fit_ordinal(row, feature, grade, len(model.bucket), 2, l2=RIDGE / len(y), steps=800)
     return model
 
 
