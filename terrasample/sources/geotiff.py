@@ -380,22 +380,26 @@ def write_tiles(rows: DataFrame, header: Header) -> DataFrame:
     if fill is None or whole and not (float(fill).is_integer() and whole.min <= fill <= whole.max):
         fill = synthetic_nodata(header.dtype)
 
+    def file(places: pa.Scalar, values: pa.Scalar, height: int, width: int, **frame: float) -> bytes:
+        x = np.full((n, height * width), np.nan)
+        if values.is_valid and places.is_valid:
+            at = places.values.to_numpy(zero_copy_only=False)
+            for k, band in enumerate(values.values):
+                x[k, at] = band.values.to_numpy(zero_copy_only=False)  # null is NaN
+        none = np.isnan(x)
+        if whole:
+            y = np.clip(np.floor(np.where(none, 0, x) + 0.5), whole.min, whole.max).astype(kind)
+            y[none] = min(int(fill), whole.max)
+        else:
+            y = np.where(none, fill, x).astype(kind)
+        turn = {} if frame["turned"] else {"b": 0.0, "d": 0.0}
+        own = replace(header, width=width, height=height, a=frame["a"], e=frame["e"], c=frame["left"], f=frame["top"], crs=frame["epsg"], nodata=(fill,) * n, **turn)
+        return encode(y.reshape(n, height, width), own)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                h, w = r["height"], r["width"]
-                x = np.full((n, h * w), np.nan)
-                for k, v in enumerate(r["values"] or []):
-                    x[k][np.array(r["o"], np.int64)] = np.array(v, np.float64)
-                none = np.isnan(x)
-                if whole:
-                    y = np.clip(np.floor(np.where(none, 0, x) + 0.5), whole.min, whole.max).astype(kind)
-                    y[none] = min(int(fill), whole.max)
-                else:
-                    y = np.where(none, fill, x).astype(kind)
-                own = replace(header, width=w, height=h, a=r["a"], e=r["e"], c=r["left"], f=r["top"], crs=r["epsg"], nodata=(fill,) * n, **({} if r["turned"] else {"b": 0.0, "d": 0.0}))
-                out.append(encode(y.reshape(n, h, w), own))
+            frames = batch.select(["height", "width", "epsg", "left", "top", "a", "e", "turned"]).to_pylist()
+            out = [file(o, v, **f) for o, v, f in zip(batch.column("o"), batch.column("values"), frames, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(out, pa.binary())], names=["name", "content"])
 
     return rows.mapInArrow(run, "name string, content binary")
