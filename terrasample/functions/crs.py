@@ -19,9 +19,18 @@ K0, FALSE_EAST, FALSE_NORTH = 0.9996, 500000.0, 10_000_000.0
 N = FLAT / (2 - FLAT)
 RADIUS = A_AXIS / (1 + N) * (1 + N**2 / 4 + N**4 / 64)
 ECC = (FLAT * (2 - FLAT)) ** 0.5
-ALPHA = (N / 2 - 2 * N**2 / 3 + 5 * N**3 / 16 + 41 * N**4 / 180, 13 * N**2 / 48 - 3 * N**3 / 5 + 557 * N**4 / 1440, 61 * N**3 / 240 - 103 * N**4 / 140, 49561 * N**4 / 161280)
-BETA = (N / 2 - 2 * N**2 / 3 + 37 * N**3 / 96 - N**4 / 360, N**2 / 48 + N**3 / 15 - 437 * N**4 / 1440, 17 * N**3 / 480 - 37 * N**4 / 840, 4397 * N**4 / 161280)
-DELTA = (2 * N - 2 * N**2 / 3 - 2 * N**3 + 116 * N**4 / 45, 7 * N**2 / 3 - 8 * N**3 / 5 - 227 * N**4 / 45, 56 * N**3 / 15 - 136 * N**4 / 35, 4279 * N**4 / 630)
+ALPHA = (
+    N / 2 - 2 * N**2 / 3 + 5 * N**3 / 16 + 41 * N**4 / 180, 13 * N**2 / 48 - 3 * N**3 / 5 + 557 * N**4 / 1440,
+    61 * N**3 / 240 - 103 * N**4 / 140, 49561 * N**4 / 161280
+)
+BETA = (
+    N / 2 - 2 * N**2 / 3 + 37 * N**3 / 96 - N**4 / 360, N**2 / 48 + N**3 / 15 - 437 * N**4 / 1440,
+    17 * N**3 / 480 - 37 * N**4 / 840, 4397 * N**4 / 161280
+)
+DELTA = (
+    2 * N - 2 * N**2 / 3 - 2 * N**3 + 116 * N**4 / 45, 7 * N**2 / 3 - 8 * N**3 / 5 - 227 * N**4 / 45,
+    56 * N**3 / 15 - 136 * N**4 / 35, 4279 * N**4 / 630
+)
 
 
 def utm_zone(lon: Column) -> Column:
@@ -61,7 +70,10 @@ def _forward(lat: Column, lon: Column, epsg: Column) -> Column:
 
     def angles(p: Column) -> Column:
         t = let(F.sin(p["phi"]), lambda s: F.sinh(F.atanh(s) - ECC * F.atanh(ECC * s)))
-        return let(t, lambda t: F.struct(F.atan2(t, F.cos(p["dl"])).alias("xi"), F.atanh(F.sin(p["dl"]) / F.sqrt(1 + t * t)).alias("eta"), p["fn"].alias("fn")))
+        return let(
+            t,
+            lambda t: F.struct(F.atan2(t, F.cos(p["dl"])).alias("xi"), F.atanh(F.sin(p["dl"]) / F.sqrt(1 + t * t)).alias("eta"), p["fn"].alias("fn"))
+        )
 
     start = F.struct(F.radians(lat).alias("phi"), F.radians(lon - _meridian(epsg)).alias("dl"), _offset(epsg).alias("fn"))
     return let(let(start, angles), series)
@@ -82,9 +94,15 @@ def _inverse(east: Column, north: Column, epsg: Column) -> Column:
                 lat = lat + d * F.sin(2 * j * chi)
             return F.degrees(lat)
 
-        return F.struct((F.degrees(F.atan2(F.sinh(q["ep"]), F.cos(q["xp"]))) + q["m"]).alias("x"), let(F.asin(F.sin(q["xp"]) / F.cosh(q["ep"])), latitude).alias("y"))
+        return F.struct(
+            (F.degrees(F.atan2(F.sinh(q["ep"]), F.cos(q["xp"]))) + q["m"]).alias("x"),
+            let(F.asin(F.sin(q["xp"]) / F.cosh(q["ep"])), latitude).alias("y")
+        )
 
-    start = F.struct(((north - _offset(epsg)) / (K0 * RADIUS)).alias("xi"), ((east - FALSE_EAST) / (K0 * RADIUS)).alias("eta"), _meridian(epsg).alias("m"))
+    start = F.struct(
+        ((north - _offset(epsg)) / (K0 * RADIUS)).alias("xi"), ((east - FALSE_EAST) / (K0 * RADIUS)).alias("eta"),
+        _meridian(epsg).alias("m")
+    )
     return let(let(start, series), angles)
 
 

@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 
 def _days(rows: DataFrame, images: DataFrame, policy: str, day: str, keys: tuple[str, ...]) -> DataFrame:
     """_day, _v (the chosen image), date_clamped and date_source of every distinct day (and keys) of ``rows``, null included."""
-    image = images.where("time_start is not null").select(*keys, F.col("time_start").cast("date").alias("s"), F.struct(F.col("time_end").cast("date").alias("e"), F.col("image_id").alias("i")).alias("v"))
+    image = images.where("time_start is not null").select(
+        *keys, F.col("time_start").cast("date").alias("s"),
+        F.struct(F.col("time_end").cast("date").alias("e"), F.col("image_id").alias("i")).alias("v")
+    )
     order = Window.partitionBy(*keys).orderBy("s")
     starts = image.groupBy(*keys, "s").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     starts = starts.select(*keys, "s", "lo", "hi", F.lead("s").over(order).alias("after"))
@@ -38,7 +41,11 @@ def _days(rows: DataFrame, images: DataFrame, policy: str, day: str, keys: tuple
         found = F.coalesce("prev_hi", "first")
         clamped, inside = (d <= F.col("first.s")) | (d >= F.col("last.s")), "contains_sample_date"
     source = F.when(F.col("last").isNull(), None).when(d.isNull(), "most_recent_no_date").when(clamped, "clamped_to_nearest").otherwise(inside)
-    return laid.select(*(F.col(k).alias(f"_of_{k}") for k in keys), d.alias("_day"), F.when(d.isNull(), F.col("last")).otherwise(found).alias("_v"), F.coalesce(clamped, F.lit(False)).alias("date_clamped"), source.alias("date_source"))
+    return laid.select(
+        *(F.col(k).alias(f"_of_{k}") for k in keys), d.alias("_day"),
+        F.when(d.isNull(), F.col("last")).otherwise(found).alias("_v"),
+        F.coalesce(clamped, F.lit(False)).alias("date_clamped"), source.alias("date_source")
+    )
 
 
 def match_images(rows: DataFrame, images: DataFrame, policy: str = "nearest", date_col: str = "date", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -65,7 +72,10 @@ def match_images(rows: DataFrame, images: DataFrame, policy: str = "nearest", da
     v = F.col("_v")
     end = v["e"] if policy == "nearest" else F.coalesce(v["e"], v["after"], F.date_add(v["s"], 1))
     own = [c for c in rows.columns if c not in ("image_id", "image_time_start", "image_time_end", "date_clamped", "date_source")]
-    return joined.select(*(F.col(f"`{c}`") for c in own), v["i"].alias("image_id"), v["s"].alias("image_time_start"), end.alias("image_time_end"), F.coalesce("date_clamped", F.lit(False)).alias("date_clamped"), "date_source")
+    return joined.select(
+        *(F.col(f"`{c}`") for c in own), v["i"].alias("image_id"), v["s"].alias("image_time_start"),
+        end.alias("image_time_end"), F.coalesce("date_clamped", F.lit(False)).alias("date_clamped"), "date_source"
+    )
 
 
 #: Columns of an image's footprint, in degrees.
@@ -81,7 +91,9 @@ def match_covering(rows: DataFrame, images: DataFrame, policy: str = "nearest",
     """
     feet = images.select(*FOOTPRINT).distinct().withColumn("footprint", F.concat_ws(",", *(F.col(c).cast("string") for c in FOOTPRINT)))
     whole = lambda lo, hi: F.explode(F.sequence(F.floor(lo).cast("int"), F.floor(hi).cast("int")))
-    cells = feet.select("footprint", *FOOTPRINT, whole(F.col("south"), F.col("north")).alias("_cy")).withColumn("_cx", whole(F.col("west"), F.col("east")))
+    cells = feet.select(
+        "footprint", *FOOTPRINT, whole(F.col("south"), F.col("north")).alias("_cy")
+    ).withColumn("_cx", whole(F.col("west"), F.col("east")))
     placed = rows.select(key, "lat", "lon", date_col).withColumns({"_cy": F.floor("lat").cast("int"), "_cx": F.floor("lon").cast("int")})
     covered = placed.join(cells, ["_cy", "_cx"]).where("lon between west and east and lat between south and north").select(key, date_col, "footprint")
     of = images.withColumn("footprint", F.concat_ws(",", *(F.col(c).cast("string") for c in FOOTPRINT)))
@@ -96,7 +108,10 @@ def match_covering(rows: DataFrame, images: DataFrame, policy: str = "nearest",
     best = found.groupBy(key).agg(F.min_by(F.struct(*picked), order).alias("_v"))
     own = [c for c in rows.columns if c not in picked]
     joined = rows.select(*(F.col(f"`{c}`") for c in own)).join(best, key, "left")
-    return joined.select(*(F.col(f"`{c}`") for c in own), *(F.coalesce("_v.date_clamped", F.lit(False)).alias(c) if c == "date_clamped" else F.col(f"_v.{c}").alias(c) for c in picked))
+    return joined.select(
+        *(F.col(f"`{c}`") for c in own),
+        *(F.coalesce("_v.date_clamped", F.lit(False)).alias(c) if c == "date_clamped" else F.col(f"_v.{c}").alias(c) for c in picked)
+    )
 
 
 def undated(images: DataFrame) -> bool:

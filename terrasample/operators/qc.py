@@ -14,7 +14,10 @@ def band_coverage(n_valid: Column, total: Column) -> Column:
 def coverage_summary(rows: DataFrame) -> DataFrame:
     """One row of ``rows`` (id, coverage_pct): how many have none, some or all of their pixels; null counts as none."""
     pct = F.coalesce("coverage_pct", F.lit(0.0))
-    return rows.agg(F.count_if(pct == 0).alias("n_no_data"), F.count_if((pct > 0) & (pct < 100)).alias("n_partial"), F.count_if(pct >= 100).alias("n_full"))
+    return rows.agg(
+        F.count_if(pct == 0).alias("n_no_data"), F.count_if((pct > 0) & (pct < 100)).alias("n_partial"),
+        F.count_if(pct >= 100).alias("n_full")
+    )
 
 
 def ids_without_data(rows: DataFrame) -> DataFrame:

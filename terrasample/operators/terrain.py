@@ -26,10 +26,18 @@ def gradients(pixels: DataFrame, band: str) -> DataFrame:
     Each value goes to its four neighbours' places and one aggregation by place
     brings them together, so rows of any length are spread over all tasks.
     """
-    around = F.array(*(F.struct((F.col("r") + dr).alias("r"), (F.col("c") + dc).alias("c"), F.lit(name).alias("from"), F.col(band).alias("v")) for dr, dc, name in ((0, 0, "own"), (0, 1, "left"), (0, -1, "right"), (1, 0, "above"), (-1, 0, "below"))))
+    around = F.array(
+        *(
+            F.struct((F.col("r") + dr).alias("r"), (F.col("c") + dc).alias("c"), F.lit(name).alias("from"), F.col(band).alias("v")) for dr,
+            dc, name in ((0, 0, "own"), (0, 1, "left"), (0, -1, "right"), (1, 0, "above"), (-1, 0, "below"))
+        )
+    )
     spread = pixels.select(F.inline(around))
     got = lambda name: F.max(F.when(F.col("from") == name, F.col("v")))
-    joined = spread.groupBy("r", "c").agg(F.count_if(F.col("from") == "own").alias("here"), got("own").alias(band), (got("right") - got("left")).alias("dx"), (got("below") - got("above")).alias("dy"))
+    joined = spread.groupBy("r", "c").agg(
+        F.count_if(F.col("from") == "own").alias("here"), got("own").alias(band),
+        (got("right") - got("left")).alias("dx"), (got("below") - got("above")).alias("dy")
+    )
     return joined.where("here > 0").drop("here")
 
 
@@ -55,8 +63,23 @@ def derived_tiles(raster: Raster, band: str, name: str) -> DataFrame:
     # the part of this tile that another one needs, and that one's place: my last row lies above the tile below
     parts = ((0, 0, "own", v), (1, 0, "above", row(size - 1)), (-1, 0, "below", row(0)), (0, 1, "left", col(size - 1)), (0, -1, "right", col(0)))
     others = [k for k in raster.keys if k == "image_id"]
-    sent = raster.tiles.select(*others, F.inline(F.array(*(F.struct((F.col("tile_row") + dr).alias("tile_row"), (F.col("tile_col") + dc).alias("tile_col"), F.lit(kind).alias("kind"), part.alias("part")) for dr, dc, kind, part in parts))))
-    got = sent.groupBy(*raster.keys).agg(*(F.first(F.when(F.col("kind") == kind, F.col("part")), True).alias(kind) for *_, kind, _ in parts)).where("own is not null")
+    sent = raster.tiles.select(
+        *others,
+        F.inline(
+            F.array(
+                *(
+                    F.struct(
+                        (F.col("tile_row") + dr).alias("tile_row"), (F.col("tile_col") + dc).alias("tile_col"),
+                        F.lit(kind).alias("kind"), part.alias("part")
+                    ) for dr,
+                    dc, kind, part in parts
+                )
+            )
+        )
+    )
+    got = sent.groupBy(*raster.keys).agg(
+        *(F.first(F.when(F.col("kind") == kind, F.col("part")), True).alias(kind) for *_, kind, _ in parts)
+    ).where("own is not null")
     place = lambda kind, o: F.get(F.col(kind), o)
 
     def one(o: Column) -> Column:
@@ -82,8 +105,13 @@ def sample_grid(points: DataFrame, n: int, step: float) -> DataFrame:
     """_row, i, j and the place gx, gy of an n x n grid around each point (x, y), cell centres, from the upper left."""
     half = n // 2
     ox, oy = F.rint(F.col("x") / step) * step - half * step, F.rint(F.col("y") / step) * step + half * step
-    cells = points.select("_row", ox.alias("ox"), oy.alias("oy"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return cells.select("_row", "i", "j", (F.col("ox") + (F.col("j") + 0.5) * step).alias("gx"), (F.col("oy") - (F.col("i") + 0.5) * step).alias("gy"))
+    cells = points.select(
+        "_row", ox.alias("ox"), oy.alias("oy"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")
+    ).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return cells.select(
+        "_row", "i", "j", (F.col("ox") + (F.col("j") + 0.5) * step).alias("gx"),
+        (F.col("oy") - (F.col("i") + 0.5) * step).alias("gy")
+    )
 
 
 def resample(grid: DataFrame, pixels: DataFrame, band: str, header: Header, method: str = "bilinear") -> DataFrame:
@@ -91,7 +119,10 @@ def resample(grid: DataFrame, pixels: DataFrame, band: str, header: Header, meth
     return resample_bands(grid, pixels, [band], header, method).withColumnRenamed(band, "value")
 
 
-def resample_bands(grid: DataFrame, pixels: DataFrame, bands: list[str], header: Header, method: str = "bilinear", keys: tuple[str, ...] = ()) -> DataFrame:
+def resample_bands(
+    grid: DataFrame, pixels: DataFrame, bands: list[str], header: Header, method: str = "bilinear",
+    keys: tuple[str, ...] = ()
+) -> DataFrame:
     """_row, i, j and the bands at the grid's places; each band's bilinear weights are those of its own valid neighbours.
 
     The neighbours are an equi-join on their row and column, and on ``keys``
@@ -108,7 +139,10 @@ def resample_bands(grid: DataFrame, pixels: DataFrame, bands: list[str], header:
     fr, fc = row - 0.5, col - 0.5
     r0, c0 = F.floor(fr), F.floor(fc)
     wr, wc = fr - r0, fc - c0
-    corner = lambda dr, dc: F.struct((r0 + dr).cast("int").alias("r"), (c0 + dc).cast("int").alias("c"), ((wr if dr else 1 - wr) * (wc if dc else 1 - wc)).alias("w"))
+    corner = lambda dr, dc: F.struct(
+        (r0 + dr).cast("int").alias("r"), (c0 + dc).cast("int").alias("c"),
+        ((wr if dr else 1 - wr) * (wc if dc else 1 - wc)).alias("w")
+    )
     four = grid.select("_row", *keys, "i", "j", F.inline(F.array(*(corner(dr, dc) for dr in (0, 1) for dc in (0, 1)))))
     joined = four.join(values, on, "left")
 
@@ -124,7 +158,10 @@ def neighbour_tiles(grid: DataFrame, header: Header, size: int, keys: tuple[str,
     """The distinct tiles (keys, tile_row, tile_col) of the pixels that resampling at the grid's places reads."""
     row, col = header.index(F.col("gx"), F.col("gy"))
     tile = lambda c, d: F.floor((F.floor(c - 0.5) + d) / size).cast("int")
-    return grid.select(*keys, F.inline(F.array(*(F.struct(tile(row, dr).alias("tile_row"), tile(col, dc).alias("tile_col")) for dr in (0, 1) for dc in (0, 1))))).distinct()
+    return grid.select(
+        *keys,
+        F.inline(F.array(*(F.struct(tile(row, dr).alias("tile_row"), tile(col, dc).alias("tile_col")) for dr in (0, 1) for dc in (0, 1))))
+    ).distinct()
 
 
 def tiles(samples: DataFrame, n: int) -> DataFrame:

@@ -50,7 +50,10 @@ def corners(points: DataFrame, raster: Raster, window_m: float) -> DataFrame:
         return points.withColumn("q", F.transform(offsets, lambda o: F.struct((F.col("x") + o["dx"]).alias("x"), (F.col("y") + o["dy"]).alias("y"))))
     zone = crs.utm_epsg(F.col("lat"), F.col("lon"))
     east, north = crs.utm_forward(F.col("lat"), F.col("lon"), zone)
-    quad = crs.let(F.struct(east.alias("e"), north.alias("n"), zone.alias("z")), lambda p: F.transform(offsets, lambda o: crs.moved(p["e"] + o["dx"], p["n"] + o["dy"], p["z"], code)))
+    quad = crs.let(
+        F.struct(east.alias("e"), north.alias("n"), zone.alias("z")),
+        lambda p: F.transform(offsets, lambda o: crs.moved(p["e"] + o["dx"], p["n"] + o["dy"], p["z"], code))
+    )
     return points.withColumn("q", F.transform(quad, lambda p: F.struct(F.round(p["x"], 6).alias("x"), F.round(p["y"], 6).alias("y"))))
 
 
@@ -60,15 +63,26 @@ def index_ranges(points: DataFrame, raster: Raster) -> DataFrame:
     ``pr`` and ``pc`` are the corners as fractional rows and columns.
     """
     h = raster.header
-    out = points.withColumns({"pr": F.transform("q", lambda p: h.index(p["x"], p["y"])[0]), "pc": F.transform("q", lambda p: h.index(p["x"], p["y"])[1])}).drop("q")
+    out = points.withColumns(
+        {"pr": F.transform("q", lambda p: h.index(p["x"], p["y"])[0]), "pc": F.transform("q", lambda p: h.index(p["x"], p["y"])[1])}
+    ).drop("q")
     (r0, r1), (c0, c1) = (centres_between(F.array_min(p), F.array_max(p)) for p in ("pr", "pc"))
     (tr0, tr1), (tc0, tc1) = (touched_between(F.array_min(p), F.array_max(p)) for p in ("pr", "pc"))
     clip = lambda lo, hi, n: F.greatest(F.least(hi, F.lit(n - 1)) - F.greatest(lo, F.lit(0)) + 1, F.lit(0))
-    out = out.withColumns({"r0": F.greatest(r0, F.lit(0)), "r1": F.least(r1, F.lit(h.height - 1)), "c0": F.greatest(c0, F.lit(0)), "c1": F.least(c1, F.lit(h.width - 1)), "total": (clip(tr0, tr1, h.height).cast("bigint") * clip(tc0, tc1, h.width)).cast("bigint")})
+    out = out.withColumns(
+        {
+            "r0": F.greatest(r0, F.lit(0)), "r1": F.least(r1, F.lit(h.height - 1)), "c0": F.greatest(c0, F.lit(0)),
+            "c1": F.least(c1, F.lit(h.width - 1)),
+            "total": (clip(tr0, tr1, h.height).cast("bigint") * clip(tc0, tc1, h.width)).cast("bigint")
+        }
+    )
     return out.withColumn("in_extent", F.coalesce(F.col("total") > 0, F.lit(False)))
 
 
-def window_pixels(points: DataFrame, raster: Raster, window_m: float, bands: list[str], extra: tuple[str, ...] = (), together: bool = True, outer: bool = False) -> DataFrame:
+def window_pixels(
+    points: DataFrame, raster: Raster, window_m: float, bands: list[str], extra: tuple[str, ...] = (),
+    together: bool = True, outer: bool = False
+) -> DataFrame:
     """One row for each pixel of each window: _row, extra columns, r, c and the bands (null where not valid).
 
     With several bands a pixel is valid only if it is in every band, unless not ``together``.
@@ -86,11 +100,25 @@ def window_pixels(points: DataFrame, raster: Raster, window_m: float, bands: lis
     at = at.withColumn("tile_col", spread("c0", "c1"))
     joined = at.join(raster.tiles_for(at, bands), [*keys, "tile_row", "tile_col"], "left" if outer else "inner")
     tr, tc = F.col("tile_row") * size, F.col("tile_col") * size
-    joined = joined.withColumns({"q0": F.greatest("r0", tr) - tr, "q1": F.least(F.col("r1"), tr + size - 1) - tr, "k0": F.greatest("c0", tc) - tc, "k1": F.least(F.col("c1"), tc + size - 1) - tc})
-    cut = lambda b: F.flatten(F.transform(F.sequence("q0", "q1"), lambda q: F.slice(F.col(b), q * size + F.col("k0") + 1, F.col("k1") - F.col("k0") + 1)))
-    cut_out = joined.select(ROW, *extra, "tile_row", "tile_col", "q0", "k0", "k1", "pr", "pc", (F.posexplode_outer if outer else F.posexplode)(F.arrays_zip(*(cut(b).alias(b) for b in bands))).alias("o", "z"))
+    joined = joined.withColumns(
+        {
+            "q0": F.greatest("r0", tr) - tr, "q1": F.least(F.col("r1"), tr + size - 1) - tr,
+            "k0": F.greatest("c0", tc) - tc, "k1": F.least(F.col("c1"), tc + size - 1) - tc
+        }
+    )
+    cut = lambda b: F.flatten(
+        F.transform(F.sequence("q0", "q1"), lambda q: F.slice(F.col(b), q * size + F.col("k0") + 1, F.col("k1") - F.col("k0") + 1))
+    )
+    cut_out = joined.select(
+        ROW, *extra, "tile_row", "tile_col", "q0", "k0", "k1", "pr", "pc",
+        (F.posexplode_outer if outer else F.posexplode)(F.arrays_zip(*(cut(b).alias(b) for b in bands))).alias("o", "z")
+    )
     span = F.col("k1") - F.col("k0") + 1
-    px = cut_out.select(ROW, *extra, (tr + F.col("q0") + F.floor(F.col("o") / span)).cast("int").alias("r"), (tc + F.col("k0") + F.col("o") % span).cast("int").alias("c"), "pr", "pc", *(F.col(f"z.{b}").alias(b) for b in bands))
+    px = cut_out.select(
+        ROW, *extra, (tr + F.col("q0") + F.floor(F.col("o") / span)).cast("int").alias("r"),
+        (tc + F.col("k0") + F.col("o") % span).cast("int").alias("c"), "pr", "pc",
+        *(F.col(f"z.{b}").alias(b) for b in bands)
+    )
     valid = {b: reducers.masked(F.col(b), n) for b, n in zip(header.bands, header.nodata, strict=True) if b in bands}
     if header.crs is not None:
         inside = _inside(F.col("r") + 0.5, F.col("c") + 0.5)
@@ -143,12 +171,17 @@ def window_stats(points: DataFrame, raster: Raster, window_m: float, names: list
     aggs = [reducers.get(n)(F.col(b)).alias(f"{b}.{n}") for b in bands for n in scalar if n not in shares]
     aggs += [F.percentile(b, F.array(*(F.lit(q) for q in ranks))).alias(f"_{b}.ranks") for b in bands if ranks]
     # a point without any pixel has one row of nulls
-    out = px.groupBy(ROW).agg(F.first("total").alias("total"), F.count(bands[0]).alias("n_pixels"), *(F.count(b).alias(f"{b}.n_valid") for b in bands), *aggs)
+    out = px.groupBy(ROW).agg(
+        F.first("total").alias("total"), F.count(bands[0]).alias("n_pixels"),
+        *(F.count(b).alias(f"{b}.n_valid") for b in bands), *aggs
+    )
     if ranks:
         picked = {f"{b}.{n}": F.col(f"`_{b}.ranks`")[ranks.index(q)] for b in bands for n, q in shares.items()}
         out = out.withColumns(picked).drop(*(f"`_{b}.ranks`" for b in bands))
     out = out.withColumn("in_extent", F.coalesce(F.col("total") > 0, F.lit(False)))
-    total = F.col("total") if coverage == "touched" else F.when(F.col("in_extent"), F.lit(max(1, round((window_m / abs(raster.header.a)) ** 2)))).otherwise(0)
+    total = F.col("total") if coverage == "touched" else F.when(
+        F.col("in_extent"), F.lit(max(1, round((window_m / abs(raster.header.a)) ** 2)))
+    ).otherwise(0)
     pct = F.when(total > 0, F.least(F.col("n_pixels") * 100.0 / total, F.lit(100.0))).otherwise(0.0)
     return out.withColumns({"had_nodata": F.col("in_extent") & (F.col("n_pixels") < total), "coverage_pct": pct})
 
@@ -157,7 +190,10 @@ def window_stats(points: DataFrame, raster: Raster, window_m: float, names: list
 MAX_CLASSES = 2000
 
 
-def window_classes(points: DataFrame, raster: Raster, window_m: float, names: list[str], bands: list[str], classes: list[int] | None = None) -> DataFrame:
+def window_classes(
+    points: DataFrame, raster: Raster, window_m: float, names: list[str], bands: list[str],
+    classes: list[int] | None = None
+) -> DataFrame:
     """One row for each point with a valid pixel: _row and ``{band}.class_{k}_count`` / ``_fraction``, zero where a class is absent.
 
     The classes are ``classes`` or those of all windows: then the counts, a row
@@ -166,7 +202,9 @@ def window_classes(points: DataFrame, raster: Raster, window_m: float, names: li
     continuous band, with more than MAX_CLASSES codes, is refused.
     """
     px = window_pixels(points, raster, window_m, bands)
-    long = px.select(ROW, F.inline(F.array(*(F.struct(F.lit(b).alias("band"), F.col(b).cast("int").alias("k")) for b in bands)))).where("k is not null")
+    long = px.select(
+        ROW, F.inline(F.array(*(F.struct(F.lit(b).alias("band"), F.col(b).cast("int").alias("k")) for b in bands)))
+    ).where("k is not null")
     counts = long.groupBy(ROW, "band", "k").agg(F.count("*").alias("n"))
     if classes is None:
         counts = cut(counts, shared_folder(points.sparkSession), "class-counts")
@@ -196,10 +234,17 @@ def point_sample(points: DataFrame, raster: Raster, bands: list[str]) -> DataFra
     keys = ["image_id"] if "image_id" in raster.tiles.columns else []
     at = points.select(ROW, *keys, F.floor(row).cast("int").alias("r"), F.floor(col).cast("int").alias("c"))
     inside = F.col("r").between(0, header.height - 1) & F.col("c").between(0, header.width - 1)
-    at = at.withColumns({"tile_row": F.when(inside, F.floor(F.col("r") / size).cast("int")), "tile_col": F.when(inside, F.floor(F.col("c") / size).cast("int"))})
+    at = at.withColumns(
+        {"tile_row": F.when(inside, F.floor(F.col("r") / size).cast("int")), "tile_col": F.when(inside, F.floor(F.col("c") / size).cast("int"))}
+    )
     joined = at.join(raster.tiles_for(at, bands), [*keys, "tile_row", "tile_col"], "left")
     place = (F.col("r") % size) * size + F.col("c") % size
     nodata = dict(zip(header.bands, header.nodata, strict=True))
     out = joined.select(ROW, inside.alias("_in"), *(reducers.masked(F.get(F.col(b), place), nodata[b]).alias(f"{b}.point") for b in bands))
     any_valid = reduce(lambda a, b: a | b, (F.col(f"`{b}.point`").isNotNull() for b in bands))
-    return out.withColumns({"in_extent": any_valid, "n_pixels": any_valid.cast("bigint"), "had_nodata": F.col("_in") & ~any_valid, "coverage_pct": F.when(any_valid, 100.0).otherwise(0.0)}).drop("_in")
+    return out.withColumns(
+        {
+            "in_extent": any_valid, "n_pixels": any_valid.cast("bigint"), "had_nodata": F.col("_in") & ~any_valid,
+            "coverage_pct": F.when(any_valid, 100.0).otherwise(0.0)
+        }
+    ).drop("_in")

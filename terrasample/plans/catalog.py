@@ -53,7 +53,11 @@ def builtin() -> dict[str, dict[str, Any]]:
     out = {}
     for line in _BUILTIN.strip().splitlines():
         name, path, kind, resolution, step, span, bands, policy = (x.strip() for x in line.split("|"))
-        about = {"description": f"{name.replace('_', ' ')}: {kind} data, {resolution}, {step} ({span})", "ee_source_url": SOURCE_PAGE + path.replace("/", "_"), "spatial_resolution": resolution, "temporal_resolution": step, "temporal_range": span}
+        about = {
+            "description": f"{name.replace('_', ' ')}: {kind} data, {resolution}, {step} ({span})",
+            "ee_source_url": SOURCE_PAGE + path.replace("/", "_"), "spatial_resolution": resolution,
+            "temporal_resolution": step, "temporal_range": span
+        }
         spec: dict[str, Any] = {"data_source": "earth_engine", "path": path, "data_type": kind, "dataset_information": about}
         if bands:
             spec["bands"] = bands.split(",")
@@ -118,7 +122,13 @@ def list_datasets(verbosity: str = "names") -> list[str] | list[dict[str, Any]]:
         return list(every)
     if verbosity == "info":
         about = lambda v: v.get("dataset_information") or {}
-        return [{"name": k, "data_source": v.get("data_source"), "data_type": v.get("data_type"), **{f: about(v).get(f) for f in ("description", "citation", "ee_source_url", "source_url")}} for k, v in every.items()]
+        return [
+            {
+                "name": k, "data_source": v.get("data_source"), "data_type": v.get("data_type"),
+                **{f: about(v).get(f) for f in ("description", "citation", "ee_source_url", "source_url")}
+            } for k,
+            v in every.items()
+        ]
     if verbosity == "full":
         return [{"name": k, **v} for k, v in every.items()]
     raise ValueError(f"verbosity must be names, info or full, not {verbosity!r}")
@@ -126,5 +136,14 @@ def list_datasets(verbosity: str = "names") -> list[str] | list[dict[str, Any]]:
 
 def catalog_table(spark: SparkSession) -> DataFrame:
     """The catalog as a table: name, data_source, path, data_type, spatial_resolution, temporal_resolution."""
-    rows = [(k, v["data_source"], v["path"], v.get("data_type"), (i := v.get("dataset_information", {})).get("spatial_resolution"), i.get("temporal_resolution")) for k, v in sorted(datasets().items())]
-    return spark.createDataFrame(rows, "name string, data_source string, path string, data_type string, spatial_resolution string, temporal_resolution string")
+    rows = [
+        (
+            k, v["data_source"], v["path"], v.get("data_type"),
+            (i := v.get("dataset_information", {})).get("spatial_resolution"), i.get("temporal_resolution")
+        ) for k,
+        v in sorted(datasets().items())
+    ]
+    return spark.createDataFrame(
+        rows,
+        "name string, data_source string, path string, data_type string, spatial_resolution string, temporal_resolution string"
+    )

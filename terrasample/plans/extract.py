@@ -52,7 +52,11 @@ def _bands(spec: dict[str, Any], chosen: configs.Selection, raster: Raster) -> t
     return names, isinstance(wanted, list) if numbered else len(names) > 1
 
 
-def dataset_columns(points: DataFrame, raster: Raster, name: str, names: list[str], bands: list[str], multi: bool, window_m: int, *, policy: str = "nearest", coverage: str = "touched", expand_subpixel: bool = False, classes: list[int] | None = None, with_point: bool = True, scale: float | None = None, by_zone: bool = False) -> tuple[DataFrame, list[str], list[str]]:
+def dataset_columns(
+    points: DataFrame, raster: Raster, name: str, names: list[str], bands: list[str], multi: bool, window_m: int, *,
+    policy: str = "nearest", coverage: str = "touched", expand_subpixel: bool = False,
+    classes: list[int] | None = None, with_point: bool = True, scale: float | None = None, by_zone: bool = False
+) -> tuple[DataFrame, list[str], list[str]]:
     """_row with the named statistics and quality columns of one dataset and window; their two lists of names."""
     raster = raster.select(bands)
     points = _located(points, raster)
@@ -122,7 +126,9 @@ def native_scale(spec: dict[str, Any], raster: Raster) -> float:
         return float(own["native_scale_m"])
     scale = abs(h.a) * (DEFAULT_DEGREE if h.crs == 4326 else 1)
     if spec.get("data_source") == "earth_engine" and h.crs == 4326 and abs(scale - DEFAULT_DEGREE) < 1:
-        raise ValueError(f"{spec.get('path')}: pixels of one degree are the default of an asset without its own projection; state native_scale_m in dataset_spec")
+        raise ValueError(
+            f"{spec.get('path')}: pixels of one degree are the default of an asset without its own projection; state native_scale_m in dataset_spec"
+        )
     return scale
 
 
@@ -160,7 +166,13 @@ def extract(
     clash = [c for c in ("id", "lat", "lon", "date") if c in df.columns and c not in names]
     points = df.drop(*clash).withColumnsRenamed(names)
     checked = point_source.check(points.withColumn(ORDER, F.monotonically_increasing_id()), input_crs=input_crs)
-    catalog = {**catalogs.datasets(), **{k: {"data_source": "given", "path": k, "data_type": r.meta.get("data_type", "continuous"), **r.meta.get("spec", {})} for k, r in (rasters or {}).items() if k not in catalogs.datasets()}}
+    catalog = {
+        **catalogs.datasets(),
+        **{
+            k: {"data_source": "given", "path": k, "data_type": r.meta.get("data_type", "continuous"), **r.meta.get("spec", {})} for k,
+            r in (rasters or {}).items() if k not in catalogs.datasets()
+        }
+    }
     results: dict[str, Any] = {}
     opened: dict[str, Raster] = dict(rasters or {})
     for index, raw in enumerate(configs.configs(config)):
@@ -188,7 +200,11 @@ def extract(
             if run.output_type == "raster":
                 for w in run.windows:
                     key = f"{run.batch_id}:{chosen.name}" + (f":{w}m" if len(run.windows) > 1 else "")
-                    results[key], summary = _tiles(base, raster.select(bands), w, run.resample_m, chosen.name, f"{output_dir}/{run.batch_id}/{chosen.name}", len(run.windows) > 1, own.get("collection_date_policy", "nearest"), scale)
+                    results[key], summary = _tiles(
+                        base, raster.select(bands), w, run.resample_m, chosen.name,
+                        f"{output_dir}/{run.batch_id}/{chosen.name}", len(run.windows) > 1,
+                        own.get("collection_date_policy", "nearest"), scale
+                    )
                     info.setdefault(chosen.name, _described(spec, raster, bands, scale))[f"tiles_{w}m"] = summary
                     total = summary["total"]
                 continue
@@ -200,14 +216,23 @@ def extract(
                 only_point = set(wanted) == {reducers.POINT}
                 if k and only_point:
                     continue
-                cols, s, f = dataset_columns(places, raster, chosen.name, wanted, bands, multi, w, policy=own.get("collection_date_policy", "nearest"), coverage=own.get("coverage", "geometric" if remote else "touched"), expand_subpixel=own.get("expand_subpixel", remote), classes=own.get("classes"), with_point=k == 0, scale=scale, by_zone=bool(own.get("use_utm_zone")))
+                cols, s, f = dataset_columns(
+                    places, raster, chosen.name, wanted, bands, multi, w,
+                    policy=own.get("collection_date_policy", "nearest"),
+                    coverage=own.get("coverage", "geometric" if remote else "touched"),
+                    expand_subpixel=own.get("expand_subpixel", remote), classes=own.get("classes"), with_point=k == 0,
+                    scale=scale, by_zone=bool(own.get("use_utm_zone"))
+                )
                 wide = wide.join(cols.drop(*(c for c in cols.columns if c in wide.columns and c != window.ROW)), window.ROW, "left")
                 stats, flags = [*stats, *(c for c in s if c not in stats)], [*flags, *(c for c in f if c not in flags)]
                 progress.emit(progress_callback, progress.ProgressEvent(run.batch_id, chosen.name, w, total, total), quiet)
             info[chosen.name] = _described(spec, raster, bands, scale) | {"data_type": kind}
         if run.output_type == "raster":
             if write_metadata:
-                sinks.write_sidecar(spark, sinks.sidecar(run.batch_id, n_points=total, config=raw, datasets=info, warnings=notes), f"{output_dir}/{run.batch_id}", run.batch_id)
+                sinks.write_sidecar(
+                    spark, sinks.sidecar(run.batch_id, n_points=total, config=raw, datasets=info, warnings=notes),
+                    f"{output_dir}/{run.batch_id}", run.batch_id
+                )
             continue
         # written once: the table, the quality table and the summaries below read it from the shared folder
         wide = cut(wide.drop(window.ROW), shared_folder(spark), "extracted")
@@ -225,7 +250,10 @@ def extract(
                     if n:
                         notes.setdefault(name, []).append(f"{n} points below {run.min_coverage_pct} % coverage ({w})")
                 info[name] |= quality_of
-            sinks.write_sidecar(spark, sinks.sidecar(run.batch_id, n_points=total, config=raw, datasets=info, warnings=notes), output_dir, run.batch_id)
+            sinks.write_sidecar(
+                spark, sinks.sidecar(run.batch_id, n_points=total, config=raw, datasets=info, warnings=notes),
+                output_dir, run.batch_id
+            )
     if not many and len(results) == 1 and isinstance(next(iter(results.values())), DataFrame):
         return next(iter(results.values()))
     return results
@@ -257,12 +285,18 @@ def _summaries(wide: DataFrame, names: list[str], flags: list[str], least: float
                 w = c.removeprefix(prefix)
                 kinds.setdefault(name, {})[w] = c
                 pct = F.coalesce(F.col(f"`{c}`"), F.lit(0.0))
-                aggs |= {f"{c}|no": F.count_if(pct == 0), f"{c}|some": F.count_if((pct > 0) & (pct < 100)), f"{c}|all": F.count_if(pct >= 100), f"{c}|low": F.count_if(pct < least)}
+                aggs |= {
+                    f"{c}|no": F.count_if(pct == 0), f"{c}|some": F.count_if((pct > 0) & (pct < 100)),
+                    f"{c}|all": F.count_if(pct >= 100), f"{c}|low": F.count_if(pct < least)
+                }
                 for b in (f for f in flags if f.startswith(f"{name}_") and f.endswith(f"_coverage_pct_{w}") and f != c):
                     aggs |= {f"{b}|min": F.min(F.col(f"`{b}`")), f"{b}|mean": F.avg(F.col(f"`{b}`")), f"{b}|max": F.max(F.col(f"`{b}`"))}
                 source = f"{name}_date_source_{w}"
                 if source in flags:
-                    used = F.struct(F.col(f"`{name}_image_time_start_{w}`").alias("s"), F.coalesce(F.col(f"`{name}_image_time_end_{w}`"), F.col(f"`{name}_image_time_start_{w}`")).alias("e"))
+                    used = F.struct(
+                        F.col(f"`{name}_image_time_start_{w}`").alias("s"),
+                        F.coalesce(F.col(f"`{name}_image_time_end_{w}`"), F.col(f"`{name}_image_time_start_{w}`")).alias("e")
+                    )
                     aggs |= {f"{source}|{s}": F.count_if(F.col(f"`{source}`") == s) for s in DATE_SOURCES}
                     aggs[f"{source}|used"] = F.array_sort(F.collect_set(F.when(F.col(f"`{name}_image_time_start_{w}`").isNotNull(), used)))
     got = wide.agg(*(v.alias(k) for k, v in aggs.items())).first()
@@ -272,14 +306,20 @@ def _summaries(wide: DataFrame, names: list[str], flags: list[str], least: float
         for w, c in windows.items():
             q: dict[str, Any] = {"n_no_data": got[f"{c}|no"], "n_partial": got[f"{c}|some"], "n_full": got[f"{c}|all"], "n_low": got[f"{c}|low"]}
             if q["n_no_data"]:
-                q["ids_no_data"] = [r["id"] for r in qc.ids_without_data(wide.select("id", F.col(f"`{c}`").alias("coverage_pct"))).orderBy("id").limit(shown).collect()]
+                q["ids_no_data"] = [
+                    r["id"] for r in qc.ids_without_data(
+                        wide.select("id", F.col(f"`{c}`").alias("coverage_pct"))
+                    ).orderBy("id").limit(shown).collect()
+                ]
             bands = sorted(k.split("|")[0] for k in aggs if k.endswith("|mean") and k.startswith(f"{name}_") and k.split("|")[0].endswith(f"_{w}"))
             figures = {b: {k: round(v, 2) if (v := got[f"{b}|{k}"]) is not None else None for k in ("min", "mean", "max")} for b in bands}
             if len({json.dumps(f) for f in figures.values()}) > 1:  # the same for all bands says nothing more
                 q["band_coverage"] = figures
             source = f"{name}_date_source_{w}"
             if f"{source}|used" in aggs:
-                q["date_info"] = {f"n_{s}": got[f"{source}|{s}"] for s in DATE_SOURCES} | {"image_date_ranges_used": [list(r) for r in got[f"{source}|used"]]}
+                q["date_info"] = {f"n_{s}": got[f"{source}|{s}"] for s in DATE_SOURCES} | {
+                    "image_date_ranges_used": [list(r) for r in got[f"{source}|used"]]
+                }
             own["windows"][w] = q
         first = next(iter(own["windows"].values()))
         own["quality"] = {k: v for k, v in first.items() if k not in ("n_low", "date_info")}
@@ -353,20 +393,31 @@ def tile_values(points: DataFrame, raster: Raster, window_m: float, step: float
         x, y = crs.utm_forward(F.col("lat"), F.col("lon")) if code else (F.col("x"), F.col("y"))
         placed = at.select(window.ROW, *keys, zone.alias("epsg"), x.alias("x"), y.alias("y"))
         corner = lambda c, sign: F.rint(F.col(c) / step) * step + sign * (n // 2) * step
-        frame = placed.select(window.ROW, "epsg", corner("x", -1).alias("left"), corner("y", 1).alias("top"), F.lit(float(step)).alias("a"), F.lit(-float(step)).alias("e"), F.lit(False).alias("turned"), F.lit(n).alias("height"), F.lit(n).alias("width"))
+        frame = placed.select(
+            window.ROW, "epsg", corner("x", -1).alias("left"), corner("y", 1).alias("top"),
+            F.lit(float(step)).alias("a"), F.lit(-float(step)).alias("e"), F.lit(False).alias("turned"),
+            F.lit(n).alias("height"), F.lit(n).alias("width")
+        )
         grid = terrain.sample_grid(placed, n, step).join(placed.select(window.ROW, *keys, "epsg"), window.ROW)
         if code:
             moved = crs.let(F.struct("gx", "gy", "epsg"), lambda g: crs.moved(g["gx"], g["gy"], g["epsg"], code))
             grid = grid.withColumn("g", moved).withColumns({"gx": F.col("g.x"), "gy": F.col("g.y")}).drop("g")
         near = only(raster, terrain.neighbour_tiles(grid, h, raster.size, keys))
-        cells = terrain.resample_bands(grid, pixels_of_tiles(near), bands, h, keys=keys).select(window.ROW, (F.col("i") * n + F.col("j")).cast("int").alias("o"), *bands)
+        cells = terrain.resample_bands(grid, pixels_of_tiles(near), bands, h, keys=keys).select(
+            window.ROW, (F.col("i") * n + F.col("j")).cast("int").alias("o"), *bands
+        )
     # a tile's cells bound its group
-    packed = cells.groupBy(window.ROW).agg(F.array_sort(F.collect_list(F.struct("o", *(F.col(b).cast("double").alias(f"v{k}") for k, b in enumerate(bands))))).alias("ps"))
+    packed = cells.groupBy(window.ROW).agg(
+        F.array_sort(F.collect_list(F.struct("o", *(F.col(b).cast("double").alias(f"v{k}") for k, b in enumerate(bands))))).alias("ps")
+    )
     values = F.array(*(F.col(f"ps.v{k}") for k in range(len(bands))))
     return frame.drop("r0", "c0").join(packed.select(window.ROW, F.col("ps.o").alias("o"), values.alias("values")), window.ROW, "left")
 
 
-def _tiles(points: DataFrame, raster: Raster, window_m: int, step: float | None, name: str, folder: str, suffixed: bool, policy: str = "nearest", scale: float | None = None) -> tuple[str, dict[str, int]]:
+def _tiles(
+    points: DataFrame, raster: Raster, window_m: int, step: float | None, name: str, folder: str, suffixed: bool,
+    policy: str = "nearest", scale: float | None = None
+) -> tuple[str, dict[str, int]]:
     """Write a GeoTIFF file of each point's window, with all bands; the folder, and how many were written and not.
 
     Of a collection each point's image is taken.  Points outside the raster, and
@@ -379,7 +430,10 @@ def _tiles(points: DataFrame, raster: Raster, window_m: int, step: float | None,
         if asof.undated(raster.images):
             raster = _flattened(raster)
         else:
-            places = asof.match_images(places if "date" in places.columns else places.withColumn("date", F.lit(None).cast("date")), raster.images, policy)
+            places = asof.match_images(
+                places if "date" in places.columns else places.withColumn("date", F.lit(None).cast("date")),
+                raster.images, policy
+            )
     label = F.concat(F.col("id").cast("string"), F.lit(f"-{name}" + (f"-{window_m}m" if suffixed else "") + ".tif"))
     rows = points.select(window.ROW, label.alias("name")).join(tile_values(places, raster, window_m, step), window.ROW).drop(window.ROW)
     path = f"{folder}/tiles" + (f"-{window_m}m" if suffixed else "")

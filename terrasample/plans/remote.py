@@ -3,4 +3,6 @@
 
 def init_remote(credentials_path: str | None = None) -> None:
     """Always fails: remote services need a network and credentials."""
-    raise RuntimeError("remote image services aren't available: register a source with register_source, or mirror the data as GeoTIFF files or tile tables")
+    raise RuntimeError(
+        "remote image services aren't available: register a source with register_source, or mirror the data as GeoTIFF files or tile tables"
+    )

@@ -76,7 +76,10 @@ def build_config(choices: Sequence[Choice], output_type: str) -> list[dict[str,
 def check_points(points: DataFrame) -> bool:
     """ValueError for a table without rows, columns or numeric coordinates; whether it has dates."""
     point_source.require_columns(points, list(COLUMNS))
-    counts = points.agg(F.count("*").alias("n"), *(F.count_if(F.col(c).cast("string").try_cast("double").isNull()).alias(c) for c in COLUMNS[1:])).first()
+    counts = points.agg(
+        F.count("*").alias("n"),
+        *(F.count_if(F.col(c).cast("string").try_cast("double").isNull()).alias(c) for c in COLUMNS[1:])
+    ).first()
     if not counts["n"]:
         raise ValueError("the table has no rows")
     for c in COLUMNS[1:]:
@@ -85,11 +88,17 @@ def check_points(points: DataFrame) -> bool:
     return DATE_COLUMN in points.columns
 
 
-def run_extraction(points: DataFrame, choices: Sequence[Choice], output_type: str, output_dir: str, input_crs: str | None = None, *, progress_callback: Callable[..., None] | None = None, **more: Any) -> Any:
+def run_extraction(
+    points: DataFrame, choices: Sequence[Choice], output_type: str, output_dir: str, input_crs: str | None = None, *,
+    progress_callback: Callable[..., None] | None = None, **more: Any
+) -> Any:
     """Check a table of occurrences and the choices, and run extract() on them; ``more`` goes to extract()."""
     if not str(output_dir).strip():
         raise ValueError("an output directory is needed")
     check_points(points)
     config = build_config(choices, output_type)
     numeric = points.withColumns({c: F.col(c).cast("double") for c in COLUMNS[1:]})
-    return runs.extract(numeric, config, output_dir=str(output_dir), input_crs=crs.normalize(input_crs), quiet=True, progress_callback=progress_callback, **more)
+    return runs.extract(
+        numeric, config, output_dir=str(output_dir), input_crs=crs.normalize(input_crs), quiet=True,
+        progress_callback=progress_callback, **more
+    )

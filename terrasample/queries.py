@@ -45,7 +45,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 def part_pixels(spark: SparkSession, d: str) -> DataFrame:
     """r, c, b1 (price, null where size is 1), b2 (size), b3 (key modulo 7)."""
     k = F.col("p_partkey")
-    return table(spark, d, "part").select(F.floor(k / COLUMNS).cast("int").alias("r"), (k % COLUMNS).cast("int").alias("c"), F.when(F.col("p_size") != 1, F.col("p_retailprice")).alias("b1"), F.col("p_size").cast("double").alias("b2"), (k % 7).cast("double").alias("b3"))
+    return table(spark, d, "part").select(
+        F.floor(k / COLUMNS).cast("int").alias("r"), (k % COLUMNS).cast("int").alias("c"),
+        F.when(F.col("p_size") != 1, F.col("p_retailprice")).alias("b1"), F.col("p_size").cast("double").alias("b2"),
+        (k % 7).cast("double").alias("b3")
+    )
 
 
 def part_raster(spark: SparkSession, d: str, bands: tuple[str, ...] = ("b1",), crs_code: int | None = None) -> Raster:
@@ -56,7 +60,10 @@ def part_raster(spark: SparkSession, d: str, bands: tuple[str, ...] = ("b1",), c
 
 def customer_points(spark: SparkSession, d: str, raster: Raster) -> DataFrame:
     k = F.col("c_custkey")
-    return table(spark, d, "customer").select(k.alias("_row"), ((k * 37) % (10 * COLUMNS)).cast("double").alias("x"), ((k * 53) % (10 * raster.header.height)).cast("double").alias("y"))
+    return table(spark, d, "customer").select(
+        k.alias("_row"), ((k * 37) % (10 * COLUMNS)).cast("double").alias("x"),
+        ((k * 53) % (10 * raster.header.height)).cast("double").alias("y")
+    )
 
 
 # SQL pieces: the raster, the points, and the pixels of each point's window (half-open in pixel centres).
@@ -125,7 +132,9 @@ def window_count(spark: SparkSession, d: str) -> DataFrame:
     return _stats(spark, d, ["count"]).select("id", F.col("`b1.count`").alias("n"))
 
 
-@query(_win(100) + "select id, arg_max(b2, struct_pack(n := n, v := -b2)) as mode from (select id, b2, count(*) as n from w group by id, b2) group by id")
+@query(
+    _win(100) + "select id, arg_max(b2, struct_pack(n := n, v := -b2)) as mode from (select id, b2, count(*) as n from w group by id, b2) group by id"
+)
 def window_mode(spark: SparkSession, d: str) -> DataFrame:
     return _stats(spark, d, ["mode"], bands=("b2",)).select("id", F.col("`b2.mode`").alias("mode"))
 
@@ -147,7 +156,11 @@ def class_count(spark: SparkSession, d: str) -> DataFrame:
     return _classes(spark, d, "class_count")
 
 
-@query(_win(100) + "select id, " + ", ".join(f"count(*) filter (where b3 = {k}) / count(b3) as class_{k}_fraction" for k in range(7)) + " from w group by id")
+@query(
+    _win(100) + "select id, " + ", ".join(
+        f"count(*) filter (where b3 = {k}) / count(b3) as class_{k}_fraction" for k in range(7)
+    ) + " from w group by id"
+)
 def class_fraction(spark: SparkSession, d: str) -> DataFrame:
     return _classes(spark, d, "class_fraction")
 
@@ -158,22 +171,33 @@ _POINT = f"with {_PX} select pt.id, b1 as point_b1, b2 as point_b2, coalesce(b1
 @query(f"with {_PX} select pt.id, b1 as point from pt left join px on px.r = floor(y / 10) and px.c = floor(x / 10)")
 def point_sample(spark: SparkSession, d: str) -> DataFrame:
     raster = part_raster(spark, d)
-    return window.point_sample(customer_points(spark, d, raster), raster, ["b1"]).select(F.col("_row").alias("id"), F.col("`b1.point`").alias("point"))
+    return window.point_sample(customer_points(spark, d, raster), raster, ["b1"]).select(
+        F.col("_row").alias("id"), F.col("`b1.point`").alias("point")
+    )
 
 
 @query(_POINT)
 def point_multiband(spark: SparkSession, d: str) -> DataFrame:
     raster = part_raster(spark, d, ("b1", "b2"))
-    return window.point_sample(customer_points(spark, d, raster), raster, ["b1", "b2"]).select(F.col("_row").alias("id"), F.col("`b1.point`").alias("point_b1"), F.col("`b2.point`").alias("point_b2"), "in_extent")
+    return window.point_sample(customer_points(spark, d, raster), raster, ["b1", "b2"]).select(
+        F.col("_row").alias("id"), F.col("`b1.point`").alias("point_b1"), F.col("`b2.point`").alias("point_b2"),
+        "in_extent"
+    )
 
 
-@query(_win(100, "b1 is not null and b2 is not null and b3 is not null") + "select pt.id, count(b1) as n_pixels, max(b1) as b1_max, min(b2) as b2_min, sum(b3) as b3_sum from pt left join w on w.id = pt.id group by pt.id")
+@query(
+    _win(
+        100, "b1 is not null and b2 is not null and b3 is not null"
+    ) + "select pt.id, count(b1) as n_pixels, max(b1) as b1_max, min(b2) as b2_min, sum(b3) as b3_sum from pt left join w on w.id = pt.id group by pt.id"
+)
 def multiband_stats(spark: SparkSession, d: str) -> DataFrame:
     s = _stats(spark, d, ["max", "min", "sum"], bands=("b1", "b2", "b3"))
     return s.select("id", "n_pixels", F.col("`b1.max`").alias("b1_max"), F.col("`b2.min`").alias("b2_min"), F.col("`b3.sum`").alias("b3_sum"))
 
 
-_TWO = " union all ".join(f"select * from (" + _win(w) + f"select pt.id, {w} as window_m, count(b1) as n_pixels, max(b1) as max_value from pt left join w on w.id = pt.id group by pt.id)" for w in (50, 200))
+_TWO = " union all ".join(
+    f"select * from (" + _win(w) + f"select pt.id, {w} as window_m, count(b1) as n_pixels, max(b1) as max_value from pt left join w on w.id = pt.id group by pt.id)" for w in (50, 200)
+)
 
 
 @query(_TWO)
@@ -191,13 +215,19 @@ def qc_flags(spark: SparkSession, d: str) -> DataFrame:
     return _stats(spark, d, ["count"]).select("id", "total", "n_pixels", "in_extent", "had_nodata", "coverage_pct")
 
 
-@query(_win(100, "b1 is not null and b2 is not null") + "select rng.id, round_even(count(b1) * 10000.0::double / rng.total, 0) / 100 as b1_pct, round_even(count(b2) * 10000.0::double / rng.total, 0) / 100 as b2_pct from rng left join w on w.id = rng.id group by rng.id, rng.total")
+@query(
+    _win(
+        100, "b1 is not null and b2 is not null"
+    ) + "select rng.id, round_even(count(b1) * 10000.0::double / rng.total, 0) / 100 as b1_pct, round_even(count(b2) * 10000.0::double / rng.total, 0) / 100 as b2_pct from rng left join w on w.id = rng.id group by rng.id, rng.total"
+)
 def qc_band_coverage(spark: SparkSession, d: str) -> DataFrame:
     s = _stats(spark, d, ["count"], bands=("b1", "b2"))
     return s.select("id", *(qc.band_coverage(F.col(f"`{b}.n_valid`"), F.col("total")).alias(f"{b}_pct") for b in ("b1", "b2")))
 
 
-@query(f"with q as ({_QC}) select count(*) filter (where coverage_pct = 0) as n_no_data, count(*) filter (where coverage_pct > 0 and coverage_pct < 100) as n_partial, count(*) filter (where coverage_pct >= 100) as n_full from q")
+@query(
+    f"with q as ({_QC}) select count(*) filter (where coverage_pct = 0) as n_no_data, count(*) filter (where coverage_pct > 0 and coverage_pct < 100) as n_partial, count(*) filter (where coverage_pct >= 100) as n_full from q"
+)
 def coverage_summary(spark: SparkSession, d: str) -> DataFrame:
     return qc.coverage_summary(qc_flags(spark, d))
 
@@ -207,7 +237,10 @@ _LL = "ll as (select event_id as id, 55 + (user_id % 100) * 0.13::double as lat,
 
 
 def event_points(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select(F.col("event_id").alias("id"), (55 + (F.col("user_id") % 100) * F.lit(0.13)).alias("lat"), (12 + (F.col("event_id") % 120) * F.lit(0.1)).alias("lon"))
+    return table(spark, d, "events").select(
+        F.col("event_id").alias("id"), (55 + (F.col("user_id") % 100) * F.lit(0.13)).alias("lat"),
+        (12 + (F.col("event_id") % 120) * F.lit(0.1)).alias("lon")
+    )
 
 
 def _utm_sql() -> str:
@@ -239,7 +272,9 @@ def utm_inverse(spark: SparkSession, d: str) -> DataFrame:
     return p.select("id", F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"))
 
 
-@query(f"with {_LL} select id, cast(least(floor((lon + 180) / 6) + 1, 60) as int)::varchar || case when lat >= 0 then 'N' else 'S' end as zone from ll")
+@query(
+    f"with {_LL} select id, cast(least(floor((lon + 180) / 6) + 1, 60) as int)::varchar || case when lat >= 0 then 'N' else 'S' end as zone from ll"
+)
 def utm_zone_label(spark: SparkSession, d: str) -> DataFrame:
     return event_points(spark, d).select("id", crs.utm_zone_label(F.col("lat"), F.col("lon")).alias("zone"))
 
@@ -249,7 +284,9 @@ def tile_zones(spark: SparkSession, d: str) -> DataFrame:
     return crs.zones(event_points(spark, d))
 
 
-@query(f"with {_utm_sql()} select id, round(degrees(2 * atan(exp(y / 6378137)) - pi() / 2), 6) as lat, round(degrees(x / 6378137), 6) as lon, round(x, 2) as x, round(y, 2) as y from (select id, radians(lon) * 6378137 as x, ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137 as y from ll)")
+@query(
+    f"with {_utm_sql()} select id, round(degrees(2 * atan(exp(y / 6378137)) - pi() / 2), 6) as lat, round(degrees(x / 6378137), 6) as lon, round(x, 2) as x, round(y, 2) as y from (select id, radians(lon) * 6378137 as x, ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137 as y from ll)"
+)
 def crs_reproject(spark: SparkSession, d: str) -> DataFrame:
     p = event_points(spark, d)
     x, y = crs.mercator_forward(F.col("lat"), F.col("lon"))
@@ -273,32 +310,48 @@ def month_images(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ship_dates(spark: SparkSession, d: str, *extra: Column) -> DataFrame:
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *extra, F.date_sub(F.to_date("l_shipdate"), (F.col("l_linenumber") * 60).cast("int")).alias("date"))
+    return table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", *extra,
+        F.date_sub(F.to_date("l_shipdate"), (F.col("l_linenumber") * 60).cast("int")).alias("date")
+    )
 
 
 def _asof_out(m: DataFrame) -> DataFrame:
-    return m.select("l_orderkey", "l_linenumber", "image_id", F.date_format("image_time_start", "yyyy-MM-dd").alias("start_day"), "date_clamped", "date_source")
+    return m.select(
+        "l_orderkey", "l_linenumber", "image_id", F.date_format("image_time_start", "yyyy-MM-dd").alias("start_day"),
+        "date_clamped", "date_source"
+    )
 
 
 _NEAR = f"with {_IM}, b as (select min(s) as lo, max(s) as hi from im), u as (select distinct d from dt), pick as (select d, arg_min(s, struct_pack(gap := abs(d - s), late := -(s - date '1970-01-01'))) as s from u, im group by d) "
 
 
-@query(_NEAR + "select l_orderkey, l_linenumber, strftime(p.s, '%Y%m') as image_id, strftime(p.s, '%Y-%m-%d') as start_day, dt.d < lo or dt.d > hi as date_clamped, case when dt.d < lo or dt.d > hi then 'clamped_to_nearest' else 'nearest_to_sample' end as date_source from dt join pick p on p.d = dt.d, b")
+@query(
+    _NEAR + "select l_orderkey, l_linenumber, strftime(p.s, '%Y%m') as image_id, strftime(p.s, '%Y-%m-%d') as start_day, dt.d < lo or dt.d > hi as date_clamped, case when dt.d < lo or dt.d > hi then 'clamped_to_nearest' else 'nearest_to_sample' end as date_source from dt join pick p on p.d = dt.d, b"
+)
 def asof_nearest(spark: SparkSession, d: str) -> DataFrame:
     return _asof_out(asof.match_images(ship_dates(spark, d), month_images(spark, d), "nearest"))
 
 
-@query(f"with {_IM}, b as (select min(s) as lo, max(s) as hi from im), u as (select distinct d from dt), pick as (select d, coalesce(max(s) filter (where s <= d), min(s)) as s from u, im group by d) select l_orderkey, l_linenumber, strftime(p.s, '%Y%m') as image_id, strftime(p.s, '%Y-%m-%d') as start_day, dt.d <= lo or dt.d >= hi as date_clamped, case when dt.d <= lo or dt.d >= hi then 'clamped_to_nearest' else 'contains_sample_date' end as date_source from dt join pick p on p.d = dt.d, b")
+@query(
+    f"with {_IM}, b as (select min(s) as lo, max(s) as hi from im), u as (select distinct d from dt), pick as (select d, coalesce(max(s) filter (where s <= d), min(s)) as s from u, im group by d) select l_orderkey, l_linenumber, strftime(p.s, '%Y%m') as image_id, strftime(p.s, '%Y-%m-%d') as start_day, dt.d <= lo or dt.d >= hi as date_clamped, case when dt.d <= lo or dt.d >= hi then 'clamped_to_nearest' else 'contains_sample_date' end as date_source from dt join pick p on p.d = dt.d, b"
+)
 def asof_contains(spark: SparkSession, d: str) -> DataFrame:
     return _asof_out(asof.match_images(ship_dates(spark, d), month_images(spark, d), "contains"))
 
 
-@query(f"with {_IM} select l_orderkey, l_linenumber, strftime((select max(s) from im), '%Y%m') as image_id, 'most_recent_no_date' as date_source from dt")
+@query(
+    f"with {_IM} select l_orderkey, l_linenumber, strftime((select max(s) from im), '%Y%m') as image_id, 'most_recent_no_date' as date_source from dt"
+)
 def asof_no_date(spark: SparkSession, d: str) -> DataFrame:
-    return asof.match_images(ship_dates(spark, d).withColumn("date", F.lit(None).cast("date")), month_images(spark, d)).select("l_orderkey", "l_linenumber", "image_id", "date_source")
+    return asof.match_images(
+        ship_dates(spark, d).withColumn("date", F.lit(None).cast("date")), month_images(spark, d)
+    ).select("l_orderkey", "l_linenumber", "image_id", "date_source")
 
 
-@query("select l_orderkey, l_linenumber, cast(null as varchar) as image_id, false as date_clamped, cast(null as varchar) as date_source from lineitem")
+@query(
+    "select l_orderkey, l_linenumber, cast(null as varchar) as image_id, false as date_clamped, cast(null as varchar) as date_source from lineitem"
+)
 def asof_undated(spark: SparkSession, d: str) -> DataFrame:
     """A collection without start times matches nothing, and all rows stay."""
     images = month_images(spark, d).withColumn("time_start", F.lit(None).cast("date"))
@@ -318,7 +371,9 @@ def asof_by_key(spark: SparkSession, d: str) -> DataFrame:
     return m.select("l_orderkey", "l_linenumber", F.date_format("image_time_start", "yyyy-MM-dd").alias("start_day"))
 
 
-@query(_NEAR + "select count(*) filter (where not (dt.d < lo or dt.d > hi)) as n_nearest_to_sample, count(*) filter (where dt.d < lo or dt.d > hi) as n_clamped_to_nearest, count(distinct p.s) as n_ranges from dt join pick p on p.d = dt.d, b")
+@query(
+    _NEAR + "select count(*) filter (where not (dt.d < lo or dt.d > hi)) as n_nearest_to_sample, count(*) filter (where dt.d < lo or dt.d > hi) as n_clamped_to_nearest, count(distinct p.s) as n_ranges from dt join pick p on p.d = dt.d, b"
+)
 def date_info_summary(spark: SparkSession, d: str) -> DataFrame:
     m = asof.match_images(ship_dates(spark, d), month_images(spark, d), "nearest")
     return asof.date_info(m).select("n_nearest_to_sample", "n_clamped_to_nearest", F.size("image_date_ranges_used").cast("bigint").alias("n_ranges"))
@@ -332,7 +387,9 @@ def asof_covering(spark: SparkSession, d: str) -> DataFrame:
     """Points matched among the images whose footprint holds them."""
     k = F.col("s_suppkey")
     images = table(spark, d, "supplier").select(
-        k.cast("string").alias("image_id"), F.date_add(F.lit("2024-01-01").cast("date"), ((k * 17) % 400).cast("int")).alias("time_start"), F.lit(None).cast("date").alias("time_end"),
+        k.cast("string").alias("image_id"), F.date_add(
+            F.lit("2024-01-01").cast("date"), ((k * 17) % 400).cast("int")
+        ).alias("time_start"), F.lit(None).cast("date").alias("time_end"),
         (12 + k % 10 + F.lit(0.05)).alias("west"), (55 + k % 12 + F.lit(0.05)).alias("south"),
     ).withColumns({"east": F.col("west") + 2.5, "north": F.col("south") + 1.5})
     dated = table(spark, d, "events").select(F.col("event_id").alias("id"), F.to_date("ts").alias("date"))
@@ -343,20 +400,29 @@ def asof_covering(spark: SparkSession, d: str) -> DataFrame:
 _MESSY = "case event_id % 5 when 0 then strftime(ts, '%Y-%m-%d') when 1 then strftime(ts, '%Y-%m') when 2 then strftime(ts, '%Y') when 3 then strftime(ts, '%Y-%m-%d') || '/' || strftime(ts + interval 3 day, '%Y-%m-%d') else strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z' end"
 
 
-@query("select event_id, case event_id % 5 when 1 then strftime(date_trunc('month', ts), '%Y-%m-%d') when 2 then strftime(date_trunc('year', ts), '%Y-%m-%d') else strftime(ts, '%Y-%m-%d') end as day, event_id % 5 in (1, 2) as incomplete, event_id % 5 = 3 as is_interval, event_id % 5 = 4 as has_time from events")
+@query(
+    "select event_id, case event_id % 5 when 1 then strftime(date_trunc('month', ts), '%Y-%m-%d') when 2 then strftime(date_trunc('year', ts), '%Y-%m-%d') else strftime(ts, '%Y-%m-%d') end as day, event_id % 5 in (1, 2) as incomplete, event_id % 5 = 3 as is_interval, event_id % 5 = 4 as has_time from events"
+)
 def date_normalize(spark: SparkSession, d: str) -> DataFrame:
     ts, k = F.col("ts"), F.col("event_id") % 5
     day = F.date_format(ts, "yyyy-MM-dd")
-    messy = F.when(k == 0, day).when(k == 1, F.date_format(ts, "yyyy-MM")).when(k == 2, F.date_format(ts, "yyyy")).when(k == 3, F.concat(day, F.lit("/"), F.date_format(F.date_add(ts.cast("date"), 3), "yyyy-MM-dd"))).otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    messy = F.when(k == 0, day).when(k == 1, F.date_format(ts, "yyyy-MM")).when(k == 2, F.date_format(ts, "yyyy")).when(
+        k == 3, F.concat(day, F.lit("/"), F.date_format(F.date_add(ts.cast("date"), 3), "yyyy-MM-dd"))
+    ).otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     e = table(spark, d, "events").select("event_id", messy.alias("t"))
     t = F.col("t")
-    return e.select("event_id", dates.day_text(dates.parse(t)).alias("day"), dates.incomplete(t).alias("incomplete"), dates.is_interval(t).alias("is_interval"), dates.has_time(t).alias("has_time"))
+    return e.select(
+        "event_id", dates.day_text(dates.parse(t)).alias("day"), dates.incomplete(t).alias("incomplete"),
+        dates.is_interval(t).alias("is_interval"), dates.has_time(t).alias("has_time")
+    )
 
 
 _ODD = "case event_id % 4 when 0 then 'NaN'::double when 1 then 'Infinity'::double else value end"
 
 
-@query(f"select event_type, count(*) filter (where event_id % 4 > 1) as n_finite, max(value) filter (where event_id % 4 > 1) as top from events group by event_type")
+@query(
+    f"select event_type, count(*) filter (where event_id % 4 > 1) as n_finite, max(value) filter (where event_id % 4 > 1) as top from events group by event_type"
+)
 def finite_filter(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("event_id") % 4
     v = reducers.finite(F.when(k == 0, F.lit(float("nan"))).when(k == 1, F.lit(float("inf"))).otherwise(F.col("value")))
@@ -372,9 +438,14 @@ def nodata_mask(spark: SparkSession, d: str) -> DataFrame:
 @query("""with im as (select cast(floor(p_partkey / 50) as int) as r, cast(p_partkey % 50 as int) as c, i, case when (p_partkey + i) % 3 <> 0 then p_retailprice + i end as v from part, range(0, 4) t(i))
 select r, c, arg_max(v, i) filter (where v is not null) as v from im group by r, c""")
 def mosaic(spark: SparkSession, d: str) -> DataFrame:
-    px = part_pixels(spark, d).withColumn("k", F.col("r") * COLUMNS + F.col("c")).join(table(spark, d, "part").select(F.col("p_partkey").alias("k"), "p_retailprice"), "k")
+    px = part_pixels(spark, d).withColumn("k", F.col("r") * COLUMNS + F.col("c")).join(
+        table(spark, d, "part").select(F.col("p_partkey").alias("k"), "p_retailprice"), "k"
+    )
     many = px.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    many = many.select("r", "c", F.col("i").alias("image_id"), F.when((F.col("k") + F.col("i")) % 3 != 0, F.col("p_retailprice") + F.col("i")).alias("v"))
+    many = many.select(
+        "r", "c", F.col("i").alias("image_id"),
+        F.when((F.col("k") + F.col("i")) % 3 != 0, F.col("p_retailprice") + F.col("i")).alias("v")
+    )
     images = many.select("image_id").distinct().withColumn("time_start", F.date_add(F.lit("2000-01-01").cast("date"), F.col("image_id")))
     return terrain.mosaic(many, images, ["v"])
 
@@ -389,7 +460,9 @@ def slope(spark: SparkSession, d: str) -> DataFrame:
     return terrain.slope(part_pixels(spark, d), "b2", header).select("r", "c", F.round("slope", 6).alias("slope"))
 
 
-@query(_NB + "select r, c, case when dx <> 0 or dy <> 0 then round(case when t < 0 then t + 360 else t end, 6) + 0.0::double end as aspect from (select *, degrees(atan2(-dx, dy)) as t from g)")
+@query(
+    _NB + "select r, c, case when dx <> 0 or dy <> 0 then round(case when t < 0 then t + 360 else t end, 6) + 0.0::double end as aspect from (select *, degrees(atan2(-dx, dy)) as t from g)"
+)
 def aspect(spark: SparkSession, d: str) -> DataFrame:
     header = grid.Header(COLUMNS, 1, 10.0, -10.0)
     return terrain.aspect(part_pixels(spark, d), "b2", header).select("r", "c", (F.round("aspect", 6) + F.lit(0.0)).alias("aspect"))
@@ -397,7 +470,10 @@ def aspect(spark: SparkSession, d: str) -> DataFrame:
 
 def _grid_points(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey")
-    return table(spark, d, "supplier").select(k.alias("_row"), (100 + (k * 7) % 300).cast("double").alias("x"), (30 + (k * 3) % 20).cast("double").alias("y"))
+    return table(spark, d, "supplier").select(
+        k.alias("_row"), (100 + (k * 7) % 300).cast("double").alias("x"),
+        (30 + (k * 3) % 20).cast("double").alias("y")
+    )
 
 
 _GRID = """gp as (select s_suppkey as id, (100 + (s_suppkey * 7) % 300)::double as x, (30 + (s_suppkey * 3) % 20)::double as y from supplier),
@@ -427,7 +503,10 @@ def tile_multiband(spark: SparkSession, d: str) -> DataFrame:
     raster = part_raster(spark, d, ("b1", "b2", "b3"))
     z = F.arrays_zip("o", *(F.col("values")[k].alias(f"b{k + 1}") for k in range(3)))
     cells = tile_values(customer_points(spark, d, raster), raster, 80).select(F.col("_row").alias("id"), "width", F.explode(z).alias("z"))
-    return cells.select("id", F.floor(F.col("z.o") / F.col("width")).cast("int").alias("i"), (F.col("z.o") % F.col("width")).cast("int").alias("j"), "z.b1", "z.b2", "z.b3").where("b2 is not null")
+    return cells.select(
+        "id", F.floor(F.col("z.o") / F.col("width")).cast("int").alias("i"),
+        (F.col("z.o") % F.col("width")).cast("int").alias("j"), "z.b1", "z.b2", "z.b3"
+    ).where("b2 is not null")
 
 
 @query(_win(80).split("ids as (")[0].rstrip().rstrip(",") + """
@@ -437,7 +516,9 @@ def tile_native_crop(spark: SparkSession, d: str) -> DataFrame:
     from terrasample.plans.extract import tile_values
 
     raster = part_raster(spark, d)
-    return tile_values(customer_points(spark, d, raster), raster, 80).select(F.col("_row").alias("id"), F.col("left").alias("left_x"), F.col("top").alias("top_y"), "height", "width")
+    return tile_values(customer_points(spark, d, raster), raster, 80).select(
+        F.col("_row").alias("id"), F.col("left").alias("left_x"), F.col("top").alias("top_y"), "height", "width"
+    )
 
 
 @query(_win(80).split("w as (")[0].rstrip().rstrip(",") + """
@@ -449,18 +530,28 @@ def tile_nodata(spark: SparkSession, d: str) -> DataFrame:
     raster = part_raster(spark, d)
     tiles = tile_values(customer_points(spark, d, raster), raster, 80)
     files = geotiff.write_tiles(tiles.withColumn("name", F.col("_row").cast("string")), replace(raster.header, dtype="int32"))
-    return geotiff.summary(files).select(F.col("name").cast("bigint").alias("id"), "nodata", "n_missing", F.col("total").cast("bigint").alias("total"))
+    return geotiff.summary(files).select(
+        F.col("name").cast("bigint").alias("id"), "nodata", "n_missing", F.col("total").cast("bigint").alias("total")
+    )
 
 
-@query("select l_orderkey, l_linenumber, floor(l_extendedprice / 30 + 0.5) * 30 as half_up, round_even(l_extendedprice / 30, 0) * 30 as half_even from lineitem")
+@query(
+    "select l_orderkey, l_linenumber, floor(l_extendedprice / 30 + 0.5) * 30 as half_up, round_even(l_extendedprice / 30, 0) * 30 as half_even from lineitem"
+)
 def snap_to_grid(spark: SparkSession, d: str) -> DataFrame:
     x = F.col("l_extendedprice")
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", grid.snap(x, 30).cast("double").alias("half_up"), grid.snap_even(x, 30).alias("half_even"))
+    return table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", grid.snap(x, 30).cast("double").alias("half_up"),
+        grid.snap_even(x, 30).alias("half_even")
+    )
 
 
 @query("select l_orderkey, l_linenumber, round_even((l_extendedprice * l_discount / 7) * 1e5, 0) / 1e5 as v from lineitem")
 def round_stats(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", reducers.round_half_even(F.col("l_extendedprice") * F.col("l_discount") / 7, 5).alias("v"))
+    return table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber",
+        reducers.round_half_even(F.col("l_extendedprice") * F.col("l_discount") / 7, 5).alias("v")
+    )
 
 
 @query(f"with {_PX} select r, c, b3 as v from px")
@@ -471,7 +562,9 @@ def band_select(spark: SparkSession, d: str) -> DataFrame:
 @query("select label, count(*) as n, round(avg(e), 6) as mean_first from (select label, embedding[1]::double as e from embeddings) group by label")
 def embedding_band_mean(spark: SparkSession, d: str) -> DataFrame:
     """A band of a many-band table by class."""
-    return table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(F.col("embedding")[0].cast("double")), 6).alias("mean_first"))
+    return table(spark, d, "embeddings").groupBy("label").agg(
+        F.count("*").alias("n"), F.round(F.avg(F.col("embedding")[0].cast("double")), 6).alias("mean_first")
+    )
 
 
 _EX = _win(100) + """select rng.id as "occurrenceID", rng.y / 1000 as "decimalLatitude", rng.x / 1000 as "decimalLongitude", max(b1) as part_max_100m, median(b1) as part_median_100m, nullif(count(b1), 0) as part_count_100m
@@ -486,7 +579,10 @@ def extract_tabular(spark: SparkSession, d: str) -> DataFrame:
     raster = part_raster(spark, d)
     points = customer_points(spark, d, raster)
     cols, stats, _ = dataset_columns(points, raster, "part", ["max", "median", "count"], ["b1"], False, 100)
-    return points.join(cols, "_row", "left").select(F.col("_row").alias("occurrenceID"), (F.col("y") / 1000).alias("decimalLatitude"), (F.col("x") / 1000).alias("decimalLongitude"), *stats)
+    return points.join(cols, "_row", "left").select(
+        F.col("_row").alias("occurrenceID"), (F.col("y") / 1000).alias("decimalLatitude"),
+        (F.col("x") / 1000).alias("decimalLongitude"), *stats
+    )
 
 
 _END = _win(12, size=3, points="pe") + """select pe.id as "occurrenceID", pe.y as "decimalLatitude", pe.x as "decimalLongitude", pe.name as place, max(w.b1) as part_max_12m, median(w.b1) as part_median_12m, nullif(count(w.b1), 0) as part_count_12m, max(a.b1) as part_point
@@ -501,10 +597,17 @@ def extract_end_to_end(spark: SparkSession, d: str) -> DataFrame:
     raster = part_raster(spark, d)
     raster = replace(raster, header=replace(raster.header, a=3.0, e=3.0))
     k = F.col("c_custkey")
-    points = table(spark, d, "customer").select(k.alias("occurrenceID"), ((k * 53) % 90).cast("double").alias("decimalLatitude"), ((k * 37) % 180).cast("double").alias("decimalLongitude"), "c_nationkey")
+    points = table(spark, d, "customer").select(
+        k.alias("occurrenceID"), ((k * 53) % 90).cast("double").alias("decimalLatitude"),
+        ((k * 37) % 180).cast("double").alias("decimalLongitude"), "c_nationkey"
+    )
     nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("place"))
     settings = {"output_type": "tabular", "statistics": ["max", "median", "count", "point"], "window_size_m": 12, "output_file_format": "dataframe"}
-    return extract(points.hint("shuffle_hash").join(nations, "c_nationkey").drop("c_nationkey"), {"datasets": ["part"], "settings": settings}, output_dir=shared_folder(spark), rasters={"part": raster}, write_metadata=False, quiet=True)
+    return extract(
+        points.hint("shuffle_hash").join(nations, "c_nationkey").drop("c_nationkey"),
+        {"datasets": ["part"], "settings": settings}, output_dir=shared_folder(spark), rasters={"part": raster},
+        write_metadata=False, quiet=True
+    )
 
 
 def queries() -> dict[str, Query]:

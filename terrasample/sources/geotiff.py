@@ -330,7 +330,9 @@ def read(spark: SparkSession, path: str, *, size: int = 256, image_id: str | Non
             name, own = None, None  # the last file
             for batch in batches:
                 for k, path in enumerate(batch.column(0).to_pylist()):
-                    places = [(batch.column(1)[k].as_py(), batch.column(2)[k].as_py())] if ranged else [(i, j) for i in range(rows) for j in range(cols)]
+                    places = [
+                        (batch.column(1)[k].as_py(), batch.column(2)[k].as_py())
+                    ] if ranged else [(i, j) for i in range(rows) for j in range(cols)]
                     for i, j in places:
                         try:
                             if path != name:
@@ -365,7 +367,10 @@ def read(spark: SparkSession, path: str, *, size: int = 256, image_id: str | Non
     else:
         units = files.select("path", "content")
     every = tiles(units, list(header.bands))
-    return Raster(replace(header, nodata=(None,) * len(header.bands)), every, size, meta={"path": path, "nodata": header.nodata, "dtype": header.dtype}, fetch=fetch)
+    return Raster(
+        replace(header, nodata=(None,) * len(header.bands)), every, size,
+        meta={"path": path, "nodata": header.nodata, "dtype": header.dtype}, fetch=fetch
+    )
 
 
 def write_tiles(rows: DataFrame, header: Header) -> DataFrame:
@@ -393,7 +398,10 @@ def write_tiles(rows: DataFrame, header: Header) -> DataFrame:
         else:
             y = np.where(none, fill, x).astype(kind)
         turn = {} if frame["turned"] else {"b": 0.0, "d": 0.0}
-        own = replace(header, width=width, height=height, a=frame["a"], e=frame["e"], c=frame["left"], f=frame["top"], crs=frame["epsg"], nodata=(fill,) * n, **turn)
+        own = replace(
+            header, width=width, height=height, a=frame["a"], e=frame["e"], c=frame["left"], f=frame["top"],
+            crs=frame["epsg"], nodata=(fill,) * n, **turn
+        )
         return encode(y.reshape(n, height, width), own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -414,7 +422,10 @@ def summary(files: DataFrame) -> DataFrame:
                 nodata, x = header_of(content.as_py()).nodata[0], decode(content.as_py())[0].astype(np.float64)
                 missing = np.isnan(x) if nodata is None or nodata != nodata else x == nodata
                 out.append({"name": name, "nodata": nodata, "n_missing": int(missing.sum()), "total": float(x[~missing].sum())})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("name", pa.string()), ("nodata", pa.float64()), ("n_missing", pa.int64()), ("total", pa.float64())]))
+            yield pa.RecordBatch.from_pylist(
+                out,
+                pa.schema([("name", pa.string()), ("nodata", pa.float64()), ("n_missing", pa.int64()), ("total", pa.float64())])
+            )
 
     return files.select("name", "content").mapInArrow(run, "name string, nodata double, n_missing bigint, total double")
 

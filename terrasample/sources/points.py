@@ -50,13 +50,19 @@ def check(points: DataFrame, *, input_crs: str | None = None, date_col: str = "d
         raw = F.col(date_col)
         out = out.withColumns({"_raw": raw.cast("string"), date_col: dates.parse(raw)})
         s = out.agg(
-            F.count_if(dates.start_text(F.col("_raw")).isNull()).alias("none"), F.count_if(dates.is_interval(F.col("_raw"))).alias("interval"), F.count_if(dates.has_time(F.col("_raw"))).alias("time"), F.count_if(dates.incomplete(F.col("_raw"))).alias("short"),
+            F.count_if(
+                dates.start_text(F.col("_raw")).isNull()
+            ).alias("none"), F.count_if(dates.is_interval(F.col("_raw"))).alias("interval"), F.count_if(dates.has_time(F.col("_raw"))).alias("time"), F.count_if(dates.incomplete(F.col("_raw"))).alias("short"),
             F.count_if(dates.start_text(F.col("_raw")).isNotNull() & F.col(date_col).isNull()).alias("bad"),
         ).first()
         if s["bad"]:
             rows = [r["_raw"] for r in out.where(dates.start_text(F.col("_raw")).isNotNull() & F.col(date_col).isNull()).limit(shown).collect()]
             raise ValueError(f"{s['bad']} dates can't be read, such as {rows}")
-        for n, what in ((s["interval"], "date intervals were cut to their start"), (s["time"], "times of day were dropped"), (s["short"], "incomplete dates were set to their first day"), (s["none"], "rows without a date were dropped")):
+        for n, what in (
+            (s["interval"], "date intervals were cut to their start"), (s["time"], "times of day were dropped"),
+            (s["short"], "incomplete dates were set to their first day"),
+            (s["none"], "rows without a date were dropped")
+        ):
             if n:
                 warnings.append(f"{n} {what}")
         out = out.where(F.col(date_col).isNotNull()).drop("_raw")

@@ -71,7 +71,11 @@ def tiles_of_pixels(pixels: DataFrame, header: Header, size: int = 256, keys: tu
     place = (F.col("r") % size) * size + F.col("c") % size
     values = [reducers.masked(F.col(b), n).alias(b) for b, n in zip(header.bands, header.nodata, strict=True)]
     rows = pixels.where(F.col("r").between(0, header.height - 1) & F.col("c").between(0, header.width - 1))
-    packed = rows.select(*keys, F.floor(F.col("r") / size).cast("int").alias("tile_row"), F.floor(F.col("c") / size).cast("int").alias("tile_col"), F.struct(place.cast("int").alias("o"), *values).alias("p"))
+    packed = rows.select(
+        *keys, F.floor(F.col("r") / size).cast("int").alias("tile_row"),
+        F.floor(F.col("c") / size).cast("int").alias("tile_col"),
+        F.struct(place.cast("int").alias("o"), *values).alias("p")
+    )
     grouped = packed.groupBy(*keys, "tile_row", "tile_col").agg(F.collect_list("p").alias("ps"))
     places = F.sequence(F.lit(0), F.lit(size * size - 1))
     missing = F.array_except(places, F.transform("ps", lambda p: p["o"]))
@@ -88,7 +92,12 @@ def pixels_of_tiles(raster: Raster) -> DataFrame:
     """r, c and the bands of every pixel inside the raster."""
     h, size = raster.header, raster.size
     rows = raster.tiles.select(*raster.keys, F.posexplode(F.arrays_zip(*h.bands)).alias("o", "z"))
-    out = rows.select(*(k for k in raster.keys if k == "image_id"), (F.col("tile_row") * size + F.floor(F.col("o") / size)).cast("int").alias("r"), (F.col("tile_col") * size + F.col("o") % size).cast("int").alias("c"), *(F.col(f"z.{b}").alias(b) for b in h.bands))
+    out = rows.select(
+        *(k for k in raster.keys if k == "image_id"),
+        (F.col("tile_row") * size + F.floor(F.col("o") / size)).cast("int").alias("r"),
+        (F.col("tile_col") * size + F.col("o") % size).cast("int").alias("c"),
+        *(F.col(f"z.{b}").alias(b) for b in h.bands)
+    )
     return out.where((F.col("r") < h.height) & (F.col("c") < h.width))
 
 

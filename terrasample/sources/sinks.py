@@ -31,9 +31,15 @@ def write_table(df: DataFrame, folder: str, name: str, form: str, single: bool =
     return path
 
 
-def sidecar(batch_id: str, *, n_points: int, config: dict[str, Any], datasets: dict[str, Any], warnings: dict[str, Any] | None = None) -> dict[str, Any]:
+def sidecar(
+    batch_id: str, *, n_points: int, config: dict[str, Any], datasets: dict[str, Any],
+    warnings: dict[str, Any] | None = None
+) -> dict[str, Any]:
     """When and how a run was made, what was asked for and where the data came from."""
-    out = {"run": {"timestamp": datetime.now().astimezone().isoformat(timespec="seconds"), "package_version": VERSION, "n_points": n_points}, "config": {"batch_id": batch_id, **config}, "datasets": datasets}
+    out = {
+        "run": {"timestamp": datetime.now().astimezone().isoformat(timespec="seconds"), "package_version": VERSION, "n_points": n_points},
+        "config": {"batch_id": batch_id, **config}, "datasets": datasets
+    }
     return out | ({"warnings": warnings} if warnings else {})
 
 

@@ -13,7 +13,9 @@ from terrasample.operators import window
 from terrasample.sources.raster import Raster
 
 
-def enrich_stream(points: DataFrame, raster: Raster, window_m: float, names: list[str], bands: list[str], path: str, checkpoint: str) -> StreamingQuery:
+def enrich_stream(
+    points: DataFrame, raster: Raster, window_m: float, names: list[str], bands: list[str], path: str, checkpoint: str
+) -> StreamingQuery:
     """Append each micro-batch's points with their statistics to a Parquet table."""
     def batch(df: DataFrame, number: int) -> None:
         rows = window.keyed(df)

@@ -40,13 +40,23 @@ def test_zones_and_codes(spark):
     assert one(spark, snap(F.lit(45.0), 30), snap_even(F.lit(45.0), 30))[:] == (60, 60)
 
 
-@pytest.mark.parametrize(("text", "day"), [("2021-06-15", "2021-06-15"), ("2021-06", "2021-06-01"), ("2021", "2021-01-01"), ("2020-01-02/2020-03-01", "2020-01-02"), ("2021-06-15T10:00:00Z", "2021-06-15"), ("20210615", "2021-06-15"), ("June 2021", "2021-06-01"), ("15 Jun 2021", "2021-06-15"), (" ", None), ("not a date", None), (None, None)])
+@pytest.mark.parametrize(
+    ("text", "day"),
+    [
+        ("2021-06-15", "2021-06-15"), ("2021-06", "2021-06-01"), ("2021", "2021-01-01"),
+        ("2020-01-02/2020-03-01", "2020-01-02"), ("2021-06-15T10:00:00Z", "2021-06-15"), ("20210615", "2021-06-15"),
+        ("June 2021", "2021-06-01"), ("15 Jun 2021", "2021-06-15"), (" ", None), ("not a date", None), (None, None)
+    ]
+)
 def test_dates(spark, text, day):
     assert one(spark, dates.day_text(dates.parse(F.lit(text).cast("string"))))[0] == day
 
 
 def test_checked_points(spark):
-    df = spark.createDataFrame([(1, 60.0, 18.0, "2021"), (2, 60.0, 18.0, None), (3, 60.0, 18.0, "2020-01-01T01/2021")], "id long, lat double, lon double, date string")
+    df = spark.createDataFrame(
+        [(1, 60.0, 18.0, "2021"), (2, 60.0, 18.0, None), (3, 60.0, 18.0, "2020-01-01T01/2021")],
+        "id long, lat double, lon double, date string"
+    )
     c = point_source.check(df)
     assert c.points.count() == 2 and c.has_dates and len(c.warnings) == 4
     with pytest.raises(ValueError, match="can't be read"):
@@ -54,7 +64,9 @@ def test_checked_points(spark):
     for bad in (91.0, float("nan")):
         with pytest.raises(ValueError, match="out of range"):
             point_source.check(df.withColumn("lat", F.lit(bad)))
-    moved = point_source.check(spark.createDataFrame([(1, 6985000.0, 350000.0)], "id long, lat double, lon double"), input_crs="EPSG:32634").points.first()
+    moved = point_source.check(
+        spark.createDataFrame([(1, 6985000.0, 350000.0)], "id long, lat double, lon double"), input_crs="EPSG:32634"
+    ).points.first()
     assert moved["lat"] == pytest.approx(62.96, abs=0.01) and moved["lat_original"] == 6985000.0
 
 
@@ -67,8 +79,16 @@ def images(spark):
 @pytest.mark.parametrize(
     ("policy", "day", "expected"),
     [
-        ("nearest", "2019-12-01", ("a", True, "clamped_to_nearest")), ("nearest", "2020-01-01", ("a", False, "nearest_to_sample")), ("nearest", "2020-01-31", ("b", False, "nearest_to_sample")), ("nearest", "2020-05-01", ("c", False, "nearest_to_sample")), ("nearest", "2021-01-01", ("c", True, "clamped_to_nearest")),
-        ("contains", "2019-12-01", ("a", True, "clamped_to_nearest")), ("contains", "2020-01-01", ("a", True, "clamped_to_nearest")), ("contains", "2020-02-29", ("a", False, "contains_sample_date")), ("contains", "2020-05-01", ("c", True, "clamped_to_nearest")), ("nearest", None, ("c", False, "most_recent_no_date")),
+        (
+            "nearest", "2019-12-01", ("a", True, "clamped_to_nearest")
+        ), (
+            "nearest", "2020-01-01", ("a", False, "nearest_to_sample")
+        ), (
+            "nearest", "2020-01-31", ("b", False, "nearest_to_sample")
+        ), ("nearest", "2020-05-01", ("c", False, "nearest_to_sample")), ("nearest", "2021-01-01", ("c", True, "clamped_to_nearest")),
+        ("contains", "2019-12-01", ("a", True, "clamped_to_nearest")), ("contains", "2020-01-01", ("a", True, "clamped_to_nearest")), (
+            "contains", "2020-02-29", ("a", False, "contains_sample_date")
+        ), ("contains", "2020-05-01", ("c", True, "clamped_to_nearest")), ("nearest", None, ("c", False, "most_recent_no_date")),
     ],
 )
 def test_date_policies(spark, images, policy, day, expected):
@@ -88,18 +108,33 @@ def test_collections_that_match_nothing_keep_the_rows(spark, images):
 
 def test_images_are_matched_within_their_zone(spark):
     d = datetime.date
-    im = spark.createDataFrame([("a", d(2020, 1, 1), None, "33N"), ("b", d(2020, 3, 1), None, "34N")], "image_id string, time_start date, time_end date, utm_zone string")
-    rows = spark.createDataFrame([(1, d(2020, 3, 1), "33N"), (2, d(2020, 1, 1), "34N"), (3, d(2020, 1, 1), "35N")], "k int, date date, utm_zone string")
+    im = spark.createDataFrame(
+        [("a", d(2020, 1, 1), None, "33N"), ("b", d(2020, 3, 1), None, "34N")],
+        "image_id string, time_start date, time_end date, utm_zone string"
+    )
+    rows = spark.createDataFrame(
+        [(1, d(2020, 3, 1), "33N"), (2, d(2020, 1, 1), "34N"), (3, d(2020, 1, 1), "35N")],
+        "k int, date date, utm_zone string"
+    )
     assert [r["image_id"] for r in asof.match_images(rows, im, keys=("utm_zone",)).orderBy("k").collect()] == ["a", "b", None]
 
 
 def test_images_are_matched_where_they_cover_the_point(spark):
     d = datetime.date
     im = spark.createDataFrame(
-        [("a", d(2020, 1, 1), None, 10.5, 50.2, 12.5, 51.7), ("b", d(2020, 3, 1), None, 10.5, 50.2, 12.5, 51.7), ("c", d(2020, 2, 1), None, 12.0, 50.0, 14.0, 52.0)],
+        [
+            ("a", d(2020, 1, 1), None, 10.5, 50.2, 12.5, 51.7), ("b", d(2020, 3, 1), None, 10.5, 50.2, 12.5, 51.7),
+            ("c", d(2020, 2, 1), None, 12.0, 50.0, 14.0, 52.0)
+        ],
         "image_id string, time_start date, time_end date, west double, south double, east double, north double",
     )
-    rows = spark.createDataFrame([(1, 51.0, 11.0, d(2020, 2, 2)), (2, 51.0, 12.2, d(2020, 2, 2)), (3, 51.0, 13.0, None), (4, 0.0, 0.0, d(2020, 1, 1)), (5, 51.0, 12.2, None), (6, 51.0, 12.2, d(2019, 1, 1))], "_row int, lat double, lon double, date date")
+    rows = spark.createDataFrame(
+        [
+            (1, 51.0, 11.0, d(2020, 2, 2)), (2, 51.0, 12.2, d(2020, 2, 2)), (3, 51.0, 13.0, None),
+            (4, 0.0, 0.0, d(2020, 1, 1)), (5, 51.0, 12.2, None), (6, 51.0, 12.2, d(2019, 1, 1))
+        ],
+        "_row int, lat double, lon double, date date"
+    )
     for policy, want in (("nearest", ["b", "c", "c", None, "b", "a"]), ("contains", ["a", "c", "c", None, "b", "a"])):
         assert [r["image_id"] for r in asof.match_covering(rows, im, policy).orderBy("_row").collect()] == want
 
@@ -111,7 +146,10 @@ def plane(n=60, crs_code=4326, size=16, **more):
 
 def plane_raster(spark, n=60):
     h, size = plane(n)
-    px = spark.range(n * n).select((F.col("id") / n).cast("int").alias("r"), (F.col("id") % n).cast("int").alias("c"), F.col("id").cast("double").alias("b1"))
+    px = spark.range(n * n).select(
+        (F.col("id") / n).cast("int").alias("r"), (F.col("id") % n).cast("int").alias("c"),
+        F.col("id").cast("double").alias("b1")
+    )
     return Raster(h, tiles_of_pixels(px, h, size), size)
 
 
@@ -120,16 +158,28 @@ def test_extract_of_shuffled_points(spark, tmp_path, kind):
     """Each point gets its own pixel, whatever lies below the points."""
     n, r = 3000, plane_raster(spark)
     k = F.col("id")
-    df = spark.range(n).select(k.alias("occurrenceID"), (63.0 - 0.005 - 0.01 * ((k * 7) % 60)).alias("decimalLatitude"), (18.005 + 0.01 * ((k * 13) % 60)).alias("decimalLongitude"))
+    df = spark.range(n).select(
+        k.alias("occurrenceID"), (63.0 - 0.005 - 0.01 * ((k * 7) % 60)).alias("decimalLatitude"),
+        (18.005 + 0.01 * ((k * 13) % 60)).alias("decimalLongitude")
+    )
     if kind == "joined":
         df = df.hint("merge").join(spark.range(n).select(k.alias("occurrenceID"), (k % 5).alias("g")), "occurrenceID")
     elif kind == "repartitioned":
         df = df.repartition(7, "occurrenceID").withColumn("g", F.lit(1))
     elif kind == "wide":
-        df = df.select("*", *(F.lit(c).alias(f"x{c}") for c in range(120))).groupBy(*df.columns).agg(*(F.max(f"x{c}").alias(f"x{c}") for c in range(120)))
+        df = df.select("*", *(F.lit(c).alias(f"x{c}") for c in range(120))).groupBy(*df.columns).agg(
+            *(F.max(f"x{c}").alias(f"x{c}") for c in range(120))
+        )
     else:
         df = df.unionByName(df)
-    out = terrasample.extract(df, {"datasets": ["p"], "settings": {"output_type": "tabular", "statistics": ["point", "max"], "window_size_m": 200, "output_file_format": "dataframe"}}, rasters={"p": r}, quiet=True, write_metadata=False, output_dir=str(tmp_path))
+    out = terrasample.extract(
+        df,
+        {
+            "datasets": ["p"],
+            "settings": {"output_type": "tabular", "statistics": ["point", "max"], "window_size_m": 200, "output_file_format": "dataframe"}
+        },
+        rasters={"p": r}, quiet=True, write_metadata=False, output_dir=str(tmp_path)
+    )
     rows = out.collect()
     assert len(rows) == n * (2 if kind == "repeated" else 1)
     assert all(x["p_point"] == ((x["occurrenceID"] * 7) % 60) * 60 + (x["occurrenceID"] * 13) % 60 for x in rows)
@@ -139,12 +189,19 @@ def test_extract_of_shuffled_points(spark, tmp_path, kind):
 
 def test_extract_of_an_undated_collection_takes_the_last_valid_value(spark, tmp_path):
     h = Header(20, 20, 0.01, -0.01, 18.0, 63.0, crs=4326)
-    px = spark.range(2 * 400).select(F.element_at(F.array(F.lit("a"), F.lit("b")), (F.col("id") / 400).cast("int") + 1).alias("image_id"), ((F.col("id") % 400) / 20).cast("int").alias("r"), (F.col("id") % 20).cast("int").alias("c"))
+    px = spark.range(2 * 400).select(
+        F.element_at(F.array(F.lit("a"), F.lit("b")), (F.col("id") / 400).cast("int") + 1).alias("image_id"),
+        ((F.col("id") % 400) / 20).cast("int").alias("r"), (F.col("id") % 20).cast("int").alias("c")
+    )
     px = px.withColumn("b1", F.when((F.col("image_id") == "a") | (F.col("c") < 10), F.ascii("image_id").cast("double")))
     im = spark.createDataFrame([("a", None, None), ("b", None, None)], "image_id string, time_start date, time_end date")
     r = Raster(h, tiles_of_pixels(px, h, 16, ("image_id",)), 16, im)
     df = spark.createDataFrame([("p", 62.9, 18.05), ("q", 62.9, 18.15)], "occurrenceID string, decimalLatitude double, decimalLongitude double")
-    out = terrasample.extract(df, {"datasets": ["ts"], "settings": {"output_type": "tabular", "statistics": ["point"], "output_file_format": "dataframe"}}, rasters={"ts": r}, quiet=True, write_metadata=False, output_dir=str(tmp_path))
+    out = terrasample.extract(
+        df,
+        {"datasets": ["ts"], "settings": {"output_type": "tabular", "statistics": ["point"], "output_file_format": "dataframe"}},
+        rasters={"ts": r}, quiet=True, write_metadata=False, output_dir=str(tmp_path)
+    )
     assert [x["ts_point"] for x in out.collect()] == [float(ord("b")), float(ord("a"))]
 
 
@@ -159,14 +216,23 @@ def test_remote_copies_without_a_projection_are_refused(spark):
     assert native_scale({"data_source": "local", "path": "x"}, r) > 111_000
 
 
-@pytest.mark.parametrize("spec", [{"data_source": "local", "supported_derived_bands": ["slope"]}, {"data_source": "earth_engine", "derived_bands": "slope"}, {"data_source": "earth_engine", "supported_derived_bands": ["aspect"], "derived_bands": ["slope"]}])
+@pytest.mark.parametrize(
+    "spec",
+    [
+        {"data_source": "local", "supported_derived_bands": ["slope"]},
+        {"data_source": "earth_engine", "derived_bands": "slope"},
+        {"data_source": "earth_engine", "supported_derived_bands": ["aspect"], "derived_bands": ["slope"]}
+    ]
+)
 def test_derived_bands_must_be_allowed(spec):
     with pytest.raises(ValueError):
         config.parse(GOOD | {"datasets": [{"dem": ["slope"]}] if spec["data_source"] == "local" else ["dem"]}, 0, {"dem": spec}, catalog.DEFAULTS)
 
 
 def test_terrain_of_a_plane(spark):
-    px = spark.range(100).select((F.col("id") / 10).cast("int").alias("r"), (F.col("id") % 10).cast("int").alias("c")).withColumn("v", F.col("c") * 10.0)
+    px = spark.range(100).select(
+        (F.col("id") / 10).cast("int").alias("r"), (F.col("id") % 10).cast("int").alias("c")
+    ).withColumn("v", F.col("c") * 10.0)
     h = Header(10, 10, 10.0, -10.0)
     s = terrain.slope(px, "v", h).where("r = 5 and c = 5").first()["slope"]
     assert s == pytest.approx(45.0)
@@ -177,7 +243,10 @@ def test_terrain_of_a_plane(spark):
 @pytest.mark.parametrize("name", ["slope", "aspect"])
 def test_derived_tiles_equal_those_by_pixels(spark, name):
     n = 23
-    px = spark.range(n * n).where("id % 37 <> 5").select((F.col("id") / n).cast("int").alias("r"), (F.col("id") % n).cast("int").alias("c"), F.pmod(F.xxhash64("id"), F.lit(50)).cast("double").alias("b1"))
+    px = spark.range(n * n).where("id % 37 <> 5").select(
+        (F.col("id") / n).cast("int").alias("r"), (F.col("id") % n).cast("int").alias("c"),
+        F.pmod(F.xxhash64("id"), F.lit(50)).cast("double").alias("b1")
+    )
     h = Header(n, n, 10.0, -10.0)
     r = Raster(h, tiles_of_pixels(px, h, 8), 8)
     tiled = Raster(Header(n, n, 10.0, -10.0, bands=(name,)), terrain.derived_tiles(r, "b1", name), 8)
@@ -187,7 +256,9 @@ def test_derived_tiles_equal_those_by_pixels(spark, name):
 
 
 def test_resampling(spark):
-    px = spark.range(100).select((F.col("id") / 10).cast("int").alias("r"), (F.col("id") % 10).cast("int").alias("c")).withColumn("v", F.col("c") * 10.0 + 5)
+    px = spark.range(100).select(
+        (F.col("id") / 10).cast("int").alias("r"), (F.col("id") % 10).cast("int").alias("c")
+    ).withColumn("v", F.col("c") * 10.0 + 5)
     p = spark.createDataFrame([(0, 50.0, 50.0)], "_row long, x double, y double")
     grid = terrain.sample_grid(p, 4, 5.0)
     got = terrain.resample(grid, px, "v", Header(10, 10, 10.0, 10.0)).join(grid, ["_row", "i", "j"]).collect()
@@ -203,7 +274,9 @@ def test_geotiff_round_trip(spark, tmp_path, kind):
     data = geotiff.encode(v, h)
     assert (geotiff.decode(data) == v).all()
     back = geotiff.header_of(data)
-    assert (back.width, back.height, back.a, back.e, back.c, back.f, back.crs, back.nodata[0], back.dtype) == (41, 70, 10.0, -10.0, 347020.0, 6988980.0, 32634, 7.0, kind)
+    assert (
+        back.width, back.height, back.a, back.e, back.c, back.f, back.crs, back.nodata[0], back.dtype
+    ) == (41, 70, 10.0, -10.0, 347020.0, 6988980.0, 32634, 7.0, kind)
     (tmp_path / "x.tif").write_bytes(data)
     r = geotiff.read(spark, str(tmp_path / "x.tif"), size=32)
     n = r.tiles.select(F.explode("b2").alias("v")).where("v is not null").count()
@@ -230,8 +303,13 @@ def blocked(v, block, big=False, tiled=True, predictor=1):
     word, code = ("<Q", 16) if big else ("<I", 4)
     first = 16 if big else 8
     places = [first + sum(map(len, parts[:k])) for k in range(len(parts))]
-    tags = [(256, 4, [w]), (257, 4, [h]), (258, 3, [x.itemsize * 8 for x in v]), (259, 3, [8]), (277, 3, [n]), (284, 3, [2]), (317, 3, [predictor]), (339, 3, kinds), (42113, 2, b"7\0")]
-    tags += [(322, 4, [block]), (323, 4, [block]), (324, code, places), (325, 4, [len(p) for p in parts])] if tiled else [(278, 4, [block]), (273, code, places), (279, 4, [len(p) for p in parts])]
+    tags = [
+        (256, 4, [w]), (257, 4, [h]), (258, 3, [x.itemsize * 8 for x in v]), (259, 3, [8]), (277, 3, [n]),
+        (284, 3, [2]), (317, 3, [predictor]), (339, 3, kinds), (42113, 2, b"7\0")
+    ]
+    tags += [
+        (322, 4, [block]), (323, 4, [block]), (324, code, places), (325, 4, [len(p) for p in parts])
+    ] if tiled else [(278, 4, [block]), (273, code, places), (279, 4, [len(p) for p in parts])]
     body, at = b"".join(parts), first + sum(map(len, parts))
     entries, room = b"", 8 if big else 4
     for tag, t, values in sorted(tags, key=lambda x: x[0]):
@@ -261,7 +339,9 @@ def test_blocks_of_big_and_small_files(spark, tmp_path, big, tiled):
     assert r.tiles.count() == 9 and r.header.bands == ("b1", "b2") and r.meta["nodata"] == (7.0, 7.0)
     some = r.tiles_for(spark.createDataFrame([(1, 2), (1, 2), (9, 9), (None, None)], "tile_row int, tile_col int"), ["b2"]).collect()
     part = np.array([x if x is not None else np.nan for x in some[0]["b2"]]).reshape(32, 32)
-    assert len(some) == 1 and (some[0]["tile_row"], some[0]["tile_col"]) == (1, 2) and (part[:, :26] == v[1, 32:64, 64:]).all() and np.isnan(part[:, 26:]).all()
+    assert len(some) == 1 and (
+        some[0]["tile_row"], some[0]["tile_col"]
+    ) == (1, 2) and (part[:, :26] == v[1, 32:64, 64:]).all() and np.isnan(part[:, 26:]).all()
 
 
 def test_bands_of_different_types_get_a_common_one(spark, tmp_path):
@@ -291,11 +371,23 @@ def test_choices_become_configurations(spark, dem, tmp_path):
         with pytest.raises(ValueError):
             requests.window_sizes(bad)
     assert requests.default_statistics({"data_type": "categorical"}) == ("mode", "class_fraction") and requests.default_statistics({}) == ("mean", "std")
-    assert requests.suitable_statistics({"data_type": "categorical"}, ["mean", "count", "mode"]) == ("count", "mode") and requests.suitable_statistics({}, ["Mean", "mode"]) == ("Mean",)
+    assert requests.suitable_statistics(
+        {"data_type": "categorical"}, ["mean", "count", "mode"]
+    ) == ("count", "mode") and requests.suitable_statistics({}, ["Mean", "mode"]) == ("Mean",)
     one = terrasample.Choice("My data/1", (100,), ("mean",))
-    assert terrasample.build_config([one], "tabular") == [{"batch_id": "extract_01_my_data_1", "datasets": ["My data/1"], "settings": {"output_type": "tabular", "window_size_m": 100, "statistics": ["mean"], "output_file_format": "csv"}}]
-    assert terrasample.build_config([terrasample.Choice("a", (5, 6))], "raster")[0]["settings"] == {"output_type": "raster", "window_size_m": [5, 6], "resample_m": 10}
-    for bad in (([], "tabular"), ([one], "x"), ([terrasample.Choice("", (1,))], "raster"), ([terrasample.Choice("a", ())], "raster"), ([terrasample.Choice("a", (1,))], "tabular")):
+    assert terrasample.build_config([one], "tabular") == [
+        {
+            "batch_id": "extract_01_my_data_1", "datasets": ["My data/1"],
+            "settings": {"output_type": "tabular", "window_size_m": 100, "statistics": ["mean"], "output_file_format": "csv"}
+        }
+    ]
+    assert terrasample.build_config([terrasample.Choice("a", (5, 6))], "raster")[0]["settings"] == {
+        "output_type": "raster", "window_size_m": [5, 6], "resample_m": 10
+    }
+    for bad in (
+        ([], "tabular"), ([one], "x"), ([terrasample.Choice("", (1,))], "raster"),
+        ([terrasample.Choice("a", ())], "raster"), ([terrasample.Choice("a", (1,))], "tabular")
+    ):
         with pytest.raises(ValueError):
             terrasample.build_config(*bad)
     terrasample.update_catalog({"datasets": {"dem": {"data_source": "local", "path": dem[0], "bands": 1}}})
@@ -308,7 +400,9 @@ def test_choices_become_configurations(spark, dem, tmp_path):
 
 def test_lzw_and_packbits():
     # the specification's example bytes, and a run-length example
-    assert geotiff._unpackbits(bytes([0xFE, 0xAA, 0x02, 0x80, 0x00, 0x2A, 0xFD, 0xAA, 0x03, 0x80, 0x00, 0x2A, 0x22, 0xF7, 0xAA])).hex() == "aaaaaa80002aaaaaaaaa80002a22aaaaaaaaaaaaaaaaaaaa"
+    assert geotiff._unpackbits(
+        bytes([0xFE, 0xAA, 0x02, 0x80, 0x00, 0x2A, 0xFD, 0xAA, 0x03, 0x80, 0x00, 0x2A, 0x22, 0xF7, 0xAA])
+    ).hex() == "aaaaaa80002aaaaaaaaa80002a22aaaaaaaaaaaaaaaaaaaa"
     codes = [256, 7, 258, 8, 8, 258, 6, 6, 257]
     bits = "".join(f"{c:09b}" for c in codes)
     assert geotiff._unlzw(int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
@@ -321,7 +415,14 @@ GOOD = {"datasets": ["dem"], "settings": {"output_type": "tabular", "statistics"
     "change",
     [
         {"datasets": []}, {"datasets": ["nope"]}, {"datasets": [{"dem": {"x": 1}}]}, {"datasets": [{"dem": []}]}, {"datasets": [{"dem": "b1"}]}, {"datasets": [{"dem": ["slope"]}]}, {"datasets": [3]}, {"settings": {}}, {"settings": {"output_type": "x"}},
-        *({"settings": GOOD["settings"] | s} for s in ({"statistics": []}, {"statistics": ["Mean"]}, {"statistics": {"odd": ["mean"]}}, {"statistics": {"continuous": []}}, {"resample_m": 5}, {"output_file_format": "xls"}, {"min_coverage_pct": 101}, {"window_size_m": 0}, {"window_size_m": True}, {"window_size_m": []}, {"window_size_m": 1.5})),
+        *(
+            {"settings": GOOD["settings"] | s} for s in (
+                {"statistics": []}, {"statistics": ["Mean"]}, {"statistics": {"odd": ["mean"]}},
+                {"statistics": {"continuous": []}}, {"resample_m": 5}, {"output_file_format": "xls"},
+                {"min_coverage_pct": 101}, {"window_size_m": 0}, {"window_size_m": True}, {"window_size_m": []},
+                {"window_size_m": 1.5}
+            )
+        ),
         {"settings": {"output_type": "raster", "statistics": ["mean"]}}, {"settings": {"output_type": "raster", "resample_m": 0}},
     ],
 )
@@ -340,13 +441,20 @@ def test_configuration_defaults(tmp_path):
 
 
 def test_catalog(spark, tmp_path):
-    assert len(terrasample.list_datasets()) == 26 and next(r for r in terrasample.list_datasets("full") if r["name"] == "aef_satellite_embeddings")["dataset_spec"]["use_utm_zone"]
+    assert len(terrasample.list_datasets()) == 26 and next(
+        r for r in terrasample.list_datasets("full") if r["name"] == "aef_satellite_embeddings"
+    )["dataset_spec"]["use_utm_zone"]
     info = terrasample.list_datasets("info")[0]
-    assert set(info) == {"name", "data_source", "data_type", "description", "citation", "ee_source_url", "source_url"} and info["ee_source_url"].startswith("https://")
+    assert set(info) == {
+        "name", "data_source", "data_type", "description", "citation", "ee_source_url", "source_url"
+    } and info["ee_source_url"].startswith("https://")
     terrasample.update_catalog({"datasets": {"mine": {"data_source": "local", "path": "/x.tif"}}})
     assert "mine" in terrasample.list_datasets() and terrasample.catalog_table(spark).count() == 27
     (tmp_path / "bad.yml").write_text("datasets: [")
-    for bad in ({}, {"datasets": {}}, {"datasets": {"a": {"path": "x"}}}, {"datasets": {"a": {"data_source": "earth_engine", "path": "x"}}}, tmp_path / "bad.yml"):
+    for bad in (
+        {}, {"datasets": {}}, {"datasets": {"a": {"path": "x"}}},
+        {"datasets": {"a": {"data_source": "earth_engine", "path": "x"}}}, tmp_path / "bad.yml"
+    ):
         with pytest.raises(terrasample.CatalogError):
             terrasample.update_catalog(bad)
     with pytest.raises(terrasample.CatalogError):
@@ -359,7 +467,12 @@ def test_catalog(spark, tmp_path):
 def dem(tmp_path_factory):
     v = np.random.default_rng(42).uniform(26, 286, (3, 500, 500)).astype("float32")
     path = tmp_path_factory.mktemp("dem") / "dem.tif"
-    path.write_bytes(geotiff.encode(v, Header(500, 500, 10.0, -10.0, 347020.0, 6988980.0, crs=32634, bands=("b1", "b2", "b3"), nodata=(None,) * 3, dtype="float32")))
+    path.write_bytes(
+        geotiff.encode(
+            v,
+            Header(500, 500, 10.0, -10.0, 347020.0, 6988980.0, crs=32634, bands=("b1", "b2", "b3"), nodata=(None,) * 3, dtype="float32")
+        )
+    )
     return str(path), v
 
 
@@ -372,9 +485,21 @@ def sites(spark):
 
 def test_extract_tables(spark, dem, tmp_path):
     path, v = dem
-    terrasample.update_catalog({"datasets": {"dem": {"data_source": "local", "path": path, "bands": 1}, "all": {"data_source": "local", "path": path, "bands": [1, 2]}}})
+    terrasample.update_catalog(
+        {"datasets": {"dem": {"data_source": "local", "path": path, "bands": 1}, "all": {"data_source": "local", "path": path, "bands": [1, 2]}}}
+    )
     events = []
-    out = terrasample.extract(sites(spark), {"batch_id": "b", "datasets": ["dem", "all"], "settings": {"output_type": "tabular", "statistics": ["mean", "count", "point"], "window_size_m": [100, 200], "output_file_format": "dataframe"}}, output_dir=str(tmp_path), quiet=True, progress_callback=events.append)
+    out = terrasample.extract(
+        sites(spark),
+        {
+            "batch_id": "b", "datasets": ["dem", "all"],
+            "settings": {
+                "output_type": "tabular", "statistics": ["mean", "count", "point"], "window_size_m": [100, 200],
+                "output_file_format": "dataframe"
+            }
+        },
+        output_dir=str(tmp_path), quiet=True, progress_callback=events.append
+    )
     assert out.columns[:5] == ["occurrenceID", "decimalLatitude", "decimalLongitude", "eventDate", "n_otu"]
     assert {"dem_mean_100m", "dem_count_200m", "dem_point", "all_b1_mean_100m", "all_b2_point"} <= set(out.columns)
     rows = out.collect()
@@ -392,7 +517,17 @@ def test_extract_files_and_names(spark, dem, tmp_path):
     path, _ = dem
     terrasample.update_catalog({"datasets": {"dem": {"data_source": "local", "path": path, "bands": 1}}})
     df = sites(spark).withColumnsRenamed({"occurrenceID": "key", "decimalLatitude": "y", "decimalLongitude": "x"}).drop("eventDate")
-    out = terrasample.extract(df, [{"batch_id": f, "datasets": [{"dem": [2]}], "settings": {"output_type": "tabular", "statistics": ["max"], "window_size_m": 50, "output_file_format": f}} for f in ("csv", "parquet")], output_dir=str(tmp_path), id_column="key", latitude_column="y", longitude_column="x", quiet=True, write_metadata=False)
+    out = terrasample.extract(
+        df,
+        [
+            {
+                "batch_id": f, "datasets": [{"dem": [2]}],
+                "settings": {"output_type": "tabular", "statistics": ["max"], "window_size_m": 50, "output_file_format": f}
+            } for f in ("csv", "parquet")
+        ],
+        output_dir=str(tmp_path), id_column="key", latitude_column="y", longitude_column="x", quiet=True,
+        write_metadata=False
+    )
     assert set(out) == {"csv", "parquet"} and spark.read.parquet(out["parquet"]).columns == ["key", "y", "x", "n_otu", "dem_b2_max_50m"]
     with pytest.raises(ValueError, match="Missing columns"):
         terrasample.extract(df, GOOD, id_column="nope")
@@ -401,7 +536,11 @@ def test_extract_files_and_names(spark, dem, tmp_path):
 def test_extract_tiles(spark, dem, tmp_path):
     path, v = dem
     terrasample.update_catalog({"datasets": {"dem": {"data_source": "local", "path": path, "bands": 1}}})
-    out = terrasample.extract(sites(spark).limit(2), {"batch_id": "t", "datasets": ["dem"], "settings": {"output_type": "raster", "window_size_m": 80}}, output_dir=str(tmp_path), quiet=True)
+    out = terrasample.extract(
+        sites(spark).limit(2),
+        {"batch_id": "t", "datasets": ["dem"], "settings": {"output_type": "raster", "window_size_m": 80}},
+        output_dir=str(tmp_path), quiet=True
+    )
     assert sorted(p.name for p in Path(out["t:dem"]).iterdir()) == ["T2-dem.tif", "T6-dem.tif"]
     data = (Path(out["t:dem"]) / "T2-dem.tif").read_bytes()
     h, x = geotiff.header_of(data), geotiff.decode(data)[0]
@@ -416,7 +555,10 @@ def test_extract_tiles(spark, dem, tmp_path):
 
 
 def tiles_of(spark, df, raster, tmp_path, **settings):
-    out = terrasample.extract(df, {"batch_id": "t", "datasets": ["ts"], "settings": {"output_type": "raster", **settings}}, rasters={"ts": raster}, quiet=True, write_metadata=False, output_dir=str(tmp_path))
+    out = terrasample.extract(
+        df, {"batch_id": "t", "datasets": ["ts"], "settings": {"output_type": "raster", **settings}},
+        rasters={"ts": raster}, quiet=True, write_metadata=False, output_dir=str(tmp_path)
+    )
     return {p.name: (geotiff.header_of(p.read_bytes()), geotiff.decode(p.read_bytes())) for p in Path(out["t:ts"]).iterdir()}
 
 
@@ -424,7 +566,12 @@ def tiles_of(spark, df, raster, tmp_path, **settings):
 def test_tiles_have_all_bands_and_nodata(spark, tmp_path, step):
     v = np.arange(3 * 40 * 40).reshape(3, 40, 40) % 200
     v[0, 18:23, 18:23] = 250
-    (tmp_path / "b.tif").write_bytes(geotiff.encode(v.astype("uint8"), Header(40, 40, 10.0, -10.0, 360020.0, 6988980.0, crs=32634, bands=("b1", "b2", "b3"), nodata=(250.0,) * 3, dtype="uint8")))
+    (tmp_path / "b.tif").write_bytes(
+        geotiff.encode(
+            v.astype("uint8"),
+            Header(40, 40, 10.0, -10.0, 360020.0, 6988980.0, crs=32634, bands=("b1", "b2", "b3"), nodata=(250.0,) * 3, dtype="uint8")
+        )
+    )
     r = geotiff.read(spark, str(tmp_path / "b.tif"))
     lat, lon = one(spark, *crs.utm_inverse(F.lit(360220.0), F.lit(6988780.0), F.lit(32634)))
     df = spark.createDataFrame([("p", lat, lon), ("far", 0.0, 0.0)], "occurrenceID string, decimalLatitude double, decimalLongitude double")
@@ -434,7 +581,10 @@ def test_tiles_have_all_bands_and_nodata(spark, tmp_path, step):
 
 
 def test_tiles_without_nodata_take_the_type_s_own(spark, tmp_path):
-    px = spark.range(400).select((F.col("id") / 20).cast("int").alias("r"), (F.col("id") % 20).cast("int").alias("c"), F.when(F.col("id") != 0, F.col("id").cast("double")).alias("b1"), F.lit(7.0).alias("b2"))
+    px = spark.range(400).select(
+        (F.col("id") / 20).cast("int").alias("r"), (F.col("id") % 20).cast("int").alias("c"),
+        F.when(F.col("id") != 0, F.col("id").cast("double")).alias("b1"), F.lit(7.0).alias("b2")
+    )
     h = Header(20, 20, 10.0, 10.0, bands=("b1", "b2"), nodata=(None, None), dtype="int32")
     df = spark.createDataFrame([("p", 15.0, 15.0)], "occurrenceID string, decimalLatitude double, decimalLongitude double")
     (got, x), = tiles_of(spark, df, Raster(h, tiles_of_pixels(px, h, 16), 16), tmp_path, window_size_m=40).values()
@@ -443,10 +593,16 @@ def test_tiles_without_nodata_take_the_type_s_own(spark, tmp_path):
 
 
 def test_tiles_of_a_raster_in_degrees_are_in_metres_and_of_the_point_s_image(spark, images, tmp_path):
-    px = spark.range(3 * 10000).select(F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("id") / 10000).cast("int") + 1).alias("image_id"), ((F.col("id") % 10000) / 100).cast("int").alias("r"), (F.col("id") % 100).cast("int").alias("c")).withColumns({"b1": F.ascii("image_id").cast("double"), "b2": F.col("c").cast("double")})
+    px = spark.range(3 * 10000).select(
+        F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("id") / 10000).cast("int") + 1).alias("image_id"),
+        ((F.col("id") % 10000) / 100).cast("int").alias("r"), (F.col("id") % 100).cast("int").alias("c")
+    ).withColumns({"b1": F.ascii("image_id").cast("double"), "b2": F.col("c").cast("double")})
     h = Header(100, 100, 0.00025, -0.00025, 18.0, 63.0, crs=4326, bands=("b1", "b2"), nodata=(None, None))
     r = Raster(h, tiles_of_pixels(px, h, 16, ("image_id",)), 16, images)
-    df = spark.createDataFrame([("p", 62.9875, 18.0125, "2020-03-05"), ("q", 62.9875, 18.0125, "2019-01-01")], "occurrenceID string, decimalLatitude double, decimalLongitude double, eventDate string")
+    df = spark.createDataFrame(
+        [("p", 62.9875, 18.0125, "2020-03-05"), ("q", 62.9875, 18.0125, "2019-01-01")],
+        "occurrenceID string, decimalLatitude double, decimalLongitude double, eventDate string"
+    )
     got = tiles_of(spark, df, r, tmp_path, window_size_m=100, resample_m=10)
     for name, image in (("p", "b"), ("q", "a")):
         t, x = got[f"{name}-ts.tif"]
@@ -460,12 +616,17 @@ def test_tiles_of_a_raster_in_degrees_are_in_metres_and_of_the_point_s_image(spa
 def test_extract_derived_bands(spark, tmp_path):
     """A plane that rises 10 m a pixel to the east: slope 45 degrees, aspect west; in tables and in tiles."""
     n = 40
-    px = spark.range(n * n).select((F.col("id") / n).cast("int").alias("r"), (F.col("id") % n).cast("int").alias("c")).withColumn("b1", F.col("c") * 10.0)
+    px = spark.range(n * n).select(
+        (F.col("id") / n).cast("int").alias("r"), (F.col("id") % n).cast("int").alias("c")
+    ).withColumn("b1", F.col("c") * 10.0)
     h = Header(n, n, 10.0, -10.0, 347020.0, 6988980.0, crs=32634)
     r = Raster(h, tiles_of_pixels(px, h, 16), 16, meta={"spec": {"supported_derived_bands": ["slope", "aspect"]}})
     lat, lon = one(spark, *crs.utm_inverse(F.lit(347020.0 + 205), F.lit(6988980.0 - 205), F.lit(32634)))
     df = spark.createDataFrame([("p", lat, lon)], "occurrenceID string, decimalLatitude double, decimalLongitude double")
-    run = {"batch_id": "d", "datasets": [{"dem": ["b1", "slope", "aspect"]}], "settings": {"output_type": "tabular", "statistics": ["min", "max", "point"], "window_size_m": 60, "output_file_format": "dataframe"}}
+    run = {
+        "batch_id": "d", "datasets": [{"dem": ["b1", "slope", "aspect"]}],
+        "settings": {"output_type": "tabular", "statistics": ["min", "max", "point"], "window_size_m": 60, "output_file_format": "dataframe"}
+    }
     row = terrasample.extract(df, run, rasters={"dem": r}, quiet=True, write_metadata=False, output_dir=str(tmp_path)).first()
     assert [row[f"dem_slope_{s}_60m"] for s in ("min", "max")] == [45.0, 45.0] and row["dem_aspect_point"] == 270.0 and row["dem_b1_point"] == 200.0
     run["settings"] = {"output_type": "raster", "window_size_m": 60}
@@ -476,11 +637,21 @@ def test_extract_derived_bands(spark, tmp_path):
 
 
 def test_extract_collection(spark, images):
-    px = spark.range(3 * 400).select(F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("id") / 400).cast("int") + 1).alias("image_id"), ((F.col("id") % 400) / 20).cast("int").alias("r"), (F.col("id") % 20).cast("int").alias("c")).withColumn("b1", F.ascii("image_id").cast("double"))
+    px = spark.range(3 * 400).select(
+        F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("id") / 400).cast("int") + 1).alias("image_id"),
+        ((F.col("id") % 400) / 20).cast("int").alias("r"), (F.col("id") % 20).cast("int").alias("c")
+    ).withColumn("b1", F.ascii("image_id").cast("double"))
     h = Header(20, 20, 0.01, -0.01, 18.0, 63.0, crs=4326)
     r = Raster(h, tiles_of_pixels(px, h, 16, ("image_id",)), 16, images)
-    df = spark.createDataFrame([("p", 62.9, 18.1, "2020-03-05"), ("q", 62.9, 18.1, "2019-01-01")], "occurrenceID string, decimalLatitude double, decimalLongitude double, eventDate string")
-    out = terrasample.extract(df, {"datasets": ["ts"], "settings": {"output_type": "tabular", "statistics": ["point"], "output_file_format": "dataframe"}}, rasters={"ts": r}, quiet=True, write_metadata=False, output_dir="/tmp/spark-extract-test")
+    df = spark.createDataFrame(
+        [("p", 62.9, 18.1, "2020-03-05"), ("q", 62.9, 18.1, "2019-01-01")],
+        "occurrenceID string, decimalLatitude double, decimalLongitude double, eventDate string"
+    )
+    out = terrasample.extract(
+        df,
+        {"datasets": ["ts"], "settings": {"output_type": "tabular", "statistics": ["point"], "output_file_format": "dataframe"}},
+        rasters={"ts": r}, quiet=True, write_metadata=False, output_dir="/tmp/spark-extract-test"
+    )
     assert [x["ts_point"] for x in out.collect()] == [float(ord("b")), float(ord("a"))]
 
 
@@ -491,7 +662,10 @@ def test_read_csv_finds_the_delimiter(spark, tmp_path):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    px = spark.range(400).select((F.col("id") / 20).cast("int").alias("r"), (F.col("id") % 20).cast("int").alias("c"), F.col("id").cast("double").alias("b1"))
+    px = spark.range(400).select(
+        (F.col("id") / 20).cast("int").alias("r"), (F.col("id") % 20).cast("int").alias("c"),
+        F.col("id").cast("double").alias("b1")
+    )
     h = Header(20, 20, 10.0, 10.0)
     r = Raster(h, tiles_of_pixels(px, h, 16), 16)
     spark.range(10).select(F.col("id"), (F.col("id") * 20.0).alias("x"), F.lit(55.0).alias("y")).write.parquet(f"{tmp_path}/in")

@@ -33,7 +33,10 @@ def raster(spark, values):
 
 @pytest.fixture(scope="module")
 def points(spark):
-    return spark.createDataFrame([(0, 100.0, 80.0), (1, 255.0, 161.0), (2, 3.0, 447.0), (3, 2000.0, 80.0), (4, 120.0, 70.0)], "_row long, x double, y double")
+    return spark.createDataFrame(
+        [(0, 100.0, 80.0), (1, 255.0, 161.0), (2, 3.0, 447.0), (3, 2000.0, 80.0), (4, 120.0, 70.0)],
+        "_row long, x double, y double"
+    )
 
 
 def inside(values, x, y, w):
