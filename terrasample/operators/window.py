@@ -24,15 +24,15 @@ from terrasample.sources.shared import cut, shared_folder
 ROW = "_row"
 
 
-def keyed(points: DataFrame) -> DataFrame:
-    """``points`` with _row, a key made of their place and date.
+def keyed(points: DataFrame, columns: tuple[str, ...] = ("lat", "lon", "x", "y", "date")) -> DataFrame:
+    """``points`` with _row, a key made of their place and date (those of ``columns`` that they have).
 
     The statistics of a point depend on nothing else, so they are computed once
     for each key (see :func:`sites`) and joined back by it.  A key is a value of the
     row, unlike a running number, so all branches of a plan agree on it, whatever
     shuffles and coalesced partitions lie below them.
     """
-    return points.withColumn(ROW, F.struct(*(c for c in ("lat", "lon", "x", "y", "date") if c in points.columns)))
+    return points.withColumn(ROW, F.struct(*(c for c in columns if c in points.columns)))
 
 
 def sites(points: DataFrame) -> DataFrame:

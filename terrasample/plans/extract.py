@@ -179,7 +179,7 @@ def extract(
         run = configs.parse(raw, index, catalog, catalogs.DEFAULTS)
         notes: dict[str, Any] = {"points": checked.warnings} if checked.warnings else {}
         info: dict[str, Any] = {}
-        base = window.keyed(checked.points)
+        base = window.keyed(checked.points, ("lat", "lon", "date"))  # a caller's own x and y are none of it
         places = window.sites(base)
         total = base.count() if progress_callback or not quiet else 0
         wide, stats, flags = base, [], []

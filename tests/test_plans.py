@@ -187,6 +187,16 @@ def test_extract_of_shuffled_points(spark, tmp_path, kind):
         assert all(x["p_max_200m"] == x["p_point"] for x in rows)
 
 
+def test_extract_passes_columns_named_as_its_own(spark, tmp_path):
+    """A raster without a system lies in the coordinates' plane, whatever other columns are called."""
+    px = spark.range(400).select((F.col("id") / 20).cast("int").alias("r"), (F.col("id") % 20).cast("int").alias("c"), F.col("id").cast("double").alias("b1"))
+    h = Header(20, 20, 1.0, 1.0)
+    df = spark.createDataFrame([("p", 3.5, 7.5, 0.0, 19.0, "u")], "occurrenceID string, decimalLatitude double, decimalLongitude double, x double, y double, id string")
+    run = {"datasets": ["r"], "settings": {"output_type": "tabular", "statistics": ["point"], "output_file_format": "dataframe"}}
+    out = terrasample.extract(df, run, rasters={"r": Raster(h, tiles_of_pixels(px, h, 8), 8)}, quiet=True, write_metadata=False, output_dir=str(tmp_path)).first()
+    assert out["r_point"] == 67.0 and out["x"] == 0.0 and out["y"] == 19.0
+
+
 def test_extract_of_an_undated_collection_takes_the_last_valid_value(spark, tmp_path):
     h = Header(20, 20, 0.01, -0.01, 18.0, 63.0, crs=4326)
     px = spark.range(2 * 400).select(
