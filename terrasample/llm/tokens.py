@@ -51,12 +51,54 @@ class Encoder:
         self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("post_processor") and spec["model"]["type"] == "BPE"
         self.special = [t["content"] for t in spec.get("added_tokens", ())]
         self.kind = np.full(0x110000, _UNKNOWN, np.uint8)
+        newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.newline = newline[0] if self.by_piece and len(newline) == 1 else None
         self.clear()
 
     def clear(self) -> None:
-        self.key, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.key, self.slot, self.uses = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    def make_room(self) -> None:
+        """Keep the pieces that more than one slice had; all go where these are most of them."""
+        often = self.uses[self.slot] > 1
+        if 2 * often.sum() > self.most or not often.any():
+            return self.clear()
+        slot = self.slot[often]
+        size = self.first[slot + 1] - self.first[slot]
+        end = np.cumsum(size)
+        self.pool = self.pool[np.repeat(self.first[slot] - end + size, size) + np.arange(int(end[-1]))]
+        self.key, self.slot, self.uses, self.first = self.key[often], np.arange(len(slot)), np.ones(len(slot), np.int64), np.append(0, end)
+
+    def encode_pieces(self, pieces: list[str], blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, one after the other, and how many each has.
+
+        Pieces that don't end in white space are encoded some hundred at a time,
+        apart by line feeds: these split off by themselves, and their id tells
+        where a piece ends.
+        """
+        own = np.flatnonzero(~blank) if self.newline is not None else np.zeros(0, np.int64)
+        count, found = np.zeros(len(pieces), np.int64), {}
+        joined = ["".join(pieces[k] + "\n" for k in own[i : i + 500].tolist()) for i in range(0, len(own), 500)]
+        parts = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        at = np.flatnonzero(ids == self.newline) if len(own) else own
+        if len(at) == len(own):
+            count[own] = np.diff(at, prepend=-1) - 1
+            found["many"] = np.delete(ids, at)
+        else:
+            own = own[:0]
+        rest = np.setdiff1d(np.arange(len(pieces)), own)
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast([pieces[k] for k in rest.tolist()], add_special_tokens=False)]
+        count[rest] = [len(x) for x in lists]
+        out = np.zeros(int(count.sum()), np.uint32)
+        is_own = np.zeros(len(pieces), bool)
+        is_own[own] = True
+        from_own = np.repeat(is_own, count)
+        out[from_own] = found.get("many", out[:0])
+        out[~from_own] = np.fromiter((i for x in lists for i in x), np.uint32)
+        return out, count
+
     def _kinds(self, code: np.ndarray) -> np.ndarray:
         """The class of each character; the library's own splitter tells that of a character seen for the first time."""
         kind = self.kind[code]
@@ -86,7 +128,9 @@ class Encoder:
         start[led[code[led - 1] == 0x20]] = False
         mark = run[(code[run] == 0x27) & start[run]]
         if len(mark):
-            at = lambda k: np.where(mark + k < n, code[np.minimum(mark + k, n - 1)], 0) * ~np.logical_or.reduce([text_start[np.minimum(mark + j, n)] for j in range(1, k + 1)])
+            at = lambda k: np.where(mark + k < n, code[np.minimum(mark + k, n - 1)], 0) * ~np.logical_or.reduce(
+                [text_start[np.minimum(mark + j, n)] for j in range(1, k + 1)]
+            )
             a, b = at(1), at(2)
             one = np.isin(a, [ord(c) for c in "stmd"])
             two = ((a == ord("r")) | (a == ord("v"))) & (b == ord("e")) | (a == ord("l")) & (b == ord("l"))
@@ -102,7 +146,9 @@ class Encoder:
         if not all(plain):
             found = self.tokenizer.encode_batch([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False)
             direct = iter([np.array(e.ids, np.uint32) for e in found])
-            ids, count = self.encode([t for t, p in zip(texts, plain, strict=True) if p]) if any(plain) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+            ids, count = self.encode(
+                [t for t, p in zip(texts, plain, strict=True) if p]
+            ) if any(plain) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
             split = iter(np.split(ids, np.cumsum(count)[:-1]) if len(count) else [])
             parts = [next(split) if p else next(direct) for p in plain]
             return np.concatenate(parts) if parts else ids, np.array([len(p) for p in parts], np.int64)
@@ -121,20 +167,28 @@ class Encoder:
             value *= power[np.arange(len(code)) - np.repeat(start, size)]
             h = _text.mix(np.add.reduceat(value, start) + size.astype(np.uint64))
         seen, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-        place = np.searchsorted(self.key, seen)
-        known = self.key[np.minimum(place, len(self.key) - 1)] == seen if len(self.key) else np.zeros(len(seen), bool)
+
+        def known_at() -> tuple[np.ndarray, np.ndarray]:
+            place = np.searchsorted(self.key, seen)
+            return place, self.key[np.minimum(place, len(self.key) - 1)] == seen if len(self.key) else np.zeros(len(seen), bool)
+
+        place, known = known_at()
+        if len(self.key) and len(self.key) + (~known).sum() > self.most:
+            self.make_room()
+            place, known = known_at()
         if not known.all():
-            if len(self.key) + (~known).sum() > self.most and len(self.key):
-                self.clear()
-                place, known = np.zeros(len(seen), np.int64), np.zeros(len(seen), bool)
             new = np.flatnonzero(~known)
-            lists = [e.ids for e in self.tokenizer.encode_batch_fast([whole[start[k] : start[k] + size[k]] for k in at[new].tolist()], add_special_tokens=False)]
+            begin_of, size_of = start[at[new]], size[at[new]]
+            blank = self.kind[code[begin_of + size_of - 1]] == _SPACE
+            ids, count = self.encode_pieces([whole[a : a + n] for a, n in zip(begin_of.tolist(), size_of.tolist(), strict=True)], blank)
             slot = np.arange(len(new)) + len(self.first) - 1
-            self.first = np.append(self.first, self.first[-1] + np.cumsum([len(x) for x in lists]))
-            self.pool = np.append(self.pool, np.fromiter((i for x in lists for i in x), np.uint32))
+            self.first = np.append(self.first, self.first[-1] + np.cumsum(count))
+            self.pool, self.uses = np.append(self.pool, ids), np.append(self.uses, np.zeros(len(new), np.int64))
             self.slot = np.insert(self.slot, place[new], slot)
             self.key = np.insert(self.key, place[new], seen[new])
-        slot = self.slot[np.searchsorted(self.key, seen)][inverse]
+        slot = self.slot[np.searchsorted(self.key, seen)]
+        self.uses[slot] += 1
+        slot = slot[inverse]
         n_ids = self.first[slot + 1] - self.first[slot]
         total = np.cumsum(n_ids)
         out = self.pool[np.repeat(self.first[slot] - total + n_ids, n_ids) + np.arange(int(total[-1]))]
@@ -156,11 +210,16 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def write_shards(docs: DataFrame, path: str, folder: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0, shard_tokens: int = 1 << 21) -> DataFrame:
+def write_shards(
+    docs: DataFrame, path: str, folder: str, *, id_col: str = "doc_id", text_col: str = "text",
+    end_id: int | None = 0, shard_tokens: int = 1 << 21
+) -> DataFrame:
     """Write ``docs`` as shards below ``folder`` and return their table: part, shard, n_tokens, n_docs, payload."""
     ship(docs.sparkSession)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t")).repartitionByRange(n, "id").sortWithinPartitions("id", "t")
+    ordered = docs.select(
+        F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t")
+    ).repartitionByRange(n, "id").sortWithinPartitions("id", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -174,7 +233,13 @@ def write_shards(docs: DataFrame, path: str, folder: str, *, id_col: str = "doc_
         def flush() -> pa.RecordBatch:
             nonlocal ids, docs_in, counts, held, shard
             payload = WaveletMatrix.build(np.concatenate(ids), docs_in, np.append(0, np.cumsum(counts))).to_bytes()
-            row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([held], pa.int64()), pa.array([len(docs_in)], pa.int64()), pa.array([payload], pa.binary())], names=["part", "shard", "n_tokens", "n_docs", "payload"])
+            row = pa.RecordBatch.from_arrays(
+                [
+                    pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([held], pa.int64()),
+                    pa.array([len(docs_in)], pa.int64()), pa.array([payload], pa.binary())
+                ],
+                names=["part", "shard", "n_tokens", "n_docs", "payload"]
+            )
             ids, docs_in, counts, held, shard = [], [], [], 0, shard + 1
             return row
 
@@ -202,7 +267,9 @@ def read_shards(shards: DataFrame) -> DataFrame:
     by_part = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # one row per range
     part_base = by_part.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_base"))
     in_part = Window.partitionBy("part").orderBy("shard")
-    base = shards.select("part", "shard", (F.sum("n_tokens").over(in_part) - F.col("n_tokens")).alias("b")).join(part_base, "part").select("part", "shard", (F.col("b") + F.col("part_base")).alias("base"))
+    base = shards.select(
+        "part", "shard", (F.sum("n_tokens").over(in_part) - F.col("n_tokens")).alias("b")
+    ).join(part_base, "part").select("part", "shard", (F.col("b") + F.col("part_base")).alias("base"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,13 +279,26 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 edge = shard.starts.tolist()
                 crc = [zlib.crc32(memoryview(ids[a:b])) for a, b in zip(edge, edge[1:], strict=False)]
                 m = len(crc)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, batch.column("part")[k].as_py(), np.int32)), pa.array(np.full(m, batch.column("shard")[k].as_py(), np.int32)), pa.array(shard.docs, pa.int64()), pa.array(edge[:-1], pa.int64()), pa.array(np.diff(edge), pa.int64()), pa.array(crc, pa.int64())], names=["part", "shard", "doc_id", "local", "n_tokens", "ids_crc32"])
-
-    rows = shards.select("part", "shard", "payload").mapInArrow(run, "part int, shard int, doc_id bigint, local bigint, n_tokens bigint, ids_crc32 bigint")
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(m, batch.column("part")[k].as_py(), np.int32)),
+                        pa.array(np.full(m, batch.column("shard")[k].as_py(), np.int32)),
+                        pa.array(shard.docs, pa.int64()), pa.array(edge[:-1], pa.int64()),
+                        pa.array(np.diff(edge), pa.int64()), pa.array(crc, pa.int64())
+                    ],
+                    names=["part", "shard", "doc_id", "local", "n_tokens", "ids_crc32"]
+                )
+
+    rows = shards.select("part", "shard", "payload").mapInArrow(
+        run, "part int, shard int, doc_id bigint, local bigint, n_tokens bigint, ids_crc32 bigint"
+    )
     return rows.join(base, ["part", "shard"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_table(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0, shard_tokens: int = 1 << 21) -> DataFrame:
+def token_table(
+    docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0,
+    shard_tokens: int = 1 << 21
+) -> DataFrame:
     """Encode, write, read back; one row for each row of ``docs``.
 
     Null text: encoded as empty, so only the end id.  Ids that occur more than
