@@ -67,7 +67,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     own, back = _apart(docs)
     row = cut(own.withColumn("__row", F.monotonically_increasing_id()), folder, "rows")  # written once, so the numbers hold
     known = row.where("doc_id is not null")
-    found = ngram_join.similar_documents(known, id_col="__row", folder=folder).select(F.col("doc_id").alias("__row"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("group"))
+    found = ngram_join.similar_documents(known, id_col="__row", folder=folder).select(
+        F.col("doc_id").alias("__row"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("group")
+    )
     placed = known.select("__row", "doc_id", "text").join(found, "__row")
     group = F.coalesce(F.col("group").cast("string"), F.concat_ws(":", F.lit("none"), "doc_id", "text"))
     first = placed.groupBy(group.alias("g")).agg(F.min_by("__row", F.struct("doc_id", "text", "__row")).alias("__row"))
