@@ -13,7 +13,10 @@ import pyarrow as pa
 from terrasample.llm import _text
 
 #: Dense features, in the order of the columns that :func:`dense` returns.
-DENSE = ["bias", "log_words", "upper", "digit", "symbol", "mark", "pipe", "space", "newline", "high", "long_word", "short_word", "word_repeat", "line_repeat", "symbol_end", "caps_word"]
+DENSE = [
+    "bias", "log_words", "upper", "digit", "symbol", "mark", "pipe", "space", "newline", "high", "long_word",
+    "short_word", "word_repeat", "line_repeat", "symbol_end", "caps_word"
+]
 
 _CLASS = np.zeros((256, 8), bool)
 for _i, _chars in enumerate(("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "#$%&*@^~<>{}[]\\/_=+`", ".,;:!?'\"()-", "|", " \t", "\n")):
@@ -38,7 +41,11 @@ def _per_row(value: np.ndarray, off: np.ndarray) -> np.ndarray:
 def _repeated(h: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Share of each row's hashes that occurred before in the same row (told apart by 40 bits)."""
     with np.errstate(over="ignore"):
-        key = np.sort(_text.mix(h + np.repeat(np.arange(len(count), dtype=np.uint64), count) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24) | np.repeat(np.arange(len(count), dtype=np.uint64), count) << np.uint64(40))
+        key = np.sort(
+            _text.mix(
+                h + np.repeat(np.arange(len(count), dtype=np.uint64), count) * np.uint64(0x9E3779B97F4A7C15)
+            ) >> np.uint64(24) | np.repeat(np.arange(len(count), dtype=np.uint64), count) << np.uint64(40)
+        )
     again = np.zeros(len(h))
     again[1:] = key[1:] == key[:-1]
     off = np.append(0, np.cumsum(count))

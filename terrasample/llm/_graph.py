@@ -15,11 +15,17 @@ def _with_least(edges: DataFrame, own: bool, dealt: bool, per_group: int) -> tup
     edges meet it by the node and the number of a group, of which a hub has one for
     each ``per_group`` of its edges.
     """
-    low = edges.groupBy("a").agg((F.least(F.min("b"), F.col("a")) if own else F.min("b")).alias("m"), F.ceil(F.count("*") / per_group).cast("int").alias("groups"))
+    low = edges.groupBy("a").agg(
+        (F.least(F.min("b"), F.col("a")) if own else F.min("b")).alias("m"),
+        F.ceil(F.count("*") / per_group).cast("int").alias("groups")
+    )
     if not dealt:
         return edges.join(low.drop("groups"), "a"), low.select("a", "m")
     hubs = low.where("groups > 1").select("a", "groups")  # as many as there are edges over per_group, at most
-    numbered = edges.join(F.broadcast(hubs), "a", "left").select("a", "b", F.when(F.col("groups") > 1, F.pmod(F.xxhash64("b"), F.col("groups"))).otherwise(0).cast("int").alias("part"))
+    numbered = edges.join(F.broadcast(hubs), "a", "left").select(
+        "a", "b",
+        F.when(F.col("groups") > 1, F.pmod(F.xxhash64("b"), F.col("groups"))).otherwise(0).cast("int").alias("part")
+    )
     spread = low.select("a", "m", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"))
     return numbered.join(spread, ["a", "part"]).drop("part"), low.select("a", "m")
 
@@ -44,7 +50,9 @@ def components(edges: DataFrame, folder: str, name: str, max_rounds: int = 60, p
         large = found.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         found, low = _with_least(large, False, dealt, per_group)
         hooked = found.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        small = hooked.unionByName(low.select("a", F.col("m").alias("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        small = hooked.unionByName(low.select("a", F.col("m").alias("b"))).select(
+            F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
+        ).distinct()
         now = cut(small, folder, f"{name}-{k + 1}")
         discard(edges.sparkSession, folder, f"{name}-{k}")
         seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -53,4 +61,6 @@ def components(edges: DataFrame, folder: str, name: str, max_rounds: int = 60, p
         mark = seen
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
+        now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    )

@@ -233,7 +233,10 @@ def occurrences(patterns: Patterns, column: pa.Array) -> tuple[np.ndarray, dict[
     return count, hits, items
 
 
-_EXTRA = {"n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "items_sha256": "string", "items": "array<string>", "hits": "array<struct<start:bigint,end:bigint>>", "contaminated": "boolean"}
+_EXTRA = {
+    "n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "items_sha256": "string", "items": "array<string>",
+    "hits": "array<struct<start:bigint,end:bigint>>", "contaminated": "boolean"
+}
 _HITS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -300,7 +303,9 @@ def decontaminate(
     """
     ship(docs.sparkSession)
     spark = docs.sparkSession
-    use = items.where(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t"))
+    use = items.where(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).select(
+        F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")
+    )
     parts = max(1, -(-(use.agg(F.sum(F.length("t"))).first()[0] or 0) // part_chars))
     kept = [c for c in docs.columns if c not in _EXTRA] if keep_columns else [id_col]
     types = dict(docs.dtypes)
@@ -335,14 +340,29 @@ def decontaminate(
                 for i, j in _text.slices(whole.column(1)):
                     _, hits, names = occurrences(shared.value, whole.column(1).slice(i, j - i))
                     own = sorted(hits)
-                    yield pa.RecordBatch.from_arrays([whole.column(0).slice(i, j - i).take(pa.array(own, pa.int64())), pa.array([_stretches(hits[r]) for r in own], _HITS), pa.array([names[r] for r in own], pa.list_(pa.string()))], names=["__row", "__hits", "__items"])
-
-        found = cut(rows.select("__row", text_col).mapInArrow(lean(run), "__row bigint, __hits array<struct<start:bigint,end:bigint>>, __items array<string>"), folder, f"part-{k}", TEXT_ROWS)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            whole.column(0).slice(i, j - i).take(pa.array(own, pa.int64())),
+                            pa.array([_stretches(hits[r]) for r in own], _HITS),
+                            pa.array([names[r] for r in own], pa.list_(pa.string()))
+                        ],
+                        names=["__row", "__hits", "__items"]
+                    )
+
+        found = cut(
+            rows.select("__row", text_col).mapInArrow(
+                lean(run), "__row bigint, __hits array<struct<start:bigint,end:bigint>>, __items array<string>"
+            ),
+            folder, f"part-{k}", TEXT_ROWS
+        )
         shared.unpersist()
         return found
 
     every = reduce(DataFrame.unionByName, [one(k) for k in range(parts)])
-    put = every.groupBy("__row").agg(F.flatten(F.collect_list("__hits")).alias("__hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("__items"))  # a row's group has a row for each part
+    put = every.groupBy("__row").agg(
+        F.flatten(F.collect_list("__hits")).alias("__hits"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("__items")
+    )  # a row's group has a row for each part
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

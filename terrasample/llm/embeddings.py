@@ -114,7 +114,10 @@ def _receives(cell: np.ndarray, home: np.ndarray) -> np.ndarray:
     return np.where((cell + home) % 2 == 1, cell < home, cell > home)
 
 
-def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, cell_rows: int = 4096, block_bytes: int = 8 << 20, max_cells: int = 4096, sample_rows: int = 20_000) -> DataFrame:
+def near_duplicates(
+    vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95,
+    cell_rows: int = 4096, block_bytes: int = 8 << 20, max_cells: int = 4096, sample_rows: int = 20_000
+) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of ``vectors``.
 
     Vectors that are null, empty, zero, or hold null or non-finite components link
@@ -129,14 +132,18 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str
     v = F.col("v")
     number = "float" if dict(vectors.dtypes)[vec_col] == "array<float>" else "double"  # as it came: half the bytes to shuffle
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast(f"array<{number}>").alias("v"))
-    finite = v.isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf))) & F.exists("v", lambda x: x != 0)
+    finite = v.isNotNull() & (F.size("v") > 0) & F.forall(
+        "v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf))
+    ) & F.exists("v", lambda x: x != 0)
     good = F.coalesce(F.col("id").isNotNull() & finite, F.lit(False))
     marked = rows.select("id", F.when(good, v).alias("v"))
     classes = cut(marked.where("v is not null").groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("m")), folder, "classes")
     lengths = {r["d"]: r["count"] for r in classes.groupBy(F.size("v").alias("d")).count().orderBy("d").collect()}  # vectors have few lengths
     n_classes = sum(lengths.values())
     share = min(1.0, sample_rows / max(1, n_classes))
-    sample = classes.where(F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("rep", "v").toArrow().sort_by("rep").column("v").combine_chunks()
+    sample = classes.where(
+        F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+    ).select("rep", "v").toArrow().sort_by("rep").column("v").combine_chunks()
     sizes = sample.value_lengths().to_numpy(zero_copy_only=False)
     centroids: dict[int, tuple[int, np.ndarray]] = {}  # of each length: the number of its first cell, and its cells
     axes: dict[int, np.ndarray] = {}
@@ -167,18 +174,38 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str
                     some = mine | _receives(cell, home[row])
                     row, cell, mine = row[some], cell[some], mine[some]
                     at = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([part.column("rep").take(at), part.column("m").take(at), pa.array((first + cell).astype(np.int32)), pa.array(mine), part.column("v").take(at)], names=["rep", "m", "cell", "home", "x"])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            part.column("rep").take(at), part.column("m").take(at),
+                            pa.array((first + cell).astype(np.int32)), pa.array(mine), part.column("v").take(at)
+                        ],
+                        names=["rep", "m", "cell", "home", "x"]
+                    )
 
-    placed = cut(classes.select("rep", "m", "v").mapInArrow(lean(assign), f"rep bigint, m bigint, cell int, home boolean, x array<{number}>"), folder, "placed")
+    placed = cut(
+        classes.select("rep", "m", "v").mapInArrow(lean(assign), f"rep bigint, m bigint, cell int, home boolean, x array<{number}>"),
+        folder, "placed"
+    )
     # so many rows that a block's double-precision vectors have block_bytes
     rows_in = F.greatest(F.lit(8), F.floor(F.lit(block_bytes) / (8 * F.first(F.size("x")))))
-    count = placed.groupBy("cell").agg(F.ceil(F.count_if("home") / rows_in).alias("nh"), F.ceil(F.count_if(~F.col("home")) / rows_in).alias("ng")).where("nh > 0")  # a row per cell, at most max_cells and one for each length
+    count = placed.groupBy("cell").agg(
+        F.ceil(F.count_if("home") / rows_in).alias("nh"), F.ceil(F.count_if(~F.col("home")) / rows_in).alias("ng")
+    ).where("nh > 0")  # a row per cell, at most max_cells and one for each length
     where = placed.join(F.broadcast(count), "cell").withColumn("h", F.xxhash64("rep", F.lit(9)))
     # block i of the homes meets the homes' blocks j >= i (numbers from 0) and all guests' blocks (numbers from nh)
     mine, zero = F.pmod("h", F.col("nh")), F.lit(0).cast("bigint")
-    left = where.where("home").select("cell", mine.alias("i"), "nh", "ng", "rep", "m", "x").select("cell", "i", F.explode(F.sequence(F.col("i"), F.col("nh") + F.col("ng") - 1)).alias("j"), F.lit(True).alias("side"), "rep", "m", "x")
-    right = where.where("home").select("cell", mine.alias("j"), "rep", "m", "x").where("j > 0").select("cell", F.explode(F.sequence(zero, F.col("j") - 1)).alias("i"), "j", F.lit(False).alias("side"), "rep", "m", "x")
-    guests = where.where("not home").select("cell", F.explode(F.sequence(zero, F.col("nh") - 1)).alias("i"), (F.col("nh") + F.pmod("h", F.col("ng"))).alias("j"), F.lit(False).alias("side"), "rep", "m", "x")
+    left = where.where("home").select("cell", mine.alias("i"), "nh", "ng", "rep", "m", "x").select(
+        "cell", "i", F.explode(F.sequence(F.col("i"), F.col("nh") + F.col("ng") - 1)).alias("j"),
+        F.lit(True).alias("side"), "rep", "m", "x"
+    )
+    right = where.where("home").select("cell", mine.alias("j"), "rep", "m", "x").where("j > 0").select(
+        "cell", F.explode(F.sequence(zero, F.col("j") - 1)).alias("i"), "j", F.lit(False).alias("side"), "rep", "m",
+        "x"
+    )
+    guests = where.where("not home").select(
+        "cell", F.explode(F.sequence(zero, F.col("nh") - 1)).alias("i"),
+        (F.col("nh") + F.pmod("h", F.col("ng"))).alias("j"), F.lit(False).alias("side"), "rep", "m", "x"
+    )
 
     def compare(table):
         side = table.column("side").to_numpy()
@@ -207,15 +234,29 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str
         is_count = np.arange(len(some) + edges.shape[1]) < len(some)
         first = np.concatenate((rep[some], edges[0])).astype(np.int64)
         second = np.concatenate((np.zeros(len(some), np.int64), edges[1])).astype(np.int64)
-        return pa.table({"a": first, "b": pa.array(second, mask=is_count), "n": pa.array(np.concatenate((total[some], np.zeros(edges.shape[1], np.int64))), mask=~is_count)})
+        return pa.table(
+            {
+                "a": first, "b": pa.array(second, mask=is_count),
+                "n": pa.array(np.concatenate((total[some], np.zeros(edges.shape[1], np.int64))), mask=~is_count)
+            }
+        )
 
-    found = cut(left.unionByName(right).unionByName(guests).groupBy("cell", "i", "j").applyInArrow(compare, "a bigint, b bigint, n bigint"), folder, "found")
+    found = cut(
+        left.unionByName(right).unionByName(guests).groupBy("cell", "i", "j").applyInArrow(compare, "a bigint, b bigint, n bigint"),
+        folder, "found"
+    )
     discard(spark, folder, "placed")
     linked = components(found.where("b is not null").select("a", "b"), folder, "components")
     counts = found.where("n is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
-    done = classes.join(counts, "rep", "left").join(linked, F.col("rep") == F.col("node"), "left").select("v", (F.coalesce("others", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rep").alias("c"))
+    done = classes.join(counts, "rep", "left").join(linked, F.col("rep") == F.col("node"), "left").select(
+        "v", (F.coalesce("others", F.lit(0)) + F.col("m") - 1).alias("n_links"),
+        F.coalesce("component", "rep").alias("c")
+    )
     # rows meet their class by the vector's hash and the vector itself; those that link with nothing stay apart
     hashed = lambda d: d.withColumn("k", F.xxhash64("v"))
     some = hashed(marked.where("v is not null")).join(hashed(done), ["k", "v"]).select("id", "n_links", F.col("c").alias("component_id"))
     none = marked.where("v is null").select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
-    return some.unionByName(none).select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id").eqNullSafe(F.col("component_id"))).alias("kept"))
+    return some.unionByName(none).select(
+        F.col("id").alias(id_col), "n_links", "component_id",
+        (F.col("id").eqNullSafe(F.col("component_id"))).alias("kept")
+    )

@@ -43,9 +43,15 @@ from terrasample.llm._session import ship
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe object svg math canvas video audio textarea select option title".split())
 NEVER = frozenset("nav header footer aside form button menu dialog head".split())
-BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figure figcaption footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+BLOCKS = frozenset(
+    "address article aside blockquote body center dd details dialog div dl dt fieldset figure figcaption footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+)
 HEADING = re.compile("h[1-6]$")
-CLOSED_BY: dict[str, frozenset[str]] = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot", "thead"]), "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "th": frozenset(["td", "th", "tr", "tbody", "tfoot"])}
+CLOSED_BY: dict[str, frozenset[str]] = {
+    "p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
+    "tr": frozenset(["tr", "tbody", "tfoot", "thead"]), "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]),
+    "th": frozenset(["td", "th", "tr", "tbody", "tfoot"])
+}
 CLOSED_BY |= {f"h{n}": BLOCKS for n in range(1, 7)}
 #: A list, table, quotation or listing is a part of an article, not the whole.
 PARTS = frozenset("blockquote dd dl dt li ol p pre table tbody td tfoot th thead tr ul h1 h2 h3 h4 h5 h6".split())
@@ -64,7 +70,10 @@ BESIDE_SHARE = 0.5
 #: An attribute word of these keeps an element even if a noise word stands beside it.
 CONTENT = frozenset("article content main post story entry body text".split())
 
-_TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|$)|(?P<other>[!?][^>]*(?:>|$))|(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?P<end>>|$))", re.S)
+_TAG = re.compile(
+    r"<(?:!--(?P<comment>.*?)(?:-->|$)|(?P<other>[!?][^>]*(?:>|$))|(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?P<end>>|$))",
+    re.S
+)
 _ATTR = re.compile(r"(?:^|[\s/\"'])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -78,7 +87,9 @@ def _noise(tag: str, attrs: str) -> tuple[bool, set[str]]:
         return True, words
     for m in _ATTR.finditer(attrs) if attrs else ():
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(
+            r"display\s*:\s*none|visibility\s*:\s*hidden", value
+        ):
             return True, words
         if name in ("class", "id", "role"):
             found = _WORD.findall(value)
@@ -185,7 +196,9 @@ class Page:
             if tag in CLOSED_BY or tag in BLOCKS:
                 marks.append(len(stack))
             opened[tag] = opened.get(tag, 0) + 1
-            stack.append((tag, e, paths[path, tag], noise or never, link or tag == "a" and not heading, heading, article or tag in ("article", "main"), own))
+            stack.append(
+                (tag, e, paths[path, tag], noise or never, link or tag == "a" and not heading, heading, article or tag in ("article", "main"), own)
+            )
         pop(1)
         self.close[0] = len(self.text)
 
@@ -353,7 +366,10 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
             for i in range(0, len(whole), 256):
                 batch = whole.slice(i, 256)
                 texts = [main_text(h) for h in batch.column(html_col).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*kept, "text", "n_chars"])
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in kept), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                    names=[*kept, "text", "n_chars"]
+                )
 
     source = pages.select(*dict.fromkeys([*(f"`{c}`" for c in kept), f"`{html_col}`"]))
     return source.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in kept), "text string", "n_chars bigint"]))

@@ -65,7 +65,10 @@ def rates(counts: Mapping[str | None, int], weights: Mapping[str, float], size:
     return {s: (weights[s] / n if s in weights else left / rest) * total * size for s, n in counts.items() if n}
 
 
-def poisson_mix(docs: DataFrame, weights: Mapping[str, float], *, size: float = 1.0, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", shuffle: bool = True, describe: bool = True) -> DataFrame:
+def poisson_mix(
+    docs: DataFrame, weights: Mapping[str, float], *, size: float = 1.0, seed: str = "mix", id_col: str = "doc_id",
+    source_col: str = "source", shuffle: bool = True, describe: bool = True
+) -> DataFrame:
     """``docs`` with each row as often as the Poisson quantile says, shuffled.
 
     Adds (with ``describe``) rate, copies (the row's number of copies), copy
@@ -87,7 +90,10 @@ def poisson_mix(docs: DataFrame, weights: Mapping[str, float], *, size: float =
         n_draws = F.when(is_s, F.lit(draws(r))).otherwise(n_draws)
         cdf = F.when(is_s, F.array(*(F.lit(p) for p in poisson_cdf(r / draws(r))))).otherwise(cdf)
     own = [c for c in docs.columns if c not in ("rate", "copies", "copy", "position")]
-    out = docs.select(*(f"`{c}`" for c in own), rate.alias("rate"), cdf.alias("__cdf"), n_draws.alias("__n"), uniform(seed, F.col(id_col)).alias("__u"))
+    out = docs.select(
+        *(f"`{c}`" for c in own), rate.alias("rate"), cdf.alias("__cdf"), n_draws.alias("__n"),
+        uniform(seed, F.col(id_col)).alias("__u")
+    )
     below = lambda u: F.size(F.filter("__cdf", lambda p: u >= p))
     copies = below(F.col("__u"))
     if any(draws(r) > 1 for r in rate_of.values()):  # further draws have their number in their seed
@@ -100,5 +106,7 @@ def poisson_mix(docs: DataFrame, weights: Mapping[str, float], *, size: float =
     if shuffle:
         # the position is uniform, so equal stretches of it are equal shares: no sampling pass over the texts
         n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        out = out.withColumn("__part", F.floor(F.col("position") * n).cast("int")).repartitionById(n, "__part").sortWithinPartitions("position", id_col).drop("__part")
+        out = out.withColumn(
+            "__part", F.floor(F.col("position") * n).cast("int")
+        ).repartitionById(n, "__part").sortWithinPartitions("position", id_col).drop("__part")
     return out if describe else out.select(*(f"`{c}`" for c in own))

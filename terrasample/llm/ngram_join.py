@@ -190,7 +190,13 @@ class _Join:
                 token, n = token[n >= local], n[n >= local]
                 none = pa.nulls(len(token), pa.int64())
                 held.clear()
-                return pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(token), pa.binary()), pa.nulls(len(token), pa.list_(pa.int64())), _signed(token), pa.array(n)], names=names)
+                return pa.RecordBatch.from_arrays(
+                    [
+                        none, none, none, none, pa.nulls(len(token), pa.binary()),
+                        pa.nulls(len(token), pa.list_(pa.int64())), _signed(token), pa.array(n)
+                    ],
+                    names=names
+                )
 
             for batch in batches:
                 for i, j in _text.slices(batch.column(1)):
@@ -206,13 +212,22 @@ class _Join:
                             held.append(s)
                     bitmaps = [parity_bitmap(s) for s in sets]
                     bits, small = pa.array(bitmaps, pa.binary()), pa.array([folded(b) for b in bitmaps], pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), _signed(s1), _signed(s2), bits, small, pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())], names=names)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(0).slice(i, j - i), pa.array(n), _signed(s1), _signed(s2), bits, small,
+                            pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())
+                        ],
+                        names=names
+                    )
                     if sum(map(len, held)) > 1_000_000:
                         yield counts()
             if held:
                 yield counts()
 
-        both = cut(self.rows.mapInArrow(lean(run), "id bigint, n bigint, s1 bigint, s2 bigint, bits binary, w array<bigint>, token bigint, count bigint"), self.folder, "sets", TEXT_ROWS)
+        both = cut(
+            self.rows.mapInArrow(lean(run), "id bigint, n bigint, s1 bigint, s2 bigint, bits binary, w array<bigint>, token bigint, count bigint"),
+            self.folder, "sets", TEXT_ROWS
+        )
         self.stats = both.where("n is not null").select("id", "n", "s1", "s2")
         self.bits = both.where("n > 0 and id is not null").select("id", "n", "bits")
         self.small = both.where("n > 0 and id is not null").select("id", *(F.col("w")[k].alias(f"w{k}") for k in range(4)))
@@ -259,11 +274,20 @@ class _Join:
                 for k in np.flatnonzero(np.diff(edges)).tolist():
                     own = order[edges[k] : edges[k + 1]]
                     some, at = np.unique(doc[own], return_inverse=True)  # in order, so differences are small
-                    rows.append((k, _planes(np.diff(own_ids[some], prepend=0)), _planes(own_marks[some]), _planes(own_sizes[some]), _planes(token[own] & low, 5), _planes(np.diff(at.astype(np.uint32), prepend=np.uint32(0))), _planes(pos[own])))
+                    rows.append(
+                        (
+                            k, _planes(np.diff(own_ids[some], prepend=0)), _planes(own_marks[some]),
+                            _planes(own_sizes[some]), _planes(token[own] & low, 5),
+                            _planes(np.diff(at.astype(np.uint32), prepend=np.uint32(0))), _planes(pos[own])
+                        )
+                    )
                 ids.clear(), marks.clear(), sizes.clear(), prefixes.clear()
                 held = 0
                 shard_of, *parts = zip(*rows, strict=True) if rows else ((),) * 7
-                return pa.RecordBatch.from_arrays([pa.array(shard_of, pa.int32()), *(pa.array(x, pa.binary()) for x in parts)], names=["shard", *packed])
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(shard_of, pa.int32()), *(pa.array(x, pa.binary()) for x in parts)],
+                    names=["shard", *packed]
+                )
 
             for batch in batches:
                 for i, j in _text.slices(batch.column(1)):
@@ -315,7 +339,13 @@ class _Join:
             keep = np.flatnonzero(groups()) if whole else np.arange(len(token))
             for i in range(0, len(keep), 50_000):
                 own = keep[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([_signed(token[own] | np.uint64(number) << np.uint64(_TOKEN_BITS)), pa.array(rep[own]), pa.array(n[own].astype(np.int32)), pa.array(pos[own].astype(np.int32))], names=["token", "rep", "n", "pos"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        _signed(token[own] | np.uint64(number) << np.uint64(_TOKEN_BITS)), pa.array(rep[own]),
+                        pa.array(n[own].astype(np.int32)), pa.array(pos[own].astype(np.int32))
+                    ],
+                    names=["token", "rep", "n", "pos"]
+                )
 
         def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Shard after shard; one with too many postings to hold is passed on in parts, with the shingles of one set."""
@@ -350,22 +380,35 @@ class _Join:
         The pivot is the smallest set: with the fewest shingles of its own it
         links with all that differ little from what they share.
         """
-        pivot = self.post.groupBy("token").agg(F.count("*").alias("many"), F.min(F.struct("n", "rep")).alias("p")).select("token", F.col("p.rep").alias("a"), F.col("p.n").alias("na"), "many")
+        pivot = self.post.groupBy("token").agg(F.count("*").alias("many"), F.min(F.struct("n", "rep")).alias("p")).select(
+            "token", F.col("p.rep").alias("a"), F.col("p.n").alias("na"), "many"
+        )
         half = F.ceil((1 - self.t) * F.least("n", "na") / 2)
-        pairs = self.post.join(pivot, "token").where("rep <> a").where(self._fits("n", "na")).groupBy("a", F.col("rep").alias("b")).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("na").alias("na"), F.max("many").alias("many"))
+        pairs = self.post.join(pivot, "token").where("rep <> a").where(self._fits("n", "na")).groupBy("a", F.col("rep").alias("b")).agg(
+            F.count("*").alias("c"), F.first("n").alias("n"), F.first("na").alias("na"), F.max("many").alias("many")
+        )
         return pairs.where((F.col("c") >= half) | (F.col("many") >= 8)).select("a", "b")
 
     def _mixed(self, component: DataFrame) -> DataFrame:
         """The postings with their classes' components, of shingles that several components share, and in how many blocks these are paired."""
-        p = self.post.join(component, F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp"))
-        mixed = p.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("lo <> hi").select("token", "blocks")
+        p = self.post.join(component, F.col("rep") == F.col("node"), "left").select(
+            "token", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp")
+        )
+        mixed = p.groupBy("token").agg(
+            F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+            F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")
+        ).where("lo <> hi").select("token", "blocks")
         return p.join(mixed, "token")
 
     def more_stars(self, component: DataFrame) -> DataFrame:
         """(a, b) of different components: with each shingle's pivot drawn by a hash, so that a large group's members meet many pivots."""
         p = self._mixed(component)
         drawn = F.xxhash64("token", "rep")
-        pivot = p.groupBy("token").agg(F.count("*").alias("many"), F.min_by(F.struct("rep", "n", "comp"), drawn).alias("p")).where("many >= 8").select("token", F.col("p.rep").alias("a"), F.col("p.n").alias("na"), F.col("p.comp").alias("ca"))
+        pivot = p.groupBy("token").agg(
+            F.count("*").alias("many"), F.min_by(F.struct("rep", "n", "comp"), drawn).alias("p")
+        ).where("many >= 8").select(
+            "token", F.col("p.rep").alias("a"), F.col("p.n").alias("na"), F.col("p.comp").alias("ca")
+        )
         return p.join(pivot, "token").where("comp <> ca").where(self._fits("n", "na")).select("a", F.col("rep").alias("b")).distinct()
 
     def rest(self, component: DataFrame) -> DataFrame:
@@ -382,8 +425,17 @@ class _Join:
         p = cut(p.join(self.small, F.col("rep") == F.col("id")).drop("id"), self.folder, "mixed")
         # of a frequent shingle each block of classes meets all, block by block
         mine, all_of = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        left, right = (p.select("token", block.alias("block"), F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"), F.col("comp").alias(f"c{x}"), F.col("prev").alias(f"prev_{x}"), *(F.col(f"w{k}").alias(f"w{k}{x}") for k in range(4))) for x, block in (("a", mine), ("b", all_of)))
-        differ = F.expr(" + ".join(f"bit_count(w{k}a ^ w{k}b)" for k in range(4)) + f" <= na + nb - 2 * ceil({self.t / (1 + self.t)!r} * (na + nb) - 1e-6)")
+        left, right = (
+            p.select(
+                "token", block.alias("block"), F.col("rep").alias(x), F.col("n").alias(f"n{x}"),
+                F.col("pos").alias(f"p{x}"), F.col("comp").alias(f"c{x}"), F.col("prev").alias(f"prev_{x}"),
+                *(F.col(f"w{k}").alias(f"w{k}{x}") for k in range(4))
+            ) for x,
+            block in (("a", mine), ("b", all_of))
+        )
+        differ = F.expr(
+            " + ".join(f"bit_count(w{k}a ^ w{k}b)" for k in range(4)) + f" <= na + nb - 2 * ceil({self.t / (1 + self.t)!r} * (na + nb) - 1e-6)"
+        )
         # overlap >= t / (1 + t) * (na + nb)
         reach = F.expr(f"least(na - pa, nb - pb) >= {self.t / (1 + self.t)!r} * (na + nb) - 1e-6")
         on = (left["token"] == right["token"]) & (left["block"] == right["block"]) & F.expr("a < b and ca <> cb") & F.expr(self._fits("na", "nb")) & reach & F.expr("not coalesce(prev_a = prev_b, false)") & differ
@@ -397,7 +449,9 @@ class _Join:
             for batch in batches:
                 n = batch.column("n").to_numpy() + batch.column("m").to_numpy()
                 most = n - 2 * np.ceil(t / (1 + t) * n - 1e-6)
-                keep = np.array([least_difference(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]) <= most
+                keep = np.array(
+                    [least_difference(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+                ) <= most
                 yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], names=["a", "b"])
 
         first = self.bits.select(F.col("id").alias("a"), "n", F.col("bits").alias("x"))
@@ -435,14 +489,19 @@ class _Join:
                 for i, j in _text.slices(batch.column(1)):
                     sets = ordered(_text.shingle_sets(batch.column(1).slice(i, j - i), width), frequent.value)
                     # frequent shingles first, so that near copies share long paths of the tree
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([(~s[::-1]).tobytes() for s in sets], pa.binary())], names=["id", "s"])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(i, j - i), pa.array([(~s[::-1]).tobytes() for s in sets], pa.binary())],
+                        names=["id", "s"]
+                    )
 
         sets = cut(self.docs.mapInArrow(lean(read), "id bigint, s binary").join(need, "id", "left_semi"), self.folder, f"compare-{name}", TEXT_ROWS)
         bloom.unpersist()
         chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
         salted = pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("salt"))
         partners = salted.join(sets, F.col("b") == F.col("id")).select("a", "salt", F.lit(1).alias("kind"), "b", "s")
-        pivots = salted.select("a", "salt").distinct().join(sets, F.col("a") == F.col("id")).select("a", "salt", F.lit(0).alias("kind"), F.col("a").alias("b"), "s")
+        pivots = salted.select("a", "salt").distinct().join(sets, F.col("a") == F.col("id")).select(
+            "a", "salt", F.lit(0).alias("kind"), F.col("a").alias("b"), "s"
+        )
         both = pivots.unionByName(partners).repartition(self.partitions, "a", "salt").sortWithinPartitions("a", "salt", "kind")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -460,7 +519,10 @@ class _Join:
                 return pa.RecordBatch.from_arrays([pa.array([group[0]] * len(found), pa.int64()), pa.array(found, pa.int64())], names=["a", "b"])
 
             for batch in batches:
-                for a, salt, kind, b, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
+                for a, salt, kind, b, s in zip(
+                    batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(),
+                    batch.column(3).to_pylist(), batch.column(4), strict=True
+                ):
                     if (a, salt) != group:
                         if sets_in:
                             yield flush()
@@ -494,7 +556,10 @@ class _Join:
         return components(as_edges(second).unionByName(rest), self.folder, "components")
 
 
-def linked_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.75, max_frequent: int = 1 << 19, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+def linked_pairs(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.75,
+    max_frequent: int = 1 << 19, folder: str | None = None
+) -> tuple[DataFrame, DataFrame]:
     """The whole join: (a, b) of every two classes that link, a < b by their representatives; and (doc_id, class_id) of every document with words.
 
     Documents with equal sets are one class, represented by the smallest id, and
@@ -509,12 +574,19 @@ def linked_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     join.postings()
     alone = join.docs.sparkSession.createDataFrame([], "node bigint, component bigint")  # every class by itself
     links = join.compare(join.rest(alone), "all")
-    s, c = join.stats.where("id is not null and n > 0"), join.classes.select(F.col("s1").alias("k1"), F.col("s2").alias("k2"), F.col("n").alias("m"), "rep")
-    member = s.join(c, (s["s1"] == c["k1"]) & (s["s2"] == c["k2"]) & (s["n"] == c["m"])).select(F.col("id").alias("doc_id"), F.col("rep").alias("class_id"))
+    s, c = join.stats.where("id is not null and n > 0"), join.classes.select(
+        F.col("s1").alias("k1"), F.col("s2").alias("k2"), F.col("n").alias("m"), "rep"
+    )
+    member = s.join(
+        c, (s["s1"] == c["k1"]) & (s["s2"] == c["k2"]) & (s["n"] == c["m"])
+    ).select(F.col("id").alias("doc_id"), F.col("rep").alias("class_id"))
     return links, member
 
 
-def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.75, max_frequent: int = 1 << 19, folder: str | None = None) -> DataFrame:
+def similar_documents(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.75,
+    max_frequent: int = 1 << 19, folder: str | None = None
+) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``; :func:`linked_pairs` gives the links themselves.
 
     Words are split at blanks after A-Z are lower-cased.  A text of fewer words
@@ -529,6 +601,11 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t"))
     join = _Join(own, width, threshold, max_frequent, folder)
     linked = join.run()
-    reps = join.classes.join(linked, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.col("n").alias("m"), F.coalesce("component", "rep").alias("c"))
+    reps = join.classes.join(linked, F.col("rep") == F.col("node"), "left").select(
+        "s1", "s2", F.col("n").alias("m"), F.coalesce("component", "rep").alias("c")
+    )
     s = join.stats
-    return s.join(reps, (s["s1"] == reps["s1"]) & (s["s2"] == reps["s2"]) & (s["n"] == reps["m"]), "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("c", "id")).alias("component_id"))
+    return s.join(reps, (s["s1"] == reps["s1"]) & (s["s2"] == reps["s2"]) & (s["n"] == reps["m"]), "left").select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
+        F.when(F.col("id").isNotNull(), F.coalesce("c", "id")).alias("component_id")
+    )

@@ -104,7 +104,13 @@ def _plain(text: Column, drop: str) -> Column:
 
 def _fill(layout: Column, chars: Column, keep: str) -> Column:
     """``layout`` with its characters of the class ``keep`` replaced in turn by ``chars``."""
-    return _each(layout, lambda c, j: F.when(c.rlike(f"^[{keep}]$"), F.substring(chars, F.length(_plain(F.substring(layout, F.lit(1), j + 1), f"[^{keep}]")), F.lit(1))).otherwise(c))
+    return _each(
+        layout,
+        lambda c, j: F.when(
+            c.rlike(f"^[{keep}]$"),
+            F.substring(chars, F.length(_plain(F.substring(layout, F.lit(1), j + 1), f"[^{keep}]")), F.lit(1))
+        ).otherwise(c)
+    )
 
 
 def _luhn_sum(digits: Column, last_doubled: bool) -> Column:
@@ -133,7 +139,12 @@ def _kind(t: Column) -> Column:
     iban = _plain(t, "[^0-9A-Z]")
     return (
         F.when(t.contains("@"), "email").when(whole("ip"), "ip").when(whole("iso_date"), "iso_date").when(whole("day_date"), "day_date").when(whole("phone"), "phone").when(whole("ssn"), "ssn")
-        .when(whole("iban") & F.substring(iban, 3, 2).between("02", "98") & (_mod97(F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, 1, 4))) == 1), "iban")
+        .when(
+            whole("iban") & F.substring(iban, 3, 2).between("02", "98") & (
+                _mod97(F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, 1, 4))) == 1
+            ),
+            "iban"
+        )
         .when(whole("card") & (_luhn_sum(_plain(t, "[^0-9]"), False) % 10 == 0), "card").when(whole("secret"), "secret")
     )
 
@@ -143,7 +154,9 @@ def _permuted_part(t: Column, kind: Column) -> Column:
     digits, plain = _plain(t, "[^0-9]"), _plain(t, "[^0-9A-Z]")
     return (
         F.when(kind == "email", _plain(F.substring_index(t, "@", 1), "[^0-9A-Za-z]")).when(kind == "phone", digits).when(kind == "secret", t)
-        .when(kind == "card", F.substring(digits, F.lit(1), F.length(digits) - 1)).when(kind == "iban", F.substring(plain, F.lit(5), F.length(plain))).otherwise("")
+        .when(
+            kind == "card", F.substring(digits, F.lit(1), F.length(digits) - 1)
+        ).when(kind == "iban", F.substring(plain, F.lit(5), F.length(plain))).otherwise("")
     )
 
 
@@ -156,13 +169,18 @@ def _pair(t: Column, kind: Column) -> Column:
     """An address, a date or a social security number as two numbers below a and b; null for the rest and for days that don't exist."""
     o = F.transform(F.split(t, r"\."), lambda x: F.expr("bigint(0)") + x.try_cast("bigint"))
     place = lambda iso, day, n: F.when(kind == "iso_date", F.substring(t, iso, n)).otherwise(F.substring(t, day, n))
-    days = F.datediff(F.try_to_date(F.concat_ws("-", place(1, 7, 4), place(6, 4, 2), place(9, 1, 2)), "yyyy-MM-dd"), F.lit(FIRST_DAY).cast("date")).cast("bigint")
+    days = F.datediff(
+        F.try_to_date(F.concat_ws("-", place(1, 7, 4), place(6, 4, 2), place(9, 1, 2)), "yyyy-MM-dd"),
+        F.lit(FIRST_DAY).cast("date")
+    ).cast("bigint")
     struct = lambda l, r, a, b: F.struct(l.alias("l"), r.alias("r"), F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b"))
     dated = _let(days, lambda d: F.when(d.isNotNull(), struct(d % DAY_A, F.floor(d / DAY_A), DAY_A, DAY_B)))
     number = lambda first, n: F.substring(t, first, n).cast("bigint")
     area = number(1, 3)
     ssn = struct(area - F.when(area > 666, 2).otherwise(1), (number(5, 2) - 1) * 9999 + number(8, 4) - 1, AREAS, GROUPED)
-    return F.when(kind == "ssn", ssn).when(kind == "ip", _let(o, lambda o: struct(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536))).when(kind.isin("iso_date", "day_date"), dated)
+    return F.when(kind == "ssn", ssn).when(
+        kind == "ip", _let(o, lambda o: struct(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536))
+    ).when(kind.isin("iso_date", "day_date"), dated)
 
 
 def _written(t: Column, kind: Column, chars: Column, pair: Column) -> Column:
@@ -176,17 +194,25 @@ def _written(t: Column, kind: Column, chars: Column, pair: Column) -> Column:
         .when(kind == "iso_date", F.date_format(moved, "yyyyMMdd")).when(kind == "day_date", F.date_format(moved, "ddMMyyyy")).otherwise(chars)
     )
     area = pair["l"] + F.when(pair["l"] >= 665, 2).otherwise(1)
-    ssn = F.concat_ws("-", F.lpad(area.cast("string"), 3, "0"), F.lpad((F.floor(pair["r"] / 9999) + 1).cast("string"), 2, "0"), F.lpad((pair["r"] % 9999 + 1).cast("string"), 4, "0"))
+    ssn = F.concat_ws(
+        "-", F.lpad(area.cast("string"), 3, "0"), F.lpad((F.floor(pair["r"] / 9999) + 1).cast("string"), 2, "0"),
+        F.lpad((pair["r"] % 9999 + 1).cast("string"), 4, "0")
+    )
     address = F.concat_ws(".", div(pair["l"]), (pair["l"] % 256).cast("string"), div(pair["r"]), (pair["r"] % 256).cast("string"))
     tail = F.when(kind == "email", F.concat(F.lit("@"), F.substring_index(t, "@", -1))).otherwise("")
     layout = F.when(kind == "email", F.substring_index(t, "@", 1)).otherwise(t)
-    return F.when(kind == "ip", address).when(kind == "ssn", ssn).when(new.isNull(), t).otherwise(F.concat(_let(new, lambda n: _fill(layout, n, "0-9A-Za-z")), tail))
+    return F.when(kind == "ip", address).when(kind == "ssn", ssn).when(new.isNull(), t).otherwise(
+        F.concat(_let(new, lambda n: _fill(layout, n, "0-9A-Za-z")), tail)
+    )
 
 
 def pseudonym(t: Column, key: str) -> Column:
     """The pseudonym of one found value; a value that fails its check is returned as it is."""
     tweak = lambda kind: F.when(kind.isin("iso_date", "day_date"), "date").otherwise(kind)
-    parts = lambda kind: F.struct(kind.alias("kind"), permute_chars(_permuted_part(t, kind), kind, key).alias("chars"), permute_pair(_pair(t, kind), tweak(kind), key).alias("pair"))
+    parts = lambda kind: F.struct(
+        kind.alias("kind"), permute_chars(_permuted_part(t, kind), kind, key).alias("chars"),
+        permute_pair(_pair(t, kind), tweak(kind), key).alias("pair")
+    )
     return _let(_let(_kind(t), parts), lambda p: F.when(p["kind"].isNull(), t).otherwise(_written(t, p["kind"], p["chars"], p["pair"])))
 
 
@@ -206,4 +232,6 @@ def pseudonymize(docs: DataFrame, key: str, *, text_col: str = "text", keep_colu
     gaps = F.split(text, ANY, -1)
     joined = F.array_join(F.zip_with(gaps, F.col("__new"), lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
     changed = F.size(F.filter(F.zip_with("__old", "__new", lambda a, b: a != b), lambda x: x))
-    return some.withColumns({text_col: F.when(F.size("__old") > 0, joined).otherwise(text), "n_values": F.when(F.size("__old") > 0, changed).otherwise(0).cast("bigint")}).drop("__old", "__new")
+    return some.withColumns(
+        {text_col: F.when(F.size("__old") > 0, joined).otherwise(text), "n_values": F.when(F.size("__old") > 0, changed).otherwise(0).cast("bigint")}
+    ).drop("__old", "__new")

@@ -102,7 +102,12 @@ class _Side:
     def both(cls, total: np.ndarray, d: int) -> tuple[_Side, _Side]:
         size = 2 + 2 * d + d * d
         parts = [total[:size], total[size:]]
-        return tuple(cls(v[0], v[1 : d + 1] / max(v[0], 1), v[d + 1] / max(v[0], 1), v[d + 2 : 2 * d + 2] / max(v[0], 1), v[2 * d + 2 :].reshape(d, d) / max(v[0], 1)) for v in parts)
+        return tuple(
+            cls(
+                v[0], v[1 : d + 1] / max(v[0], 1), v[d + 1] / max(v[0], 1), v[d + 2 : 2 * d + 2] / max(v[0], 1),
+                v[2 * d + 2 :].reshape(d, d) / max(v[0], 1)
+            ) for v in parts
+        )
 
 
 #: Adds up sums() over the rows of a half (0 or 1; None: all) at some weights.
@@ -219,7 +224,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     good = labels.where(usable & (F.col(label_col) == 1)).select(F.col(id_col).alias("id"), F.lit(True).alias("p")).distinct()
     pool = docs.where(usable).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     mapped = pool.mapInArrow(lean(_map_features), f"id {dict(docs.dtypes)[id_col]}, x array<float>")
-    joined = mapped.join(good, "id", "left").select("x", F.coalesce("p", F.lit(False)).alias("p"), F.pmod(F.xxhash64("id", F.lit(77)), F.lit(2)).cast("int").alias("half"))
+    joined = mapped.join(good, "id", "left").select(
+        "x", F.coalesce("p", F.lit(False)).alias("p"),
+        F.pmod(F.xxhash64("id", F.lit(77)), F.lit(2)).cast("int").alias("half")
+    )
     rows = cut(joined, folder, "features", TEXT_ROWS)
     size = len(_features.DENSE)
     total = _added(rows, lambda x, p: np.concatenate(([len(x), p.sum()], x.sum(0, dtype=np.float64), np.square(x.astype(np.float64)).sum(0))))
@@ -244,7 +252,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return model
 
 
-def score(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, keep_columns: bool = False) -> DataFrame:
+def score(
+    docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3,
+    keep_columns: bool = False
+) -> DataFrame:
     """Score every row of ``docs``: id (or all columns), held_out, score, predicted.
 
     Null and empty texts are scored as texts without words, very long ones whole.

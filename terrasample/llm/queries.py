@@ -18,7 +18,9 @@ KEY = "terrasample-demo-key"
 #: Site rules of the contract, then patterns of unwanted hosts.
 RULES = [
     urls.Rule("net/", "block", True), urls.Rule("example.net/en/", "allow", True), urls.Rule("example.com/de/", "block", True), urls.Rule("org/fr/", "allow", True),
-    *(urls.Rule(f"||{x}^", "block") for x in ("casino-win", "cheap-pills", "free-bets", "ads-track")), *(urls.Rule(x, "block") for x in ("/ads/", "^porn^", "^casino^", "^warez^")),
+    *(
+        urls.Rule(f"||{x}^", "block") for x in ("casino-win", "cheap-pills", "free-bets", "ads-track")
+    ), *(urls.Rule(x, "block") for x in ("/ads/", "^porn^", "^casino^", "^warez^")),
 ]
 
 
@@ -78,7 +80,12 @@ def op10_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_poisson_mix, op2_tag_path_ratios, op3_kmeans_cosine, op4_ordinal_toxicity, op5_pu_quality, op6_feistel_pseudonyms, op7_url_rules, op8_ngram_jaccard, op9_wavelet_shards, op10_wu_manber)}
+    return {
+        f.__name__: f for f in (
+            op1_poisson_mix, op2_tag_path_ratios, op3_kmeans_cosine, op4_ordinal_toxicity, op5_pu_quality,
+            op6_feistel_pseudonyms, op7_url_rules, op8_ngram_jaccard, op9_wavelet_shards, op10_wu_manber
+        )
+    }
 
 
 def _url_sql() -> str:

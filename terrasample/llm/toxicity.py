@@ -65,7 +65,10 @@ def present(column: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return pair >> 31, pair & (2**31 - 1), often
 
 
-def fit_ordinal(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, n_features: int, grades: int, l2: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(
+    row: np.ndarray, feature: np.ndarray, grade: np.ndarray, n_features: int, grades: int, l2: float = 1e-4,
+    steps: int = 400
+) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds that minimise the cumulative logistic loss over all thresholds."""
     n, y = len(grade), (grade[:, None] >= np.arange(1, grades + 1)[None, :]).astype(float)
 
@@ -81,7 +84,10 @@ def fit_ordinal(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, n_featu
     return p[:n_features], np.cumsum(np.append(p[n_features], np.exp(np.clip(p[n_features + 1 :], -20, 20))))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, min_ratio: float = 10.0, min_share: float = 0.0015) -> OrdinalModel | None:
+def train(
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    max_rows: int = 20_000, min_ratio: float = 10.0, min_share: float = 0.0015
+) -> OrdinalModel | None:
     """Fit on labelled rows that aren't held out; None where either class or all text is missing."""
     ship(docs.sparkSession)
     use = F.col(id_col).isNotNull() & ~held_out(id_col)
@@ -90,7 +96,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     if not n:
         return None
     part = F.pmod(F.xxhash64(F.col("id"), F.lit(78)), F.lit(1 << 30)) < F.lit(int(min(1.0, max_rows / n) * (1 << 30)))
-    sample = docs.where(use).select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(part).join(F.broadcast(seen.where(part)), "id").select("id", "y", "t")  # about max_rows labels
+    sample = docs.where(use).select(
+        F.col(id_col).alias("id"), F.col(text_col).alias("t")
+    ).where(part).join(F.broadcast(seen.where(part)), "id").select("id", "y", "t")  # about max_rows labels
     sample = cut(sample, shared_folder(docs.sparkSession), "sample")  # read three times below
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,19 +110,26 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
                 bucket, y = pair >> 24, y_all[i:j][pair & (2**24 - 1)]
                 some, at = np.unique(bucket, return_inverse=True)
                 bad = np.bincount(at, y, len(some)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(bad), pa.array(np.bincount(at, minlength=len(some)) - bad)], names=["bucket", "bad", "good"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some), pa.array(bad), pa.array(np.bincount(at, minlength=len(some)) - bad)],
+                    names=["bucket", "bad", "good"]
+                )
 
     totals = sample.groupBy("y").count().collect()
     n_bad, n_good = (sum(r["count"] for r in totals if (r["y"] > 0) == side) for side in (True, False))
     if not n_bad or not n_good:
         return None
-    c = sample.mapInArrow(lean(counts), "bucket long, bad long, good long").groupBy("bucket").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    c = sample.mapInArrow(lean(counts), "bucket long, bad long, good long").groupBy("bucket").agg(
+        F.sum("bad").alias("bad"), F.sum("good").alias("good")
+    )
     # signed likelihood ratio of "has the feature" against the label
     def term(k, n_all, rate):
         return k * F.log((k + 1e-9) / (n_all * rate)) + (n_all - k) * F.log((n_all - k + 1e-9) / (n_all * (1 - rate)))
 
     rate = (F.col("bad") + F.col("good")) / F.lit(float(n_bad + n_good))
-    c = c.where((rate < 1) & (F.col("bad") * n_good > F.col("good") * n_bad)).withColumn("llr", term(F.col("bad"), F.lit(float(n_bad)), rate) + term(F.col("good"), F.lit(float(n_good)), rate))
+    c = c.where((rate < 1) & (F.col("bad") * n_good > F.col("good") * n_bad)).withColumn(
+        "llr", term(F.col("bad"), F.lit(float(n_bad)), rate) + term(F.col("good"), F.lit(float(n_good)), rate)
+    )
     best = c.where(F.col("llr") >= max(min_ratio, min_share * (n_bad + n_good))).select("bucket").toArrow().column("bucket").to_numpy()  # of the bounded sample's words
     if not len(best):
         return None
@@ -126,9 +141,14 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             for i, j in _text.slices(whole.column(2)):
                 row, feature, often = present(whole.column(2).slice(i, j - i), table)
                 lists = np.split(feature, np.searchsorted(row, np.arange(1, j - i)))
-                yield pa.RecordBatch.from_arrays([whole.column(0).slice(i, j - i), whole.column(1).slice(i, j - i), pa.array(often), pa.array(lists, pa.list_(pa.int32()))], names=["id", "y", "often", "f"])
-
-    rows = sample.mapInArrow(lean(select), f"id {dict(docs.dtypes)[id_col]}, y int, often long, f array<int>").toArrow().sort_by([("id", "ascending"), ("often", "ascending")])
+                yield pa.RecordBatch.from_arrays(
+                    [whole.column(0).slice(i, j - i), whole.column(1).slice(i, j - i), pa.array(often), pa.array(lists, pa.list_(pa.int32()))],
+                    names=["id", "y", "often", "f"]
+                )
+
+    rows = sample.mapInArrow(
+        lean(select), f"id {dict(docs.dtypes)[id_col]}, y int, often long, f array<int>"
+    ).toArrow().sort_by([("id", "ascending"), ("often", "ascending")])
     y, often, lists = rows.column("y").to_numpy(), rows.column("often").to_numpy(), rows.column("f").combine_chunks()
     size = lists.value_lengths().to_numpy(zero_copy_only=False)
     row, feature = np.repeat(np.arange(len(y)), size), lists.flatten().to_numpy(zero_copy_only=False)

@@ -103,18 +103,29 @@ _RULE = "struct<text:string,action:string,site:boolean,regex:string>"
 
 def _fetched_in_plan(index: dict[str, list[int]], rules: Sequence[Rule], url: Column) -> Column:
     """The candidates of a URL by a map in the plan: those under its tokens, and those without a token."""
-    rule = lambda r: F.struct(F.lit(r.text).alias("text"), F.lit(r.action).alias("action"), F.lit(r.site).alias("site"), F.lit(r.regex()).alias("regex"))
+    rule = lambda r: F.struct(
+        F.lit(r.text).alias("text"), F.lit(r.action).alias("action"), F.lit(r.site).alias("site"),
+        F.lit(r.regex()).alias("regex")
+    )
     none = F.array().cast(f"array<{_RULE}>")
     under = {t: F.array(*(rule(rules[n]) for n in ns)) for t, ns in sorted(index.items())}
-    lookup = F.create_map(*(x for t, found in under.items() if t for x in (F.lit(t), found))) if any(under) else F.expr("map()").cast(f"map<string,array<{_RULE}>>")
+    lookup = F.create_map(
+        *(x for t, found in under.items() if t for x in (F.lit(t), found))
+    ) if any(under) else F.expr("map()").cast(f"map<string,array<{_RULE}>>")
     fetched = F.flatten(F.transform(url_tokens(url), lambda t: F.coalesce(lookup[t], none)))
     return F.concat(fetched, under.get("", none))
 
 
 def _best(c: str) -> list[Column]:
     """Of the rules that fit, an array: the longest site rule, allowing pattern, and pattern (ties: the alphabetically first)."""
-    longest = lambda keep: F.array_min(F.transform(F.filter(c, keep), lambda x: F.struct((-F.length(x["text"])).alias("n"), x["text"].alias("text"), x["action"].alias("action"))))
-    return [longest(lambda x: x["site"]).alias("__s"), longest(lambda x: ~x["site"] & (x["action"] == "allow")).alias("__a"), longest(lambda x: ~x["site"]).alias("__p")]
+    longest = lambda keep: F.array_min(
+        F.transform(F.filter(c, keep), lambda x: F.struct((-F.length(x["text"])).alias("n"), x["text"].alias("text"), x["action"].alias("action")))
+    )
+    return [
+        longest(lambda x: x["site"]).alias("__s"),
+        longest(lambda x: ~x["site"] & (x["action"] == "allow")).alias("__a"),
+        longest(lambda x: ~x["site"]).alias("__p")
+    ]
 
 
 def _fits(rule: Column, url: Column) -> Column:
@@ -152,10 +163,15 @@ def judge(pages: DataFrame, rules: Sequence[Rule], *, url_col: str = "url", defa
     out = pages.select(*(F.col(f"`{c}`") for c in own)).withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
     if len(rules) <= in_plan:
         url = F.coalesce(F.col(url_col), F.lit(""))
-        out = out.withColumn("__c", _fetched_in_plan(index, rules, url)).withColumn("__c", F.filter("__c", lambda c: F.regexp_like(F.when(c["site"], F.concat("host", "path")).otherwise(lower_ascii(url)), c["regex"])))
+        out = out.withColumn("__c", _fetched_in_plan(index, rules, url)).withColumn(
+            "__c",
+            F.filter("__c", lambda c: F.regexp_like(F.when(c["site"], F.concat("host", "path")).otherwise(lower_ascii(url)), c["regex"]))
+        )
         out = out.select("*", *_best("__c")).drop("__c")
     else:
         found = _judged_by_table(pages, index, rules, url_col)
         out = out.join(found, F.col(url_col).eqNullSafe(F.col("__url")), "left").drop("__url")
     pattern = F.coalesce("__a", "__p")
-    return out.withColumns({"rule": F.col("__s")["text"], "pattern": pattern["text"], "verdict": F.coalesce(F.col("__s")["action"], pattern["action"], F.lit(default))}).drop("__s", "__a", "__p")
+    return out.withColumns(
+        {"rule": F.col("__s")["text"], "pattern": pattern["text"], "verdict": F.coalesce(F.col("__s")["action"], pattern["action"], F.lit(default))}
+    ).drop("__s", "__a", "__p")

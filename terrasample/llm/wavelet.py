@@ -24,7 +24,10 @@ _BLOCK = 512
 class WaveletMatrix:
     """Token access, counting and occurrence lookup without decoding the shard."""
 
-    def __init__(self, n: int, symbols: np.ndarray, zeros: list[int], words: list[np.ndarray], ranks: list[np.ndarray], docs: list[int | None], starts: np.ndarray):
+    def __init__(
+        self, n: int, symbols: np.ndarray, zeros: list[int], words: list[np.ndarray], ranks: list[np.ndarray],
+        docs: list[int | None], starts: np.ndarray
+    ):
         self.n, self.symbols, self.zeros, self.words, self.ranks, self.docs, self.starts = n, symbols, zeros, words, ranks, docs, starts
 
     @classmethod
@@ -52,7 +55,10 @@ class WaveletMatrix:
 
     def to_bytes(self) -> bytes:
         out = [MAGIC, struct.pack("<4Q", self.n, len(self.symbols), len(self.zeros), len(self.docs)), self.symbols.astype("<u4").tobytes()]
-        out += [np.array([d or 0 for d in self.docs], "<i8").tobytes(), np.array([d is None for d in self.docs], np.uint8).tobytes(), self.starts.astype("<u8").tobytes()]
+        out += [
+            np.array([d or 0 for d in self.docs], "<i8").tobytes(),
+            np.array([d is None for d in self.docs], np.uint8).tobytes(), self.starts.astype("<u8").tobytes()
+        ]
         for z, r, w in zip(self.zeros, self.ranks, self.words, strict=True):
             out += [struct.pack("<Q", z), r.tobytes(), w.tobytes()]
         return b"".join(out)
@@ -77,7 +83,10 @@ class WaveletMatrix:
             zeros.append(int(take("<u8", 1)[0]))
             ranks.append(take("<u4", blocks + 1))
             words.append(take("<u8", blocks * 8))
-        return cls(n, symbols, zeros, words, ranks, [None if z else d for d, z in zip(docs.tolist(), null.tolist(), strict=True)], starts.astype(np.int64))
+        return cls(
+            n, symbols, zeros, words, ranks,
+            [None if z else d for d, z in zip(docs.tolist(), null.tolist(), strict=True)], starts.astype(np.int64)
+        )
 
     def _rank1(self, p: int, i: np.ndarray) -> np.ndarray:
         """Set bits of plane ``p`` before each place."""

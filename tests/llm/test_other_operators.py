@@ -14,10 +14,23 @@ from terrasample.llm.wavelet import WaveletMatrix
 @pytest.mark.parametrize(
     ("page", "text"),
     [
-        ("<article><h1>A title</h1><p>One, two.<p>Three  &amp; <b>four</b>.<br>Five</article><footer>f, g.</footer>", "A title\nOne, two.\nThree & four. Five"),
-        ("<nav><ul><li><a>x</a></ul></nav><div class='content'><p>Long text, with marks. More of it.</p><p>Short.</p></div><div class='comments'><p>I liked it, really.</p></div>", "Long text, with marks. More of it.\nShort."),
-        ("<body><script>var t='</p>';</script><div class=\"cookie-notice\">We use cookies, ok.</div><main><p>Text, here.</p><form><p>Name, please.</p></form></main>", "Text, here."),
-        ("<article><p>Cut off he", "Cut off he"), ("<article><p>Cut in a tag <a hre", "Cut in a tag"), ("<p>a &lt; b &#233; &eacute", "a < b é é"), ("plain text", "plain text"), ("", ""), (None, ""), ("<nav>menu</nav>", ""), ("<!-- only", ""),
+        (
+            "<article><h1>A title</h1><p>One, two.<p>Three  &amp; <b>four</b>.<br>Five</article><footer>f, g.</footer>",
+            "A title\nOne, two.\nThree & four. Five"
+        ),
+        (
+            "<nav><ul><li><a>x</a></ul></nav><div class='content'><p>Long text, with marks. More of it.</p><p>Short.</p></div><div class='comments'><p>I liked it, really.</p></div>",
+            "Long text, with marks. More of it.\nShort."
+        ),
+        (
+            "<body><script>var t='</p>';</script><div class=\"cookie-notice\">We use cookies, ok.</div><main><p>Text, here.</p><form><p>Name, please.</p></form></main>",
+            "Text, here."
+        ),
+        ("<article><p>Cut off he", "Cut off he"), (
+            "<article><p>Cut in a tag <a hre", "Cut in a tag"
+        ), (
+            "<p>a &lt; b &#233; &eacute", "a < b é é"
+        ), ("plain text", "plain text"), ("", ""), (None, ""), ("<nav>menu</nav>", ""), ("<!-- only", ""),
     ],
 )
 def test_main_text(page, text):
@@ -27,10 +40,20 @@ def test_main_text(page, text):
 LONG = "Words of the longest part, with marks, and more of them. " * 12
 
 
-@pytest.mark.parametrize("part", ["<ul><li>{0}</li><li>{0}</li></ul>", "<ol><li>{0}<li>{0}</ol>", "<table><tbody><tr><td>{0}</td></tr><tr><td>{0}</td></tr></tbody></table>", "<blockquote><p>{0}</p><p>{0}</p></blockquote>", "<section><p>{0}</p><p>{0}</p></section>", "<div><p>{0}</p><p>{0}</p></div>", "<pre>{0}</pre>"])
+@pytest.mark.parametrize(
+    "part",
+    [
+        "<ul><li>{0}</li><li>{0}</li></ul>", "<ol><li>{0}<li>{0}</ol>",
+        "<table><tbody><tr><td>{0}</td></tr><tr><td>{0}</td></tr></tbody></table>",
+        "<blockquote><p>{0}</p><p>{0}</p></blockquote>", "<section><p>{0}</p><p>{0}</p></section>",
+        "<div><p>{0}</p><p>{0}</p></div>", "<pre>{0}</pre>"
+    ]
+)
 @pytest.mark.parametrize("around", ["<article>{}</article>", "<div class='content'>{}</div>", "{}"])
 def test_main_text_holds_the_whole_article(part, around):
-    page = "<body><nav><ul><li><a>Home</a></ul></nav>" + around.format("<h1>The title of it</h1><p>An introduction, of some words, that stands before the part.</p>" + part.format(LONG) + "<p>And a last paragraph, after the part, of some words.</p>") + "<footer>Foot, of it.</footer></body>"
+    page = "<body><nav><ul><li><a>Home</a></ul></nav>" + around.format(
+        "<h1>The title of it</h1><p>An introduction, of some words, that stands before the part.</p>" + part.format(LONG) + "<p>And a last paragraph, after the part, of some words.</p>"
+    ) + "<footer>Foot, of it.</footer></body>"
     lines = html.main_text(page).split("\n")
     assert lines[:2] == ["The title of it", "An introduction, of some words, that stands before the part."]
     assert lines[-1] == "And a last paragraph, after the part, of some words." and set(lines[2:-1]) == {LONG.strip()}
@@ -51,7 +74,9 @@ def test_main_text_in_a_wrapper_with_a_noise_word(wrap, tag):
 
 def test_main_text_is_not_emptied_by_words_but_comments_stay_out():
     assert html.main_text("<body><div class='legal'><p>One, two.</p></div></body>") == "One, two."
-    assert html.main_text("<body><div class='legal'><p>One, two.</p></div><div class='notice'><p>Six, ten.</p></div></body>") == "One, two.\nSix, ten."
+    assert html.main_text(
+        "<body><div class='legal'><p>One, two.</p></div><div class='notice'><p>Six, ten.</p></div></body>"
+    ) == "One, two.\nSix, ten."
     said = f"<div id='comments'><p>{LONG}</p></div>"
     for part in ("<article><p>{}</p></article>", "<div><p>{}</p></div>"):
         assert html.main_text("<body>" + part.format(LONG[:-1]) + said + "</body>") == LONG.strip()
@@ -67,11 +92,17 @@ def plain_ratios(page, sigma):
 
     clean = [" ".join(x.split()) for x in page.text]
     paths = [path(i) for i in range(len(clean))]
-    mean = {p: [sum(f(clean[i]) for i in own) / len(own) for f in (len, lambda x: len(html._MARK.findall(x)))] for p in set(paths) if (own := [i for i, q in enumerate(paths) if q == p and clean[i]])}
+    mean = {
+        p: [
+            sum(f(clean[i]) for i in own) / len(own) for f in (len, lambda x: len(html._MARK.findall(x)))
+        ] for p in set(paths) if (own := [i for i, q in enumerate(paths) if q == p and clean[i]])
+    }
     seen = [i for i, x in enumerate(clean) if x]
     fused = {}
     for k, i in enumerate(seen):
-        near = [(np.exp(-0.5 * ((k - j) / sigma) ** 2), paths[seen[j]]) for j in range(max(0, k - int(3 * sigma)), min(len(seen), k + int(3 * sigma) + 1))]
+        near = [
+            (np.exp(-0.5 * ((k - j) / sigma) ** 2), paths[seen[j]]) for j in range(max(0, k - int(3 * sigma)), min(len(seen), k + int(3 * sigma) + 1))
+        ]
         a, b = (sum(w * mean[p][n] for w, p in near) / sum(w for w, _ in near) for n in (0, 1))
         fused.setdefault(paths[i], []).append(a * (1 + b))
     return [sum(fused[p]) / len(fused[p]) if p in fused else 0.0 for p in paths]
@@ -120,7 +151,10 @@ def test_deep_nesting_takes_linear_time():
 
 
 def test_extract_keeps_rows(spark):
-    pages = spark.createDataFrame([(1, "u", None, 7), (1, "u", "<p>" + "a, b. " * 30000, 8), (None, None, "", 9)], "page_id long, url string, html string, n_chars int")
+    pages = spark.createDataFrame(
+        [(1, "u", None, 7), (1, "u", "<p>" + "a, b. " * 30000, 8), (None, None, "", 9)],
+        "page_id long, url string, html string, n_chars int"
+    )
     assert sorted(r["n_chars"] for r in html.extract(pages).collect()) == [0, 0, 30000 * 6 - 1]
     assert html.extract(pages.limit(0)).count() == 0
 
@@ -139,11 +173,18 @@ def plain_links(x, t):
 def test_embeddings_equal_all_pairs(spark, cell, block):
     r = np.random.default_rng(1)
     x = r.normal(size=(60, 8))
-    x = np.concatenate((x, x[:30] + r.normal(size=(30, 8)) * 0.1, x[:10] + r.normal(size=(10, 8)) * 0.05, x[:5], np.repeat(x[:1], 40, 0) + r.normal(size=(40, 8)) * 0.02)).astype(np.float32)
+    x = np.concatenate(
+        (
+            x, x[:30] + r.normal(size=(30, 8)) * 0.1, x[:10] + r.normal(size=(10, 8)) * 0.05, x[:5],
+            np.repeat(x[:1], 40, 0) + r.normal(size=(40, 8)) * 0.02
+        )
+    ).astype(np.float32)
     rows = [(k, [float(c) for c in v], k) for k, v in enumerate(x)]
     odd = [(1000, None, 0), (1001, [0.0] * 8, 0), (1002, [float("nan")] * 8, 0), (1003, [1.0, None] * 4, 0), (1004, [1.0], 0), (1005, [], 0)]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, n_links int")
-    got = {v["vec_id"]: (v["n_links"], v["component_id"], v["kept"]) for v in embeddings.near_duplicates(df, cell_rows=cell, block_bytes=block).collect()}
+    got = {
+        v["vec_id"]: (v["n_links"], v["component_id"], v["kept"]) for v in embeddings.near_duplicates(df, cell_rows=cell, block_bytes=block).collect()
+    }
     n, low = plain_links(x.astype(float), 0.95)
     assert got == {k: (n[k], low[k], low[k] == k) for k in range(len(x))} | {k: (0, k, True) for k, _, _ in odd}
 
@@ -156,8 +197,13 @@ def test_embeddings_of_several_lengths(spark, cell, block):
         x = r.normal(size=(n, d))
         x[n // 2 : n // 2 + n // 4] = x[: n // 4] + r.normal(size=(n // 4, d)) * 0.05
         sets.append((1000 * at, np.concatenate((x, x[:4])).astype(np.float32)))
-    df = spark.createDataFrame([(base + k, [float(c) for c in v]) for base, x in sets for k, v in enumerate(x)], "vec_id long, embedding array<float>")
-    got = {v["vec_id"]: (v["n_links"], v["component_id"], v["kept"]) for v in embeddings.near_duplicates(df, cell_rows=cell, block_bytes=block).collect()}
+    df = spark.createDataFrame(
+        [(base + k, [float(c) for c in v]) for base, x in sets for k, v in enumerate(x)],
+        "vec_id long, embedding array<float>"
+    )
+    got = {
+        v["vec_id"]: (v["n_links"], v["component_id"], v["kept"]) for v in embeddings.near_duplicates(df, cell_rows=cell, block_bytes=block).collect()
+    }
     want = {}
     for base, x in sets:
         n, low = plain_links(x.astype(float), 0.95)
@@ -200,8 +246,16 @@ def test_components_of_a_chain_and_a_star(spark, per_group):
 
 
 def test_url_rules(spark):
-    rules = [urls.Rule("net/", "block", True), urls.Rule("example.net/en/", "allow", True), urls.Rule("||ads.example^", "block"), urls.Rule("/good/", "allow"), urls.Rule("*spam*", "block"), urls.Rule("|http://exact|", "block")]
-    rows = ["http://a.example.net/en/x", "http://example.net/EN/x", "http://notexample.net?q=/en/", "https://ads.example/x", "https://ads.example/good/x", "https://badads.example/x", "http://x.org/myspammer", "http://exact", "http://exact/", None, "no scheme", "HTTP://A.NET/", "http://x.net", "a://b://c.net/"]
+    rules = [
+        urls.Rule("net/", "block", True), urls.Rule("example.net/en/", "allow", True),
+        urls.Rule("||ads.example^", "block"), urls.Rule("/good/", "allow"), urls.Rule("*spam*", "block"),
+        urls.Rule("|http://exact|", "block")
+    ]
+    rows = [
+        "http://a.example.net/en/x", "http://example.net/EN/x", "http://notexample.net?q=/en/",
+        "https://ads.example/x", "https://ads.example/good/x", "https://badads.example/x", "http://x.org/myspammer",
+        "http://exact", "http://exact/", None, "no scheme", "HTTP://A.NET/", "http://x.net", "a://b://c.net/"
+    ]
     df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judge(df, rules).collect()}
     assert got[0] == ("a.example.net", "/en/x", "example.net/en/", "allow")
@@ -213,9 +267,19 @@ def test_url_rules(spark):
     assert urls.judge(df.limit(0), []).count() == 0
     # the same by a table of rules, with repeated rows and columns of clashing names
     twice = df.unionByName(df).withColumn("host", F.lit("mine")).withColumn("extra", F.lit(1))
-    plan, table = (sorted((tuple(str(x) for x in r) for r in urls.judge(twice, rules, in_plan=n).select("page_id", "host", "path", "rule", "pattern", "verdict", "extra").collect())) for n in (100, 0))
+    plan, table = (
+        sorted(
+            (
+                tuple(str(x) for x in r) for r in urls.judge(twice, rules, in_plan=n).select(
+                    "page_id", "host", "path", "rule", "pattern", "verdict", "extra"
+                ).collect()
+            )
+        ) for n in (100, 0)
+    )
     assert plan == table and len(plan) == 2 * len(rows)
-    assert urls.judge(df.limit(0), rules, in_plan=0).count() == 0 and urls.judge(spark.createDataFrame([(1, "http://x.net/" + "a/" * 50_000)], "page_id long, url string"), rules).first()["rule"] == "net/"
+    assert urls.judge(df.limit(0), rules, in_plan=0).count() == 0 and urls.judge(
+        spark.createDataFrame([(1, "http://x.net/" + "a/" * 50_000)], "page_id long, url string"), rules
+    ).first()["rule"] == "net/"
 
 
 def test_many_rules_come_by_a_table(spark):
@@ -261,13 +325,20 @@ def test_token_table_equals_the_library(spark):
     r = random.Random(3)
     odd = ["", None, "a's b'sx 're've don't I'M", "  lead tail  ", " \n\n x\ty", "<|endoftext|> x", "é’s 12³ 中文字 😀'm", "x" * 3000]
     rows = list(enumerate(odd + ["".join(r.choice("ab'sretlmdv  \n1.é€") for _ in range(r.randrange(60))) for _ in range(300)]))
-    got = {x["doc_id"]: (x["start"], x["n_tokens"], x["ids_crc32"]) for x in tokens.token_table(spark.createDataFrame(rows, "doc_id long, text string"), queries.tokenizer_path(), shard_tokens=500).collect()}
+    got = {
+        x["doc_id"]: (x["start"], x["n_tokens"], x["ids_crc32"]) for x in tokens.token_table(
+            spark.createDataFrame(rows, "doc_id long, text string"), queries.tokenizer_path(), shard_tokens=500
+        ).collect()
+    }
     assert got == plain_tokens(queries.tokenizer_path(), rows)
     assert tokens.token_table(spark.createDataFrame([], "doc_id long, text string"), queries.tokenizer_path()).count() == 0
 
 
 def test_queries_return_a_row_per_input_row(spark, data):
-    for name, source in (("op2_tag_path_ratios", "pages"), ("op3_kmeans_cosine", "embeddings"), ("op5_pu_quality", "documents"), ("op7_url_rules", "pages"), ("op9_wavelet_shards", "documents")):
+    for name, source in (
+        ("op2_tag_path_ratios", "pages"), ("op3_kmeans_cosine", "embeddings"), ("op5_pu_quality", "documents"),
+        ("op7_url_rules", "pages"), ("op9_wavelet_shards", "documents")
+    ):
         assert queries.queries()[name](spark, data).count() == spark.read.parquet(f"{data}/{source}.parquet").count()
 
 
@@ -278,7 +349,9 @@ def test_pipeline_equals_its_plain_version(spark, data):
     from test_text_operators import plain_components, plain_contamination, shingles
 
     docs = spark.read.parquet(f"{data}/documents.parquet")
-    good = {r["doc_id"] for r in quality.score(docs, quality.train(docs, spark.read.parquet(f"{data}/labels.parquet"))).where("predicted = 1").collect()}
+    good = {
+        r["doc_id"] for r in quality.score(docs, quality.train(docs, spark.read.parquet(f"{data}/labels.parquet"))).where("predicted = 1").collect()
+    }
     rows = {r["doc_id"]: r for r in docs.collect() if r["doc_id"] in good}
     component = plain_components({k: shingles(r["text"]) for k, r in rows.items()})
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
@@ -296,7 +369,13 @@ CLASHING = "doc_id long, text string, lang string, source string, n_chars long,
 
 def odd_documents(spark):
     long = " ".join(f"word{k % 997}x{k}" for k in range(60_000))
-    rows = [(1, "one two three four five six", "en", "src0"), (1, "one two three four five six", "en", "src0"), (1, "other words of the same id, all of them new", "en", "src1"), (2, "one two three four five six", None, None), (3, None, "en", "src2"), (3, "", "en", "src2"), (None, None, None, None), (None, "one two three four five six", "en", "src0"), (5, long, "en", "src1"), (6, long + " end", "en", "src1")]
+    rows = [
+        (1, "one two three four five six", "en", "src0"), (1, "one two three four five six", "en", "src0"),
+        (1, "other words of the same id, all of them new", "en", "src1"),
+        (2, "one two three four five six", None, None), (3, None, "en", "src2"), (3, "", "en", "src2"),
+        (None, None, None, None), (None, "one two three four five six", "en", "src0"), (5, long, "en", "src1"),
+        (6, long + " end", "en", "src1")
+    ]
     return spark.createDataFrame([(*r, len(r[1] or ""), f"s{k}", k, float(k), k, f"p{k}") for k, r in enumerate(rows)], CLASHING)
 
 
@@ -330,6 +409,28 @@ def test_pipeline_without_labels_keeps_all(spark, tmp_path):
     assert cp.keep_quality(spark, docs, str(tmp_path)).count() == docs.count()
 
 
+@pytest.mark.parametrize("most", [50, 3000, 10**6])
+def test_encoder_equals_the_library(most):
+    """Odd pieces in every order, also where the table of pieces is often full."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    plain, r = Tokenizer.from_file(queries.tokenizer_path()), random.Random(3)
+    parts = [
+        "a", "B", "z", "é", "ß", "1", "٣", "!", "'", "'s", "'ll", " ", "  ", "\n", "\t", "\r\n", "\u00a0", "中", "😀",
+        "…", "don't", "I'VE", "\x00", "_", " x", " word"
+    ]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(60))) for _ in range(3000)] + [None, "", "\n", "\n\n", "a\n", "\n a"]
+    encoder = tokens.Encoder(queries.tokenizer_path(), most=most)
+    for i in range(0, len(texts), 97):
+        ids, count = encoder.encode(texts[i : i + 97])
+        upto = 0
+        for text, n in zip(texts[i : i + 97], count.tolist(), strict=True):
+            assert ids[upto : upto + n].tolist() == plain.encode(text or "", add_special_tokens=False).ids
+            upto += n
+
+
 def test_token_table_of_odd_rows(spark):
     docs = odd_documents(spark)
     got = tokens.token_table(docs, queries.tokenizer_path()).orderBy("start").collect()

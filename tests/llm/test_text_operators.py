@@ -73,7 +73,12 @@ def test_decontaminate_in_parts_equals_one_search(spark):
     docs = spark.createDataFrame([(k % 30 or None, t, "x") for k, t in enumerate(texts)], DOC + ", n_hit string")
     bench = spark.createDataFrame(items, "item_id string, text string")
     key = lambda r: tuple(str(x) for x in r)
-    whole, parts = (sorted((tuple(r) for r in decontaminate.decontaminate(docs, bench, window=3, part_chars=n, keep_columns=True).collect()), key=key) for n in (10**6, 120))
+    whole, parts = (
+        sorted(
+            (tuple(r) for r in decontaminate.decontaminate(docs, bench, window=3, part_chars=n, keep_columns=True).collect()),
+            key=key
+        ) for n in (10**6, 120)
+    )
     assert whole == parts and len(whole) == len(texts)
 
 
@@ -158,8 +163,13 @@ def test_linked_pairs_are_all_pairs(spark):
 
 
 def test_ngram_join_odd_tables(spark):
-    long = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(200_000)), "x"), (2, " ".join(f"w{k}" for k in range(190_000)), "y")], DOC + ", component_id string")
-    assert [(r["n_shingles"], r["component_id"]) for r in ngram_join.similar_documents(long).orderBy("doc_id").collect()] == [(199_996, 1), (189_996, 1)]
+    long = spark.createDataFrame(
+        [(1, " ".join(f"w{k}" for k in range(200_000)), "x"), (2, " ".join(f"w{k}" for k in range(190_000)), "y")],
+        DOC + ", component_id string"
+    )
+    assert [
+        (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_documents(long).orderBy("doc_id").collect()
+    ] == [(199_996, 1), (189_996, 1)]
     docs = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (5, None)], DOC)
     got = sorted(((x["doc_id"], x["n_shingles"], x["component_id"]) for x in ngram_join.similar_documents(docs).collect()), key=str)
     assert got == sorted([(None, 2, None), (3, 2, 3), (3, 2, 3), (5, 0, 5)], key=str)
@@ -190,7 +200,9 @@ def test_quality_scores_held_out_rows(spark, data):
     good, bad = ([r["score"] for r in rows if r["quality"] == q] for q in (1, 0))
     assert np.mean([g > b for g in good for b in bad]) > 0.95
     assert np.mean([g >= 0.3 for g in good]) > 0.97
-    assert {r["doc_id"]: r["held_out"] for r in out.limit(50).collect()} == {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in out.limit(50).collect()}
+    assert {r["doc_id"]: r["held_out"] for r in out.limit(50).collect()} == {
+        r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in out.limit(50).collect()
+    }
 
 
 def test_nonnegative_risk_recovers_positives():
@@ -221,7 +233,9 @@ def test_quality_on_spark_equals_the_fit_on_arrays(spark, data):
     x, p, half = _features.dense(pa.array(use["text"])), use["doc_id"].isin(good).to_numpy(), use["half"].to_numpy()
     of = lambda part: half == part if part is not None else half >= 0
     want = quality.fit(
-        lambda m, w, part: quality.sums(x[of(part)], p[of(part)], m, w), lambda m, w, part: (quality._binned(x[of(part) & p], m, w), quality._binned(x[of(part)], m, w)),
+        lambda m, w, part: quality.sums(x[of(part)], p[of(part)], m, w), lambda m, w, part: (
+            quality._binned(x[of(part) & p], m, w), quality._binned(x[of(part)], m, w)
+        ),
         x.mean(0, dtype=float), x.std(0, dtype=float) + 1e-6,
     )
     assert np.allclose(got.weight, want.weight, atol=1e-4) and abs(got.prior - want.prior) < 1e-6
@@ -289,7 +303,10 @@ def test_toxicity_finds_marked_documents(spark):
 
 
 def test_mixture_follows_rates(spark):
-    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 == 0, "a").when(F.col("id") % 4 == 1, "b").alias("source"), F.lit(9).alias("copy"))
+    docs = spark.range(4000).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") % 4 == 0, "a").when(F.col("id") % 4 == 1, "b").alias("source"), F.lit(9).alias("copy")
+    )
     out = mix.poisson_mix(docs, {"a": 0.5, "b": 0.1, "none": 0.1}, size=1.0)
     n = {r["source"]: r["n"] for r in out.groupBy("source").agg(F.count("*").alias("n")).collect()}
     assert abs(n["a"] - 2000) < 150 and abs(n["b"] - 400) < 80
@@ -309,7 +326,9 @@ def test_poisson_quantiles():
 
 def test_large_rates_are_sums_of_draws(spark):
     docs = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2, "rare").otherwise("rest").alias("source"))
-    out = mix.poisson_mix(docs, {"rare": 0.99}, size=100.0, shuffle=False).groupBy("doc_id", "source").agg(F.count("*").alias("n"), F.max("copies").alias("c")).where("source = 'rare'").collect()
+    out = mix.poisson_mix(docs, {"rare": 0.99}, size=100.0, shuffle=False).groupBy("doc_id", "source").agg(
+        F.count("*").alias("n"), F.max("copies").alias("c")
+    ).where("source = 'rare'").collect()
     assert len(out) == 2 and all(r["n"] == r["c"] and abs(r["n"] - 19_800) < 700 for r in out)
 
     def draw(seed, doc, k, rate):
@@ -362,7 +381,10 @@ def test_pseudonyms_keep_formats(spark):
     new = out[1][0]
     assert "2021-02-30" in new and "4417744280351548" in new and out[1][1] == 7
     assert not any(v in new for v in ("97.51.17.173", "2021-03-30", "30.03.2021", "a.b-1@", "DE89370400440532013000", "123-45-6789", "24be64"))
-    m = re.fullmatch(r"ip (\d+)\.(\d+)\.(\d+)\.(\d+) on (\d{4})-(\d\d)-(\d\d) or (\d\d)\.(\d\d)\.(\d{4}), not 2021-02-30 nor 4417744280351548; ([a-z])\.([a-z])-(\d)@mail\.example\.com (DE\d{20}) \d{3}-\d\d-\d{4} [0-9a-f]{40}", new)
+    m = re.fullmatch(
+        r"ip (\d+)\.(\d+)\.(\d+)\.(\d+) on (\d{4})-(\d\d)-(\d\d) or (\d\d)\.(\d\d)\.(\d{4}), not 2021-02-30 nor 4417744280351548; ([a-z])\.([a-z])-(\d)@mail\.example\.com (DE\d{20}) \d{3}-\d\d-\d{4} [0-9a-f]{40}",
+        new
+    )
     assert m and all(int(x) < 256 for x in m.groups()[:4])
     assert m.groups()[4:7] == (m[10], m[9], m[8])  # one day in two layouts
     assert int("".join(str(int(c, 36)) for c in m[14][4:] + m[14][:4])) % 97 == 1
@@ -427,8 +449,13 @@ def test_every_kind_of_pseudonym_equals_its_plain_version(spark):
     values = [("ip", f"{r.randrange(256)}.{r.randrange(256)}.{r.randrange(256)}.{r.randrange(256)}") for _ in range(20)]
     values += [("ssn", f"{a:03d}-{r.randrange(1, 100):02d}-{r.randrange(1, 10000):04d}") for a in (1, 2, 665, 667, 898, 899)]
     values += [("iso_date", d) for d in ("1900-01-01", "2099/12/31", "2024.02.29")] + [("day_date", d) for d in ("01.01.1900", "31-12-2099")]
-    values += [("iban", "DE89370400440532013000"), ("iban", "GB82 WEST 1234 5698 7654 32"), ("card", "4417 7442 8035 1547"), ("card", "378282246310005"), ("phone", "+1 (017) 555-7713")]
-    values += [("secret", hexa(n)) for n in (32, 40, 128, 1000)] + [("email", e) for e in ("a.b-1@mail.example.com", "x" * 300 + "@" + "sub." * 40 + "example.org")]
+    values += [
+        ("iban", "DE89370400440532013000"), ("iban", "GB82 WEST 1234 5698 7654 32"), ("card", "4417 7442 8035 1547"),
+        ("card", "378282246310005"), ("phone", "+1 (017) 555-7713")
+    ]
+    values += [("secret", hexa(n)) for n in (32, 40, 128, 1000)] + [
+        ("email", e) for e in ("a.b-1@mail.example.com", "x" * 300 + "@" + "sub." * 40 + "example.org")
+    ]
     docs = spark.createDataFrame([(k, f"see {v}, ok") for k, (_, v) in enumerate(values)], DOC)
     got = [x["text"] for x in pseudonyms.pseudonymize(docs, "k").orderBy("doc_id").collect()]
     assert got == [f"see {plain_pseudonym(kind, v, 'k')}, ok" for kind, v in values]
@@ -436,7 +463,13 @@ def test_every_kind_of_pseudonym_equals_its_plain_version(spark):
 
 def test_social_security_numbers_stay_in_their_format(spark):
     pattern = re.compile(pseudonyms.PATTERNS["ssn"])
-    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat_ws("-", F.lpad((F.col("id") % 600 + 1).cast("string"), 3, "0"), F.lpad((F.col("id") % 99 + 1).cast("string"), 2, "0"), F.lpad((F.col("id") + 1).cast("string"), 4, "0")).alias("text"))
+    docs = spark.range(5000).select(
+        F.col("id").alias("doc_id"),
+        F.concat_ws(
+            "-", F.lpad((F.col("id") % 600 + 1).cast("string"), 3, "0"),
+            F.lpad((F.col("id") % 99 + 1).cast("string"), 2, "0"), F.lpad((F.col("id") + 1).cast("string"), 4, "0")
+        ).alias("text")
+    )
     got = [r["text"] for r in pseudonyms.pseudonymize(docs, "k").collect()]
     assert len(set(got)) == 5000 and all(pattern.fullmatch(x) for x in got)
 
@@ -448,12 +481,18 @@ def test_bank_numbers_without_right_check_digits_stay(spark):
 
 
 def test_pseudonyms_of_odd_tables(spark):
-    docs = spark.createDataFrame([(1, "1.2.3.4 " * 20_000, "x"), (1, "1.2.3.4", "y"), (1, "1.2.3.4", "y"), (None, "", None)], DOC + ", n_values string")
+    docs = spark.createDataFrame(
+        [(1, "1.2.3.4 " * 20_000, "x"), (1, "1.2.3.4", "y"), (1, "1.2.3.4", "y"), (None, "", None)],
+        DOC + ", n_values string"
+    )
     rows = pseudonyms.pseudonymize(docs, "k").collect()
     assert sorted(r["n_values"] for r in rows) == [0, 1, 1, 20_000] and docs.columns == pseudonyms.pseudonymize(docs, "k").columns
     assert pseudonyms.pseudonymize(docs.limit(0), "k").count() == 0
 
 
 def test_pseudonyms_are_a_permutation(spark):
-    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("1.2."), F.floor(F.col("id") / 200).cast("string"), F.lit("."), (F.col("id") % 200).cast("string")).alias("text"))
+    docs = spark.range(3000).select(
+        F.col("id").alias("doc_id"),
+        F.concat(F.lit("1.2."), F.floor(F.col("id") / 200).cast("string"), F.lit("."), (F.col("id") % 200).cast("string")).alias("text")
+    )
     assert pseudonyms.pseudonymize(docs, "k").select("text").distinct().count() == 3000
