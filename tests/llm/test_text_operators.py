@@ -275,7 +275,7 @@ def test_ordinal_fit_recovers_a_threshold_model():
 
 
 def test_toxicity_of_odd_tables(spark):
-    docs = spark.createDataFrame([(k, "vile words here" if k % 3 == 0 else "some other words", "x") for k in range(300)], DOC + ", grade string")
+    docs = spark.createDataFrame([(k, "vile words here" if k % 3 == 0 else "other words here", "x") for k in range(300)], DOC + ", grade string")
     labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(300)], "doc_id long, toxic int")
     model = toxicity.train(docs.unionByName(docs.limit(10)), labels)
     odd = spark.createDataFrame([(1, "vile words " * 50_000, "x"), (1, None, "y"), (1, None, "y"), (None, "", "z")], DOC + ", grade string")
