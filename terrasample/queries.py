@@ -585,7 +585,7 @@ def extract_tabular(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_END = _win(12, size=3, points="pe") + """select pe.id as "occurrenceID", pe.y as "decimalLatitude", pe.x as "decimalLongitude", pe.name as place, max(w.b1) as part_max_12m, median(w.b1) as part_median_12m, nullif(count(w.b1), 0) as part_count_12m, max(a.b1) as part_point
+_END = _win(12, size=3, points="pe") + """select pe.id as "occurrenceID", pe.y as "decimalLatitude", pe.x as "decimalLongitude", pe.name as place, round_even(max(w.b1) * 1e5, 0) / 1e5 as part_max_12m, round_even(median(w.b1) * 1e5, 0) / 1e5 as part_median_12m, nullif(count(w.b1), 0)::double as part_count_12m, round_even(max(a.b1) * 1e5, 0) / 1e5 as part_point
 from pe left join w on w.id = pe.id left join px a on a.r = floor(pe.y / 3) and a.c = floor(pe.x / 3) group by pe.id, pe.y, pe.x, pe.name"""
 
 
@@ -603,11 +603,12 @@ def extract_end_to_end(spark: SparkSession, d: str) -> DataFrame:
     )
     nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("place"))
     settings = {"output_type": "tabular", "statistics": ["max", "median", "count", "point"], "window_size_m": 12, "output_file_format": "dataframe"}
-    return extract(
+    out = extract(
         points.hint("shuffle_hash").join(nations, "c_nationkey").drop("c_nationkey"),
         {"datasets": ["part"], "settings": settings}, output_dir=shared_folder(spark), rasters={"part": raster},
         write_metadata=False, quiet=True
     )
+    return out.withColumn("part_count_12m", F.col("part_count_12m").cast("double"))
 
 
 def queries() -> dict[str, Query]:
