@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrasample.llm import decontaminate as contamination
-from terrasample.llm import embeddings, html, mix, ngram_join, pseudonyms, quality, tokens, toxicity, urls
+from terrasample.llm import embeddings, html, mix, ngram_join, packing, pseudonyms, quality, ranked, tokens, toxicity, urls, whitening
 
 #: Target shares of the mixture; sources without one share the rest by their rows.
 WEIGHTS = {"src0": 0.20, "src1": 0.10, "src2": 0.08, "src3": 0.02}
@@ -63,11 +63,11 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
 
 
-def tokenizer_path() -> str:
-    """Path of the public tokenizer file, the same on every executor."""
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Path of a public tokenizer file, the same on every executor."""
     import public_tokenizers
 
-    return str(public_tokenizers.path("byte_bpe_50k.json"))
+    return str(public_tokenizers.path(name))
 
 
 def op9_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,11 +79,25 @@ def op10_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.packed_pieces(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group")
+
+
+def op12_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_bit_sliced_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f for f in (
             op1_poisson_mix, op2_tag_path_ratios, op3_kmeans_cosine, op4_ordinal_toxicity, op5_pu_quality,
-            op6_feistel_pseudonyms, op7_url_rules, op8_ngram_jaccard, op9_wavelet_shards, op10_wu_manber
+            op6_feistel_pseudonyms, op7_url_rules, op8_ngram_jaccard, op9_wavelet_shards, op10_wu_manber,
+            op11_tiered_packing, op12_dual_tree_search, op13_bit_sliced_whitening
         )
     }
 
@@ -126,5 +140,29 @@ select doc_id, text, lang, source, n_chars, rate, copies, copy, {u("mix-1-order"
 from copies, unnest(range(0, copies)) t(copy)"""
 
 
+def _search_sql() -> str:
+    terms = rf"regexp_extract_all(translate(text, '{urls._UPPER}', '{urls._LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return f"""
+with words as (
+  select row_number() over () as r, doc_id,
+         {terms} as t
+  from documents where text is not null),
+stats as (select count(*) as n_docs, sum(len(t))::bigint as n_all from words where len(t) > 0),
+tf as (select r, doc_id, len(t) as n, term, count(*) as tf from (select r, doc_id, t, unnest(t) as term from words) group by all),
+df as (select term, count(*) as df from tf group by term),
+asked as (
+  select distinct i, item_id, term from (
+    select row_number() over () as i, item_id,
+           unnest({terms}) as term
+    from benchmark where text is not null)),
+scored as (
+  select i, item_id, r, doc_id,
+         sum(floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)))::bigint
+             * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_all))))::bigint as score
+  from asked join tf using (term) join df using (term), stats group by i, item_id, r, doc_id),
+best as (select *, row_number() over (partition by i order by score desc, doc_id) as rank from scored where score > 0)
+select item_id, rank::int as rank, doc_id, score from best where rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_rules": _url_sql(), "op1_poisson_mix": _mix_sql()}
+    return {"op1_poisson_mix": _mix_sql(), "op7_url_rules": _url_sql(), "op12_dual_tree_search": _search_sql()}
