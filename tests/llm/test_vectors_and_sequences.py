@@ -231,7 +231,7 @@ def test_whitening_of_odd_tables(spark):
     assert whitened_rows(spark, [(1, [1.0, 2.0]), (2, [1.0, 2.0])])[1] == 0  # one distinct vector: nothing varies
     got, size = whitened_rows(spark, [(1, [1.0, 2.0]), (None, [2.0, 4.0]), (3, [3.0, 6.0]), (4, [5.0]), (5, [6.0]), (5, [8.0])], "array<double>")
     assert size == 3 + 3 and got[None, 1]["n"] == 3 and got[4, 1]["n"] == 3 and abs(got[3, 1]["explained"] - 1) < 1e-12
-    big = [(k, [float(k * 10**9), float((k * k) % 7) * 10**9]) for k in range(9)]
+    big = [(k, [float(k * 10**8), float((k * k) % 7) * 10**8]) for k in range(9)]
     got, _ = whitened_rows(spark, big, "array<double>")
     want = plain_whitening([v for _, v in big])[1]
     assert [got[k, 1]["deviation"] for k in range(9)] == [d if d < 1 << 63 else None for d in want]
