@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,12 @@ from terrasample.llm import _text
 from terrasample.llm._session import TEXT_ROWS, cut, lean, shared_folder, ship
 
 #: Bytes of text encoded at once; words that a worker keeps, and their greatest length in characters.
-SLICE, WORDS, LONGEST = 1_000_000, 400_000, 100
+SLICE, WORDS, LONGEST = 4_000_000, 400_000, 100
+#: Plain characters: visible ASCII, Latin letters and marks up to U+024F but the soft hyphen and the dotted capital I, dashes and quotes.
+PLAIN = "[!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u024f\u2010-\u2027]+"
+#: Characters that stand for bytes in a byte-level vocabulary: visible ones for themselves, the others from U+0100 on.
+_VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+SYMBOLS = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 #: Rows (three numbers for a task and tier) up to which the places of the tasks' sequences are broadcast.
 BROADCAST_ROWS = 200_000
 #: Normalizers that join nothing across white space.
@@ -42,22 +48,36 @@ _DROPS_BLANKS = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "Replace"}
 
 
 class WordEncoder:
-    """Encodes columns of texts, word by word where the tokenizer file allows it."""
+    """Encodes columns of texts, word by word where the tokenizer file allows it.
+
+    Words of plain characters (ASCII, Latin letters and marks: none of them changes under NFC,
+    lower-cases to several or joins its neighbours) are split by the file's own pattern and their pieces
+    given to its BPE model; all others go through the library as they are.
+    """
 
     def __init__(self, path: str, most: int = WORDS):
+        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.model = self.tokenizer.model
         spec = json.loads(self.tokenizer.to_str())
         norm, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
-        norms = norm.get("normalizers", [norm]) if norm else []
-        splits = (pre.get("pretokenizers") or [pre])[0]
-        pattern = splits.get("pattern", {}).get("Regex", "")
-        self.by_word = (
-            splits.get("type") == "Split" and splits.get("behavior") == "Removed" and bool(splits.get("invert")) and not spec.get("post_processor")
-            and all(n["type"] in _DROPS_BLANKS for n in norms) and pattern and not any(self._matches_blank(pattern, c) for c in " \t\n\v\f\r")
+        norms = [n["type"] for n in (norm.get("normalizers", [norm]) if norm else [])]
+        splits = pre.get("pretokenizers") or [pre]
+        pattern = splits[0].get("pattern", {}).get("Regex", "")
+        self.by_word = bool(
+            splits[0].get("type") == "Split" and splits[0].get("behavior") == "Removed" and splits[0].get("invert") and not spec.get("post_processor")
+            and set(norms) <= _DROPS_BLANKS and pattern and not any(self._matches_blank(pattern, c) for c in " \t\n\v\f\r")
         )
+        to_bytes = splits[1:] and splits[1].get("type") == "ByteLevel" and not splits[1].get("use_regex") and not splits[1].get("add_prefix_space")
+        self.plain = None
+        if self.by_word and to_bytes and len(splits) == 2 and set(norms) <= {"NFC", "Replace", "Lowercase"} and spec["model"]["type"] == "BPE":
+            self.plain, self.pattern = regex.compile(PLAIN), regex.compile(pattern)
+            special = [regex.escape(t["content"]) for t in spec.get("added_tokens", ())]
+            self.special = regex.compile("|".join(special)) if special else regex.compile("(?!)")
+            self.lower = str.lower if "Lowercase" in norms else str
         self.clear()
 
     @staticmethod
@@ -67,46 +87,72 @@ class WordEncoder:
         return any(blank in m for m in regex.findall(pattern, f"a{blank}b1{blank}2,{blank};{blank}{blank}"))
 
     def clear(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.pool, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        lists = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.concatenate(lists) if lists else np.zeros(0, np.uint32), np.array([len(x) for x in lists], np.int64)
-
-    def _slots(self, words: list[str]) -> np.ndarray:
-        """Places of distinct words in the table; new ones are encoded together."""
-        found = [self.slot.get(w, -1) for w in words]
-        new = [k for k, s in enumerate(found) if s < 0]
-        if new and len(self.slot) + len(new) > self.most and self.slot:
-            self.clear()
-            return self._slots(words)
-        if new:
-            ids, count = self._whole([words[k] for k in new])
-            base = len(self.first) - 1
-            self.pool = np.append(self.pool, ids)
-            self.first = np.append(self.first, self.first[-1] + np.cumsum(count))
-            for n, k in enumerate(new):
-                found[k] = base + n
-                if len(words[k]) <= LONGEST:
-                    self.slot[words[k]] = base + n
-        return np.array(found, np.int64)
+        """Forget all words; those used lately are in ``young``, the others in ``old``, which goes when both are full."""
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        """The ids of words that the table doesn't have."""
+        if self.plain is None:
+            return self._whole(words)
+        out: list[bytes] = [b""] * len(words)
+        rest = []
+        for k, word in enumerate(words):
+            if not self.plain.fullmatch(word) or self.special.search(word):
+                rest.append(k)
+                continue
+            ids = b""
+            for piece in self.pattern.findall(self.lower(word)):
+                if (own := self.pieces.get(piece)) is None:
+                    symbols = piece if piece.isascii() else piece.encode().decode("latin-1").translate(SYMBOLS)
+                    own = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
+                ids += own
+            out[k] = ids
+        if len(self.pieces) > self.most // 2:
+            self.pieces = {}
+        for k, ids in zip(rest, self._whole([words[k] for k in rest]), strict=True):
+            out[k] = ids
+        return out
+
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words, from the table; new ones are encoded together."""
+        found = list(map(self.young.get, words))
+        missing = [k for k, v in enumerate(found) if v is None]
+        kept = [(k, self.old.get(words[k])) for k in missing]
+        new = [k for k, v in kept if v is None]
+        for k, v in kept:
+            found[k] = v
+        for k, v in zip(new, self._encoded([words[k] for k in new]), strict=True):
+            found[k] = v
+        for k in missing:
+            if len(words[k]) <= LONGEST:
+                self.young[words[k]] = found[k]
+        if len(self.young) > self.most // 2:
+            self.young, self.old = {}, self.young
+        return found
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and how many each text has; null is empty."""
         column = pc.fill_null(column, "")
         if not self.by_word:
-            return self._whole(column.to_pylist())
+            ids = self._whole(column.to_pylist())
+            return np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids], np.int64)
         lists = pc.ascii_split_whitespace(column)
         words = lists.flatten().dictionary_encode()
-        slot = self._slots(words.dictionary.to_pylist())[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
-        size = self.first[slot + 1] - self.first[slot]
+        own = self._ids_of(words.dictionary.to_pylist())
+        pool = np.frombuffer(b"".join(own), "<u4")
+        n = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        first, at = np.cumsum(n) - n, words.indices.to_numpy()
+        size = n[at]
         end = np.cumsum(size)
         total = int(end[-1]) if len(end) else 0
-        ids = self.pool[np.repeat(self.first[slot] - end + size, size) + np.arange(total)]
+        ids = pool[np.repeat(first[at] - end + size, size) + np.arange(total)]
         edge = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
-        if len(self.pool) > 4 * self.most:  # long words are kept for one column only
-            self.clear()
         return ids, np.diff(np.append(0, end)[edge])
 
 
