@@ -32,7 +32,7 @@ from terrasample.llm._session import TEXT_ROWS, cut, discard, lean, shared_folde
 #: Children of a tree's node.
 FAN = 8
 #: Items and distinct terms of one item tree; entries of a block's matrix (documents times terms).
-TREE_ITEMS, TREE_TERMS, BLOCK = 256, 4096, 1 << 22
+TREE_ITEMS, TREE_TERMS, BLOCK = 256, 4096, 1 << 21
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
@@ -188,21 +188,21 @@ def search_block(tree: Tree, best: Best, doc: np.ndarray, term: np.ndarray, valu
         found = (nodes[:, None] * FAN + np.arange(FAN)).ravel()
         return found[found < (docs if level == 1 else levels[level - 1].shape[1])]
 
-    def visit(node: Node, level: int, nodes: np.ndarray) -> None:
-        nonlocal scored
+    # an explicit stack: a function that called itself would keep each block's matrices until a garbage collection
+    pairs = [(tree.root, len(levels) - 1, np.zeros(1, np.int64))] if docs and len(doc) else []
+    while pairs:
+        node, level, nodes = pairs.pop()
         bound = levels[level][np.ix_(node.terms, nodes)].sum(0)
-        weakest = best.weakest[tree.items[node.first : node.end]].min()
-        keep = bound >= weakest
+        keep = bound >= best.weakest[tree.items[node.first : node.end]].min()
         nodes, bound = nodes[keep], bound[keep]
         if not len(nodes):
-            return
+            continue
         if node.children:
             down = max(level - 1, 1)  # items first: single documents are only scored against single items
             inner = nodes if down == level else below(nodes, level)
-            for child in node.children:
-                visit(child, down, inner)
+            pairs += [(child, down, inner) for child in node.children]
         elif level > 1:
-            visit(node, level - 1, below(nodes, level))
+            pairs.append((node, level - 1, below(nodes, level)))
         else:  # the nodes of the highest bounds first, until those left can't reach the k-th score
             item = int(tree.items[node.first])
             nodes, bound = nodes[order := np.argsort(-bound, kind="stable")], bound[order]
@@ -213,9 +213,6 @@ def search_block(tree: Tree, best: Best, doc: np.ndarray, term: np.ndarray, valu
                 own = below(now, 1)
                 scored += len(own)
                 best.add(item, levels[0][np.ix_(node.terms, own)].sum(0), ids[own])
-
-    if docs and len(doc):
-        visit(tree.root, len(levels) - 1, np.zeros(1, np.int64))
     return scored
 
 
@@ -302,10 +299,10 @@ def _part(docs: DataFrame, ids: pa.Array, texts: list[str], k: int, id_col: str,
     sample = table.where(F.pmod(F.xxhash64("doc", "n"), F.lit(1 << 30)) < int(share * (1 << 30)))
     nth = Window.partitionBy("item").orderBy(F.desc("score"))
     floor = np.zeros(len(sets), np.int64)
-    for r in searched(sample, floor).withColumn("r", F.row_number().over(nth)).where(F.col("r") == k).collect():  # a row an item
+    for r in cut(searched(sample, floor), folder, f"sample-{name}", TEXT_ROWS).withColumn("r", F.row_number().over(nth)).where(F.col("r") == k).collect():  # a row an item
         floor[r["item"]] = r["score"]
-    found = cut(searched(table, floor), folder, f"found-{name}")
-    discard(spark, folder, f"postings-{name}")
+    found = cut(searched(table, floor), folder, f"found-{name}", TEXT_ROWS)
+    discard(spark, folder, f"postings-{name}", f"sample-{name}")
     return found
 
 
