@@ -39,3 +39,31 @@ def incomplete(c: Column) -> Column:
 
 def day_text(d: Column) -> Column:
     return F.date_format(d, "yyyy-MM-dd")
+
+
+#: Microseconds of a day.
+DAY = 86_400_000_000
+
+
+def micros(c: Column, kind: str) -> Column:
+    """Microseconds since 1970 (UTC) of a column of a type: a date's midnight, a timestamp, or epoch milliseconds of an integer."""
+    if kind == "date":
+        return F.unix_date(c).cast("bigint") * DAY
+    if kind == "timestamp":
+        return F.unix_micros(c)
+    if kind == "timestamp_ntz":
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c)
+    if kind in ("int", "bigint"):
+        return c.cast("bigint") * 1000
+    if kind in ("void", "string"):
+        return micros(c.cast("timestamp"), "timestamp")
+    raise ValueError(f"no time in a column of type {kind}")
+
+
+def of_micros(c: Column, kind: str) -> Column:
+    """Microseconds since 1970 as a value of a type; a timestamp where the type has none of its own."""
+    if kind == "date":
+        return F.date_from_unix_date(F.floor(c / F.lit(DAY)).cast("int"))
+    if kind == "timestamp_ntz":
+        return F.timestamp_micros(c).cast("timestamp_ntz")
+    return F.timestamp_micros(c)

@@ -1,51 +1,117 @@
 """As-of joins of dated rows with the images of a collection.
 
-Rows are matched by their day: the distinct days of the rows and of the images'
-starts are laid out in order once (a table with at most one row for each day of
-the calendar, however many rows or images there are), and every row then meets
-its day in one equi-join.  No row is compared with more than one image.
+A sort-merge over range partitions: the distinct times of the rows and the images'
+starts are dealt to ranges of key and time and written with their range's number.
+Within a range a window finds the last start before and the first after each time;
+what a range can't know is carried over from the ranges before and behind it, a row
+for each key and range.  No task has a key's whole calendar, no row is compared with
+more than its neighbours, and every row meets its time in one equi-join.
+
+Times are whole microseconds: of dates (midnight), timestamps, or epoch milliseconds
+where the column is an integer.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrasample.functions import dates
+from terrasample.sources.shared import cut, shared_folder
 
-def _days(rows: DataFrame, images: DataFrame, policy: str, day: str, keys: tuple[str, ...]) -> DataFrame:
-    """_day, _v (the chosen image), date_clamped and date_source of every distinct day (and keys) of ``rows``, null included."""
-    image = images.where("time_start is not null").select(
-        *keys, F.col("time_start").cast("date").alias("s"),
-        F.struct(F.col("time_end").cast("date").alias("e"), F.col("image_id").alias("i")).alias("v")
+#: The columns that a match adds.
+PICKED = ("image_id", "image_time_start", "image_time_end", "date_clamped", "date_source")
+POLICIES = ("nearest", "contains")
+#: Columns of an image's footprint, in degrees; a west beyond the east crosses the antimeridian.
+FOOTPRINT = ("west", "south", "east", "north")
+#: The finest level of footprint cells: 360 degrees halved so many times.
+FINEST = 16
+
+
+def _kinds(rows: DataFrame, images: DataFrame, date_col: str) -> tuple[str, str, str]:
+    """Types of the images' starts and ends, and that in which the rows' dates are compared: days with days."""
+    own = dict(images.dtypes)
+    asked = dict(rows.dtypes)[date_col]
+    start = own["time_start"]
+    return start, own["time_end"], "date" if start == "date" or not asked.startswith("timestamp") else asked
+
+
+def _starts(images: DataFrame, key: Column, kinds: tuple[str, str, str]) -> DataFrame:
+    """k, and lo and hi, the first and last by end and id of the images of one start: structs s, e, i."""
+    v = F.struct(
+        dates.micros(F.col("time_start"), kinds[0]).alias("s"), dates.micros(F.col("time_end"), kinds[1]).alias("e"), F.col("image_id").alias("i")
+    )
+    return images.where("time_start is not null").select(key.alias("k"), v.alias("v")).groupBy("k", F.col("v.s").alias("s")).agg(
+        F.min("v").alias("lo"), F.max("v").alias("hi")
     )
-    order = Window.partitionBy(*keys).orderBy("s")
-    starts = image.groupBy(*keys, "s").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    starts = starts.select(*keys, "s", "lo", "hi", F.lead("s").over(order).alias("after"))
-    chosen = lambda which: F.struct(F.col("s"), F.col(f"{which}.e").alias("e"), F.col(f"{which}.i").alias("i"), "after")
-    none = F.lit(None).cast(starts.select(chosen("lo").alias("v")).schema["v"].dataType)
-    asked = rows.select(*keys, F.col(day).alias("d")).distinct().select(*keys, "d", F.lit(1).alias("asked"), none.alias("lo"), none.alias("hi"))
-    both = starts.select(*keys, F.col("s").alias("d"), F.lit(0).alias("asked"), chosen("lo").alias("lo"), chosen("hi").alias("hi")).unionByName(asked)
-    # starts before the asked day itself, so "up to here" means started by that day; a null day comes first
-    upto, whole = Window.partitionBy(*keys).orderBy("d", "asked"), Window.partitionBy(*keys)
-    after, all_of = upto.rowsBetween(1, Window.unboundedFollowing), whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    laid = both.select(
-        *keys, "d", "asked", F.last("lo", True).over(upto).alias("prev_lo"), F.last("hi", True).over(upto).alias("prev_hi"), F.first("lo", True).over(after).alias("next"),
-        F.min("lo").over(all_of).alias("first"), F.max("hi").over(all_of).alias("last"),
-    ).where("asked = 1")
-    d = F.col("d")
+
+
+def _neighbours(asked: DataFrame, starts: DataFrame) -> DataFrame:
+    """For each distinct k and t of ``asked``: prev_lo and prev_hi (started by t), next (after it), first, second (a start) and last of all of k.
+
+    Written to the shared folder once; null where there is none, and for a null t all but first, second and last.
+    """
+    spark = asked.sparkSession
+    none = F.lit(None).cast(starts.schema["lo"].dataType)
+    both = starts.select("k", F.col("s").alias("t"), F.lit(0).alias("asked"), "lo", "hi").unionByName(
+        asked.select("k", "t").distinct().select("k", "t", F.lit(1).alias("asked"), none.alias("lo"), none.alias("hi"))
+    )
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # written with its range's number, which is then the same for all that follows
+    laid = cut(both.repartitionByRange(n, "k", "t").withColumn("range", F.spark_partition_id()), shared_folder(spark), "as-of")
+    own = Window.partitionBy("k", "range").orderBy("t", "asked")  # images before the rows of their time: "by t" has both
+    behind = own.rowsBetween(1, Window.unboundedFollowing)
+    found = laid.select(
+        "k", "range", "t", "asked", F.last("lo", True).over(own).alias("lo"), F.last("hi", True).over(own).alias("hi"),
+        F.first("lo", True).over(behind).alias("next")
+    ).where("asked = 1")
+    edge = laid.groupBy("k", "range").agg(F.min("lo").alias("least"), F.max("lo").alias("most_lo"), F.max("hi").alias("most_hi"))
+    along = Window.partitionBy("k").orderBy("range")  # a key has a row in each range at most
+    before, after = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(1, Window.unboundedFollowing)
+    whole = Window.partitionBy("k")
+    carried = edge.select(
+        F.col("k").alias("_k"), F.col("range").alias("_range"), F.max("most_lo").over(before).alias("from_lo"), F.max("most_hi").over(before).alias("from_hi"),
+        F.min("least").over(after).alias("to"), F.min("least").over(whole).alias("first"), F.max("most_hi").over(whole).alias("last"),
+    )
+    low = starts.groupBy("k").agg(F.min("s").alias("s0"))
+    second = starts.join(low, "k").where("s > s0").groupBy(F.col("k").alias("_k2")).agg(F.min("s").alias("second"))
+    known = F.col("t").isNotNull()
+    return found.join(carried, (F.col("k") == F.col("_k")) & (F.col("range") == F.col("_range"))).join(
+        second, F.col("k") == F.col("_k2"), "left"
+    ).select(
+        "k", "t", F.when(known, F.coalesce("lo", "from_lo")).alias("prev_lo"), F.when(known, F.coalesce("hi", "from_hi")).alias("prev_hi"),
+        F.when(known, F.coalesce("next", "to")).alias("next"), "first", "second", "last"
+    )
+
+
+def _decided(near: DataFrame, policy: str, kinds: tuple[str, str, str]) -> DataFrame:
+    """``near`` (t and what :func:`_neighbours` finds) with the columns of PICKED by a policy."""
+    t = F.col("t")
     if policy == "nearest":
-        later = F.datediff("next.s", d) <= F.datediff(d, F.col("prev_lo.s"))
+        later = F.col("next.s") - t <= t - F.col("prev_lo.s")
         found = F.when(F.col("prev_lo").isNull() | later, F.coalesce("next", "prev_lo")).otherwise(F.col("prev_lo"))
-        clamped, inside = (d < F.col("first.s")) | (d > F.col("last.s")), "nearest_to_sample"
+        clamped, inside = (t < F.col("first.s")) | (t > F.col("last.s")), "nearest_to_sample"
     else:
         found = F.coalesce("prev_hi", "first")
-        clamped, inside = (d <= F.col("first.s")) | (d >= F.col("last.s")), "contains_sample_date"
-    source = F.when(F.col("last").isNull(), None).when(d.isNull(), "most_recent_no_date").when(clamped, "clamped_to_nearest").otherwise(inside)
-    return laid.select(
-        *(F.col(k).alias(f"_of_{k}") for k in keys), d.alias("_day"),
-        F.when(d.isNull(), F.col("last")).otherwise(found).alias("_v"),
-        F.coalesce(clamped, F.lit(False)).alias("date_clamped"), source.alias("date_source")
-    )
+        clamped, inside = (t <= F.col("first.s")) | (t >= F.col("last.s")), "contains_sample_date"
+    source = F.when(F.col("last").isNull(), None).when(t.isNull(), "most_recent_no_date").when(clamped, "clamped_to_nearest").otherwise(inside)
+    v = F.when(t.isNull(), F.col("last")).otherwise(found)
+    after = F.when(t.isNull(), None).when(F.col("prev_hi").isNull(), F.col("second")).otherwise(F.col("next.s"))
+    end = v["e"] if policy == "nearest" else F.coalesce(v["e"], after, v["s"] + dates.DAY)
+    return near.withColumns({
+        "image_id": v["i"], "image_time_start": dates.of_micros(v["s"], kinds[0]), "image_time_end": dates.of_micros(end, kinds[1]),
+        "date_clamped": F.coalesce(clamped, F.lit(False)), "date_source": source,
+    })
+
+
+def _checked(policy: str) -> None:
+    if policy not in POLICIES:
+        raise ValueError(f"Unknown date policy {policy!r}: use nearest or contains")
+
+
+def _key(keys: tuple[str, ...]) -> Column:
+    """A row's key as one value that nulls are equal in."""
+    return F.struct(*(F.col(f"`{k}`").alias(f"k{n}") for n, k in enumerate(keys))) if keys else F.struct(F.lit(0).alias("k0"))
 
 
 def match_images(rows: DataFrame, images: DataFrame, policy: str = "nearest", date_col: str = "date", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -57,60 +123,104 @@ def match_images(rows: DataFrame, images: DataFrame, policy: str = "nearest", da
     date get the most recent image.  image_time_end is the image's own end; for
     contains without one, the next image's start or a day after its own.
 
+    Starts and ends are dates, timestamps or epoch milliseconds (integers).  With dates rows are
+    matched by their day; else timestamps to the microsecond and dates by their midnight, so of several
+    images of a day the right one is taken.  The added times have the images' types,
+    timestamps for milliseconds.
+
     ``keys`` are columns of both tables: a row is matched only with images of its
-    own key (tiles of a collection by their zone).  Images without a start can't be matched; where none has one, or there are no
-    images, all rows stay and these columns are null (date_clamped false).
+    own key (tiles of a collection by their zone), null with null.  Images without a start can't be
+    matched; where none has one, or there are no images, all rows stay and these columns are null
+    (date_clamped false).  Eager: the distinct times are written to the shared folder.
     """
-    if policy not in ("nearest", "contains"):
-        raise ValueError(f"Unknown date policy {policy!r}: use nearest or contains")
-    dated = rows.withColumn("_asked", F.col(date_col).cast("date"))
-    days = _days(dated, images, policy, "_asked", keys)
-    on = F.col("_asked").eqNullSafe(F.col("_day"))
-    for k in keys:
-        on &= F.col(k).eqNullSafe(F.col(f"_of_{k}"))
-    joined = dated.join(days, on, "left")
-    v = F.col("_v")
-    end = v["e"] if policy == "nearest" else F.coalesce(v["e"], v["after"], F.date_add(v["s"], 1))
-    own = [c for c in rows.columns if c not in ("image_id", "image_time_start", "image_time_end", "date_clamped", "date_source")]
+    _checked(policy)
+    kinds = _kinds(rows, images, date_col)
+    asked = rows.withColumns({"_k": _key(keys), "_t": dates.micros(F.col(date_col).cast(kinds[2]), kinds[2])})
+    near = _neighbours(asked.select(F.col("_k").alias("k"), F.col("_t").alias("t")), _starts(images, _key(keys), kinds))
+    found = _decided(near, policy, kinds).select(F.col("k").alias("_fk"), F.col("t").alias("_ft"), *PICKED)
+    own = [c for c in rows.columns if c not in PICKED]
+    mine = asked.select("_k", "_t", *(F.col(f"`{c}`") for c in own))
+    joined = mine.join(found, (F.col("_k") == F.col("_fk")) & F.col("_t").eqNullSafe(F.col("_ft")), "left")
     return joined.select(
-        *(F.col(f"`{c}`") for c in own), v["i"].alias("image_id"), v["s"].alias("image_time_start"),
-        end.alias("image_time_end"), F.coalesce("date_clamped", F.lit(False)).alias("date_clamped"), "date_source"
+        *(F.col(f"`{c}`") for c in own), "image_id", "image_time_start", "image_time_end",
+        F.coalesce("date_clamped", F.lit(False)).alias("date_clamped"), "date_source"
     )
 
 
-#: Columns of an image's footprint, in degrees.
-FOOTPRINT = ("west", "south", "east", "north")
+def footprint_cells(feet: DataFrame) -> DataFrame:
+    """``feet`` with a row (level, cx, cy) for each cell that a footprint touches: four at most, eight across the antimeridian.
+
+    A footprint is in the cells of the level whose cells are just larger than it, so a
+    global one has a single cell and a tiny one doesn't stand among all others.
+    """
+    span = F.when(F.col("west") <= F.col("east"), F.col("east") - F.col("west")).otherwise(F.col("east") - F.col("west") + 360)
+    side = F.greatest(span, F.col("north") - F.col("south"), F.lit(360.0 / (1 << FINEST)))
+    level = F.greatest(F.lit(0), F.least(F.lit(FINEST), F.floor(F.log2(F.lit(360.0) / side)))).cast("int")
+    piece = lambda west, east: F.struct(west.cast("double").alias("w"), east.cast("double").alias("e"))
+    pieces = F.when(F.col("west") <= F.col("east"), F.array(piece(F.col("west"), F.col("east")))).otherwise(
+        F.array(piece(F.col("west"), F.lit(180)), piece(F.lit(-180), F.col("east")))
+    )
+    cells = feet.withColumn("level", level).withColumn("_p", F.explode(pieces))
+    each = lambda lo, hi: F.explode(F.sequence(lo, hi))
+    cells = cells.withColumn("cx", each(_cell(F.col("_p.w"), 180, F.col("level")), _cell(F.col("_p.e"), 180, F.col("level"))))
+    cells = cells.withColumn("cy", each(_cell(F.col("south"), 90, F.col("level")), _cell(F.col("north"), 90, F.col("level"))))
+    return cells.drop("_p").distinct()
+
+
+def _cell(degrees: Column, shift: int, level: Column) -> Column:
+    return F.floor((degrees + shift) / (F.lit(360.0) / F.pow(F.lit(2.0), level))).cast("int")
 
 
-def match_covering(rows: DataFrame, images: DataFrame, policy: str = "nearest", key: str = "_row", date_col: str = "date") -> DataFrame:
+def covering(rows: DataFrame, images: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` (with lat and lon) times the distinct footprints that hold them (and share ``keys``), as a column footprint.
+
+    Rows meet footprints by the cells of :func:`footprint_cells`: an equi-join in which a row has a
+    key for each level that there is.
+    """
+    name = F.concat_ws(",", *(F.col(c).cast("string") for c in FOOTPRINT))
+    feet = images.select(*FOOTPRINT, *keys).distinct().withColumn("footprint", name)
+    cells = footprint_cells(feet).select("level", "cx", "cy", "footprint", *FOOTPRINT, _key(keys).alias("_fk"))
+    levels = [r["level"] for r in cells.select("level").distinct().collect()]  # FINEST + 1 at most
+    placed = rows.withColumn("level", F.explode(F.array(*(F.lit(x) for x in sorted(levels))).cast("array<int>")))
+    placed = placed.withColumns({"cx": _cell(F.col("lon"), 180, F.col("level")), "cy": _cell(F.col("lat"), 90, F.col("level")), "_rk": _key(keys)})
+    lon = F.col("lon")
+    across = F.when(F.col("west") <= F.col("east"), lon.between(F.col("west"), F.col("east"))).otherwise((lon >= F.col("west")) | (lon <= F.col("east")))
+    held = placed.join(cells, ["level", "cx", "cy"]).where(across & F.col("lat").between(F.col("south"), F.col("north")) & (F.col("_rk") == F.col("_fk")))
+    # a footprint across the antimeridian has cells on both sides, a row at a cell's edge is in one: no pair comes twice
+    return held.select(*(F.col(f"`{c}`") for c in rows.columns), "footprint")
+
+
+def match_covering(
+    rows: DataFrame, images: DataFrame, policy: str = "nearest", key: str = "_row", date_col: str = "date", keys: tuple[str, ...] = ()
+) -> DataFrame:
     """:func:`match_images` among the images whose footprint holds the row's place (lat, lon); ``key`` tells the rows apart.
 
-    Footprints meet the rows by the whole degrees that they touch, an equi-join;
-    of the best image under each footprint of a row the best by the same policy
-    is taken.  Rows that no image covers stay, with nulls.
+    Of each footprint that holds a row the neighbouring starts are found, these are put together for the
+    row, and only then the policy is applied: clamping, source and end are those of all images that
+    cover the row.  Rows that no image covers stay, with nulls.  ``keys`` as for match_images.
     """
-    feet = images.select(*FOOTPRINT).distinct().withColumn("footprint", F.concat_ws(",", *(F.col(c).cast("string") for c in FOOTPRINT)))
-    whole = lambda lo, hi: F.explode(F.sequence(F.floor(lo).cast("int"), F.floor(hi).cast("int")))
-    cells = feet.select(
-        "footprint", *FOOTPRINT, whole(F.col("south"), F.col("north")).alias("_cy")
-    ).withColumn("_cx", whole(F.col("west"), F.col("east")))
-    placed = rows.select(key, "lat", "lon", date_col).withColumns({"_cy": F.floor("lat").cast("int"), "_cx": F.floor("lon").cast("int")})
-    covered = placed.join(cells, ["_cy", "_cx"]).where("lon between west and east and lat between south and north").select(key, date_col, "footprint")
-    of = images.withColumn("footprint", F.concat_ws(",", *(F.col(c).cast("string") for c in FOOTPRINT)))
-    found = match_images(covered, of, policy, date_col, ("footprint",)).where("image_id is not null")
-    d, s = F.col(date_col).cast("date"), F.col("image_time_start")
-    late = -F.unix_date(s)
-    if policy == "nearest":
-        order = F.struct(F.when(d.isNull(), 0).otherwise(F.abs(F.datediff(s, d))).alias("gap"), late.alias("late"), "image_id")
-    else:  # started by the date, the last; else the first of all
-        order = F.struct((s > d).alias("after"), F.when(s > d, -late).otherwise(late).alias("late"), "image_id")
-    picked = ("image_id", "image_time_start", "image_time_end", "date_clamped", "date_source")
-    best = found.groupBy(key).agg(F.min_by(F.struct(*picked), order).alias("_v"))
-    own = [c for c in rows.columns if c not in picked]
+    _checked(policy)
+    kinds = _kinds(rows, images, date_col)
+    t = dates.micros(F.col(date_col).cast(kinds[2]), kinds[2])
+    held = covering(rows.select(key, "lat", "lon", t.alias("t"), *keys), images, keys).select(key, "t", "footprint", *keys)
+    by = ("footprint", *keys)
+    named = images.withColumn("footprint", F.concat_ws(",", *(F.col(c).cast("string") for c in FOOTPRINT)))
+    asked = held.select(key, F.col("t").alias("_t"), _key(by).alias("_k"))
+    near = _neighbours(asked.select(F.col("_k").alias("k"), F.col("_t").alias("t")), _starts(named, _key(by), kinds))
+    pairs = asked.join(near, (F.col("_k") == F.col("k")) & F.col("_t").eqNullSafe(F.col("t")))
+    pairs = pairs.where("last is not null").withColumn("_s0", F.min("first.s").over(Window.partitionBy(key)))
+    lo = F.col("prev_lo")
+    over = lambda c: F.when(F.col(c) > F.col("_s0"), F.col(c))
+    merged = pairs.groupBy(key).agg(
+        F.first("_t").alias("t"), F.min_by(lo, F.when(lo.isNotNull(), F.struct(-lo["s"], lo["e"], lo["i"]))).alias("prev_lo"), F.max("prev_hi").alias("prev_hi"),
+        F.min("next").alias("next"), F.min("first").alias("first"), F.max("last").alias("last"), F.least(F.min(over("first.s")), F.min(over("second"))).alias("second"),
+    )
+    best = _decided(merged, policy, kinds).select(key, F.struct(*PICKED).alias("_v"))
+    own = [c for c in rows.columns if c not in PICKED]
     joined = rows.select(*(F.col(f"`{c}`") for c in own)).join(best, key, "left")
     return joined.select(
         *(F.col(f"`{c}`") for c in own),
-        *(F.coalesce("_v.date_clamped", F.lit(False)).alias(c) if c == "date_clamped" else F.col(f"_v.{c}").alias(c) for c in picked)
+        *(F.coalesce("_v.date_clamped", F.lit(False)).alias(c) if c == "date_clamped" else F.col(f"_v.{c}").alias(c) for c in PICKED)
     )
 
 

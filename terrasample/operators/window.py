@@ -79,8 +79,38 @@ def index_ranges(points: DataFrame, raster: Raster) -> DataFrame:
     return out.withColumn("in_extent", F.coalesce(F.col("total") > 0, F.lit(False)))
 
 
+#: What is known of a window before its pixels are: see index_ranges.
+RANGES = ("r0", "r1", "c0", "c1", "pr", "pc", "total")
+
+
+def nested_ranges(points: DataFrame, raster: Raster, sides: list[float]) -> DataFrame:
+    """index_ranges of the largest of some windows around each point; ``inner`` has those of the smaller ones, rising, and ``totals`` the totals of all."""
+    at = points
+    for k, side in enumerate(sides[:-1]):
+        at = index_ranges(corners(at, raster, side), raster).withColumn(f"_w{k}", F.struct(*RANGES)).drop(*RANGES, "in_extent")
+    at = index_ranges(corners(at, raster, sides[-1]), raster)
+    inner = [f"_w{k}" for k in range(len(sides) - 1)]
+    kept = [f for f in RANGES if f != "total" and (raster.header.crs is not None or f not in ("pr", "pc"))]
+    return at.withColumn("totals", F.array(*(F.col(f"{w}.total") for w in inner), "total")).withColumn(
+        "inner", F.struct(*(F.struct(*(F.col(f"{w}.{f}") for f in kept)).alias(w) for w in inner), F.lit(len(inner)).alias("n"))
+    ).drop(*inner)
+
+
+def _ring(header, n: int) -> Column:
+    """The smallest of n + 1 nested windows that holds the pixel r, c: the number of ``inner`` ones that don't."""
+    def holds(k: int) -> Column:
+        w = F.col("inner")[f"_w{k}"]
+        inside = F.col("r").between(w["r0"], w["r1"]) & F.col("c").between(w["c0"], w["c1"])
+        return inside if header.crs is None else inside & _inside(F.col("r") + 0.5, F.col("c") + 0.5, w["pr"], w["pc"])
+
+    found = F.lit(n)
+    for k in reversed(range(n)):
+        found = F.when(holds(k), k).otherwise(found)
+    return F.coalesce(found, F.lit(n))
+
+
 def window_pixels(
-    points: DataFrame, raster: Raster, window_m: float, bands: list[str], extra: tuple[str, ...] = (),
+    points: DataFrame, raster: Raster, window_m: float | list[float], bands: list[str], extra: tuple[str, ...] = (),
     together: bool = True, outer: bool = False
 ) -> DataFrame:
     """One row for each pixel of each window: _row, extra columns, r, c and the bands (null where not valid).
@@ -88,15 +118,20 @@ def window_pixels(
     With several bands a pixel is valid only if it is in every band, unless not ``together``.
     ``outer``: windows without a pixel have a row of nulls, and pixels whose
     centre isn't in the window, which are left out otherwise, are not valid.
+
+    Of several windows (a rising list of sides) each pixel comes once, of the largest, with the number of the smallest
+    one that holds it as ``ring``; ``totals`` is then an extra column that there is.
     """
     size, header = raster.size, raster.header
-    at = index_ranges(corners(points, raster, window_m), raster)
+    sides = window_m if isinstance(window_m, list) else [window_m]
+    at = nested_ranges(points, raster, sides) if len(sides) > 1 else index_ranges(corners(points, raster, sides[0]), raster)
+    inner, ring = (["inner"], [_ring(header, len(sides) - 1).alias("ring")]) if len(sides) > 1 else ([], [])
     some = F.expr("r0 <= r1 and c0 <= c1")
     at = at if outer else at.where(some)
     tile = lambda c: F.floor(F.col(c) / size).cast("int")
     spread = lambda lo, hi: (F.explode_outer if outer else F.explode)(F.when(some, F.sequence(tile(lo), tile(hi))))
     keys = ["image_id"] if "image_id" in raster.tiles.columns else []
-    at = at.select(ROW, *extra, *(k for k in keys if k not in extra), "r0", "r1", "c0", "c1", "pr", "pc", spread("r0", "r1").alias("tile_row"))
+    at = at.select(ROW, *extra, *inner, *(k for k in keys if k not in extra), "r0", "r1", "c0", "c1", "pr", "pc", spread("r0", "r1").alias("tile_row"))
     at = at.withColumn("tile_col", spread("c0", "c1"))
     joined = at.join(raster.tiles_for(at, bands), [*keys, "tile_row", "tile_col"], "left" if outer else "inner")
     tr, tc = F.col("tile_row") * size, F.col("tile_col") * size
@@ -110,12 +145,12 @@ def window_pixels(
         F.transform(F.sequence("q0", "q1"), lambda q: F.slice(F.col(b), q * size + F.col("k0") + 1, F.col("k1") - F.col("k0") + 1))
     )
     cut_out = joined.select(
-        ROW, *extra, "tile_row", "tile_col", "q0", "k0", "k1", "pr", "pc",
+        ROW, *extra, *inner, "tile_row", "tile_col", "q0", "k0", "k1", "pr", "pc",
         (F.posexplode_outer if outer else F.posexplode)(F.arrays_zip(*(cut(b).alias(b) for b in bands))).alias("o", "z")
     )
     span = F.col("k1") - F.col("k0") + 1
     px = cut_out.select(
-        ROW, *extra, (tr + F.col("q0") + F.floor(F.col("o") / span)).cast("int").alias("r"),
+        ROW, *extra, *inner, (tr + F.col("q0") + F.floor(F.col("o") / span)).cast("int").alias("r"),
         (tc + F.col("k0") + F.col("o") % span).cast("int").alias("c"), "pr", "pc",
         *(F.col(f"z.{b}").alias(b) for b in bands)
     )
@@ -127,7 +162,7 @@ def window_pixels(
     if len(bands) > 1 and together:
         every = reduce(lambda a, b: a & b, (v.isNotNull() for v in valid.values()))
         valid = {b: F.when(every, v) for b, v in valid.items()}
-    return px.select(ROW, *extra, "r", "c", *(valid[b].alias(b) for b in bands))
+    return px.select(ROW, *extra, *ring, "r", "c", *(valid[b].alias(b) for b in bands))
 
 
 def touched_tiles(points: DataFrame, raster: Raster, window_m: float, margin: int = 0) -> DataFrame:
@@ -142,17 +177,19 @@ def touched_tiles(points: DataFrame, raster: Raster, window_m: float, margin: in
     return at.select(F.explode(rows).alias("tile_row"), cols.alias("cols")).select("tile_row", F.explode("cols").alias("tile_col")).distinct()
 
 
-def _inside(row: Column, col: Column) -> Column:
+def _inside(row: Column, col: Column, pr: Column | None = None, pc: Column | None = None) -> Column:
     """Whether a pixel centre lies in the quadrilateral pr, pc: the four cross products share a sign.
 
     An axis-aligned one is half-open, like the index ranges.
     """
+    pr, pc = F.col("pr") if pr is None else pr, F.col("pc") if pc is None else pc
+
     def cross(i: int, j: int) -> Column:
-        r0, c0, r1, c1 = F.col("pr")[i], F.col("pc")[i], F.col("pr")[j], F.col("pc")[j]
+        r0, c0, r1, c1 = pr[i], pc[i], pr[j], pc[j]
         return (c1 - c0) * (row - r0) - (r1 - r0) * (col - c0)
 
     turns = F.array(*(cross(i, (i + 1) % 4) for i in range(4)))
-    straight = (F.col("pr")[0] == F.col("pr")[1]) & (F.col("pc")[1] == F.col("pc")[2])
+    straight = (pr[0] == pr[1]) & (pc[1] == pc[2])
     return straight | (F.array_min(turns) >= 0) | (F.array_max(turns) <= 0)
 
 
@@ -163,27 +200,46 @@ def window_stats(points: DataFrame, raster: Raster, window_m: float, names: list
     divides by the cells that the window touches inside the raster,
     "geometric" by the cells of its area.
     """
-    px = window_pixels(points, raster, window_m, bands, ("total",), outer=True)
+    out = nested_stats(points, raster, [window_m], names, bands, coverage)
+    return out.select(ROW, *(F.col(f"w0.`{c}`").alias(c) for c in out.schema["w0"].dataType.names))
+
+
+def nested_stats(points: DataFrame, raster: Raster, sides: list[float], names: list[str], bands: list[str], coverage: str = "touched") -> DataFrame:
+    """One row for each point: _row and for each of some windows (their sides rise) a struct w0, w1, ... of the columns of :func:`window_stats`.
+
+    The tiles are read once, for the largest window: each pixel has the number of the smallest window that
+    holds it, and one aggregation computes the statistics of all windows.
+    """
+    if sorted(set(sides)) != list(sides):
+        raise ValueError(f"sides must rise, not {sides}")
+    many = len(sides) > 1
+    px = window_pixels(points, raster, list(sides), bands, ("totals",) if many else ("total",), outer=True)
     scalar = [n for n in names if reducers.is_scalar(n)]
     # all quantiles of a band come from one sorted set of its values
     shares = {n: q for n in scalar if (q := reducers.share_of(n)) is not None}
     ranks = sorted(set(shares.values()))
-    aggs = [reducers.get(n)(F.col(b)).alias(f"{b}.{n}") for b in bands for n in scalar if n not in shares]
-    aggs += [F.percentile(b, F.array(*(F.lit(q) for q in ranks))).alias(f"_{b}.ranks") for b in bands if ranks]
-    # a point without any pixel has one row of nulls
-    out = px.groupBy(ROW).agg(
-        F.first("total").alias("total"), F.count(bands[0]).alias("n_pixels"),
-        *(F.count(b).alias(f"{b}.n_valid") for b in bands), *aggs
-    )
-    if ranks:
-        picked = {f"{b}.{n}": F.col(f"`_{b}.ranks`")[ranks.index(q)] for b in bands for n, q in shares.items()}
-        out = out.withColumns(picked).drop(*(f"`_{b}.ranks`" for b in bands))
-    out = out.withColumn("in_extent", F.coalesce(F.col("total") > 0, F.lit(False)))
-    total = F.col("total") if coverage == "touched" else F.when(
-        F.col("in_extent"), F.lit(max(1, round((window_m / abs(raster.header.a)) ** 2)))
-    ).otherwise(0)
-    pct = F.when(total > 0, F.least(F.col("n_pixels") * 100.0 / total, F.lit(100.0))).otherwise(0.0)
-    return out.withColumns({"had_nodata": F.col("in_extent") & (F.col("n_pixels") < total), "coverage_pct": pct})
+    aggs, made = [], {}
+    for k, side in enumerate(sides):
+        own = {b: F.when(F.col("ring") <= k, F.col(b)) if k < len(sides) - 1 else F.col(b) for b in bands}
+        total = F.element_at(F.first("totals"), k + 1) if many else F.first("total")
+        # a point without any pixel has one row of nulls
+        aggs.append(F.struct(
+            total.alias("total"), F.count(own[bands[0]]).alias("n_pixels"), *(F.count(v).alias(f"{b}.n_valid") for b, v in own.items()),
+            *(reducers.get(n)(v).alias(f"{b}.{n}") for b, v in own.items() for n in scalar if n not in shares),
+            *(F.percentile(v, F.array(*(F.lit(q) for q in ranks))).alias(f"_{b}.ranks") for b, v in own.items() if ranks),
+        ).alias(f"_w{k}"))
+        of = lambda c, k=k: F.col(f"_w{k}.`{c}`")
+        total = of("total")
+        inside = F.coalesce(total > 0, F.lit(False))
+        cells = total if coverage == "touched" else F.when(inside, F.lit(max(1, round((side / abs(raster.header.a)) ** 2)))).otherwise(0)
+        pct = F.when(cells > 0, F.least(of("n_pixels") * 100.0 / cells, F.lit(100.0))).otherwise(0.0)
+        plain = [f"{b}.n_valid" for b in bands] + [f"{b}.{n}" for b in bands for n in scalar if n not in shares]
+        made[f"w{k}"] = F.struct(
+            total.alias("total"), of("n_pixels").alias("n_pixels"), *(of(c).alias(c) for c in plain),
+            *(of(f"_{b}.ranks")[ranks.index(q)].alias(f"{b}.{n}") for b in bands for n, q in shares.items()),
+            inside.alias("in_extent"), (inside & (of("n_pixels") < cells)).alias("had_nodata"), pct.alias("coverage_pct"),
+        )
+    return px.groupBy(ROW).agg(*aggs).select(ROW, *(v.alias(c) for c, v in made.items()))
 
 
 #: More classes than this, found in the data, are refused: each makes a column.
@@ -201,25 +257,42 @@ def window_classes(
     are read from there.  Codes are truncated to integers and then counted; a
     continuous band, with more than MAX_CLASSES codes, is refused.
     """
-    px = window_pixels(points, raster, window_m, bands)
+    out = nested_classes(points, raster, [window_m], names, bands, classes).where("w0 is not null")
+    return out.select(ROW, *(F.col(f"w0.`{c}`").alias(c) for c in out.schema["w0"].dataType.names if c != "none"))
+
+
+def nested_classes(
+    points: DataFrame, raster: Raster, sides: list[float], names: list[str], bands: list[str], classes: list[int] | None = None
+) -> DataFrame:
+    """One row for each point with a valid pixel: _row and for each of some windows (their sides rise) a struct w0, w1, ... of the columns of :func:`window_classes`.
+
+    The tiles are read once; a class's count in a window is the sum of those of the rings within it.  A window without
+    a valid pixel is null.
+    """
+    many = len(sides) > 1
+    px = window_pixels(points, raster, list(sides), bands, ("totals",) if many else ())
+    ring = F.col("ring") if many else F.lit(0)
     long = px.select(
-        ROW, F.inline(F.array(*(F.struct(F.lit(b).alias("band"), F.col(b).cast("int").alias("k")) for b in bands)))
+        ROW, ring.alias("ring"), F.inline(F.array(*(F.struct(F.lit(b).alias("band"), F.col(b).cast("int").alias("k")) for b in bands)))
     ).where("k is not null")
-    counts = long.groupBy(ROW, "band", "k").agg(F.count("*").alias("n"))
+    counts = long.groupBy(ROW, "band", "k", "ring").agg(F.count("*").alias("n"))
     if classes is None:
         counts = cut(counts, shared_folder(points.sparkSession), "class-counts")
         classes = sorted(r["k"] for r in counts.select("k").distinct().limit(MAX_CLASSES + 1).collect())
         if len(classes) > MAX_CLASSES:
             raise ValueError(f"more than {MAX_CLASSES} classes; name those to count, or use reducers for continuous data")
     both = [("count", lambda n, _: n), ("fraction", lambda n, t: n / t)]
-    total = {b: F.sum(F.when(F.col("band") == b, F.col("n"))) for b in bands}
+    both = [(kind, f) for kind, f in both if f"class_{kind}" in names]
     aggs = []
-    for b in bands:
-        for k in classes:
-            own = F.coalesce(F.sum(F.when((F.col("band") == b) & (F.col("k") == k), F.col("n"))), F.lit(0))
-            aggs += [f(own, total[b]).alias(f"{b}.class_{k}_{kind}") for kind, f in both if f"class_{kind}" in names]
-    if not aggs:
-        return counts.select(ROW).distinct()
+    for w in range(len(sides)):
+        within = lambda c, w=w: c & (F.col("ring") <= w)
+        total = {b: F.sum(F.when(within(F.col("band") == b), F.col("n"))) for b in bands}
+        own = [
+            f(F.coalesce(F.sum(F.when(within((F.col("band") == b) & (F.col("k") == k)), F.col("n"))), F.lit(0)), total[b]).alias(f"{b}.class_{k}_{kind}")
+            for b in bands for k in classes for kind, f in both
+        ]
+        some = F.count_if(F.col("ring") <= w) > 0
+        aggs.append(F.when(some, F.struct(*own) if own else F.struct(F.lit(0).alias("none"))).alias(f"w{w}"))
     return counts.groupBy(ROW).agg(*aggs)
 
 

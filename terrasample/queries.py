@@ -379,22 +379,84 @@ def date_info_summary(spark: SparkSession, d: str) -> DataFrame:
     return asof.date_info(m).select("n_nearest_to_sample", "n_clamped_to_nearest", F.size("image_date_ranges_used").cast("bigint").alias("n_ranges"))
 
 
-@query(f"""with {_LL}, im as (select s_suppkey::varchar as i, date '2024-01-01' + ((s_suppkey * 17) % 400)::int as s, 12 + s_suppkey % 10 + 0.05::double as west, 55 + s_suppkey % 12 + 0.05::double as south from supplier),
- pt as (select ll.id, lat, lon, ts::date as d from ll join events on event_id = ll.id),
- pick as (select pt.id, arg_min(i, struct_pack(gap := abs(d - s), late := -(s - date '1970-01-01'), i := i)) as image_id from pt join im on lon between west and west + 2.5 and lat between south and south + 1.5 group by pt.id)
-select pt.id, image_id from pt left join pick on pick.id = pt.id""")
-def asof_covering(spark: SparkSession, d: str) -> DataFrame:
-    """Points matched among the images whose footprint holds them."""
+# Images with footprints: suppliers; every fourth is wide, every ninth crosses the antimeridian.
+_FEET = f"""with {_LL}, raw as (select s_suppkey::varchar as i, s_suppkey as k, date '2024-01-01' + ((s_suppkey * 17) % 400)::int as s, 12 + s_suppkey % 10 + 0.05::double as w, 55 + s_suppkey % 12 + 0.05::double as south from supplier),
+ im as (select i, s, south, case when k % 9 = 0 then 150 + w else w end as west, case when k % 9 = 0 then w - 170 when k % 4 = 0 then w + 30 else w + 2.5 end as east, case when k % 4 = 0 then 85 else south + 1.5 end as north from raw),
+ pt as (select ll.id, lat, case when ll.id % 5 = 0 then case when lon < 18 then lon + 160 else lon - 198 end else lon end as lon, ts::date as d from ll join events on event_id = ll.id),
+ held as (select pt.id, d, i, s from pt join im on lat between south and north and (case when west <= east then lon between west and east else lon >= west or lon <= east end)),
+ span as (select id, d, min(s) as lo, max(s) as hi from held group by id, d)"""
+
+
+def supplier_images(spark: SparkSession, d: str) -> DataFrame:
+    """A collection with footprints, narrow, wide and across the antimeridian."""
     k = F.col("s_suppkey")
     images = table(spark, d, "supplier").select(
-        k.cast("string").alias("image_id"), F.date_add(
-            F.lit("2024-01-01").cast("date"), ((k * 17) % 400).cast("int")
-        ).alias("time_start"), F.lit(None).cast("date").alias("time_end"),
-        (12 + k % 10 + F.lit(0.05)).alias("west"), (55 + k % 12 + F.lit(0.05)).alias("south"),
-    ).withColumns({"east": F.col("west") + 2.5, "north": F.col("south") + 1.5})
+        k.alias("k"), k.cast("string").alias("image_id"), F.date_add(F.lit("2024-01-01").cast("date"), ((k * 17) % 400).cast("int")).alias("time_start"),
+        F.lit(None).cast("date").alias("time_end"), (12 + k % 10 + F.lit(0.05)).alias("w"), (55 + k % 12 + F.lit(0.05)).alias("south"),
+    )
+    far, wide, w = F.col("k") % 9 == 0, F.col("k") % 4 == 0, F.col("w")
+    images = images.withColumns({"west": F.when(far, w + 150).otherwise(w), "east": F.when(far, w - 170).when(wide, w + 30).otherwise(w + 2.5)})
+    return images.withColumn("north", F.when(wide, F.lit(85.0)).otherwise(F.col("south") + 1.5)).drop("k", "w")
+
+
+def dated_points(spark: SparkSession, d: str) -> DataFrame:
     dated = table(spark, d, "events").select(F.col("event_id").alias("id"), F.to_date("ts").alias("date"))
-    points = event_points(spark, d).join(dated, "id").withColumnRenamed("id", "_row")
-    return asof.match_covering(points, images).select(F.col("_row").alias("id"), "image_id")
+    lon = F.when(F.col("id") % 5 == 0, F.when(F.col("lon") < 18, F.col("lon") + 160).otherwise(F.col("lon") - 198)).otherwise(F.col("lon"))
+    return event_points(spark, d).join(dated, "id").withColumn("lon", lon).withColumnRenamed("id", "_row")
+
+
+def _covering_out(m: DataFrame) -> DataFrame:
+    day = lambda c: F.date_format(f"image_time_{c}", "yyyy-MM-dd").alias(f"{c}_day")
+    return m.select(F.col("_row").alias("id"), "image_id", day("start"), day("end"), "date_clamped", "date_source")
+
+
+@query(_FEET + """, pick as (select id, arg_min(i, struct_pack(gap := abs(d - s), late := -(s - date '1970-01-01'), i := i)) as i, arg_min(s, struct_pack(gap := abs(d - s), late := -(s - date '1970-01-01'), i := i)) as s from held group by id)
+select pt.id, p.i as image_id, strftime(p.s, '%Y-%m-%d') as start_day, null::varchar as end_day, coalesce(pt.d < lo or pt.d > hi, false) as date_clamped,
+ case when lo is null then null when pt.d < lo or pt.d > hi then 'clamped_to_nearest' else 'nearest_to_sample' end as date_source from pt left join span on span.id = pt.id left join pick p on p.id = pt.id""")
+def asof_covering(spark: SparkSession, d: str) -> DataFrame:
+    """Points matched among the images whose footprint holds them, with what is known of the match."""
+    return _covering_out(asof.match_covering(dated_points(spark, d), supplier_images(spark, d)))
+
+
+@query(_FEET + """, upto as (select held.id, held.d, lo, coalesce(max(s) filter (where s <= held.d), lo) as s from held join span on span.id = held.id group by held.id, held.d, lo),
+ pick as (select u.id, u.s, max(i) filter (where held.s = u.s) as i, min(held.s) filter (where held.s > u.s) as after from upto u join held on held.id = u.id group by u.id, u.s)
+select pt.id, p.i as image_id, strftime(p.s, '%Y-%m-%d') as start_day, strftime(coalesce(after, p.s + 1), '%Y-%m-%d') as end_day, coalesce(pt.d <= lo or pt.d >= hi, false) as date_clamped,
+ case when lo is null then null when pt.d <= lo or pt.d >= hi then 'clamped_to_nearest' else 'contains_sample_date' end as date_source from pt left join span on span.id = pt.id left join pick p on p.id = pt.id""")
+def asof_covering_contains(spark: SparkSession, d: str) -> DataFrame:
+    return _covering_out(asof.match_covering(dated_points(spark, d), supplier_images(spark, d), "contains"))
+
+
+# Many images a day: the events of one kind, in epoch milliseconds; asked are the times of all events, eleven minutes on.
+_TIMES = """with im as (select distinct epoch_us(ts) // 1000 as ms from events where event_type = 'purchase'),
+ q as (select event_id, ts + interval 11 minute as t, epoch_us(ts + interval 11 minute) as us from events), b as (select min(ms) * 1000 as lo, max(ms) * 1000 as hi from im)"""
+
+
+def purchase_images(spark: SparkSession, d: str) -> DataFrame:
+    ms = F.floor(F.unix_micros("ts") / 1000)
+    found = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).where("event_type = 'purchase'").select(ms.alias("time_start")).distinct()
+    return found.select(F.col("time_start").cast("string").alias("image_id"), "time_start", F.lit(None).cast("bigint").alias("time_end"))
+
+
+def _timed(spark: SparkSession, d: str, policy: str) -> DataFrame:
+    asked = table(spark, d, "events").select("event_id", (F.col("ts").cast("timestamp") + F.expr("interval 11 minutes")).alias("t"))
+    m = asof.match_images(asked, purchase_images(spark, d), policy, "t")
+    return m.select("event_id", "image_id", F.unix_micros("image_time_start").alias("start_us"), F.unix_micros("image_time_end").alias("end_us"), "date_clamped", "date_source")
+
+
+@query(_TIMES + """, prev as (select event_id, us, ms * 1000 as p from q asof left join im on q.us >= im.ms * 1000),
+ near as (select prev.event_id, prev.us, p, ms * 1000 as n from prev asof left join im on prev.us < im.ms * 1000), pick as (select *, case when p is null or n - us <= us - p then coalesce(n, p) else p end as s from near)
+select event_id, (s // 1000)::varchar as image_id, s as start_us, null::bigint as end_us, us < lo or us > hi as date_clamped, case when us < lo or us > hi then 'clamped_to_nearest' else 'nearest_to_sample' end as date_source from pick, b""")
+def asof_timestamp(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest image by time of day."""
+    return _timed(spark, d, "nearest")
+
+
+@query(_TIMES + """, prev as (select event_id, us, ms * 1000 as p from q asof left join im on q.us >= im.ms * 1000),
+ pick as (select event_id, us, coalesce(p, lo) as s from prev, b), near as (select pick.*, ms * 1000 as n from pick asof left join im on pick.s < im.ms * 1000)
+select event_id, (s // 1000)::varchar as image_id, s as start_us, coalesce(n, s + 86400000000) as end_us, us <= lo or us >= hi as date_clamped, case when us <= lo or us >= hi then 'clamped_to_nearest' else 'contains_sample_date' end as date_source from near, b""")
+def asof_timestamp_contains(spark: SparkSession, d: str) -> DataFrame:
+    """The last image that began by a time, to its end."""
+    return _timed(spark, d, "contains")
 
 
 _MESSY = "case event_id % 5 when 0 then strftime(ts, '%Y-%m-%d') when 1 then strftime(ts, '%Y-%m') when 2 then strftime(ts, '%Y') when 3 then strftime(ts, '%Y-%m-%d') || '/' || strftime(ts + interval 3 day, '%Y-%m-%d') else strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z' end"

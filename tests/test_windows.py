@@ -150,3 +150,48 @@ def test_registry():
 def test_subpixel_and_cells():
     assert grid.effective_window(5, 30) == 60 and grid.effective_window(100, 30) == 100
     assert grid.geometric_cells(100, 10) == 100 and grid.geometric_cells(5, 30) == 1
+
+
+NAMES = ["mean", "median", "q90", "max", "count", "mode", "std"]
+
+
+@pytest.mark.parametrize("bands", [["b1"], ["b1", "b2"]])
+def test_nested_windows_equal_single_ones(raster, points, bands):
+    sides = [20, 40, 45, 200, 900]
+    got = {r["_row"]: r for r in window.nested_stats(points, raster, sides, NAMES, bands).collect()}
+    classes = {r["_row"]: r for r in window.nested_classes(points, raster, sides, ["class_count", "class_fraction"], bands).collect()}
+    for k, side in enumerate(sides):
+        for r in window.window_stats(points, raster, side, NAMES, bands).collect():
+            assert r.asDict() == {"_row": r["_row"], **got[r["_row"]][f"w{k}"].asDict()}
+        own = {r["_row"]: r.asDict() for r in window.window_classes(points, raster, side, ["class_count", "class_fraction"], bands).collect()}
+        for row, r in classes.items():
+            if r[f"w{k}"] is None:
+                assert row not in own
+            else:
+                found = r[f"w{k}"].asDict()  # has the classes of the largest window: zero where a smaller one lacks them
+                assert {c: v for c, v in found.items() if c in own[row]} == {c: v for c, v in own[row].items() if c != "_row"}
+                assert not any(v for c, v in found.items() if c not in own[row])
+
+
+def test_nested_windows_of_a_turned_grid(spark, values):
+    """Windows in the points' UTM zone are quadrilaterals in a raster in degrees."""
+    r = make(spark, values, a=0.0002, e=-0.0001, c=18.0, f=63.0, crs=4326)
+    at = spark.createDataFrame([(0, 62.998, 18.004), (1, 62.9961, 18.0081), (2, 62.9999, 18.0001), (3, 10.0, 10.0)], "_row long, lat double, lon double")
+    sides = [15, 60, 130]
+    got = {x["_row"]: x for x in window.nested_stats(at, r, sides, NAMES, ["b1"]).collect()}
+    assert got[0]["w0"]["n_pixels"] < got[0]["w1"]["n_pixels"] < got[0]["w2"]["n_pixels"] and not got[3]["w2"]["in_extent"]
+    for k, side in enumerate(sides):
+        for x in window.window_stats(at, r, side, NAMES, ["b1"]).collect():
+            assert x.asDict() == {"_row": x["_row"], **got[x["_row"]][f"w{k}"].asDict()}
+
+
+def test_all_windows_come_from_one_reading_of_the_tiles(spark, raster, points, tmp_path, capfd):
+    from dataclasses import replace
+
+    raster.tiles.write.parquet(str(tmp_path / "tiles"))
+    stored = replace(raster, tiles=spark.read.parquet(str(tmp_path / "tiles")))
+    window.nested_stats(points, stored, [20, 50, 100, 200, 500], NAMES, ["b1"]).explain()
+    plan = capfd.readouterr().out
+    assert plan.count("FileScan parquet") == 1 and "b2" not in plan.split("ReadSchema")[1].split("\n")[0]
+    with pytest.raises(ValueError, match="rise"):
+        window.nested_stats(points, stored, [50, 20], NAMES, ["b1"])
