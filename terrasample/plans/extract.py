@@ -1,4 +1,4 @@
-"""extract(): points in, statistics or tiles out, as one lazy plan per configuration."""
+"""extract(): points in, statistics or tiles out; a configuration's statistics are one plan, written once."""
 
 from __future__ import annotations
 
@@ -18,9 +18,9 @@ from terrasample.operators import asof, qc, terrain, window
 from terrasample.plans import catalog as catalogs
 from terrasample.plans import config as configs
 from terrasample.plans import progress
-from terrasample.sources import geotiff, points as point_source, sinks
+from terrasample.sources import geotiff, mirror, points as point_source, sinks  # noqa: F401 (mirror: the catalog's sources)
 from terrasample.sources.raster import Raster, only, open_raster, pixels_of_tiles, tiles_of_pixels
-from terrasample.sources.shared import cut, shared_folder
+from terrasample.sources.shared import cut, discard, shared_folder
 
 MAX_TILE_BYTES = 32 * 2**20
 #: A number that keeps the rows' order; made once, in the branch that the result is joined to.
@@ -53,61 +53,81 @@ def _bands(spec: dict[str, Any], chosen: configs.Selection, raster: Raster) -> t
 
 
 def dataset_columns(
-    points: DataFrame, raster: Raster, name: str, names: list[str], bands: list[str], multi: bool, window_m: int, *,
+    points: DataFrame, raster: Raster, name: str, names: list[str], bands: list[str], multi: bool, window_m: int | list[int], *,
     policy: str = "nearest", coverage: str = "touched", expand_subpixel: bool = False,
-    classes: list[int] | None = None, with_point: bool = True, scale: float | None = None, by_zone: bool = False
+    classes: list[int] | None = None, scale: float | None = None, by_zone: bool = False
 ) -> tuple[DataFrame, list[str], list[str]]:
-    """_row with the named statistics and quality columns of one dataset and window; their two lists of names."""
+    """_row with the named statistics and quality columns of one dataset and its windows; their two lists of names.
+
+    All windows come from one reading of the tiles, and all class counts from another.
+    """
     raster = raster.select(bands)
-    points = _located(points, raster)
-    extra: list[str] = []
-    if raster.images is not None and asof.undated(raster.images):
-        raster = _flattened(raster)
-    if raster.images is not None:
-        if "date" not in points.columns:
-            points = points.withColumn("date", F.lit(None).cast("date"))
-        keys = ("utm_zone",) if by_zone and "utm_zone" in raster.images.columns else ()
-        points = points.withColumn("utm_zone", crs.utm_zone_label(F.col("lat"), F.col("lon"))) if keys else points
-        if set(asof.FOOTPRINT) <= set(raster.images.columns):
-            points = asof.match_covering(points, raster.images, policy, window.ROW)
-        else:
-            points = asof.match_images(points, raster.images, policy, keys=keys)
-        extra = ["date_clamped", "date_source", "image_time_start", "image_time_end"]
-    side = effective_window(window_m, scale or abs(raster.header.a)) if expand_subpixel else window_m
+    points, raster, extra = _matched(_located(points, raster), raster, policy, by_zone)
+    windows = window_m if isinstance(window_m, list) else [window_m]
+    windowed = [n for n in names if n != reducers.POINT]
+    windows = windows if windowed else windows[:1]  # a sample has no window
+    side = {w: effective_window(w, scale or abs(raster.header.a)) if expand_subpixel else w for w in windows}
+    sides = sorted(set(side.values()))
     label = {b: f"{name}_{b}_" if multi else f"{name}_" for b in bands}
     out = points.select(window.ROW, *extra)
-    stats, made = [], {}
-    windowed = [n for n in names if n != reducers.POINT]
-    quality = None
+    scalar = [n for n in windowed if reducers.is_scalar(n)]
+    kinds = [n for n in windowed if n in reducers.CLASS_REDUCERS]
     if windowed:
-        quality = window.window_stats(points, raster, side, windowed, bands, coverage)
-        out = out.join(quality, window.ROW, "left")
-        scalar = [n for n in windowed if reducers.is_scalar(n)]
-        made |= {f"{label[b]}{n}_{window_m}m": F.col(f"`{b}.{n}`") for b in bands for n in scalar}
-        if kinds := [n for n in windowed if n in reducers.CLASS_REDUCERS]:
-            found = window.window_classes(points, raster, side, kinds, bands, classes)
-            out = out.join(found, window.ROW, "left")
-            for c in found.columns[1:]:
-                b, key = c.split(".", 1)
-                zero = F.lit(0).cast("bigint") if key.endswith("count") else F.lit(0.0)
-                made[f"{label[b]}{key}_{window_m}m"] = F.coalesce(F.col(f"`{c}`"), zero)
-    if reducers.POINT in names and with_point:
+        quality = window.nested_stats(points, raster, sides, windowed, bands, coverage)
+        out = out.join(quality.withColumnsRenamed({f"w{k}": f"_s{k}" for k in range(len(sides))}), window.ROW, "left")
+    counted: list[str] = []
+    if kinds:
+        found = window.nested_classes(points, raster, sides, kinds, bands, classes)
+        counted = [c for c in found.schema["w0"].dataType.names if c != "none"]
+        out = out.join(found.withColumnsRenamed({f"w{k}": f"_c{k}" for k in range(len(sides))}), window.ROW, "left")
+    sampled: dict[str, Column] = {}
+    if reducers.POINT in names:
         sample = window.point_sample(points, raster, bands)
-        if quality is None:
-            quality, keep = sample, ["in_extent", "n_pixels", "had_nodata", "coverage_pct"]
-        else:
-            keep = []
+        keep = [] if windowed else ["in_extent", "n_pixels", "had_nodata", "coverage_pct"]
         out = out.join(sample.select(window.ROW, *keep, *(f"`{b}.point`" for b in bands)), window.ROW, "left")
-        made |= {f"{label[b]}point": F.col(f"`{b}.point`") for b in bands}
-    stats = list(made)
-    suffix = "point" if set(names) == {reducers.POINT} else f"{window_m}m"
-    flags = {f"{name}_{c}_{suffix}": F.col(c) for c in ("in_extent", "n_pixels", "had_nodata", "coverage_pct") if c in out.columns}
-    flags |= {f"{name}_{c}_{suffix}": F.date_format(c, "yyyy-MM-dd") if c.startswith("image_time") else F.col(c) for c in extra}
-    if raster.header.crs is not None:
-        flags[f"{name}_region_crs_{suffix}"] = F.lit(f"EPSG:{raster.header.crs}")
-    if multi and f"{bands[0]}.n_valid" in out.columns:
-        flags |= {f"{name}_{b}_coverage_pct_{suffix}": qc.band_coverage(F.col(f"`{b}.n_valid`"), F.col("total")) for b in bands}
-    return out.select(window.ROW, *(c.alias(k) for k, c in (made | flags).items())), stats, list(flags)
+        sampled = {f"{label[b]}point": F.col(f"`{b}.point`") for b in bands}
+    stats, flags = {}, {}
+    for w in windows:
+        k = sides.index(side[w])
+        of = (lambda c, k=k: F.col(f"_s{k}.`{c}`")) if windowed else (lambda c: F.col(f"`{c}`"))
+        stats |= {f"{label[b]}{n}_{w}m": of(f"{b}.{n}") for b in bands for n in scalar}
+        for c in counted:
+            b, key = c.split(".", 1)
+            zero = F.lit(0).cast("bigint") if key.endswith("count") else F.lit(0.0)
+            stats[f"{label[b]}{key}_{w}m"] = F.coalesce(F.col(f"_c{k}.`{c}`"), zero)
+        if w == windows[0]:
+            stats |= sampled
+        suffix = f"{w}m" if windowed else "point"
+        flags |= {f"{name}_{c}_{suffix}": of(c) for c in ("in_extent", "n_pixels", "had_nodata", "coverage_pct")}
+        flags |= {f"{name}_{c}_{suffix}": F.date_format(c, "yyyy-MM-dd") if c.startswith("image_time") else F.col(c) for c in extra}
+        if raster.header.crs is not None:
+            flags[f"{name}_region_crs_{suffix}"] = F.lit(f"EPSG:{raster.header.crs}")
+        if multi and windowed:
+            flags |= {f"{name}_{b}_coverage_pct_{suffix}": qc.band_coverage(of(f"{b}.n_valid"), of("total")) for b in bands}
+    return out.select(window.ROW, *(c.alias(k) for k, c in (stats | flags).items())), list(stats), list(flags)
+
+
+def _matched(points: DataFrame, raster: Raster, policy: str, by_zone: bool) -> tuple[DataFrame, Raster, list[str]]:
+    """Each point with its image of a collection (by date, footprint and, with ``by_zone``, UTM zone), the raster to read and the columns that say how.
+
+    A raster without images, or of images without any date (as one image of the last valid values), is the same for all points.
+    """
+    if raster.images is not None and asof.undated(raster.images):
+        raster = _flattened(raster)
+    if raster.images is None:
+        return points, raster, []
+    if "date" not in points.columns:
+        points = points.withColumn("date", F.lit(None).cast("date"))
+    keys = ("utm_zone",) if by_zone and "utm_zone" in raster.images.columns else ()
+    points = points.withColumn("utm_zone", crs.utm_zone_label(F.col("lat"), F.col("lon"))) if keys else points
+    images = raster.images
+    if keys:  # the images of other zones aren't read; there are 120 zones at most
+        images = images.where(F.col("utm_zone").isin([r[0] for r in points.select("utm_zone").distinct().collect()]))
+    if set(asof.FOOTPRINT) <= set(images.columns):
+        points = asof.match_covering(points, images, policy, window.ROW, keys=keys)
+    else:
+        points = asof.match_images(points, images, policy, keys=keys)
+    return points, raster, ["date_clamped", "date_source", "image_time_start", "image_time_end"]
 
 
 def _located(points: DataFrame, raster: Raster) -> DataFrame:
@@ -155,7 +175,7 @@ def extract(
 ) -> Any:
     """Statistics columns (or tiles) of the configured datasets for every point.
 
-    Returns, for "dataframe" output, a lazy DataFrame for a single configuration
+    Returns, for "dataframe" output, a DataFrame over the written result for a single configuration
     (else by batch_id); for files and tiles the paths by batch_id, tiles by
     batch_id:dataset[:window].  ``rasters`` gives datasets' rasters directly;
     others are opened through their catalog entries.
@@ -182,7 +202,7 @@ def extract(
         base = window.keyed(checked.points, ("lat", "lon", "date"))  # a caller's own x and y are none of it
         places = window.sites(base)
         total = base.count() if progress_callback or not quiet else 0
-        wide, stats, flags = base, [], []
+        wide, stats, flags, work = base, [], [], []
         for chosen in run.datasets:
             spec = catalog[chosen.name]
             if chosen.name not in opened:
@@ -203,7 +223,7 @@ def extract(
                     results[key], summary = _tiles(
                         base, raster.select(bands), w, run.resample_m, chosen.name,
                         f"{output_dir}/{run.batch_id}/{chosen.name}", len(run.windows) > 1,
-                        own.get("collection_date_policy", "nearest"), scale
+                        own.get("collection_date_policy", "nearest"), scale, bool(own.get("use_utm_zone"))
                     )
                     info.setdefault(chosen.name, _described(spec, raster, bands, scale))[f"tiles_{w}m"] = summary
                     total = summary["total"]
@@ -211,21 +231,18 @@ def extract(
             wanted = run.statistics_for(chosen.name, kind)
             if found := reducers.type_warnings(wanted, kind):
                 notes[chosen.name] = found
-            for k, w in enumerate(run.windows):
-                progress.emit(progress_callback, progress.ProgressEvent(run.batch_id, chosen.name, w, 0, total), quiet)
-                only_point = set(wanted) == {reducers.POINT}
-                if k and only_point:
-                    continue
-                cols, s, f = dataset_columns(
-                    places, raster, chosen.name, wanted, bands, multi, w,
-                    policy=own.get("collection_date_policy", "nearest"),
-                    coverage=own.get("coverage", "geometric" if remote else "touched"),
-                    expand_subpixel=own.get("expand_subpixel", remote), classes=own.get("classes"), with_point=k == 0,
-                    scale=scale, by_zone=bool(own.get("use_utm_zone"))
-                )
-                wide = wide.join(cols.drop(*(c for c in cols.columns if c in wide.columns and c != window.ROW)), window.ROW, "left")
-                stats, flags = [*stats, *(c for c in s if c not in stats)], [*flags, *(c for c in f if c not in flags)]
-                progress.emit(progress_callback, progress.ProgressEvent(run.batch_id, chosen.name, w, total, total), quiet)
+            for w in run.windows[:1] if set(wanted) == {reducers.POINT} else run.windows:
+                work.append(progress.ProgressEvent(run.batch_id, chosen.name, w, 0, total))
+                progress.emit(progress_callback, work[-1], quiet)
+            cols, s, f = dataset_columns(
+                places, raster, chosen.name, wanted, bands, multi, run.windows,
+                policy=own.get("collection_date_policy", "nearest"),
+                coverage=own.get("coverage", "geometric" if remote else "touched"),
+                expand_subpixel=own.get("expand_subpixel", remote), classes=own.get("classes"),
+                scale=scale, by_zone=bool(own.get("use_utm_zone"))
+            )
+            wide = wide.join(cols.drop(*(c for c in cols.columns if c in wide.columns and c != window.ROW)), window.ROW, "left")
+            stats, flags = [*stats, *(c for c in s if c not in stats)], [*flags, *(c for c in f if c not in flags)]
             info[chosen.name] = _described(spec, raster, bands, scale) | {"data_type": kind}
         if run.output_type == "raster":
             if write_metadata:
@@ -235,7 +252,14 @@ def extract(
                 )
             continue
         # written once: the table, the quality table and the summaries below read it from the shared folder
-        wide = cut(wide.drop(window.ROW), shared_folder(spark), "extracted")
+        def tell(share: float, work: list[progress.ProgressEvent] = work) -> None:
+            for e in work:
+                progress.emit(progress_callback, replace(e, done=min(int(e.total * share), e.total - 1), share=share), quiet)
+
+        with progress.watched(spark, tell if progress_callback and total else None):
+            wide = cut(wide.drop(window.ROW), shared_folder(spark), "extracted")
+        for e in work:
+            progress.emit(progress_callback, replace(e, done=total, share=1.0), quiet)
         table, quality = _assembled(wide, df, names, stats, flags)
         if run.output_file_format == "dataframe":
             results[run.batch_id] = table
@@ -416,30 +440,40 @@ def tile_values(points: DataFrame, raster: Raster, window_m: float, step: float
 
 def _tiles(
     points: DataFrame, raster: Raster, window_m: int, step: float | None, name: str, folder: str, suffixed: bool,
-    policy: str = "nearest", scale: float | None = None
-) -> tuple[str, dict[str, int]]:
+    policy: str = "nearest", scale: float | None = None, by_zone: bool = False
+) -> tuple[str, dict[str, Any]]:
     """Write a GeoTIFF file of each point's window, with all bands; the folder, and how many were written and not.
 
-    Of a collection each point's image is taken.  Points outside the raster, and
-    tiles that can't be encoded, have no file and count as failed.
+    Of a collection each point's image is taken, as for statistics.  Points outside the raster, and
+    tiles that can't be encoded or written, have no file and count as failed; the errors are a table beside the tiles.
     """
     h = raster.header
     check_tile_size(window_m, step or scale or abs(h.a) * (METRES_PER_DEGREE if h.crs == 4326 else 1), len(h.bands))
-    places = _located(window.sites(points), raster)
-    if raster.images is not None:
-        if asof.undated(raster.images):
-            raster = _flattened(raster)
-        else:
-            places = asof.match_images(
-                places if "date" in places.columns else places.withColumn("date", F.lit(None).cast("date")),
-                raster.images, policy
-            )
-    label = F.concat(F.col("id").cast("string"), F.lit(f"-{name}" + (f"-{window_m}m" if suffixed else "") + ".tif"))
-    rows = points.select(window.ROW, label.alias("name")).join(tile_values(places, raster, window_m, step), window.ROW).drop(window.ROW)
+    places, raster, _ = _matched(_located(window.sites(points), raster), raster, policy, by_zone)
+    # a name of the point's id; where places share one, with a hash of the place and date as well, so no file takes another's
+    own = points.select(window.ROW, sinks.file_name(F.col("id")).alias("own")).distinct()
+    shared = own.groupBy("own").count().where("count > 1").select("own", F.lit("-").alias("mark"))
+    label = F.concat(
+        "own", F.when(F.col("mark").isNull(), "").otherwise(F.concat(F.lit("-"), F.lower(F.hex(F.xxhash64(window.ROW))))),
+        F.lit(f"-{name}" + (f"-{window_m}m" if suffixed else "") + ".tif")
+    )
+    named = own.join(shared, "own", "left").select(window.ROW, label.alias("name"))
+    rows = named.join(tile_values(places, raster, window_m, step), window.ROW).drop(window.ROW)
     path = f"{folder}/tiles" + (f"-{window_m}m" if suffixed else "")
     given = h.nodata[0] if h.nodata[0] is not None else (raster.meta.get("nodata") or (None,))[0]
-    files = sinks.write_files(geotiff.write_tiles(rows, replace(h, nodata=(given,) * len(h.bands))), path)
-    found = cut(files, shared_folder(points.sparkSession), "tiles").agg(F.count_if("written").alias("n")).first()["n"]
-    total = points.count()
-    zones = [r["epsg"] for r in crs.zones(points).orderBy("epsg").collect()] if step and h.crs else []
-    return path, {"n_exported": found, "n_failed": total - found, "total": total} | ({"zones": zones} if zones else {})
+    spark = points.sparkSession
+    at = shared_folder(spark)
+    files = cut(sinks.write_files(geotiff.write_tiles(rows, replace(h, nodata=(given,) * len(h.bands))), path), at, "tiles")
+    found = files.agg(F.count_if("written").alias("n"), F.count_if(F.col("error").isNotNull()).alias("errors")).first()
+    total, wanted = points.count(), own.count()
+    summary: dict[str, Any] = {"n_exported": found["n"], "n_failed": wanted - found["n"], "total": total}
+    if total > wanted:
+        summary["n_repeated"] = total - wanted  # rows of one id, place and date share a file
+    if found["errors"]:  # those that could not be encoded or written: whole in a table, the first ones here
+        bad = files.where("error is not null").select("name", "error")
+        summary["failures"] = sinks.write_table(bad, folder, f"failed-{window_m}m" if suffixed else "failed", "parquet")
+        summary["errors"] = [r.asDict() for r in bad.orderBy("name").limit(50).collect()]
+    if step and h.crs:
+        summary["zones"] = [r["epsg"] for r in crs.zones(points).orderBy("epsg").collect()]
+    discard(spark, at)
+    return path, summary

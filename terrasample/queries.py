@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from terrasample.functions import crs, dates, grid, reducers
 from terrasample.operators import asof, qc, terrain, window
 from terrasample.plans import catalog
-from terrasample.sources import geotiff
+from terrasample.sources import geotiff, sinks
 from terrasample.sources import points as point_source
 from terrasample.sources.raster import Raster, pixels_of_tiles, tiles_of_pixels
 from terrasample.sources.shared import shared_folder
@@ -195,15 +195,22 @@ def multiband_stats(spark: SparkSession, d: str) -> DataFrame:
     return s.select("id", "n_pixels", F.col("`b1.max`").alias("b1_max"), F.col("`b2.min`").alias("b2_min"), F.col("`b3.sum`").alias("b3_sum"))
 
 
-_TWO = " union all ".join(
-    f"select * from (" + _win(w) + f"select pt.id, {w} as window_m, count(b1) as n_pixels, max(b1) as max_value from pt left join w on w.id = pt.id group by pt.id)" for w in (50, 200)
+_SIDES = (20, 50, 100, 200, 300)
+_NESTED = " union all ".join(
+    f"select * from (" + _win(w) + f"select pt.id, {w} as window_m, count(b1) as n_pixels, max(b1) as max_value, median(b1) as median, round_even(quantile_cont(b1, 0.9) * 1e5, 0) / 1e5 as q90 from pt left join w on w.id = pt.id group by pt.id)" for w in _SIDES
 )
 
 
-@query(_TWO)
+@query(_NESTED)
 def multi_window(spark: SparkSession, d: str) -> DataFrame:
-    one = lambda w: _stats(spark, d, ["max"], w).select("id", F.lit(w).alias("window_m"), "n_pixels", F.col("`b1.max`").alias("max_value"))
-    return one(50).unionByName(one(200))
+    """Five windows around each point out of one reading of the tiles."""
+    raster = part_raster(spark, d)
+    wide = window.nested_stats(customer_points(spark, d, raster), raster, list(_SIDES), ["max", "median", "q90"], ["b1"])
+    each = F.array(*(
+        F.struct(F.lit(w).alias("window_m"), *(F.col(f"w{k}.`{c}`").alias(n) for c, n in (("n_pixels", "n_pixels"), ("b1.max", "max_value"), ("b1.median", "median"), ("b1.q90", "q90"))))
+        for k, w in enumerate(_SIDES)
+    ))
+    return wide.select(F.col("_row").alias("id"), F.inline(each)).withColumn("q90", F.expr(_exact("q90")))
 
 
 _QC = _win(100) + """select rng.id, rng.total::bigint as total, count(b1) as n_pixels, rng.total > 0 as in_extent, rng.total > 0 and count(b1) < rng.total as had_nodata,
@@ -673,6 +680,50 @@ def extract_end_to_end(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("part_count_12m", F.col("part_count_12m").cast("double"))
 
 
+_DAYS = ("2020-01-01", "2020-03-01", "2020-06-01")
+
+
+def write_part_collection(spark: SparkSession, d: str, folder: str) -> None:
+    """``part`` as a collection of GeoTIFF files in degrees: blocks of 40 rows, three days, each day's files further east and their values by 1000 higher."""
+    px = part_pixels(spark, d).select(F.floor(F.col("r") / 40).cast("int").alias("block"), (F.col("r") % 40).alias("r"), "c", "b1")
+    each = px.withColumn("j", F.explode(F.array(*(F.lit(j) for j in range(len(_DAYS))))))
+    # a file's pixels, 2000 at most
+    image = each.groupBy("block", "j").agg(F.array_sort(F.collect_list(F.struct((F.col("r") * COLUMNS + F.col("c")).cast("int").alias("o"), (F.col("b1") + F.col("j") * 1000).alias("v")))).alias("p"))
+    days = F.array(*(F.lit(x) for x in _DAYS))
+    rows = image.select(
+        F.concat(F.lit("block"), F.col("block").cast("string"), F.lit("_"), days[F.col("j")], F.lit(".tif")).alias("name"), F.lit(4326).alias("epsg"),
+        (10.0 + F.col("j") * 1.25).alias("left"), (60.0 - F.col("block") * 10.0).alias("top"), F.lit(0.25).alias("a"), F.lit(-0.25).alias("e"), F.lit(False).alias("turned"),
+        F.lit(40).alias("height"), F.lit(COLUMNS).alias("width"), F.col("p.o").alias("o"), F.array(F.col("p.v")).alias("values"),
+    )
+    header = grid.Header(COLUMNS, 40, 0.25, -0.25, crs=4326, nodata=(None,))
+    sinks.write_files(geotiff.write_tiles(rows, header), folder).write.format("noop").mode("overwrite").save()
+
+
+@query("""with px as (select p_partkey // 50 // 40 as block, p_partkey // 50 % 40 as r, p_partkey % 50 as c, case when p_size <> 1 then p_retailprice end as b1 from part),
+ im as (select block, j, 'block' || block || '_' || d as image_id, d::date as s, 10 + j * 1.25::double as west, 10 + j * 1.25::double + 12.5 as east, 60 - block * 10.0::double as north from (select distinct block from px), (values (0, '2020-01-01'), (1, '2020-03-01'), (2, '2020-06-01')) t(j, d)),
+ pt as (select c_custkey as id, 59.875 - 0.25 * ((c_custkey * 53) % (select ceil((max(p_partkey) + 1) / 50.0)::bigint from part)) as lat, 8.125 + 0.25 * ((c_custkey * 37) % 70) as lon, date '2019-12-20' + ((c_custkey * 11) % 220)::int as d from customer),
+ held as (select pt.*, im.* exclude (j), im.j from pt join im on lon between west and east and lat between north - 10 and north),
+ span as (select id, min(s) as lo, max(s) as hi from held group by id),
+ pick as (select id, arg_min(struct_pack(i := image_id, s := s, block := block, j := j, west := west, north := north), struct_pack(gap := abs(d - s), late := -(s - date '1970-01-01'))) as p from held group by id)
+select pt.id as "occurrenceID", pt.lat as "decimalLatitude", pt.lon as "decimalLongitude", strftime(pt.d, '%Y-%m-%d') as "eventDate", px.b1 + 1000 * p.j as part_copy_point
+from pt left join pick on pick.id = pt.id left join px on px.block = p.block and px.r = floor((p.north - pt.lat) / 0.25) and px.c = floor((pt.lon - p.west) / 0.25)""")
+def extract_collection(spark: SparkSession, d: str) -> DataFrame:
+    """extract() of a collection by its catalog entry: the files of a mirrored folder, each point's image by footprint and date."""
+    from terrasample.plans.extract import extract
+
+    folder = shared_folder(spark)
+    write_part_collection(spark, d, folder)
+    rows = table(spark, d, "part").agg(F.max("p_partkey")).first()[0] // COLUMNS + 1
+    k = F.col("c_custkey")
+    points = table(spark, d, "customer").select(
+        k.alias("occurrenceID"), (59.875 - 0.25 * ((k * 53) % rows)).alias("decimalLatitude"), (8.125 + 0.25 * ((k * 37) % 70)).alias("decimalLongitude"),
+        F.date_add(F.lit("2019-12-20").cast("date"), ((k * 11) % 220).cast("int")).cast("string").alias("eventDate"),
+    )
+    catalog.update_catalog({"datasets": {"part_copy": {"data_source": "local", "path": folder, "data_type": "continuous"}}})
+    settings = {"output_type": "tabular", "statistics": ["point"], "output_file_format": "dataframe"}
+    return extract(points, {"datasets": ["part_copy"], "settings": settings}, output_dir=shared_folder(spark), write_metadata=False, quiet=True)
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

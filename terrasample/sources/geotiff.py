@@ -16,7 +16,7 @@ import struct
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import replace
-from typing import Any
+from xml.sax.saxutils import escape, quoteattr
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrasample.functions.grid import Header
-from terrasample.sources.raster import Raster, register_source
+from terrasample.sources.raster import Raster
+from terrasample.sources.shared import ship
 
 # Fixed values of the TIFF and GeoTIFF formats: tag numbers, type sizes, compression codes.
 _TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 17: "q", 18: "Q"}
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, STRIP_ROWS, STRIP_BYTES, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_HEIGHT, TILE_AT, TILE_BYTES, FORMAT, SCALE, TIE, MATRIX, GEO_KEYS, NODATA = 322, 323, 324, 325, 339, 33550, 33922, 34264, 34735, 42113
+TAKEN, ITEMS = 306, 42112
 _CODES = {1: "none", 5: "lzw", 8: "deflate", 32946: "deflate", 32773: "packbits"}
 
 
@@ -132,6 +134,29 @@ def header_of(data: bytes | Reader) -> Header:
     return _header(_tags(data)[1])
 
 
+def details(data: bytes | Reader) -> tuple[Header, dict[str, str]]:
+    """The header, its bands named as the file describes them, and what else the file says of itself: its metadata items and, as datetime, when it was taken."""
+    from xml.etree import ElementTree
+
+    tags = _tags(data)[1]
+    header, found = _header(tags), {}
+    names = list(header.bands)
+    if TAKEN in tags:
+        found["datetime"] = tags[TAKEN][0]
+    if ITEMS in tags:
+        try:
+            items = list(ElementTree.fromstring(tags[ITEMS][0]))
+        except ElementTree.ParseError:
+            items = []  # no items, then
+        for item in items:
+            name, sample = item.get("name", ""), item.get("sample")
+            if sample is None:
+                found[name] = item.text or ""
+            elif name == "DESCRIPTION" and sample.isdigit() and int(sample) < len(names) and item.text:
+                names[int(sample)] = item.text
+    return (replace(header, bands=tuple(names)) if len(set(names)) == len(names) else header), found
+
+
 def _header(t: dict[int, tuple]) -> Header:
     a, e, c, f, b, d = 1.0, -1.0, 0.0, 0.0, 0.0, 0.0
     if MATRIX in t:
@@ -217,8 +242,11 @@ def decode(data: bytes | Reader) -> np.ndarray:
     return b.window(0, b.header.height, 0, b.header.width)
 
 
-def encode(values: np.ndarray, header: Header) -> bytes:
-    """A little-endian, deflated, band-interleaved file of one strip per 64 rows; all bands share type and nodata."""
+def encode(values: np.ndarray, header: Header, items: dict[str, str] | None = None) -> bytes:
+    """A little-endian, deflated, band-interleaved file of one strip per 64 rows; all bands share type and nodata.
+
+    With ``items`` the file has them as metadata, and the bands' names as descriptions.
+    """
     n, h, w = values.shape
     kind = values.dtype.newbyteorder("<")
     rows = 64
@@ -236,6 +264,10 @@ def encode(values: np.ndarray, header: Header) -> bytes:
         tags.append((GEO_KEYS, 3, (1, 1, 0, 3, 1024, 0, 1, model, 1025, 0, 1, 1, 2048 if model == 2 else 3072, 0, 1, header.crs)))
     if header.nodata[0] is not None:
         tags.append((NODATA, 2, (f"{header.nodata[0]:.17g}".encode() + b"\0",)))
+    if items is not None:
+        own = [f'<Item name={quoteattr(k)}>{escape(v)}</Item>' for k, v in items.items()]
+        own += [f'<Item name="DESCRIPTION" sample="{k}" role="description">{escape(b)}</Item>' for k, b in enumerate(header.bands)]
+        tags.append((ITEMS, 2, (f"<GDALMetadata>{''.join(own)}</GDALMetadata>".encode() + b"\0",)))
     tags.sort()
     at = 8 + 2 + 12 * len(tags) + 4
     body, entries = b"", []
@@ -306,6 +338,7 @@ def read(spark: SparkSession, path: str, *, size: int = 256, image_id: str | Non
     ``errors``: "skip" leaves out tiles that can't be read (and files of another
     grid), "raise" fails.
     """
+    ship(spark)
     try:
         files = spark.read.format("binaryFile").load(path)
     except AnalysisException as e:
@@ -358,12 +391,12 @@ def read(spark: SparkSession, path: str, *, size: int = 256, image_id: str | Non
         def fetch(needed: DataFrame, bands: list[str]) -> DataFrame:
             inside = needed.where(F.col("tile_row").between(0, rows - 1) & F.col("tile_col").between(0, cols - 1))
             units = inside.join(files.select("path", name_of.alias("image_id")), "image_id") if many else inside.withColumn("path", F.lit(first))
-            return tiles(units.select("path", "tile_row", "tile_col"), bands)
+            return tiles(_in_order(units.select("path", "tile_row", "tile_col")), bands)
 
         each = files.select("path", F.explode(F.sequence(F.lit(0), F.lit(rows * cols - 1))).alias("u"))
         # the tiles of one row share its strips, so a task gets all of them
         units = each.select("path", F.floor(F.col("u") / cols).cast("int").alias("tile_row"), (F.col("u") % cols).cast("int").alias("tile_col"))
-        units = units.repartition(spark.sparkContext.defaultParallelism * 4, "path", "tile_row").sortWithinPartitions("path", "tile_row", "tile_col")
+        units = _in_order(units)
     else:
         units = files.select("path", "content")
     every = tiles(units, list(header.bands))
@@ -373,12 +406,20 @@ def read(spark: SparkSession, path: str, *, size: int = 256, image_id: str | Non
     )
 
 
+def _in_order(units: DataFrame) -> DataFrame:
+    """Units by file and row of tiles, so that a task opens a file once and reads what shares strips one after the other."""
+    n = units.sparkSession.sparkContext.defaultParallelism * 4
+    return units.repartition(n, "path", "tile_row").sortWithinPartitions("path", "tile_row", "tile_col")
+
+
 def write_tiles(rows: DataFrame, header: Header) -> DataFrame:
-    """One file per row of (name, epsg, left, top, a, e, height, width, o, values) as a table name, content.
+    """One file per row of (name, epsg, left, top, a, e, height, width, o, values) as a table name, content, error.
 
     ``values`` has an array for each band: the numbers at the places ``o`` (row-major).
     What is null or at no place is nodata: the header's, or the type's own if it has none that fits.
+    A row that can't be encoded has a null content and says why in ``error``.
     """
+    ship(rows.sparkSession)
     kind, n = np.dtype(header.dtype), len(header.bands)
     whole = np.iinfo(kind) if kind.kind in "iu" else None
     fill = header.nodata[0]
@@ -407,14 +448,23 @@ def write_tiles(rows: DataFrame, header: Header) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             frames = batch.select(["height", "width", "epsg", "left", "top", "a", "e", "turned"]).to_pylist()
-            out = [file(o, v, **f) for o, v, f in zip(batch.column("o"), batch.column("values"), frames, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(out, pa.binary())], names=["name", "content"])
+            out, errors = [], []
+            for o, v, f in zip(batch.column("o"), batch.column("values"), frames, strict=True):
+                try:
+                    out.append(file(o, v, **f))
+                    errors.append(None)
+                except Exception as e:  # whatever is wrong with this row, the others have their files
+                    out.append(None)
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(out, pa.binary()), pa.array(errors, pa.string())], names=["name", "content", "error"])
 
-    return rows.mapInArrow(run, "name string, content binary")
+    return rows.mapInArrow(run, "name string, content binary, error string")
 
 
 def summary(files: DataFrame) -> DataFrame:
     """name, nodata, n_missing and total (of the first band's other values) of files (name, content)."""
+    ship(files.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -434,11 +484,3 @@ def synthetic_nodata(dtype: str) -> float:
     """NaN for floats, the largest value for integers, else 0."""
     k = np.dtype(dtype)
     return float("nan") if k.kind == "f" else float(np.iinfo(k).max) if k.kind in "iu" else 0.0
-
-
-def _source(spark: SparkSession, spec: dict[str, Any]) -> Raster:
-    return read(spark, spec["path"], errors=spec.get("on_error", "raise"))
-
-
-register_source("local", _source)
-register_source("geotiff", _source)

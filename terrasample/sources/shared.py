@@ -1,4 +1,4 @@
-"""Intermediate tables in the folder that the driver and all executors share.
+"""Intermediate tables in the folder that the driver and all executors share, and this package on the executors.
 
 A table that is written and read back ends its lineage: rows keep their values
 whatever is recomputed, and a lost executor costs no earlier stage.
@@ -8,9 +8,27 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let executors import this package, once per application (they needn't see the driver's folders)."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    root = Path(__file__).resolve().parents[1]
+    name = Path(tempfile.mkdtemp(prefix="terrasample-")) / "terrasample_pkg.zip"
+    with zipfile.ZipFile(name, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(p.relative_to(root.parent)))
+    sc.addPyFile(str(name))
+
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir.

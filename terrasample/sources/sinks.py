@@ -9,7 +9,10 @@ from datetime import datetime
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from terrasample.sources.shared import ship
 
 VERSION = "0.1.0"
 
@@ -63,13 +66,30 @@ def write_sidecar(spark: SparkSession, content: dict[str, Any], folder: str, nam
     return path
 
 
+#: Of a file name: the characters that stay as they are, and its greatest length.
+_KEPT, MOST = "[^A-Za-z0-9._-]", 180
+
+
+def file_name(c: Column) -> Column:
+    """A text as a file name: what could leave a folder, hide a file or need quoting becomes _; such names, and long ones, end with a hash of the text.
+
+    Equal texts have equal names and different ones different names (up to a 64-bit hash); null is "none".
+    """
+    text = F.coalesce(c.cast("string"), F.lit("none"))
+    plain = F.regexp_replace(F.regexp_replace(text, _KEPT, "_"), "^[.]+", "_")
+    changed = (plain != text) | (F.length(text) > MOST) | (text == "")
+    return F.when(changed, F.concat(F.substring(plain, 1, MOST - 20), F.lit("-"), F.lower(F.hex(F.xxhash64(text))))).otherwise(plain)
+
+
 def write_files(rows: DataFrame, folder: str) -> DataFrame:
-    """Write each row (name, content) as a file of that name below ``folder``; name and written of each row, once asked for.
+    """Write each row (name, content and, where there is one, error) as a file of that name below ``folder``; name, written and error of each row, once asked for.
 
     Tasks write their own files, under another name first, so a repeated task
-    leaves whole files.  A null content is not written (written = false).
-    ``folder`` is local or in a store that Arrow's file systems know.
+    leaves whole files.  A null content is not written, and a file that can't be
+    written, or whose name would leave the folder, isn't either (written = false, with the
+    error); all others are.  ``folder`` is local or in a store that Arrow's file systems know.
     """
+    ship(rows.sparkSession)
     _, at = _qualified(rows.sparkSession, folder)
     uri = at.toString()
     uri = "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
@@ -81,13 +101,32 @@ def write_files(rows: DataFrame, folder: str) -> DataFrame:
 
         fs, base = stores.FileSystem.from_uri(uri)
         fs.create_dir(base, recursive=True)
+
+        def put(name: str | None, content: pa.Scalar) -> None:
+            if not name or "/" in name or name in (".", ".."):
+                raise ValueError(f"{name!r} is no file name")
+            part = f"{base}/.{uuid.uuid4().hex}"
+            try:
+                with fs.open_output_stream(part) as out:
+                    out.write(content.as_buffer())
+                fs.move(part, f"{base}/{name}")
+            except (OSError, ValueError):
+                if fs.get_file_info(part).type != stores.FileType.NotFound:
+                    fs.delete_file(part)
+                raise
+
         for batch in batches:
-            for name, content in zip(batch.column("name").to_pylist(), batch.column("content"), strict=True):
+            names = batch.column("name").to_pylist()
+            errors = batch.column("error").to_pylist()
+            written = []
+            for k, (name, content) in enumerate(zip(names, batch.column("content"), strict=True)):
                 if content.is_valid:
-                    part = f"{base}/.{uuid.uuid4().hex}"
-                    with fs.open_output_stream(part) as out:
-                        out.write(content.as_buffer())
-                    fs.move(part, f"{base}/{name}")
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([content.is_valid])], names=["name", "written"])
-
-    return rows.select("name", "content").mapInArrow(run, "name string, written boolean")
+                    try:
+                        put(name, content)
+                    except (OSError, ValueError) as e:
+                        errors[k] = f"{type(e).__name__}: {e}"
+                written.append(content.is_valid and errors[k] is None)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(written), pa.array(errors, pa.string())], names=["name", "written", "error"])
+
+    error = F.col("error") if "error" in rows.columns else F.lit(None).cast("string")
+    return rows.select("name", "content", error.alias("error")).mapInArrow(run, "name string, written boolean, error string")
