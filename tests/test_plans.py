@@ -373,39 +373,35 @@ def test_files_that_cannot_be_read(spark, tmp_path):
         geotiff.read(spark, f"{tmp_path}/*.none")
 
 
-def test_choices_become_configurations(spark, dem, tmp_path):
-    from terrasample.plans import requests
+def test_requests_become_the_fewest_runs(spark, dem, tmp_path):
+    from terrasample.plans.requests import Requests, metres, reducers_for
 
-    assert requests.window_sizes("100; 500,20 ") == (100, 500, 20)
-    for bad in ("", " ,", "0", "-5", "1.5", "x"):
+    assert metres("100; 500,20 ") == (20, 100, 500) and metres(5) == (5,) and metres([7, 3]) == (3, 7)
+    for bad in ("", " ,", "0", "-5", "1.5", "x", 0, [1, True], [2.5], []):
         with pytest.raises(ValueError):
-            requests.window_sizes(bad)
-    assert requests.default_statistics({"data_type": "categorical"}) == ("mode", "class_fraction") and requests.default_statistics({}) == ("mean", "std")
-    assert requests.suitable_statistics(
-        {"data_type": "categorical"}, ["mean", "count", "mode"]
-    ) == ("count", "mode") and requests.suitable_statistics({}, ["Mean", "mode"]) == ("Mean",)
-    one = terrasample.Choice("My data/1", (100,), ("mean",))
-    assert terrasample.build_config([one], "tabular") == [
-        {
-            "batch_id": "extract_01_my_data_1", "datasets": ["My data/1"],
-            "settings": {"output_type": "tabular", "window_size_m": 100, "statistics": ["mean"], "output_file_format": "csv"}
-        }
-    ]
-    assert terrasample.build_config([terrasample.Choice("a", (5, 6))], "raster")[0]["settings"] == {
-        "output_type": "raster", "window_size_m": [5, 6], "resample_m": 10
-    }
-    for bad in (
-        ([], "tabular"), ([one], "x"), ([terrasample.Choice("", (1,))], "raster"),
-        ([terrasample.Choice("a", ())], "raster"), ([terrasample.Choice("a", (1,))], "tabular")
-    ):
+            metres(bad)
+    assert "mean" not in reducers_for("categorical") and "mode" not in reducers_for("continuous") and {"mean", "mode"} <= set(reducers_for(None))
+    terrasample.update_catalog({"datasets": {
+        "dem": {"data_source": "local", "path": dem[0], "bands": 1, "data_type": "continuous"}, "dem2": {"data_source": "local", "path": dem[0], "bands": 2, "data_type": "continuous"},
+        "land": {"data_source": "local", "path": dem[0], "bands": 1, "data_type": "categorical"},
+    }})
+    r = Requests("tabular", {"output_file_format": "csv"}).add("dem", "100").add("dem2", [100]).add("dem", 100).add("land", 100).add("dem", 50, ["max", "max"])
+    one, two, three = r.configs()
+    assert one["datasets"] == ["dem", "dem2"] and one["settings"]["statistics"] == ["mean", "std"] and one["settings"]["window_size_m"] == [100]
+    assert two["datasets"] == ["land"] and two["settings"]["statistics"] == ["mode", "class_fraction"] and three["settings"]["statistics"] == ["max"]
+    assert len({c["batch_id"] for c in (one, two, three)}) == 3
+    raster = Requests("raster").add("dem", (5, 6)).configs()[0]["settings"]
+    assert raster == {"output_type": "raster", "window_size_m": [5, 6], "resample_m": 10}
+    for bad in (lambda: Requests("x"), lambda: Requests("raster").configs(), lambda: Requests("tabular").add("dem", 5, [])):
         with pytest.raises(ValueError):
-            terrasample.build_config(*bad)
-    terrasample.update_catalog({"datasets": {"dem": {"data_source": "local", "path": dem[0], "bands": 1}}})
-    out = terrasample.run_extraction(sites(spark), [terrasample.Choice("dem", (100,), ("max",))], "tabular", str(tmp_path), "4326")
-    assert spark.read.csv(out["extract_01_dem"], header=True).columns[-1] == "dem_max_100m"
-    for bad in (sites(spark).limit(0), sites(spark).withColumn("decimalLatitude", F.lit("north")), sites(spark).drop("occurrenceID")):
+            bad()
+    own = Requests("tabular", {"output_file_format": "csv"}).add("dem", 100, ["max"])
+    texts = sites(spark).withColumn("decimalLatitude", F.col("decimalLatitude").cast("string"))
+    out = own.run(texts, str(tmp_path), "4326", quiet=True)
+    assert spark.read.csv(out[own.configs()[0]["batch_id"]], header=True).columns[-1] == "dem_max_100m"
+    for bad in (sites(spark).limit(0), sites(spark).withColumn("decimalLatitude", F.lit("north")), sites(spark).drop("decimalLongitude")):
         with pytest.raises(ValueError):
-            terrasample.run_extraction(bad, [one], "tabular", str(tmp_path))
+            own.run(bad, str(tmp_path))
 
 
 def test_lzw_and_packbits():
@@ -520,7 +516,11 @@ def test_extract_tables(spark, dem, tmp_path):
     assert {"dem_in_extent_100m", "dem_n_pixels_100m", "dem_had_nodata_100m", "dem_coverage_pct_200m", "dem_region_crs_100m"} <= set(q.columns)
     side = json.loads((tmp_path / "b_metadata.json").read_text())
     assert side["run"]["n_points"] == 3 and side["datasets"]["dem"]["quality"]["n_no_data"] == 1
-    assert [(e.dataset, e.done) for e in events][:4] == [("dem", 0), ("dem", 3), ("dem", 0), ("dem", 3)]
+    per = {k: [e for e in events if (e.dataset, e.window_m) == k] for k in {(e.dataset, e.window_m) for e in events}}
+    assert {("dem", 100), ("dem", 200), ("all", 100), ("all", 200)} == set(per)
+    for own in per.values():  # from none to all, and all only when the result is written: after every start
+        assert (own[0].done, own[-1].done, own[-1].share) == (0, 3, 1.0) and [e.done for e in own] == sorted(e.done for e in own)
+    assert max(k for k, e in enumerate(events) if e.done == 0 and e.share == 0) < min(k for k, e in enumerate(events) if e.done == 3)
 
 
 def test_extract_files_and_names(spark, dem, tmp_path):
