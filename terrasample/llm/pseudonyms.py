@@ -5,8 +5,8 @@ their own format by a keyed Feistel network, so a value gets the same pseudonym
 in every document and two values never share one:
 
 * characters: each half of the letters and digits is shifted, character by
-  character, by a SHA-512 digest of the key, the round and the other half; a
-  digit stays a digit and a letter a letter of its case;
+  character, by SHA-512 digests of the key, the round and the other half (one for
+  each 64 characters); a digit stays a digit and a letter a letter of its case;
 * pairs of numbers (a 4-byte address as two 16-bit halves, a day count as
   residues of 17 and 4297): each half is shifted by the digest modulo its size.
 
@@ -19,7 +19,8 @@ inside the scan's stage: no shuffle, no Python, no state.
 
 Formats, not limits, end a value: a card number has 13 to 19 digits, an IBAN at
 most 34 characters, a host name at most 127 labels of 63 characters.  Local parts
-of addresses and hexadecimal secrets (32 characters or more) are of any length.
+of addresses and hexadecimal secrets (32 characters or more) are of any length; work
+grows with a value's length (times its logarithm, where marks stand between the characters).
 """
 
 from __future__ import annotations
@@ -55,27 +56,36 @@ def _digest(key: str, kind: Column, i: Column, other: Column) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(key), kind, i.cast("string"), other), 512)
 
 
-def _byte(digest: Column, place: Column) -> Column:
-    """The digest's byte at a 0-based place (modulo its 64 bytes)."""
-    return F.conv(F.substring(digest, (place % 64) * 2 + 1, 2), 16, 10).cast("int")
+def _digests(digest: Column, length: Column) -> Column:
+    """The digests for a half of some length: of its first 64 characters the digest itself, of each further 64 that of it and their number."""
+    blocks = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((length - 1) / 64).cast("int")))
+    return F.transform(blocks, lambda b: F.when(b == 0, digest).otherwise(F.sha2(F.concat_ws(":", digest, b.cast("string")), 512)))
 
 
-def _each(text: Column, f) -> Column:
-    """``f(character, 0-based place)`` for all characters of a short text, joined."""
-    places = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.length(text) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_join(F.transform(places, lambda j: f(F.substring(text, j + 1, 1), j)), "")
+def _byte(digests: Column, place: Column) -> Column:
+    """The byte for a 0-based place."""
+    own = F.get(digests, F.floor(place / 64).cast("int"))
+    return F.conv(F.substring(own, (place % 64) * 2 + 1, 2), 16, 10).cast("int")
+
+
+def _chars(text: Column) -> Column:
+    """The characters of a text, split once: reading one by its place in a text takes as long as the text."""
+    return F.when(F.length(text) > 0, F.split(text, "")).otherwise(F.array().cast("array<string>"))
 
 
 def _shift(text: Column, digest: Column, kind: Column) -> Column:
-    """Each character moved on within its class by the digest's byte; of a secret within the hexadecimal digits."""
+    """Each character moved on within its class by the digests' byte; of a secret within the hexadecimal digits."""
     hexadecimal = "0123456789abcdef"
 
-    def one(c: Column, j: Column) -> Column:
-        turn = lambda first, n: F.char(F.lit(first) + (F.ascii(c) - first + _byte(digest, j)) % n)
-        in_hex = F.substring(F.lit(hexadecimal), (F.instr(F.lit(hexadecimal), c) - 1 + _byte(digest, j)) % 16 + 1, F.lit(1))
+    def moved(c: Column, by: Column) -> Column:
+        turn = lambda first, n: F.char(F.lit(first) + (F.ascii(c) - first + by) % n)
+        in_hex = F.substring(F.lit(hexadecimal), (F.instr(F.lit(hexadecimal), c) - 1 + by) % 16 + 1, F.lit(1))
         return F.when(kind == "secret", in_hex).when(c.between("0", "9"), turn(48, 10)).when(c.between("a", "z"), turn(97, 26)).when(c.between("A", "Z"), turn(65, 26)).otherwise(c)
 
-    return _each(text, one)
+    return _let(
+        _digests(digest, F.length(text)),
+        lambda d: F.array_join(F.transform(_chars(text), lambda c, j: moved(c, _byte(d, j))), "")
+    )
 
 
 def permute_chars(text: Column, kind: Column, key: str) -> Column:
@@ -103,14 +113,19 @@ def _plain(text: Column, drop: str) -> Column:
 
 
 def _fill(layout: Column, chars: Column, keep: str) -> Column:
-    """``layout`` with its characters of the class ``keep`` replaced in turn by ``chars``."""
-    return _each(
-        layout,
-        lambda c, j: F.when(
-            c.rlike(f"^[{keep}]$"),
-            F.substring(chars, F.length(_plain(F.substring(layout, F.lit(1), j + 1), f"[^{keep}]")), F.lit(1))
-        ).otherwise(c)
-    )
+    """``layout`` with its characters of the class ``keep`` replaced in turn by ``chars``.
+
+    The places of these characters meet the new ones in order; with the other characters at their
+    places they are sorted by place.
+    """
+    at = lambda c, j: F.struct(j.alias("j"), c.alias("c"))
+    fits = lambda p: p["c"].rlike(f"^[{keep}]$")
+
+    def put(places: Column) -> Column:
+        new = F.zip_with(F.filter(places, fits), _chars(chars), lambda p, c: at(c, p["j"]))
+        return F.array_join(F.transform(F.array_sort(F.concat(new, F.filter(places, lambda p: ~fits(p)))), lambda p: p["c"]), "")
+
+    return _let(F.transform(_chars(layout), at), put)
 
 
 def _luhn_sum(digits: Column, last_doubled: bool) -> Column:
