@@ -18,8 +18,8 @@ Never main text, by their tags: navigation, page headers (the headings of an
 article's own header stay), footers, asides, forms with their controls, menus,
 dialogs, and what isn't displayed.  Captions, labels and field sets outside of
 forms are text as any other.  Words of a role, class or id (advert, sidebar,
-comment, ...) only help: they take out an element beside the core, never one
-around it.
+comment, ...) take out an element beside the core, never one around it, and no
+heading or paragraph of an article.
 
 Pages are independent, so extraction runs in the scan's stage: no shuffle.  Time
 and memory are linear in a page's length, however deep its elements nest.  A
@@ -65,6 +65,8 @@ NOISE = frozenset(
 )
 #: Of these, words of text by others, which may be longer than the main text.
 OTHERS = frozenset("comment comments related recommended recommendations reply replies respond responses discussion disqus".split())
+#: And of these, words of reader comments, which are no part of the main text however long they are.
+READERS = frozenset("comment comments reply replies respond responses discussion disqus".split())
 #: Content outside of the core needs this share of the core's own ratio, unless it is a paragraph right beside it: a sentence elsewhere isn't part of the article.
 BESIDE_SHARE = 0.5
 #: An attribute word of these keeps an element even if a noise word stands beside it.
@@ -80,8 +82,12 @@ _SPACE = re.compile(r"\s+")
 _MARK = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
-def _noise(tag: str, attrs: str) -> tuple[bool, set[str]]:
-    """Whether the element is none of the main text by its tag or is hidden, and its words that say so."""
+def _noise(tag: str, attrs: str, article: bool = False) -> tuple[bool, set[str]]:
+    """Whether the element is none of the main text by its tag or is hidden, and its words that say so.
+
+    Headings, paragraphs, list items and the like have ids made of their own text: only their classes
+    and roles count, and within an article not these either.
+    """
     words: set[str] = set()
     if tag in NEVER:
         return True, words
@@ -91,7 +97,7 @@ def _noise(tag: str, attrs: str) -> tuple[bool, set[str]]:
             r"display\s*:\s*none|visibility\s*:\s*hidden", value
         ):
             return True, words
-        if name in ("class", "id", "role"):
+        if name in ("class", "id", "role") and not (tag in PARTS and (article or name == "id")):
             found = _WORD.findall(value)
             if not (tag in ("article", "main", "body") or found and found[-1] in CONTENT and found[0] not in NOISE):
                 words |= NOISE.intersection(found)
@@ -183,7 +189,7 @@ class Page:
                 continue
             _, above, path, noise, link, heading, article, own = stack[-1]
             e = len(self.tag)
-            never, words = _noise(tag, m["attrs"])
+            never, words = _noise(tag, m["attrs"], article)
             if words:
                 self.words[e] = words
             if (path, tag) not in paths:
@@ -240,7 +246,8 @@ def _named(page: Page, weight: np.ndarray) -> np.ndarray:
 
     An element around the article with the most weight, or with most of the
     weight (nearly all, if the words are those of text by others), is a wrapper of
-    the main text and taken out by its words in no case.
+    the main text and taken out by its words in no case; reader comments are no
+    wrapper by their weight.
     """
     none = np.zeros(len(page.text), bool)
     if not page.words or not weight.any():
@@ -258,10 +265,12 @@ def _named(page: Page, weight: np.ndarray) -> np.ndarray:
             wrapper[e] = True
             e = page.parent[e]
     out = none
-    for some, most in ((named[others], 0.9), (named[~others], 0.5)):
+    readers = np.array([bool(page.words[e] & READERS) for e in named.tolist()])
+    for some, most in ((named[readers], None), (named[others & ~readers], 0.9), (named[~others], 0.5)):
         left = weight * (inner & ~out)
         share = page.sums(left)
-        wrapper[some[share[some] > most * left.sum()]] = True
+        if most is not None:
+            wrapper[some[share[some] > most * left.sum()]] = True
         out = out | page.within(some[~wrapper[some]])
     return out if (weight * ~out).any() else none
 

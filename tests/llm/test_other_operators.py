@@ -116,6 +116,19 @@ def test_ratios_equal_plain_ones(data):
         assert np.allclose(html.fused_ratios(page, 1.0), plain_ratios(page, 1.0))
 
 
+def test_ids_and_words_take_nothing_out_of_an_article():
+    page = f"<body><article><h1>T</h1><h2 id='search'>Search</h2><p>{LONG}</p><h2 id='share-widget' class='alert'>Share widget</h2><p class='notice-board'>{LONG}</p><p id='comment'>{LONG}</p></article></body>"
+    assert html.main_text(page).split("\n") == ["T", "Search", LONG.strip(), "Share widget", LONG.strip(), LONG.strip()]
+
+
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<div class='post'>{}</div>", "<div>{}</div>"])
+def test_reader_comments_go_however_long_they_are(around):
+    said = "".join(f"<div class='comment'><p>{LONG}</p></div>" for _ in range(40))
+    for comments in (f"<section class='comments'>{said}</section>", f"<div id='disqus'>{said}</div>", said):
+        page = "<body>" + around.format("<p>A short post, of a few words.</p>") + comments + "</body>"
+        assert html.main_text(page) == "A short post, of a few words."
+
+
 def test_ratios_select_the_text_without_any_words(data, monkeypatch):
     """Without the words of classes the paths' ratios find the article; with one ratio for all they don't."""
     import pyarrow.parquet as pq
