@@ -18,7 +18,7 @@ from terrasample.operators import asof, qc, terrain, window
 from terrasample.plans import catalog as catalogs
 from terrasample.plans import config as configs
 from terrasample.plans import progress
-from terrasample.sources import geotiff, mirror, points as point_source, sinks  # noqa: F401 (mirror: the catalog's sources)
+from terrasample.sources import geotiff, mirror, points as point_source, sinks, store  # noqa: F401 (mirror, store: sources of catalog entries)
 from terrasample.sources.raster import Raster, only, open_raster, pixels_of_tiles, tiles_of_pixels
 from terrasample.sources.shared import cut, discard, shared_folder
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from terrasample.functions import crs, dates, grid, reducers
 from terrasample.operators import asof, qc, terrain, window
 from terrasample.plans import catalog
-from terrasample.sources import geotiff, sinks
+from terrasample.sources import geotiff, sinks, store
 from terrasample.sources import points as point_source
 from terrasample.sources.raster import Raster, pixels_of_tiles, tiles_of_pixels
 from terrasample.sources.shared import shared_folder
@@ -724,6 +724,30 @@ def extract_collection(spark: SparkSession, d: str) -> DataFrame:
     return extract(points, {"datasets": ["part_copy"], "settings": settings}, output_dir=shared_folder(spark), write_metadata=False, quiet=True)
 
 
+_STORED = """with px as (select p_partkey // 50 as r, p_partkey % 50 as c, case when p_size <> 1 then p_retailprice end as b1 from part),
+ im as (select j, d::date as s from (values (0, '2020-01-01'), (1, '2021-03-01'), (2, '2022-06-01')) t(j, d)),
+ pt as (select c_custkey as id, ((c_custkey * 37) % 500)::double as x, ((c_custkey * 53) % (10 * (select ceil((max(p_partkey) + 1) / 50.0)::bigint from part)))::double as y, date '2020-12-20' + ((c_custkey * 11) % 220)::int as d from customer),
+ pick as (select id, arg_min(j, struct_pack(gap := abs(d - s), late := -(s - date '1970-01-01'))) as j from pt, im group by id)
+select pt.id, j, px.b1 + 1000 * j as value from pt join pick on pick.id = pt.id left join px on px.r = floor(pt.y / 10) and px.c = floor(pt.x / 10)"""
+
+
+@query(_STORED)
+def tile_store(spark: SparkSession, d: str) -> DataFrame:
+    """Samples out of a collection written as a store of tiles: only the partitions and row groups of the points' images are read."""
+    single = part_raster(spark, d)
+    days = F.array(*(F.lit(x).cast("date") for x in ("2020-01-01", "2021-03-01", "2022-06-01")))
+    each = single.tiles.withColumn("j", F.explode(F.array(*(F.lit(j) for j in range(3)))))
+    tiles = each.select(F.col("j").cast("string").alias("image_id"), "tile_row", "tile_col", F.transform("b1", lambda v: v + F.col("j") * 1000).alias("b1"))
+    images = spark.range(3).select(
+        F.col("id").cast("string").alias("image_id"), days[F.col("id").cast("int")].alias("time_start"), F.lit(None).cast("date").alias("time_end"), F.lit("33N").alias("utm_zone")
+    )
+    stored = store.open_store(spark, store.write_store(Raster(single.header, tiles, TILE, images), shared_folder(spark)))
+    points = customer_points(spark, d, single).withColumn("date", F.date_add(F.lit("2020-12-20").cast("date"), ((F.col("_row") * 11) % 220).cast("int")))
+    found = asof.match_images(points, stored.images).select("_row", "x", "y", "image_id")
+    sample = window.point_sample(found, stored, ["b1"])
+    return found.join(sample, "_row").select(F.col("_row").alias("id"), F.col("image_id").cast("int").alias("j"), F.col("`b1.point`").alias("value"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

@@ -228,6 +228,70 @@ def test_an_image_that_crosses_the_antimeridian_has_a_footprint_there(spark, tmp
     assert 178 < r["west"] < 180 and -180 < r["east"] < -179
 
 
+def stored_collection(spark, folder, n=128):
+    """Six images of four years in two zones, n x n pixels each, in tiles of 8: a pixel tells its image and place."""
+    px = spark.range(6 * n * n).select(
+        F.concat(F.lit("i"), F.floor(F.col("id") / (n * n)).cast("string")).alias("image_id"), (F.floor(F.col("id") / n) % n).cast("int").alias("r"), (F.col("id") % n).cast("int").alias("c")
+    ).withColumn("b1", F.col("r") * 1000.0 + F.col("c") + F.substring("image_id", 2, 1).cast("int") * 1e6).withColumn("b2", F.lit(1.0))
+    h = Header(n, n, 10.0, 10.0, bands=("b1", "b2"), nodata=(None, None))
+    images = spark.createDataFrame(
+        [(f"i{k}", D(2018 + k // 2 + (k == 5), 1, 1), None, "33N" if k % 2 else "34N") for k in range(5)] + [("i5", None, None, None)],
+        "image_id string, time_start date, time_end date, utm_zone string"
+    )
+    return Raster(h, tiles_of_pixels(px, h, 8, ("image_id",)), 8, images, {"nodata": (None, None), "dtype": "float64"})
+
+
+def test_a_store_of_tiles_reads_what_windows_want(spark, tmp_path, capfd):
+    from terrasample.sources import store
+
+    r = stored_collection(spark, tmp_path)
+    back = store.open_store(spark, store.write_store(r, str(tmp_path / "s"), file_bytes=1 << 18, group_bytes=1 << 14))
+    key = lambda t: {(x["image_id"], x["tile_row"], x["tile_col"]): (x["b1"], x["b2"]) for x in t.collect()}
+    assert key(back.tiles) == key(r.tiles) and back.header == r.header and sorted(back.images.columns) == sorted(r.images.columns)
+    wanted = spark.createDataFrame([("i2", 3, 4), ("i2", 3, 5), ("i2", None, 5), ("i2", 99, 99), ("i9", 3, 4)], "image_id string, tile_row int, tile_col int").where("tile_row < 50 or tile_row is null")
+    got = back.tiles_for(wanted, ["b1"])
+    assert {k: v[0] for k, v in ((((x["image_id"], x["tile_row"], x["tile_col"])), (x["b1"],)) for x in got.collect())} == {k: v[0] for k, v in key(r.tiles).items() if k in {("i2", 3, 4), ("i2", 3, 5)}}
+    got.explain("formatted")
+    plan = capfd.readouterr().out
+    scan = plan.split("Scan parquet")[-1] if "/tiles" in plan.split("Scan parquet")[-1] else next(p for p in plan.split("Scan parquet") if "/tiles" in p)
+    assert "zone" in scan.split("PartitionFilters")[1].split("\n")[0] and "period" in scan.split("PartitionFilters")[1].split("\n")[0]
+    assert "GreaterThanOrEqual(tile_row,3)" in scan and "LessThanOrEqual(tile_col,5)" in scan and "b2" not in scan.split("ReadSchema")[1].split("\n")[0]
+    # of the files of the one partition only those with the span of tiles are more than opened: few of the rows
+    files = {f.split("/tiles/")[1].split("/part")[0] for f in back.tiles.inputFiles()}
+    assert len(files) == 6 and "zone=34N/period=2019" in files
+    near = spark.read.parquet(str(tmp_path / "s" / "tiles" / "zone=34N" / "period=2019"))
+    assert near.select("z").rdd.getNumPartitions() >= 1 and near.count() == 256
+    none = back.tiles_for(wanted.where("false"), ["b1", "b2"])
+    assert none.count() == 0 and none.columns == ["image_id", "tile_row", "tile_col", "b1", "b2"]
+
+
+def test_the_curve_keeps_neighbours_together(spark):
+    from terrasample.sources import store
+
+    got = {(r["a"], r["b"]): r["z"] for r in spark.range(64).select((F.col("id") % 8).cast("int").alias("a"), F.floor(F.col("id") / 8).cast("int").alias("b")).withColumn("z", store.curve(F.col("a"), F.col("b"))).collect()}
+    plain = lambda a, b: sum(((a >> k & 1) << 2 * k + 1) | ((b >> k & 1) << 2 * k) for k in range(31))
+    assert got == {(a, b): plain(a, b) for a in range(8) for b in range(8)}
+    big = spark.range(1).select(store.curve(F.lit(2**31 - 1), F.lit(2**30 + 5)).alias("z")).first()["z"]
+    assert big == plain(2**31 - 1, 2**30 + 5)
+
+
+def test_stores_of_single_rasters_and_empty_tiles(spark, tmp_path):
+    from terrasample.sources import store
+    from terrasample.sources.raster import open_raster
+
+    r = small_raster(spark)
+    holes = Raster(r.header, r.tiles.withColumn("b1", F.when(F.col("tile_col") == 0, F.col("b1")).otherwise(F.transform("b1", lambda v: F.lit(None).cast("double")))), r.size)
+    terrasample.update_catalog({"datasets": {"kept": {"data_source": "store", "path": store.write_store(holes, str(tmp_path / "s")), "data_type": "continuous"}}})
+    back = open_raster(spark, {"data_source": "store", "path": str(tmp_path / "s")})
+    assert back.images is None and {x["tile_col"] for x in back.tiles.collect()} == {0}
+    df = spark.createDataFrame([("a", 15.0, 15.0), ("b", 15.0, 185.0)], "occurrenceID string, decimalLatitude double, decimalLongitude double")
+    run = {"datasets": ["kept"], "settings": {"output_type": "tabular", "statistics": ["max"], "window_size_m": 20, "output_file_format": "dataframe"}}
+    out = {x["occurrenceID"]: x["kept_max_20m"] for x in terrasample.extract(df.where("occurrenceID = 'a'"), run, output_dir=str(tmp_path / "o"), quiet=True).collect()}
+    assert out == {"a": 21.0}
+    with pytest.raises(ValueError, match="period"):
+        store.write_store(r, str(tmp_path / "x"), period="week")
+
+
 def tiles(spark, df, raster, folder, **settings):
     run = {"batch_id": "t", "datasets": ["ts"], "settings": {"output_type": "raster", **settings}}
     return Path(terrasample.extract(df, run, rasters={"ts": raster}, quiet=True, output_dir=str(folder))["t:ts"])
