@@ -8,7 +8,7 @@ from typing import Any
 # Public names and the modules that have them, loaded on first use: executors import parts of the package only.
 _HOMES = {
     "CatalogError": "plans.catalog", "catalog_table": "plans.catalog", "list_datasets": "plans.catalog", "reset_catalog": "plans.catalog", "update_catalog": "plans.catalog",
-    "ProgressEvent": "plans.progress", "Raster": "sources.raster", "extract": "plans.extract", "Requests": "plans.requests", "init_remote": "plans.remote", "list_reducers": "functions.reducers", "register_reducer": "functions.reducers", "register_source": "sources.raster",
+    "ProgressEvent": "plans.progress", "Raster": "sources.raster", "extract": "plans.extract", "Requests": "plans.requests", "init_remote": "plans.remote", "list_reducers": "functions.reducers", "register_reducer": "functions.reducers", "ArrowReducer": "functions.reducers", "register_arrow_reducer": "functions.reducers", "register_source": "sources.raster",
 }
 __all__ = sorted(_HOMES)
 

@@ -6,7 +6,9 @@ Every reducer sees finite values only (see :func:`finite`) and is null over none
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,9 +64,39 @@ def register_reducer(name: str, reducer: Callable[[Column], Column]) -> None:
     _scalar[key] = reducer
 
 
+@dataclass(frozen=True)
+class ArrowReducer:
+    """A reducer that no aggregate column expresses, in three parts over NumPy arrays.
+
+    ``partial`` makes a state (an array of numbers of any length) of some values, ``merge`` one of two, ``finish`` the
+    result (None for none).  Values are finite; a state is made of a window's values in one tile, so all
+    that is held at once is a tile's values and two states, however large the window and however many
+    windows are at one place.
+    """
+
+    partial: Callable[[np.ndarray], np.ndarray]
+    merge: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    finish: Callable[[np.ndarray], float | None]
+
+
+_arrow: dict[str, ArrowReducer] = {}
+
+
+def register_arrow_reducer(name: str, reducer: ArrowReducer) -> None:
+    """Add a reducer by its parts; in statistics it goes by its name like any other."""
+    key = name.lower()
+    if key == POINT or key in CLASS_REDUCERS or key in _scalar:
+        raise ValueError(f"{name} is reserved")
+    _arrow[key] = reducer
+
+
+def arrow_reducer(name: str) -> ArrowReducer | None:
+    return _arrow.get(name.lower())
+
+
 def list_reducers() -> list[str]:
     """All names but point, sorted."""
-    return sorted([*_scalar, *CLASS_REDUCERS])
+    return sorted([*_scalar, *_arrow, *CLASS_REDUCERS])
 
 
 def get(name: str) -> Callable[[Column], Column]:

@@ -11,15 +11,18 @@ aggregation by point computes all reducers of all bands at once.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrasample.functions import crs, reducers
 from terrasample.functions.grid import centres_between, touched_between
 from terrasample.sources.raster import Raster
-from terrasample.sources.shared import cut, shared_folder
+from terrasample.sources.shared import cut, shared_folder, ship
 
 ROW = "_row"
 
@@ -296,6 +299,85 @@ def nested_classes(
     return counts.groupBy(ROW).agg(*aggs)
 
 
+def _within(batch: pa.RecordBatch, k: int, header, size: int, bands: list[str]) -> np.ndarray:
+    """The valid values (band x value) of a window's part of a tile, a row of a batch."""
+    get = lambda c: batch.column(c)[k].as_py()
+    tr, tc = get("tile_row") * size, get("tile_col") * size
+    q0, q1, k0, k1 = max(get("r0"), tr) - tr, min(get("r1"), tr + size - 1) - tr, max(get("c0"), tc) - tc, min(get("c1"), tc + size - 1) - tc
+    whole = np.stack([batch.column(b)[k].values.to_numpy(zero_copy_only=False).astype(float).reshape(size, size)[q0 : q1 + 1, k0 : k1 + 1] for b in bands])
+    good = np.isfinite(whole)
+    for n, b in enumerate(bands):
+        none = header.nodata[header.bands.index(b)]
+        if none is not None and none == none:
+            good[n] &= whole[n] != none
+    if header.crs is not None:
+        pr, pc = np.array(get("pr")), np.array(get("pc"))
+        if not (pr[0] == pr[1] and pc[1] == pc[2]):
+            row, col = np.arange(tr + q0, tr + q1 + 1)[:, None] + 0.5, np.arange(tc + k0, tc + k1 + 1)[None, :] + 0.5
+            turns = np.stack([(pc[(i + 1) % 4] - pc[i]) * (row - pr[i]) - (pr[(i + 1) % 4] - pr[i]) * (col - pc[i]) for i in range(4)])
+            good &= (turns.min(0) >= 0) | (turns.max(0) <= 0)
+    if len(bands) > 1:
+        good &= good.all(0)
+    return np.where(good, whole, np.nan).reshape(len(bands), -1)
+
+
+def nested_arrow(points: DataFrame, raster: Raster, sides: list[float], names: list[str], bands: list[str], spread: int = 16) -> DataFrame:
+    """One row for each point with a valid pixel: _row and for each of some windows a struct w0, w1, ... of ``{band}.{name}`` by registered Arrow reducers.
+
+    The tiles are read once for all windows.  Each window's values in a tile become a state in the task that has the
+    tile, so no pixel is shuffled; states of one window are merged in ``spread`` groups and then together.
+    """
+    ship(points.sparkSession)
+    header, size = raster.header, raster.size
+    parts = {n: reducers.arrow_reducer(n) for n in names}
+    keys = [k for k in raster.keys if k == "image_id"]
+    each = None
+    for k, side in enumerate(sides):
+        own = index_ranges(corners(points, raster, side), raster).where("r0 <= r1 and c0 <= c1").select(ROW, *keys, F.lit(k).alias("w"), "r0", "r1", "c0", "c1", "pr", "pc")
+        each = own if each is None else each.unionByName(own)
+    tile = lambda c: F.floor(F.col(c) / size).cast("int")
+    at = each.withColumn("tile_row", F.explode(F.sequence(tile("r0"), tile("r1")))).withColumn("tile_col", F.explode(F.sequence(tile("c0"), tile("c1"))))
+    joined = at.join(raster.tiles_for(at, bands), [*keys, "tile_row", "tile_col"]).select(ROW, "w", "r0", "r1", "c0", "c1", "pr", "pc", "tile_row", "tile_col", *bands)
+    kind = joined.schema[ROW].dataType.simpleString()
+    schema = f"`{ROW}` {kind}, w int, band string, name string, state array<double>"
+
+    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for k in range(len(batch)):
+                for b, v in zip(bands, _within(batch, k, header, size, bands), strict=True):
+                    v = v[~np.isnan(v)]
+                    if len(v):
+                        for n, r in parts.items():
+                            at.append(k)
+                            rows.append((batch.column("w")[k].as_py(), b, n, np.asarray(r.partial(v), float).tolist()))
+            w, b, n, s = zip(*rows, strict=True) if rows else ((),) * 4
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(ROW).take(pa.array(at, pa.int64())), pa.array(w, pa.int32()), pa.array(b, pa.string()), pa.array(n, pa.string()), pa.array(s, pa.list_(pa.float64()))],
+                names=[ROW, "w", "band", "name", "state"]
+            )
+
+    def merged(table: pa.Table) -> pa.Table:
+        r = parts[table.column("name")[0].as_py()]
+        state = None
+        for s in table.column("state"):
+            own = s.values.to_numpy(zero_copy_only=False)
+            state = own if state is None else np.asarray(r.merge(state, own), float)
+        return table.slice(0, 1).select([ROW, "w", "band", "name"]).append_column("state", pa.array([state.tolist()], pa.list_(pa.float64())))
+
+    def finished(table: pa.Table) -> pa.Table:
+        whole = merged(table)
+        value = parts[whole.column("name")[0].as_py()].finish(whole.column("state")[0].values.to_numpy(zero_copy_only=False))
+        return whole.drop_columns(["state"]).append_column("value", pa.array([None if value is None else float(value)], pa.float64()))
+
+    own = [ROW, "w", "band", "name"]
+    some = joined.mapInArrow(states, schema)
+    some = some.withColumn("part", F.pmod(F.xxhash64("state"), F.lit(spread))).groupBy(*own, "part").applyInArrow(merged, schema)
+    values = some.groupBy(*own).applyInArrow(finished, f"`{ROW}` {kind}, w int, band string, name string, value double")
+    one = lambda k, b, n: F.max(F.when((F.col("w") == k) & (F.col("band") == b) & (F.col("name") == n), F.col("value"))).alias(f"{b}.{n}")
+    return values.groupBy(ROW).agg(*(F.struct(*(one(k, b, n) for b in bands for n in names)).alias(f"w{k}") for k in range(len(sides))))
+
+
 def point_sample(points: DataFrame, raster: Raster, bands: list[str]) -> DataFrame:
     """One row for each point: _row, ``{band}.point`` (the value of the pixel it lies in), in_extent, n_pixels, had_nodata, coverage_pct."""
     header, size = raster.header, raster.size

@@ -75,6 +75,10 @@ def dataset_columns(
     if windowed:
         quality = window.nested_stats(points, raster, sides, windowed, bands, coverage)
         out = out.join(quality.withColumnsRenamed({f"w{k}": f"_s{k}" for k in range(len(sides))}), window.ROW, "left")
+    custom = [n for n in windowed if reducers.arrow_reducer(n)]
+    if custom:
+        found = window.nested_arrow(points, raster, sides, custom, bands)
+        out = out.join(found.withColumnsRenamed({f"w{k}": f"_a{k}" for k in range(len(sides))}), window.ROW, "left")
     counted: list[str] = []
     if kinds:
         found = window.nested_classes(points, raster, sides, kinds, bands, classes)
@@ -91,6 +95,7 @@ def dataset_columns(
         k = sides.index(side[w])
         of = (lambda c, k=k: F.col(f"_s{k}.`{c}`")) if windowed else (lambda c: F.col(f"`{c}`"))
         stats |= {f"{label[b]}{n}_{w}m": of(f"{b}.{n}") for b in bands for n in scalar}
+        stats |= {f"{label[b]}{n}_{w}m": F.col(f"_a{k}.`{b}.{n}`") for b in bands for n in custom}
         for c in counted:
             b, key = c.split(".", 1)
             zero = F.lit(0).cast("bigint") if key.endswith("count") else F.lit(0.0)

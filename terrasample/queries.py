@@ -213,6 +213,41 @@ def multi_window(spark: SparkSession, d: str) -> DataFrame:
     return wide.select(F.col("_row").alias("id"), F.inline(each)).withColumn("q90", F.expr(_exact("q90")))
 
 
+def _tallied(v):
+    import numpy as np
+
+    return np.stack(np.unique(v, return_counts=True), 1).ravel()
+
+
+def _added(a, b):
+    import numpy as np
+
+    pairs = np.concatenate((a, b)).reshape(-1, 2)
+    value, place = np.unique(pairs[:, 0], return_inverse=True)
+    return np.stack((value, np.bincount(place, pairs[:, 1])), 1).ravel()
+
+
+def _entropy(state):
+    import numpy as np
+
+    share = state[1::2] / state[1::2].sum()
+    return -(share * np.log(share)).sum()
+
+
+#: Shannon's entropy of a window's classes, from tallies of its values.
+ENTROPY = reducers.ArrowReducer(_tallied, _added, _entropy)
+
+
+@query(_win(200) + ", t as (select id, b2, count(*) as n from w where b2 is not null group by id, b2), p as (select id, n / sum(n) over (partition by id) as p from t) select id, round(-sum(p * ln(p)), 6) + 0.0 as entropy from p group by id")
+def window_entropy(spark: SparkSession, d: str) -> DataFrame:
+    """A reducer of the caller's own, in parts: tallies by tile, merged by window."""
+    if not reducers.arrow_reducer("entropy"):
+        reducers.register_arrow_reducer("entropy", ENTROPY)
+    raster = part_raster(spark, d, ("b2",))
+    found = window.nested_arrow(customer_points(spark, d, raster), raster, [200], ["entropy"], ["b2"])
+    return found.select(F.col("_row").alias("id"), (F.round(F.col("w0.`b2.entropy`"), 6) + 0.0).alias("entropy"))
+
+
 _QC = _win(100) + """select rng.id, rng.total::bigint as total, count(b1) as n_pixels, rng.total > 0 as in_extent, rng.total > 0 and count(b1) < rng.total as had_nodata,
   case when rng.total > 0 then least(count(b1) * 100.0::double / rng.total, 100) else 0 end as coverage_pct from rng left join w on w.id = rng.id group by rng.id, rng.total"""
 

@@ -195,3 +195,59 @@ def test_all_windows_come_from_one_reading_of_the_tiles(spark, raster, points, t
     assert plan.count("FileScan parquet") == 1 and "b2" not in plan.split("ReadSchema")[1].split("\n")[0]
     with pytest.raises(ValueError, match="rise"):
         window.nested_stats(points, stored, [50, 20], NAMES, ["b1"])
+
+
+@pytest.fixture
+def own_reducers():
+    from terrasample import queries
+
+    kept = dict(reducers._arrow)
+    reducers.register_arrow_reducer("entropy", queries.ENTROPY)
+    # the range, from states of two numbers
+    reducers.register_arrow_reducer("span", reducers.ArrowReducer(lambda v: np.array([v.min(), v.max()]), lambda a, b: np.array([min(a[0], b[0]), max(a[1], b[1])]), lambda s: s[1] - s[0]))
+    yield
+    reducers._arrow.clear()
+    reducers._arrow.update(kept)
+
+
+def plain_entropy(v):
+    share = np.unique(v, return_counts=True)[1] / len(v)
+    return -(share * np.log(share)).sum()
+
+
+def test_reducers_in_parts_equal_numpy(spark, raster, points, values, own_reducers):
+    sides = [40, 370]
+    got = {r["_row"]: r for r in window.nested_arrow(points, raster, sides, ["entropy", "span"], ["b1"], spread=3).collect()}
+    for p in points.collect():
+        for k, side in enumerate(sides):
+            v = inside(values, p["x"], p["y"], side)[0].ravel()
+            v = v[~np.isnan(v)]
+            if not len(v):
+                assert p["_row"] not in got or got[p["_row"]][f"w{k}"]["b1.span"] is None
+                continue
+            assert got[p["_row"]][f"w{k}"]["b1.span"] == v.max() - v.min() and got[p["_row"]][f"w{k}"]["b1.entropy"] == pytest.approx(plain_entropy(v), abs=1e-9)
+
+
+def test_reducers_in_parts_see_the_pixels_that_others_see(spark, values, own_reducers):
+    """On a grid that the windows are turned against, and with bands valid together only."""
+    r = make(spark, values, a=0.0002, e=-0.0001, c=18.0, f=63.0, crs=4326)
+    at = spark.createDataFrame([(0, 62.998, 18.004), (1, 62.9961, 18.0081), (3, 10.0, 10.0)], "_row long, lat double, lon double")
+    for bands in (["b1"], ["b1", "b2"]):
+        want = {x["_row"]: x for x in window.nested_stats(at, r, [60, 130], ["min", "max"], bands).collect()}
+        got = {x["_row"]: x for x in window.nested_arrow(at, r, [60, 130], ["span"], bands).collect()}
+        assert set(got) == {0, 1}
+        for row, x in got.items():
+            for w in ("w0", "w1"):
+                assert all(x[w][f"{b}.span"] == want[row][w][f"{b}.max"] - want[row][w][f"{b}.min"] for b in bands)
+
+
+def test_reducers_in_parts_go_by_name_through_extract(spark, raster, own_reducers, tmp_path):
+    import terrasample
+
+    df = spark.createDataFrame([("a", 85.0, 25.0), ("b", 161.0, 170.0)], "occurrenceID string, decimalLatitude double, decimalLongitude double")
+    run = {"datasets": ["r"], "settings": {"output_type": "tabular", "statistics": ["span", "max", "min"], "window_size_m": [40, 100], "output_file_format": "dataframe"}}
+    out = terrasample.extract(df, run, rasters={"r": raster.select(["b1"])}, output_dir=str(tmp_path), quiet=True).collect()
+    assert len(out) == 2 and all(x[f"r_span_{w}m"] == x[f"r_max_{w}m"] - x[f"r_min_{w}m"] for x in out for w in (40, 100))
+    assert "span" in terrasample.list_reducers()
+    with pytest.raises(ValueError):
+        reducers.register_arrow_reducer("mean", reducers.arrow_reducer("span"))
