@@ -244,7 +244,7 @@ def test_reducers_in_parts_see_the_pixels_that_others_see(spark, values, own_red
 def test_reducers_in_parts_go_by_name_through_extract(spark, raster, own_reducers, tmp_path):
     import terrasample
 
-    df = spark.createDataFrame([("a", 85.0, 25.0), ("b", 161.0, 170.0)], "occurrenceID string, decimalLatitude double, decimalLongitude double")
+    df = spark.createDataFrame([("a", 85.0, 25.0), ("b", 15.0, 60.0)], "occurrenceID string, decimalLatitude double, decimalLongitude double")
     run = {"datasets": ["r"], "settings": {"output_type": "tabular", "statistics": ["span", "max", "min"], "window_size_m": [40, 100], "output_file_format": "dataframe"}}
     out = terrasample.extract(df, run, rasters={"r": raster.select(["b1"])}, output_dir=str(tmp_path), quiet=True).collect()
     assert len(out) == 2 and all(x[f"r_span_{w}m"] == x[f"r_max_{w}m"] - x[f"r_min_{w}m"] for x in out for w in (40, 100))
