@@ -43,6 +43,7 @@ class Run:
     statistics: list[str] | dict[str, list[str]]
     resample_m: float | None
     raw: dict[str, Any]
+    approximate: bool = False
 
     def statistics_for(self, name: str, kind: str) -> list[str]:
         """The reducers for a dataset of a kind."""
@@ -150,4 +151,7 @@ def parse(config: dict[str, Any], index: int, catalog: dict[str, Any], defaults:
     windows = list(window) if isinstance(window, (list, tuple)) else [window]
     if not windows or any(isinstance(w, bool) or not isinstance(w, int) or w <= 0 for w in windows):
         raise ValueError(f"Output {batch!r}: window_size_m must be a positive integer or a list of them")
-    return Run(batch, selected, kind, form, list(dict.fromkeys(windows)), least, stats, step, config)
+    quantiles = settings.get("quantiles", "exact")
+    if quantiles not in ("exact", "approximate"):
+        raise ValueError(f"Output {batch!r}: quantiles must be exact or approximate, not {quantiles!r}")
+    return Run(batch, selected, kind, form, list(dict.fromkeys(windows)), least, stats, step, config, quantiles == "approximate")

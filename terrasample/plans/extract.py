@@ -55,7 +55,7 @@ def _bands(spec: dict[str, Any], chosen: configs.Selection, raster: Raster) -> t
 def dataset_columns(
     points: DataFrame, raster: Raster, name: str, names: list[str], bands: list[str], multi: bool, window_m: int | list[int], *,
     policy: str = "nearest", coverage: str = "touched", expand_subpixel: bool = False,
-    classes: list[int] | None = None, scale: float | None = None, by_zone: bool = False
+    classes: list[int] | None = None, scale: float | None = None, by_zone: bool = False, approximate: bool = False
 ) -> tuple[DataFrame, list[str], list[str]]:
     """_row with the named statistics and quality columns of one dataset and its windows; their two lists of names.
 
@@ -73,7 +73,7 @@ def dataset_columns(
     scalar = [n for n in windowed if reducers.is_scalar(n)]
     kinds = [n for n in windowed if n in reducers.CLASS_REDUCERS]
     if windowed:
-        quality = window.nested_stats(points, raster, sides, windowed, bands, coverage)
+        quality = window.nested_stats(points, raster, sides, windowed, bands, coverage, approximate)
         out = out.join(quality.withColumnsRenamed({f"w{k}": f"_s{k}" for k in range(len(sides))}), window.ROW, "left")
     custom = [n for n in windowed if reducers.arrow_reducer(n)]
     if custom:
@@ -244,7 +244,7 @@ def extract(
                 policy=own.get("collection_date_policy", "nearest"),
                 coverage=own.get("coverage", "geometric" if remote else "touched"),
                 expand_subpixel=own.get("expand_subpixel", remote), classes=own.get("classes"),
-                scale=scale, by_zone=bool(own.get("use_utm_zone"))
+                scale=scale, by_zone=bool(own.get("use_utm_zone")), approximate=run.approximate
             )
             wide = wide.join(cols.drop(*(c for c in cols.columns if c in wide.columns and c != window.ROW)), window.ROW, "left")
             stats, flags = [*stats, *(c for c in s if c not in stats)], [*flags, *(c for c in f if c not in flags)]

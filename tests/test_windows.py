@@ -251,3 +251,40 @@ def test_reducers_in_parts_go_by_name_through_extract(spark, raster, own_reducer
     assert "span" in terrasample.list_reducers()
     with pytest.raises(ValueError):
         reducers.register_arrow_reducer("mean", reducers.arrow_reducer("span"))
+
+
+def test_approximate_quantiles_are_within_their_error(spark, capfd):
+    """Ranks of what is found against those wanted, on windows of some ten thousand values; few values give one of them."""
+    v = np.random.default_rng(5).gamma(2.0, 50.0, (1, 200, 200))
+    v[0, :50, :50] = np.nan
+    r = make(spark, v, size=32)
+    at = spark.createDataFrame([(0, 1000.0, 1000.0), (1, 1500.0, 700.0), (2, 250.0, 250.0), (3, 525.0, 525.0)], "_row long, x double, y double")
+    names = ["median", "q05", "q90", "mean"]
+    wide = window.nested_stats(at, r, [40, 1900], names, ["b1"], approximate=True)
+    got, exact = ({x["_row"]: x for x in d.collect()} for d in (wide, window.nested_stats(at, r, [40, 1900], names, ["b1"])))
+    for row, x, y in ((0, 1000.0, 1000.0), (1, 1500.0, 700.0), (3, 525.0, 525.0)):
+        for w, side in (("w0", 40), ("w1", 1900)):
+            own = np.sort(inside(v, x, y, side)[0].ravel())
+            own = own[~np.isnan(own)]
+            for n, q in (("median", 0.5), ("q05", 0.05), ("q90", 0.9)):
+                found = got[row][w][f"b1.{n}"]
+                assert found in own and abs(np.searchsorted(own, found) / len(own) - q) <= 0.005 + 1 / len(own)
+            assert got[row][w]["b1.mean"] == pytest.approx(exact[row][w]["b1.mean"]) and got[row][w]["n_pixels"] == exact[row][w]["n_pixels"]
+    assert got[2]["w0"]["b1.median"] is None and got[2]["w1"]["b1.median"] is not None
+    wide.explain()
+    plan = capfd.readouterr().out
+    before = plan.split("Exchange")[1]  # below the shuffle: sketches are made where the pixels are
+    assert "partial_kll_sketch_agg_double" in before and "percentile" not in plan
+
+
+def test_quantiles_are_exact_unless_asked(spark, raster, tmp_path):
+    import terrasample
+
+    df = spark.createDataFrame([("a", 85.0, 25.0)], "occurrenceID string, decimalLatitude double, decimalLongitude double")
+    run = lambda **more: terrasample.extract(
+        df, {"datasets": ["r"], "settings": {"output_type": "tabular", "statistics": ["median"], "window_size_m": 45, "output_file_format": "dataframe", **more}},
+        rasters={"r": raster.select(["b1"])}, output_dir=str(tmp_path), quiet=True
+    ).first()["r_median_45m"]
+    assert run() == run(quantiles="exact") and run(quantiles="approximate") is not None
+    with pytest.raises(ValueError, match="quantiles"):
+        run(quantiles="fast")
