@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrasample.functions import crs, dates, grid, reducers
-from terrasample.operators import asof, qc, terrain, window
+from terrasample.operators import asof, prefix, qc, terrain, window
 from terrasample.plans import catalog
 from terrasample.sources import geotiff, sinks, store
 from terrasample.sources import points as point_source
@@ -213,6 +213,27 @@ def multi_window(spark: SparkSession, d: str) -> DataFrame:
     return wide.select(F.col("_row").alias("id"), F.inline(each)).withColumn("q90", F.expr(_exact("q90")))
 
 
+_SUMMED = " union all ".join(
+    "select * from (" + _win(w) + f"select pt.id, {w} as window_m, count(b2) as n_pixels, sum(b2) as total_size, round_even(avg(b2) * 1e5, 0) / 1e5 as mean, round_even(var_samp(b2) * 1e5, 0) / 1e5 as var from pt left join w on w.id = pt.id group by pt.id)"
+    for w in (50, 300)
+)
+
+
+@query(_SUMMED)
+def window_sums(spark: SparkSession, d: str) -> DataFrame:
+    """Windows out of running sums at their border and whole tiles' totals."""
+    n = table(spark, d, "part").agg(F.max("p_partkey")).first()[0] + 1
+    header = grid.Header(COLUMNS, -(-n // COLUMNS), 10.0, 10.0, bands=("b2",), nodata=(None,))
+    raster = Raster(header, tiles_of_pixels(part_pixels(spark, d).select("r", "c", "b2"), header, 8), 8)
+    wide = prefix.window_sums(customer_points(spark, d, raster), prefix.summed(raster, ["b2"]), [50, 300], ["sum", "mean", "var"])
+    each = F.array(*(
+        F.struct(F.lit(w).alias("window_m"), *(F.col(f"w{k}.`{c}`").alias(m) for c, m in (("n_pixels", "n_pixels"), ("b2.sum", "total_size"), ("b2.mean", "mean"), ("b2.var", "var"))))
+        for k, w in enumerate((50, 300))
+    ))
+    out = wide.select(F.col("_row").alias("id"), F.inline(each))
+    return out.select("id", "window_m", "n_pixels", F.rint("total_size").alias("total_size"), F.expr(_exact("mean")).alias("mean"), F.expr(_exact("var")).alias("var"))
+
+
 def _tallied(v):
     import numpy as np
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrasample.functions import crs, grid, reducers
-from terrasample.operators import qc, window
+from terrasample.operators import prefix, qc, window
 from terrasample.sources.raster import Raster, pixels_of_tiles, tiles_of_pixels
 
 
@@ -288,3 +288,43 @@ def test_quantiles_are_exact_unless_asked(spark, raster, tmp_path):
     assert run() == run(quantiles="exact") and run(quantiles="approximate") is not None
     with pytest.raises(ValueError, match="quantiles"):
         run(quantiles="fast")
+
+
+@pytest.mark.parametrize("bands", [["b1"], ["b1", "b2"]])
+@pytest.mark.parametrize("coverage", ["touched", "geometric"])
+def test_sums_of_windows_equal_their_pixels(spark, values, points, bands, coverage):
+    """Large, near values (squares would cancel), windows of less than a tile up to more than the raster."""
+    r = make(spark, values + 1e6, size=8).select(bands)
+    sides, names = [20, 45, 200, 370, 2000], list(prefix.SUMS)
+    got = {x["_row"]: x for x in prefix.window_sums(points, prefix.summed(r, bands), sides, names, coverage).collect()}
+    want = {x["_row"]: x for x in window.nested_stats(points, r, sides, names, bands, coverage).collect()}
+    assert got.keys() == want.keys()
+    for row, x in want.items():
+        for w in (f"w{k}" for k in range(len(sides))):
+            a, b = got[row][w].asDict(), x[w].asDict()
+            assert a.keys() == b.keys()
+            assert all(a[c] == pytest.approx(b[c], rel=1e-12, abs=1e-7) if isinstance(b[c], float) else a[c] == b[c] for c in b), (row, w)
+
+
+def test_turned_windows_go_by_their_pixels_and_straight_ones_by_sums(spark, values):
+    at = spark.createDataFrame([(0, 62.998, 18.004), (1, 62.9961, 18.0081), (2, 10.0, 10.0)], "_row long, lat double, lon double")
+    for r in (make(spark, values, a=0.0002, e=-0.0001, c=18.0, f=63.0, crs=4326), make(spark, values, c=348000.0, f=6990000.0, e=-10.0, crs=32634)):
+        sides, names = [60, 130], ["mean", "count"]
+        got = {x["_row"]: x for x in prefix.window_sums(at, prefix.summed(r, ["b1"]), sides, names).collect()}
+        for x in window.nested_stats(at, r, sides, names, ["b1"]).collect():
+            for w in ("w0", "w1"):
+                assert all(v == pytest.approx(got[x["_row"]][w][c], nan_ok=True) if v is not None else got[x["_row"]][w][c] is None for c, v in x[w].asDict().items())
+    with pytest.raises(ValueError, match="median"):
+        prefix.window_sums(at, prefix.summed(r, ["b1"]), [60], ["median"])
+
+
+def test_a_large_window_reads_arrays_at_its_border_only(spark):
+    v = np.random.default_rng(9).random((1, 240, 240))
+    r = make(spark, v, size=8)
+    s = prefix.summed(r, ["b1"])
+    at = spark.createDataFrame([(0, 1200.0, 1203.0)], "_row long, x double, y double")
+    got = prefix.window_sums(at, s, [2000], ["sum", "count"]).first()["w0"]
+    own = inside(v, 1200.0, 1203.0, 2000)[0]
+    assert got["b1.count"] == own.size and got["b1.sum"] == pytest.approx(own.sum(), rel=1e-12)
+    # 26 x 26 tiles are touched; those within give a row of totals each, only the border's arrays are joined
+    assert s.totals.count() == s.areas.count() == 900 and set(s.totals.dtypes) == {("tile_row", "int"), ("tile_col", "int"), ("n", "bigint"), ("b1|s", "double"), ("b1|q", "double")}
