@@ -20,7 +20,7 @@ from terrasample.plans import config as configs
 from terrasample.plans import progress
 from terrasample.sources import geotiff, mirror, points as point_source, sinks, store  # noqa: F401 (mirror, store: sources of catalog entries)
 from terrasample.sources.raster import Raster, only, open_raster, pixels_of_tiles, tiles_of_pixels
-from terrasample.sources.shared import cut, discard, shared_folder
+from terrasample.sources.shared import cut, discard, scratch, shared_folder
 
 MAX_TILE_BYTES = 32 * 2**20
 #: A number that keeps the rows' order; made once, in the branch that the result is joined to.
@@ -198,8 +198,25 @@ def extract(
             r in (rasters or {}).items() if k not in catalogs.datasets()
         }
     }
+    folder = shared_folder(spark)
+    with scratch(spark):  # what opening, matching and counting write is needed until the results are
+        results = _results(
+            df, checked, names, catalog, dict(rasters or {}), config, output_dir, write_metadata, quiet, progress_callback, folder
+        )
+    if not any(isinstance(r, DataFrame) for r in results.values()):
+        discard(spark, folder)
+    if not many and len(results) == 1 and isinstance(next(iter(results.values())), DataFrame):
+        return next(iter(results.values()))
+    return results
+
+
+def _results(
+    df: DataFrame, checked: point_source.Checked, names: dict[str, str], catalog: dict[str, dict[str, Any]], opened: dict[str, Raster], config: Any,
+    output_dir: str, write_metadata: bool, quiet: bool, progress_callback: progress.Callback | None, folder: str
+) -> dict[str, Any]:
+    """The results of all configurations; their statistics are tables below ``folder``."""
+    spark = df.sparkSession
     results: dict[str, Any] = {}
-    opened: dict[str, Raster] = dict(rasters or {})
     for index, raw in enumerate(configs.configs(config)):
         run = configs.parse(raw, index, catalog, catalogs.DEFAULTS)
         notes: dict[str, Any] = {"points": checked.warnings} if checked.warnings else {}
@@ -262,7 +279,7 @@ def extract(
                 progress.emit(progress_callback, replace(e, done=min(int(e.total * share), e.total - 1), share=share), quiet)
 
         with progress.watched(spark, tell if progress_callback and total else None):
-            wide = cut(wide.drop(window.ROW), shared_folder(spark), "extracted")
+            wide = cut(wide.drop(window.ROW), folder, f"extracted-{index}")
         for e in work:
             progress.emit(progress_callback, replace(e, done=total, share=1.0), quiet)
         table, quality = _assembled(wide, df, names, stats, flags)
@@ -283,8 +300,6 @@ def extract(
                 spark, sinks.sidecar(run.batch_id, n_points=total, config=raw, datasets=info, warnings=notes),
                 output_dir, run.batch_id
             )
-    if not many and len(results) == 1 and isinstance(next(iter(results.values())), DataFrame):
-        return next(iter(results.values()))
     return results
 
 

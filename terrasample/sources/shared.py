@@ -9,6 +9,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,13 +33,28 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(str(name))
 
 
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Shared folders made within (by this thread) lie below one that is deleted at the end, with all their tables."""
+    folder = shared_folder(spark)
+    before = _scratch.set(folder)
+    try:
+        yield folder
+    finally:
+        _scratch.reset(before)
+        discard(spark, folder)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir.
+    """A new folder below spark.checkpoint.dir (or, within :func:`scratch`, below its folder).
 
     Where that is unset, a temporary folder serves a local session; on a cluster
     others couldn't read it, so a RuntimeError says what to set.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    base = _scratch.get() or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):

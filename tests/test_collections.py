@@ -362,3 +362,29 @@ def test_progress_rises_with_the_tasks(spark):
     assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") is None
     with progress.watched(spark, None):
         assert spark.range(1).count() == 1
+
+
+def test_intermediate_tables_go_with_the_run(spark, tmp_path):
+    """Files leave nothing below the shared folder; a DataFrame only the table that it reads."""
+    import os
+
+    from terrasample.sources import shared
+
+    base = spark.conf.get("spark.checkpoint.dir")
+    r = stored_collection(spark, tmp_path, 64)
+    df = spark.createDataFrame([("a", 15.0, 15.0, "2019-02-01")], "occurrenceID string, decimalLatitude double, decimalLongitude double, eventDate string")
+    run = lambda form: terrasample.extract(
+        df, {"datasets": ["r"], "settings": {"output_type": "tabular", "statistics": ["max", "class_count"], "window_size_m": [20, 40], "output_file_format": form}},
+        rasters={"r": r.select(["b2"])}, output_dir=str(tmp_path / "o"), quiet=True
+    )
+    before = set(os.listdir(base))
+    run("csv")
+    assert set(os.listdir(base)) == before
+    out = run("dataframe")
+    left = set(os.listdir(base)) - before
+    assert len(left) == 1 and os.listdir(f"{base}/{left.pop()}") == ["extracted-0"] and out.first()["r_max_20m"] == 1.0
+    with pytest.raises(ZeroDivisionError), shared.scratch(spark) as folder:
+        shared.cut(spark.range(3), shared.shared_folder(spark), "t")
+        assert os.path.isdir(folder)
+        raise ZeroDivisionError
+    assert not os.path.isdir(folder)
