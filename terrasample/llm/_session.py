@@ -1,37 +1,18 @@
-"""Shipping of this package to executors, their memory, and the shared folder's tables."""
+"""The base's shared tables and shipping, and the memory of workers."""
 
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
 
 from terrasample.sources import shared
 
-_shipped: set[str] = set()
 #: Rows of an Arrow batch in the eager passes over texts: some megabytes for usual texts.
 TEXT_ROWS = 1000
 
-shared_folder, cut, discard = shared.shared_folder, shared.cut, shared.discard
-
-
-def ship(spark: SparkSession) -> None:
-    """Let executors import this package, once per application (they needn't see the driver's folders)."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    _shipped.add(sc.applicationId)
-    root = Path(__file__).resolve().parents[1]
-    name = Path(tempfile.mkdtemp(prefix="terrasample-")) / "terrasample_pkg.zip"
-    with zipfile.ZipFile(name, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, str(p.relative_to(root.parent)))
-    sc.addPyFile(str(name))
+shared_folder, cut, discard, ship = shared.shared_folder, shared.cut, shared.discard, shared.ship
 
 
 def give_back() -> None:
