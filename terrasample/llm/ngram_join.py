@@ -15,9 +15,11 @@ counted over all documents; a shingle that is nowhere frequent has level 0.
    pivot), a linear number of pairs; twice, with other pivots.  Their links
    merge most of the large groups of near copies at once.
 4. *Rest*: classes under one shingle that are still in different components are
-   paired, but for pairs of which even all of the remaining shingles (the length
-   left from the first common one on) could not lift the overlap to the
-   threshold, and for pairs whose parity bitmaps prove that too many differ.
+   paired where the smaller set has it in its short prefix (the rarest
+   n - ceil(2 t / (1 + t) n) + 1 shingles), but for pairs of which even all of the
+   remaining shingles (the length left from the first common one on) could not
+   lift the overlap to the threshold, and for pairs whose parity bitmaps prove
+   that too many differ.
 5. Comparison: the sets of the pairs' classes are read once more; each pivot's
    partners are stored as a prefix tree (frequent shingles first, so near copies
    share long paths) and the pivot's set walks it: a shared path's overlap is
@@ -27,8 +29,8 @@ counted over all documents; a shingle that is nowhere frequent has level 0.
 Steps 3-5 lose no link between classes of different components, so the
 components equal those of the full join.  Hot keys: equal sets are reduced per
 task before anything is dealt out; pivots come from an aggregation with map-side
-combine; partners of a pivot are split into chunks; the classes under one shingle
-are paired in blocks, each a task's share.  Nothing is gathered on the driver but
+combine; partners of a pivot are split into chunks; the classes under a hot shingle
+are paired by size and in blocks, each a task's share.  Nothing is gathered on the driver but
 bounded tables (``max_frequent`` shingles, a Bloom filter of MAX_BLOOM bits at
 most); both change the work, never the result.
 """
@@ -390,14 +392,14 @@ class _Join:
         return pairs.where((F.col("c") >= half) | (F.col("many") >= 8)).select("a", "b")
 
     def _mixed(self, component: DataFrame) -> DataFrame:
-        """The postings with their classes' components, of shingles that several components share, and in how many blocks these are paired."""
+        """The postings with their classes' components, of shingles that several components share and one class has in its short prefix; ``hot``: many have."""
         p = self.post.join(component, F.col("rep") == F.col("node"), "left").select(
-            "token", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp")
+            "token", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp"),
+            F.expr(f"pos <= n - ceil({2 * self.t / (1 + self.t)!r} * n - 1e-6)").alias("short")
         )
         mixed = p.groupBy("token").agg(
-            F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-            F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")
-        ).where("lo <> hi").select("token", "blocks")
+            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count_if("short").alias("shorts")
+        ).where("lo <> hi and shorts > 0").select("token", (F.col("shorts") > BLOCK).alias("hot"))
         return p.join(mixed, "token")
 
     def more_stars(self, component: DataFrame) -> DataFrame:
@@ -412,33 +414,52 @@ class _Join:
         return p.join(pivot, "token").where("comp <> ca").where(self._fits("n", "na")).select("a", F.col("rep").alias("b")).distinct()
 
     def rest(self, component: DataFrame) -> DataFrame:
-        """(a, b): classes of different components that share prefix shingles and could still reach the threshold.
-
-        All common shingles of two sets lie at or after their first common one,
-        so the shorter rest from there on bounds the overlap.  Sets
-        share whole passages: where the shingle before is the same in both
-        prefixes, this one isn't the first, and the pair isn't made again.  Parities
-        of 256 places drop pairs that differ too much within the join.
+        """(a, b): classes of different components that share prefix shingles and could still reach the threshold; a is the smaller set.
+
+        Of two sets that link the smaller one's *short* prefix has a shingle of the
+        larger one's prefix, so only postings of short prefixes meet the others: sets
+        that share a frequent passage and too little else have none of it there.
+        All common shingles of two sets lie at or after their first common one, so the
+        rest from there on bounds the overlap, and by that the partner's size.  Under
+        a hot shingle sets meet by classes of size (16 to a doubling): the larger set
+        goes to those of the sizes that its place allows, the smaller one to its own,
+        in blocks where it is crowded.  Sets share whole passages: where the shingle
+        before is the same in both prefixes, this one isn't the first, and the pair
+        isn't made again.  Parities of 256 places drop pairs that differ too much
+        within the join.
         """
+        share = self.t / (1 + self.t)  # a link's overlap >= share * (na + nb)
         own = Window.partitionBy("rep").orderBy("pos", "token")  # a set's prefix
         p = self._mixed(component).withColumn("prev", F.lag("token").over(own))
         p = cut(p.join(self.small, F.col("rep") == F.col("id")).drop("id"), self.folder, "mixed")
-        # of a frequent shingle each block of classes meets all, block by block
-        mine, all_of = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        of = lambda size: f"cast(floor(16 * log2({size}) + 1e-9) as int)"
+        cell = lambda c: p.withColumn("cell", F.expr(c))
+        small = cell(f"if(hot, {of('n')}, 0)").where("short")
+        # the least and the largest size of a smaller set that a set of n can link with from this place on
+        least, most = f"greatest(ceil({self.t!r} * n - 1e-6), 1)", f"least(n, floor((n - pos) / {share!r} - n + 1e-6))"
+        large = cell(f"explode(if(hot, if({most} >= {least}, sequence({of(least)}, {of(most)}), array()), array(0)))")
+        crowds = small.where("hot").groupBy("token", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        small, large = (x.join(crowds, ["token", "cell"], "left") for x in (small, large))
+        large = large.where("not hot or blocks is not null")  # nobody to meet
+        # each block of the smaller sets meets all larger ones, block by block
+        blocks = F.coalesce("blocks", F.lit(1))
         left, right = (
-            p.select(
-                "token", block.alias("block"), F.col("rep").alias(x), F.col("n").alias(f"n{x}"),
+            rows.select(
+                "token", "cell", block.alias("block"), F.col("rep").alias(x), F.col("n").alias(f"n{x}"),
                 F.col("pos").alias(f"p{x}"), F.col("comp").alias(f"c{x}"), F.col("prev").alias(f"prev_{x}"),
                 *(F.col(f"w{k}").alias(f"w{k}{x}") for k in range(4))
-            ) for x,
-            block in (("a", mine), ("b", all_of))
+            ) for rows, x, block in (
+                (small, "a", F.pmod(F.xxhash64("rep"), blocks).cast("int")),
+                (large, "b", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            )
         )
         differ = F.expr(
-            " + ".join(f"bit_count(w{k}a ^ w{k}b)" for k in range(4)) + f" <= na + nb - 2 * ceil({self.t / (1 + self.t)!r} * (na + nb) - 1e-6)"
+            " + ".join(f"bit_count(w{k}a ^ w{k}b)" for k in range(4)) + f" <= na + nb - 2 * ceil({share!r} * (na + nb) - 1e-6)"
         )
-        # overlap >= t / (1 + t) * (na + nb)
-        reach = F.expr(f"least(na - pa, nb - pb) >= {self.t / (1 + self.t)!r} * (na + nb) - 1e-6")
-        on = (left["token"] == right["token"]) & (left["block"] == right["block"]) & F.expr("a < b and ca <> cb") & F.expr(self._fits("na", "nb")) & reach & F.expr("not coalesce(prev_a = prev_b, false)") & differ
+        reach = F.expr(f"least(na - pa, nb - pb) >= {share!r} * (na + nb) - 1e-6")
+        smaller = F.expr("(na < nb or na = nb and a < b) and ca <> cb")
+        same = (left[k] == right[k] for k in ("token", "cell", "block"))
+        on = [*same, smaller, F.expr(self._fits("na", "nb")), reach, F.expr("not coalesce(prev_a = prev_b, false)"), differ]
         return left.join(right, on).select("a", "b").distinct()
 
     def plausible(self, pairs: DataFrame) -> DataFrame:
@@ -573,7 +594,7 @@ def linked_pairs(
     join.sets()
     join.postings()
     alone = join.docs.sparkSession.createDataFrame([], "node bigint, component bigint")  # every class by itself
-    links = join.compare(join.rest(alone), "all")
+    links = join.compare(join.rest(alone), "all").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     s, c = join.stats.where("id is not null and n > 0"), join.classes.select(
         F.col("s1").alias("k1"), F.col("s2").alias("k2"), F.col("n").alias("m"), "rep"
     )

@@ -163,6 +163,25 @@ def test_linked_pairs_are_all_pairs(spark):
     assert {(r["a"], r["b"]) for r in links.collect()} == want and len(want) > 20
 
 
+@pytest.mark.parametrize("join", ["components", "links"])
+def test_texts_around_the_threshold_of_one_passage(spark, monkeypatch, join):
+    """A passage in all texts, with ends of every length: some link, some just don't; the shingle is hot, its sets meet by size."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    r = random.Random(9)
+    passage = " ".join(f"p{k}" for k in range(70))
+    texts = [passage[: r.choice([400, len(passage)])] + "".join(f" {r.choice('ab')}{r.randrange(4000)}" for _ in range(r.randrange(6, 30))) for _ in range(160)]
+    sets = {k: shingles(t) for k, t in enumerate(texts)}
+    docs = spark.createDataFrame(list(enumerate(texts)), DOC)
+    if join == "components":
+        got = {x["doc_id"]: x["component_id"] for x in ngram_join.similar_documents(docs).collect()}
+        want = plain_components(sets)
+        assert got == want and 1 < len(set(want.values())) < len(texts)
+        return
+    links, _ = ngram_join.linked_pairs(docs)
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert {(x["a"], x["b"]) for x in links.collect()} == want and 1000 < len(want) < len(texts) * (len(texts) - 1) // 2
+
+
 def test_ngram_join_odd_tables(spark):
     long = spark.createDataFrame(
         [(1, " ".join(f"w{k}" for k in range(200_000)), "x"), (2, " ".join(f"w{k}" for k in range(190_000)), "y")],
