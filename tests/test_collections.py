@@ -74,6 +74,14 @@ def test_times_are_matched_as_by_looking_at_all(spark, policy, partitions):
         assert (r["image_id"], us(r["image_time_start"]), us(r["image_time_end"]), r["date_clamped"], r["date_source"]) == plain_match(us(t), own, policy)
 
 
+@pytest.mark.parametrize("policy", ["nearest", "contains"])
+def test_no_frame_of_times_shrinks_from_row_to_row(spark, policy):
+    """Such a frame is read anew for each row: quadratic in a range's times."""
+    im = spark.createDataFrame([("a", T(2020, 1, 1, 23), None)], "image_id string, time_start timestamp, time_end timestamp")
+    plan = asof.match_images(spark.createDataFrame([(D(2020, 1, 2),)], "date date"), im, policy)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RowFrame" in plan and "RowFrame, 1, unboundedfollowing" not in plan
+
+
 def test_the_hour_decides_among_images_of_neighbouring_days(spark):
     im = spark.createDataFrame([("a", T(2020, 1, 1, 23), None), ("b", T(2020, 1, 3, 5), None)], "image_id string, time_start timestamp, time_end timestamp")
     rows = spark.createDataFrame([(D(2020, 1, 2),)], "date date")
