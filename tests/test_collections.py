@@ -82,6 +82,28 @@ def test_no_frame_of_times_shrinks_from_row_to_row(spark, policy):
     assert "RowFrame" in plan and "RowFrame, 1, unboundedfollowing" not in plan
 
 
+def test_a_collection_longer_than_the_globe_is_laid_out_smaller(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    # 603 rows of pixels: at a quarter of a degree each they reach beyond the south pole
+    part = [(k, 1 if k % 11 == 0 else 2, float(k)) for k in range(0, 603 * 50, 7)]
+    spark.createDataFrame(part, "p_partkey bigint, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(k,) for k in (0, 1, 12, 91, 182, 7, 500, 603 * 9 + 1)], "c_custkey bigint").write.parquet(f"{tmp_path}/customer.parquet")
+    rows = part[-1][0] // 50 + 1
+    got = entry.queries()["extract_collection"](spark, str(tmp_path)).collect()
+    assert len(got) == 8 and rows > 600
+    cells = {k: v for k, size, v in part if size != 1}
+    days = [D(2020, 1, 1), D(2020, 3, 1), D(2020, 6, 1)]
+    for r in got:
+        k = r["occurrenceID"]
+        y, x, day = (k * 53) % rows, (k * 37) % 70, D(2019, 12, 20) + datetime.timedelta((k * 11) % 220)
+        assert (r["decimalLatitude"], r["decimalLongitude"]) == (59.875 - 0.25 * y, 8.125 + 0.25 * x)
+        held = [j for j in range(3) if 10 + 1.25 * j <= r["decimalLongitude"] <= 22.5 + 1.25 * j]
+        j = min(held, key=lambda j: (abs((days[j] - day).days), -j), default=None)
+        value = None if j is None else cells.get(y * 50 + int((r["decimalLongitude"] - 10 - 1.25 * j) / 0.25))
+        assert r["part_copy_point"] == (None if value is None else value + 1000 * j)
+
+
 def test_the_hour_decides_among_images_of_neighbouring_days(spark):
     im = spark.createDataFrame([("a", T(2020, 1, 1, 23), None), ("b", T(2020, 1, 3, 5), None)], "image_id string, time_start timestamp, time_end timestamp")
     rows = spark.createDataFrame([(D(2020, 1, 2),)], "date date")
