@@ -253,6 +253,14 @@ def test_reducers_in_parts_go_by_name_through_extract(spark, raster, own_reducer
         reducers.register_arrow_reducer("mean", reducers.arrow_reducer("span"))
 
 
+def test_quantiles_and_reducers_in_parts_make_no_row_of_a_pixel(spark, raster, points, own_reducers):
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    stats = plan(window.nested_stats(points.coalesce(1), raster, [20, 100], ["max", "median", "q90"], ["b1"]))
+    assert "posexplode" not in stats and "percentile" not in stats and "RepartitionByExpression [_row" in stats
+    parts = plan(window.nested_arrow(points.coalesce(1), raster, [100], ["span"], ["b1"]))
+    assert "FlatMapGroupsInArrow" not in parts and "RepartitionByExpression [_row" in parts
+
+
 def test_approximate_quantiles_are_within_their_error(spark, capfd):
     """Ranks of what is found against those wanted, on windows of some ten thousand values; few values give one of them."""
     v = np.random.default_rng(5).gamma(2.0, 50.0, (1, 200, 200))
