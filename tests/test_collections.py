@@ -144,6 +144,24 @@ def test_footprints_of_all_sizes_are_matched_as_by_looking_at_all(spark, policy)
         assert (r["image_id"], day(r["image_time_start"]), day(r["image_time_end"]), r["date_clamped"], r["date_source"]) == plain_match(day(d), own, policy)
 
 
+def test_rows_in_the_same_footprints_at_one_time_are_matched_once(spark, monkeypatch):
+    """A row for each pair of a row and a footprint was sorted by task."""
+    im = spark.createDataFrame(
+        [("a", D(2019, 1, 1), None, 10.0, 50.0, 12.0, 52.0), ("b", D(2021, 1, 1), None, 10.0, 50.0, 13.0, 53.0), ("c", D(2020, 1, 1), None, 11.5, 50.0, 14.0, 53.0)],
+        "image_id string, time_start date, time_end date, west double, south double, east double, north double"
+    )
+    k = F.col("id")
+    rows = spark.range(400).select(
+        k.cast("int").alias("_row"), (51 + k % 7 * 0.01).alias("lat"), F.when(k % 40 == 0, 99.0).otherwise(11.0 + k % 2).alias("lon"), F.date_add(F.lit(D(2020, 3, 1)), (k % 3).cast("int")).alias("date")
+    )
+    seen, decided = [], asof._decided
+    monkeypatch.setattr(asof, "_decided", lambda near, *rest: (seen.append(near), decided(near, *rest))[1])
+    monkeypatch.setattr(asof, "PAIRS_A_TASK", 1, raising=False)
+    got = asof.match_covering(rows, im, "contains").collect()
+    assert sorted((r["_row"], r["image_id"]) for r in got) == [(n, None if n % 40 == 0 else "c" if n % 2 else "a") for n in range(400)]
+    assert seen[0].count() == 2 * 3
+
+
 def test_no_cell_has_all_footprints(spark):
     feet = spark.range(3000).select(
         (F.col("id") % 60 * 5.9 - 179).alias("west"), (F.floor(F.col("id") / 60) * 3.0 - 80).alias("south")
