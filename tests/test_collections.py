@@ -82,6 +82,20 @@ def test_no_frame_of_times_shrinks_from_row_to_row(spark, policy):
     assert "RowFrame" in plan and "RowFrame, 1, unboundedfollowing" not in plan
 
 
+@pytest.mark.parametrize("policy", ["nearest", "contains"])
+def test_ranges_of_times_do_not_grow_with_the_rows(spark, monkeypatch, policy):
+    """There were as many as shuffle partitions, and some of them met in one task."""
+    day = lambda k: F.date_add(F.lit(D(2020, 1, 1)), k.cast("int")).alias
+    im = spark.range(0, 400, 4).select(F.col("id").cast("string").alias("image_id"), day(F.col("id"))("time_start"), F.lit(None).cast("date").alias("time_end"))
+    laid, cut = {}, asof.cut
+    monkeypatch.setattr(asof, "cut", lambda df, folder, name, *rest: laid.setdefault(name, cut(df, folder, name, *rest)))
+    monkeypatch.setattr(asof, "TIMES_A_RANGE", 20, raising=False)
+    got = asof.match_images(spark.range(400).select("id", day(F.col("id"))("date")), im, policy).collect()
+    assert laid["as-of"].groupBy("range").count().agg(F.max("count")).first()[0] <= 60
+    near = {0: 0, 1: -1, 2: 2, 3: 1} if policy == "nearest" else {0: 0, 1: -1, 2: -2, 3: -3}
+    assert sorted((r["id"], int(r["image_id"])) for r in got) == [(k, min(k + near[k % 4], 396)) for k in range(400)]
+
+
 def test_a_collection_longer_than_the_globe_is_laid_out_smaller(spark, tmp_path):
     import __spark_entry__ as entry
 
