@@ -14,8 +14,9 @@ their attention cost (the sum of the pieces' squared lengths), dear ones first,
 that groups cost about the same.  Only the counts of sequences by task and tier are combined.
 
 Encoding: a text is split at blanks, which no token of a tokenizer that drops white
-space crosses, and each distinct word is encoded once per worker, as long as the table of words
-has room.  Other tokenizers encode whole texts.
+space crosses; the distinct words of some million bytes are split into pieces together, and each
+distinct piece is encoded once per worker, as long as the table of pieces has room.  Other
+tokenizers encode whole texts.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import json
 import os
 from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,8 @@ from pyspark.sql import functions as F
 from terrasample.llm import _text
 from terrasample.llm._session import TEXT_ROWS, cut, lean, shared_folder, ship
 
-#: Bytes of text encoded at once; words that a worker keeps, and their greatest length in characters.
-SLICE, WORDS, LONGEST = 4_000_000, 400_000, 100
+#: Bytes of text encoded at once; pieces that a worker keeps, and their greatest length in characters.
+SLICE, PIECES, LONGEST = 4_000_000, 400_000, 100
 #: Plain characters: visible ASCII, Latin letters and marks up to U+024F but the soft hyphen and the dotted capital I, dashes and quotes.
 PLAIN = "[!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u024f\u2010-\u2027]+"
 #: Characters that stand for bytes in a byte-level vocabulary: visible ones for themselves, the others from U+0100 on.
@@ -52,10 +54,11 @@ class WordEncoder:
 
     Words of plain characters (ASCII, Latin letters and marks: none of them changes under NFC,
     lower-cases to several or joins its neighbours) are split by the file's own pattern and their pieces
-    given to its BPE model; all others go through the library as they are.
+    given to its BPE model; all others go through the library as they are.  Where a column leaves more
+    than ``most`` pieces, or 16 characters for each of these, the less used are forgotten.
     """
 
-    def __init__(self, path: str, most: int = WORDS):
+    def __init__(self, path: str, most: int = PIECES):
         import regex
         from tokenizers import Tokenizer
 
@@ -74,9 +77,8 @@ class WordEncoder:
         to_bytes = splits[1:] and splits[1].get("type") == "ByteLevel" and not splits[1].get("use_regex") and not splits[1].get("add_prefix_space")
         self.plain = None
         if self.by_word and to_bytes and len(splits) == 2 and set(norms) <= {"NFC", "Replace", "Lowercase"} and spec["model"]["type"] == "BPE":
-            self.plain, self.pattern = regex.compile(PLAIN), regex.compile(pattern)
-            special = [regex.escape(t["content"]) for t in spec.get("added_tokens", ())]
-            self.special = regex.compile("|".join(special)) if special else regex.compile("(?!)")
+            self.plain, self.pattern = f"^{PLAIN}$", regex.compile(f"(?:{pattern})|\n")
+            self.special = [t["content"] for t in spec.get("added_tokens", ())]
             self.lower = str.lower if "Lowercase" in norms else str
         self.clear()
 
@@ -87,73 +89,89 @@ class WordEncoder:
         return any(blank in m for m in regex.findall(pattern, f"a{blank}b1{blank}2,{blank};{blank}{blank}"))
 
     def clear(self) -> None:
-        """Forget all words; those used lately are in ``young``, the others in ``old``, which goes when both are full."""
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _encoded(self, words: list[str]) -> list[bytes]:
-        """The ids of words that the table doesn't have."""
-        if self.plain is None:
-            return self._whole(words)
-        out: list[bytes] = [b""] * len(words)
-        rest = []
-        for k, word in enumerate(words):
-            if not self.plain.fullmatch(word) or self.special.search(word):
-                rest.append(k)
-                continue
-            ids = b""
-            for piece in self.pattern.findall(self.lower(word)):
-                if (own := self.pieces.get(piece)) is None:
-                    symbols = piece if piece.isascii() else piece.encode().decode("latin-1").translate(SYMBOLS)
-                    own = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
-                ids += own
-            out[k] = ids
-        if len(self.pieces) > self.most // 2:
-            self.pieces = {}
-        for k, ids in zip(rest, self._whole([words[k] for k in rest]), strict=True):
-            out[k] = ids
-        return out
-
-    def _ids_of(self, words: list[str]) -> list[bytes]:
-        """The ids of distinct words, from the table; new ones are encoded together."""
-        found = list(map(self.young.get, words))
-        missing = [k for k, v in enumerate(found) if v is None]
-        kept = [(k, self.old.get(words[k])) for k in missing]
-        new = [k for k, v in kept if v is None]
-        for k, v in kept:
-            found[k] = v
-        for k, v in zip(new, self._encoded([words[k] for k in new]), strict=True):
-            found[k] = v
-        for k in missing:
-            if len(words[k]) <= LONGEST:
-                self.young[words[k]] = found[k]
-        if len(self.young) > self.most // 2:
-            self.young, self.old = {}, self.young
-        return found
+        """Forget all pieces but the line feed between words, which has the first slot and no ids."""
+        self.slot: dict[str, int] = {"\n": 0}
+        self.pool, self.first = np.zeros(0, np.uint32), np.zeros(2, np.int64)
+        self.uses, self.chars = np.zeros(1, np.int64), 0
+
+    def _make_room(self) -> None:
+        """Keep the pieces that most columns had, half of them or of ``most``; a column counts half from now on."""
+        names = list(self.slot)
+        order = 1 + np.argsort(-self.uses[1:], kind="stable")[: min(len(names), self.most) // 2]
+        often = [k for k in order.tolist() if len(names[k]) <= LONGEST]
+        kept = np.array([0, *sorted(often)])
+        size = np.diff(self.first)[kept]
+        self.pool = _joined(self.pool, self.first[kept], size)
+        self.first, self.uses = np.append(0, np.cumsum(size)), self.uses[kept] // 2
+        self.slot = {names[k]: n for n, k in enumerate(kept.tolist())}
+        self.chars = sum(map(len, self.slot))
+
+    def _whole(self, texts: list[str]) -> list[array]:
+        return [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _piece(self, piece: str) -> list[int]:
+        symbols = piece if piece.isascii() else piece.encode().decode("latin-1").translate(SYMBOLS)
+        return [t.id for t in self.model.tokenize(symbols)]
+
+    def _add(self, pieces: list[str]) -> None:
+        """Encode distinct pieces that the table doesn't have; a blank leads the words that the library takes as they are."""
+        whole = iter(self._whole([p[1:] for p in pieces if p.startswith(" ")]))
+        ids, end = array("I"), []
+        for p in pieces:
+            ids.extend(next(whole) if p.startswith(" ") else self._piece(p))
+            end.append(len(ids))
+        self.slot.update(zip(pieces, range(len(self.slot), len(self.slot) + len(pieces)), strict=True))
+        self.first, self.uses = np.append(self.first, self.first[-1] + np.array(end)), np.append(self.uses, np.zeros(len(end), np.int64))
+        self.pool = np.append(self.pool, np.frombuffer(ids, np.uint32))
+        self.chars += sum(map(len, pieces))
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of distinct words, and where those of each word begin and how many they are."""
+        plain = np.zeros(len(words), bool)
+        if self.plain is not None:
+            plain = pc.match_substring_regex(words, self.plain).to_numpy(zero_copy_only=False).copy()
+            for s in self.special:
+                plain &= ~pc.match_substring(words, s).to_numpy(zero_copy_only=False)
+        own, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
+        pieces = []
+        if len(own):  # all split at once, apart by line feeds, which the pattern matches by themselves
+            text = pc.binary_join(pa.ListArray.from_arrays([0, len(own)], words.take(pa.array(own))), "\n")[0].as_py()
+            pieces = [*self.pattern.findall(self.lower(text)), "\n"]
+        pieces += [x for w in words.take(pa.array(rest)).to_pylist() for x in (" " + w, "\n")]
+        slot = np.fromiter(map(self.slot.get, pieces, repeat(-1)), np.int64, len(pieces))
+        if len(new := np.flatnonzero(slot < 0)):
+            names = [pieces[k] for k in new.tolist()]
+            self._add(list(dict.fromkeys(names)))
+            slot[new] = np.fromiter(map(self.slot.__getitem__, names), np.int64, len(names))
+        self.uses[slot] += 1
+        size = self.first[slot + 1] - self.first[slot]
+        ids, edge = _joined(self.pool, self.first[slot], size), np.append(0, np.cumsum(size)[slot == 0])
+        first, n = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        order = np.concatenate((own, rest))
+        first[order], n[order] = edge[:-1], np.diff(edge)
+        if len(self.slot) > self.most or self.chars > 16 * self.most:
+            self._make_room()
+        return ids, first, n
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and how many each text has; null is empty."""
         column = pc.fill_null(column, "")
         if not self.by_word:
             ids = self._whole(column.to_pylist())
-            return np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids], np.int64)
+            return np.frombuffer(b"".join(ids), np.uint32), np.array([len(x) for x in ids], np.int64)
         lists = pc.ascii_split_whitespace(column)
         words = lists.flatten().dictionary_encode()
-        own = self._ids_of(words.dictionary.to_pylist())
-        pool = np.frombuffer(b"".join(own), "<u4")
-        n = np.fromiter(map(len, own), np.int64, len(own)) // 4
-        first, at = np.cumsum(n) - n, words.indices.to_numpy()
+        pool, first, n = self._words(words.dictionary)
+        at = words.indices.to_numpy()
         size = n[at]
-        end = np.cumsum(size)
-        total = int(end[-1]) if len(end) else 0
-        ids = pool[np.repeat(first[at] - end + size, size) + np.arange(total)]
         edge = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
-        return ids, np.diff(np.append(0, end)[edge])
+        return _joined(pool, first[at], size), np.diff(np.append(0, np.cumsum(size))[edge])
+
+
+def _joined(pool: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Stretches of ``pool``, one after the other."""
+    end = np.cumsum(size)
+    return pool[np.repeat(first - end + size, size) + np.arange(int(end[-1]) if len(end) else 0)]
 
 
 _encoders: dict[str, WordEncoder] = {}

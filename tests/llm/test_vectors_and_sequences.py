@@ -161,6 +161,25 @@ def test_words_are_encoded_as_whole_texts():
     assert not packing.WordEncoder(queries.tokenizer_path()).by_word
 
 
+def test_common_pieces_are_encoded_once():
+    random.seed(4)
+    enc, calls = packing.WordEncoder(WORDS, 200), []
+    model = enc.model
+
+    class Counted:
+        def tokenize(self, text):
+            calls.append(text)
+            return model.tokenize(text)
+
+    enc.model = Counted()
+    for k in range(1, 21):  # a new word each time, with a piece that all columns have, among pieces that only one has
+        rare = ["".join(random.choice("bcdfg") for _ in range(9)) for _ in range(60)]
+        texts = [f"Alpha{'!' * k} {' '.join(rare)}", None, "", "日本\x1c", "x" * 5000 * (k % 2)]
+        ids, count = enc.encode(pa.array(texts))
+        assert [x.tolist() + [1] for x in np.split(ids, np.cumsum(count)[:-1])] == library_ids(texts)
+    assert calls.count("alpha") == 1 and len(set(calls)) > 1200
+
+
 def test_rests_fill_their_sequences():
     random.seed(2)
     pieces = [(d, 0, random.randint(1, 255)) for d in range(500)]
