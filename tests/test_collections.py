@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 import terrasample
 from terrasample.functions import dates
 from terrasample.functions.grid import Header
-from terrasample.operators import asof
+from terrasample.operators import asof, window
 from terrasample.plans import progress
-from terrasample.sources import geotiff, mirror, sinks
+from terrasample.sources import geotiff, mirror, shared, sinks
 from terrasample.sources.raster import Raster, tiles_of_pixels
 
 D, T = datetime.date, datetime.datetime
@@ -303,6 +303,50 @@ def stored_collection(spark, folder, n=128):
     return Raster(h, tiles_of_pixels(px, h, 8, ("image_id",)), 8, images, {"nodata": (None, None), "dtype": "float64"})
 
 
+def broadcast(df):
+    """The lines of a collected table's plan that lie below a broadcast."""
+    found, at = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        at = None if at is not None and depth <= at else at
+        if at is not None:
+            found.append(line)
+        elif "BroadcastExchange" in line:
+            at = depth
+    return found
+
+
+def test_many_tiles_of_a_source_are_not_sent_through_the_driver(spark, tmp_path):
+    """Spark takes the array of a tile that a Python step makes for a single number."""
+    for k in range(20):  # each image in tiles of its own
+        write(tmp_path, f"i{k}_2020-01-01", 400000 + k * 2560.0, 6900000, k)
+    raster = mirror.open_entry(spark, {"path": str(tmp_path)})
+    assert raster.header.width > 19 * 256
+    lat, lon = mirror.crs.utm_inverse(F.lit(400005.0) + F.col("id") * 2560, F.lit(6899995.0), F.lit(32634))
+    points = spark.range(20).select(F.col("id").alias("_row"), F.concat(F.lit("i"), "id", F.lit("_2020-01-01")).alias("image_id"), lat.alias("lat"), lon.alias("lon"))
+    sample = window.point_sample(points, raster, ["b1"])
+    assert sorted((r["_row"], r["b1.point"]) for r in sample.collect()) == [(k, float(k)) for k in range(20)]
+    assert not [x for x in broadcast(sample) if "MapInArrow" in x]
+    stats = window.window_values(points, raster, [20.0], ["b1"])
+    assert {r["_row"]: set(r["v0"]["b1"]) for r in stats.collect()} == {k: {float(k)} for k in range(20)}
+    assert not [x for x in broadcast(stats) if "MapInArrow" in x]
+
+
+def test_long_tables_of_a_match_are_not_sent_through_the_driver(spark, monkeypatch):
+    """Spark takes them to be as large as their compressed files."""
+    monkeypatch.setattr(shared, "SENT_ROWS", 50, raising=False)
+    image = [(f"i{k}", D(2020, 1, 1 + k % 28), None, float(k), 0.0, k + 1.5, 9.0) for k in range(60)]
+    im = spark.createDataFrame(image, "image_id string, time_start date, time_end date, west double, south double, east double, north double")
+    row = [(k, 1.0 + k / 100, k % 60 + 0.25, D(2020, 1, 1 + k % 28)) for k in range(200)]
+    near = asof.match_covering(spark.createDataFrame(row, "_row int, lat double, lon double, date date"), im)
+    got = {r["_row"]: r["image_id"] for r in near.collect()}
+    for k, _, lon, day in row:
+        own = [(i, us(T(s.year, s.month, s.day)), None) for i, s, _, west, _, east, _ in image if west <= lon <= east]
+        assert got[k] == plain_match(us(T(day.year, day.month, day.day)), own, "nearest")[0]
+    # the places, as read back
+    assert not [x for x in broadcast(near) if "FileScan" in x and "_at#" in x]
+
+
 def test_a_store_of_tiles_reads_what_windows_want(spark, tmp_path, capfd):
     from terrasample.sources import store
 
